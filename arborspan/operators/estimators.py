@@ -36,16 +36,17 @@ class Prepared:
     rows: int
 
 
-def prepare(df: DataFrame, feature_columns: list[str], target: str | list[str], params: TreeParams, classification: bool, weight: str | None, feature_dict, features: list[Feature] | None = None, classes: list[list] | None = None, check: bool = True, row_id: str | None = None) -> Prepared:
+def prepare(df: DataFrame, feature_columns: list[str], target: str | list[str], params: TreeParams, classification: bool, weight: str | None, feature_dict, features: list[Feature] | None = None, classes: list[list] | None = None, check: bool = True, row_id: str | None = None, scaling: dict | None = None) -> Prepared:
     """Validate, encode targets and weights, and narrow features, in one projection.
 
     ``check``: with False, the table is taken as valid and ``classes`` as given.
+    ``scaling``: that of fitted trees; each tree then has its own copy of the rows.
     """
     targets = _as_list(target)
     n = check_finite(df, feature_columns) if check else -1
     features = features or features_of(df, feature_columns, feature_dict)
     w = Y.weight_column(weight)
-    scaling = None
+    fixed, scaling = scaling, None
     if classification:
         classes = classes or [Y.label_dictionary(df, t) for t in targets]
         w = Y.effective_weight(w, targets, Y.class_multipliers(params.class_weight, classes)).cast("float").cast("double")
@@ -65,6 +66,16 @@ def prepare(df: DataFrame, feature_columns: list[str], target: str | list[str],
             bad = base.agg(*[F.sum(F.when(F.col(y).isNull() | F.isnan(y) | (F.abs(F.col(y)) == float("inf")), 1).otherwise(0)).alias(y) for y in names]).first()
             if any(bad[y] for y in names):
                 raise ValueError("regression targets must be finite")
+    if fixed is not None:
+        each = base.drop("tree").withColumn("tree", F.explode(F.array(*[F.lit(t) for t in sorted(fixed)])))
+        for o, y in enumerate(names) if not classification else ():
+            scaled = None
+            for t in sorted(fixed):
+                mean, scale = fixed[t][o]
+                own = (F.col(y) - F.lit(mean)) / F.lit(scale)
+                scaled = F.when(F.col("tree") == t, own) if scaled is None else scaled.when(F.col("tree") == t, own)
+            each = each.withColumn(y, scaled.cast("float").cast("double"))
+        return Prepared(Table(each, features, len(targets), [len(c) for c in classes] if classification else None), classes if classification else None, None, n)
     if not classification:
         scaling = Y.standardisation(base, names, "w")
         for y, (mean, scale) in zip(names, scaling):

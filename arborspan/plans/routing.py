@@ -57,6 +57,8 @@ def child_conditions(node: dict, values: list[Column]) -> list[Column]:
     """For each child of a split node, whether a row goes there (never null)."""
     k = len(node["children"])
     labels = node["bin_to_partition"]
+    if node["kind"] == "constant":
+        return [F.lit(p == labels[0]) for p in range(k)]
     x = values[node["logical"][0]]
     parts: list[list[Column]] = [[] for _ in range(k)]
     if node["kind"] == "pair":
