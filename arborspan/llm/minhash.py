@@ -2,10 +2,11 @@
 
 Texts with equal shingle sets are one class. Many universal hash functions give
 each class its minima; bands of minima put classes into buckets. Links are
-confirmed on full shingle sets, first from each bucket's members to a few of
-them, then, in buckets whose members are still in several components, between
-all members of different components, block by block. Components come from
-alternating large-star and small-star.
+confirmed on full shingle sets: first from each bucket's members to a few hubs
+among them, twice; then, in buckets whose members are still in several
+components, between all members of different components, block by block, where
+only links that join components leave a block. Components come from alternating
+large-star and small-star. No step makes a row for each pair of a group.
 """
 
 from __future__ import annotations
@@ -25,8 +26,10 @@ LINK_PERCENT = 85
 #: Bands and minima per band: at a similarity of 0.85 a pair shares no bucket
 #: with probability (1 - 0.85**5)**25 < 5e-7.
 BANDS, ROWS = 25, 5
-#: Members of a bucket that one group compares with each other at once.
+#: Members of a bucket that one group compares with each other at once, and hubs
+#: of a bucket in the first and the second round.
 BLOCK = 256
+HUBS = (2, 4)
 
 _RNG = np.random.default_rng(97531)
 _A = _RNG.integers(0, 2**64, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
@@ -95,12 +98,17 @@ def _signatures(rows: DataFrame, kind: str) -> DataFrame:
     return map_texts(rows, run, f"id {kind}, n_shingles bigint, key binary, bands array<bigint>, bits binary")
 
 
-def confirm(pairs: DataFrame, classes: DataFrame, texts: DataFrame, percent: int, n_pairs: int) -> DataFrame:
+def _texts_of(keys: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
+    """(key, text) of distinct class keys; rows of one id with other texts come along."""
+    ids = stage(keys.join(classes.select("key", "rep"), "key"), "text-ids")
+    side = bounded(ids, ids.count())
+    return texts.join(side, texts["id"] == side["rep"]).select("key", "text")
+
+
+def confirm(pairs: DataFrame, classes: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) of class keys whose full sets are similar enough."""
     ends = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct()
-    ids = ends.join(classes.select("key", "rep"), "key")
-    side = bounded(ids, 2 * n_pairs * 4)
-    named = texts.join(side, texts["id"] == side["rep"]).select("key", "text")
+    named = _texts_of(ends, classes, texts)
     right = named.select(F.col("key").alias("b"), F.col("text").alias("text_b"))
     left = named.select(F.col("key").alias("a"), F.col("text").alias("text_a"))
     both = pairs.join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b")
@@ -121,60 +129,95 @@ def confirm(pairs: DataFrame, classes: DataFrame, texts: DataFrame, percent: int
     return map_texts(both, run, "u binary, v binary").distinct()
 
 
-def _star_pairs(buckets: DataFrame) -> DataFrame:
-    """Each bucket's members with two of its members: the least and the largest key."""
-    ends = buckets.groupBy("band").agg(F.min("key").alias("p"), F.max("key").alias("q")).where("p <> q")
-    hub = buckets.join(ends, "band")
-    pairs = hub.select("key", F.explode(F.array("p", "q")).alias("hub")).where("key <> hub")
-    return pairs.select(F.least("key", "hub").alias("a"), F.greatest("key", "hub").alias("b")).distinct()
+def _hub_pairs(members: DataFrame, hubs: int, salt: int) -> DataFrame:
+    """Each bucket's members with some of its members, drawn by a hash of their own
+    in each bucket; only pairs of different components."""
+    turn = lambda h: F.min(F.struct(F.xxhash64("key", "band", F.lit(salt + h)).alias("x"), F.col("key").alias("hub"), F.col("comp").alias("hub_comp")))
+    drawn = members.groupBy("band").agg(F.array(*[turn(h) for h in range(hubs)]).alias("hubs"))
+    pairs = members.join(drawn, "band").select("key", "comp", F.explode(F.array_distinct("hubs")).alias("h")).where("key <> h.hub and comp <> h.hub_comp")
+    return pairs.select(F.least("key", "h.hub").alias("a"), F.greatest("key", "h.hub").alias("b")).distinct()
 
 
-def _cross_pairs(buckets: DataFrame, classes: DataFrame, parts: DataFrame, percent: int, block: int) -> DataFrame:
-    """Pairs of different components inside a bucket whose minima agree well enough.
+def _mixed(members: DataFrame, parts: DataFrame) -> DataFrame:
+    """Members, with their components, of the buckets that hold several of these."""
+    comp = members.drop("comp").join(parts, members["key"] == parts["node"], "left").select("band", "pos", "key", F.coalesce("component", "key").alias("comp"))
+    several = comp.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo <> hi")
+    return comp.join(several.select("band", "size"), "band")
 
-    A bucket is cut into blocks of about ``block`` members by the key's hash and
-    every pair of blocks is a group of its own.
-    """
-    comp = buckets.join(parts, buckets["key"] == parts["node"], "left").select("band", "key", F.coalesce("component", "key").alias("comp"))
-    mixed = comp.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
-    cut = mixed.select("band", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
-    member = comp.join(cut, "band").withColumn("mine", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
-    spread = member.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "band", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "key", "comp"
-    )
-    rows = spread.join(classes.select("key", "n", "bits"), "key")
-    # agreement of 125 minima that a pair at the limit falls short of with probability < 1e-8
+
+def _compare(table: pa.Table, percent: int, sets) -> tuple[list[int], list[tuple[int, int]]]:
+    """Members of a group of two blocks that have a likely partner, and, given
+    ``sets``, confirmed links that join components."""
     wide = BANDS * ROWS
     p = percent / 100
+    # agreement that a pair at the limit falls short of with probability < 1e-8
     least = int(wide * p - 6 * (wide * p * (1 - p)) ** 0.5)
-
-    def compare(table: pa.Table) -> pa.Table:
-        n = table["n"].to_numpy()
-        mine, i, j = (table[c].to_numpy() for c in ("mine", "i", "j"))
-        keys, comp = table["key"].to_pylist(), table["comp"].to_pylist()
-        _, comp = np.unique(np.array([c.hex() for c in comp]), return_inverse=True)
-        bits = np.frombuffer(b"".join(table["bits"].to_pylist()), np.uint16).reshape(len(n), wide)
-        a, b = [], []
-        same = i[0] == j[0]
-        for k in range(len(n)):
-            if not same and mine[k] != i[k]:
-                continue
-            ok = comp != comp[k]
-            if same:
-                ok[: k + 1] = False
-            else:
-                ok &= mine != mine[k]
-            ok &= (100 * np.minimum(n, n[k]) >= percent * np.maximum(n, n[k])).astype(bool)
-            at = np.flatnonzero(ok)
+    n, mine, i, j = (table[c].to_numpy() for c in ("n", "mine", "i", "j"))
+    pos, same = int(table["pos"][0].as_py()), i[0] == j[0]
+    keys = table["key"].to_pylist()
+    _, comp = np.unique(np.array([c.hex() for c in table["comp"].to_pylist()]), return_inverse=True)
+    bits = np.frombuffer(b"".join(table["bits"].to_pylist()), np.uint16).reshape(len(n), wide)
+    bands = table["bands"].combine_chunks().flatten().to_numpy().reshape(len(n), BANDS)
+    likely, links = set(), []
+    for k in range(len(n)):
+        if not same and mine[k] != i[k]:
+            continue
+        ok = comp != comp[k]
+        if same:
+            ok[: k + 1] = False
+        else:
+            ok &= mine != mine[k]
+        ok &= 100 * np.minimum(n, n[k]) >= percent * np.maximum(n, n[k])
+        at = np.flatnonzero(ok)
+        at = at[(bits[at] == bits[k]).sum(1) >= least] if len(at) else at
+        # a pair is looked at in the first band that it shares
+        at = at[(bands[at] == bands[k]).argmax(1) == pos] if len(at) else at
+        if sets is None:
             if len(at):
-                at = at[(bits[at] == bits[k]).sum(1) >= least]
-                for m in at:
-                    x, y = sorted((keys[k], keys[m]))
-                    a.append(x)
-                    b.append(y)
-        return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
+                likely |= {k, *at.tolist()}
+            continue
+        for m in at.tolist():
+            if comp[m] != comp[k] and sets(k) is not None and sets(m) is not None and linked(sets(k), sets(m), percent):
+                links.append((k, m))
+                comp[comp == comp[m]] = comp[k]
+    return sorted(likely), [(keys[a], keys[b]) for a, b in links]
+
+
+def _cross_links(mixed: DataFrame, classes: DataFrame, texts: DataFrame, percent: int, block: int) -> DataFrame:
+    """Confirmed links between the components of a bucket.
+
+    A bucket is cut into blocks of about ``block`` members by the key's hash, and
+    every pair of blocks is a group. A first pass on the minima names the members
+    that have a likely partner; only their texts are fetched for the second.
+    """
+    member = mixed.withColumn("blocks", F.ceil(F.col("size") / block).cast("int")).withColumn("mine", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
+    spread = member.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
+        "band", "pos", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "key", "comp"
+    )
+    rows = spread.join(classes.select("key", "n", "bits", "bands"), "key")
+
+    def name(table: pa.Table) -> pa.Table:
+        at, _ = _compare(table, percent, None)
+        return table.take(pa.array(at, pa.int64())).select(["band", "pos", "i", "j", "mine", "key", "comp", "n", "bits", "bands"])
+
+    schema = "band bigint, pos int, i int, j int, mine int, key binary, comp binary, n bigint, bits binary, bands array<bigint>"
+    likely = stage(rows.select(*[c.split()[0] for c in schema.split(", ")]).groupBy("band", "i", "j").applyInArrow(name, schema), "likely")
+    named = _texts_of(likely.select("key").distinct(), classes, texts)
+
+    def link(table: pa.Table) -> pa.Table:
+        column, keys = table["text"], table["key"].to_pylist()
+        made: dict = {}
+
+        def sets(k):
+            if k not in made:
+                s = shingle_sets(column.slice(k, 1))[0]
+                made[k] = s if class_key(s) == keys[k] else None
+            return made[k]
+
+        _, links = _compare(table, percent, sets)
+        return pa.table({"u": pa.array([a for a, _ in links], pa.binary()), "v": pa.array([b for _, b in links], pa.binary())})
 
-    return rows.groupBy("band", "i", "j").applyInArrow(compare, "a binary, b binary").distinct()
+    return likely.join(named, "key").groupBy("band", "i", "j").applyInArrow(link, "u binary, v binary").distinct()
 
 
 def near_duplicates(
@@ -195,21 +238,26 @@ def near_duplicates(
     classes = stage(
         usable.groupBy("key").agg(F.min("id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("bits").alias("bits")), "classes"
     )
-    every = classes.select("key", F.explode("bands").alias("band"))
-    shared = every.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("band")
-    buckets = stage(every.join(shared, "band"), "buckets")
-    stars = stage(_star_pairs(buckets), "stars")
+    every = classes.select("key", F.posexplode("bands").alias("pos", "band"))
+    shared = every.groupBy("band").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("band")
+    members = stage(every.join(shared, "band").select("band", "pos", "key", F.col("key").alias("comp")), "buckets")
     texts = texts.where("id is not null and text is not null")
-    links = stage(confirm(stars, classes, texts, percent, stars.count()), "links")
-    parts = components(links)
-    more = stage(_cross_pairs(buckets, classes, parts, percent, block).join(stars, ["a", "b"], "left_anti"), "cross")
-    n_more = more.count()
-    if n_more:
-        extra = stage(confirm(more, classes, texts, percent, n_more), "more-links")
-        old = parts
-        parts = components(extra.unionByName(old.select(F.col("node").alias("u"), F.col("component").alias("v"))))
-        drop_stage(extra, old)
-    drop_stage(stars, links, more, buckets)
+    parts, old = None, [members]
+    for round_, hubs in enumerate(HUBS):
+        pairs = stage(_hub_pairs(members, hubs, 100 * round_), "pairs")
+        links = confirm(pairs, classes, texts, percent)
+        if parts is not None:
+            links = links.unionByName(parts.select(F.col("node").alias("u"), F.col("component").alias("v")))
+        parts = components(links)
+        members = stage(_mixed(members, parts), "mixed")
+        drop_stage(pairs)
+        old += [members, parts]
+    if members.head(1):
+        cross = stage(_cross_links(members, classes, texts, percent, block), "cross")
+        if cross.head(1):
+            parts = components(cross.unionByName(parts.select(F.col("node").alias("u"), F.col("component").alias("v"))))
+        drop_stage(cross)
+    drop_stage(*[t for t in old if t is not parts])
     known = classes.join(parts, classes["key"] == parts["node"], "left").select("key", "rep", F.coalesce("component", "key").alias("comp"))
     named = known.join(known.groupBy("comp").agg(F.min("rep").alias("component_id"), F.count(F.lit(1)).alias("n")).where("n > 1").select("comp", "component_id"), "comp", "left")
     names = named.select(F.col("key").alias("__key"), F.coalesce("component_id", "rep").alias("__component"))

@@ -11,8 +11,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
+from ..plans.prefix import running_totals
 from ..runtime import ship
 
 # --------------------------------------------------------------- stage tables
@@ -49,8 +49,8 @@ def drop_stage(*tables: DataFrame) -> None:
             p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
-#: A side of a join is broadcast only up to this many rows of a few integers.
-BROADCAST_ROWS = 200_000
+#: A side of a join is broadcast only up to this many rows of a few integers (some 50 MB).
+BROADCAST_ROWS = 1_000_000
 
 
 def bounded(df: DataFrame, rows: int) -> DataFrame:
@@ -250,18 +250,5 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
 
 def running_total(df: DataFrame, group: list[str], bucket: str, order: list[Column], value: str, out: str) -> DataFrame:
     """Sum of ``value`` over the rows up to each row, by ``group``, in the order
-    of ``bucket`` and then ``order``.
-
-    ``bucket`` cuts a group into ordered pieces: only a piece is sorted in one
-    task, and a group's pieces are summed first.
-    """
-    keys = [*group, bucket]
-    whole = df.groupBy(*keys).agg(F.sum(value).alias("__sum"))
-    before = Window.partitionBy(*(group or [F.lit(0)])).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
-    heads = whole.select(*[F.col(k).alias(f"__{k}") for k in keys], F.coalesce(F.sum("__sum").over(before), F.lit(0)).alias("__before"))
-    match = [df[k].eqNullSafe(heads[f"__{k}"]) for k in keys]
-    cond = match[0]
-    for m in match[1:]:
-        cond = cond & m
-    within = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return df.join(heads, cond).withColumn(out, F.col("__before") + F.sum(value).over(within)).drop("__before", *[f"__{k}" for k in keys])
+    of ``bucket`` and then ``order``; only one bucket is sorted in one task."""
+    return running_totals(df, group, bucket, order, {value: out})
