@@ -24,8 +24,9 @@ from pyspark.sql import functions as F
 
 from .shared import map_texts
 
-#: Tables of pieces kept by a worker; beyond it, rarer pieces are made anew.
-KEPT_PIECES = 300_000
+#: Counts of pieces in one generation of a worker's cache. A full generation
+#: becomes the old one, from which pieces that come again are taken over.
+KEPT_PIECES = 600_000
 #: Pairs of tokens whose seam a worker remembers.
 KEPT_PAIRS = 400_000
 
@@ -90,17 +91,16 @@ class PrefixCounter:
             self.rank[a, b] = r
             self.parts.setdefault(a + b, (r, a, b))
         self.vocab = {raw(t) for t in spec["model"]["vocab"] if t not in self.added}
+        self.vocab = {t for t in self.vocab if len(t) == 1 or t in self.parts}
         self.longest = max(map(len, self.vocab))
         self._pair: dict = {}
         self._counts: dict[str, int] = {}
+        self._old: dict[str, int] = {}
 
     def _stays(self, a: bytes, b: bytes) -> bool:
         """Whether ``a`` and ``b`` stay two tokens when their bytes are merged
         in order of rank: no merge across the seam comes before the merges
         that make ``a`` and ``b`` themselves."""
-        known = self._pair.get((a, b))
-        if known is not None:
-            return known
         left, right, cap, out = a, b, len(self.rank) + 1, True
         while True:
             across = self.rank.get((left, right))
@@ -123,22 +123,30 @@ class PrefixCounter:
 
     def table(self, piece: bytes) -> list[int]:
         """Tokens of each prefix of a piece, the empty one first."""
-        n, vocab, stays = len(piece), self.vocab, self._stays
-        count, last = [0] * (n + 1), [b""] * (n + 1)
-        for end in range(1, n + 1):
+        vocab, stays, known = self.vocab, self._stays, self._pair
+        count, last = [0], [b""]
+        for end in range(1, len(piece) + 1):
             for start in range(max(0, end - self.longest), end):
                 token = piece[start:end]
-                if token in vocab and (not start or (last[start] and stays(last[start], token))) and (len(token) == 1 or token in self.parts):
-                    count[end], last[end] = count[start] + 1, token
-                    break
+                if token in vocab:
+                    if not start:
+                        break
+                    pair = last[start], token
+                    fits = known.get(pair)
+                    if stays(*pair) if fits is None else fits:
+                        break
+            count.append(count[start] + 1)
+            last.append(token)
         return count
 
     def piece_count(self, piece: str) -> int:
         found = self._counts.get(piece)
         if found is None:
-            raw = piece.encode("utf-8")
-            found = self.table(raw)[-1]
+            found = self._old.get(piece)
+            if found is None:
+                found = self.table(piece.encode("utf-8"))[-1]
             if len(self._counts) >= KEPT_PIECES:
+                self._old = dict(self._counts)
                 self._counts.clear()
             self._counts[piece] = found
         return found
@@ -187,17 +195,21 @@ class PrefixCounter:
         """Tokens of the whole text, and code points of its longest prefix that
         ends between characters inside ``limit`` tokens, piece by piece."""
         total, cut, done, at = 0, 0, False, 0
+        pattern, known, one = piece_pattern(), self._counts, self.piece_count
         if limit >= len(text.encode("utf-8")):  # a token has a byte at least
             return self.count(text), len(text)
         for special, part in self._segments(text):
-            found = [part] if special else piece_pattern().findall(part)
-            counts = [1] if special else list(map(self.piece_count, found))
+            found = [part] if special else pattern.findall(part)
+            counts = [1] if special else list(map(known.get, found))
+            if None in counts:
+                counts = [one(p) if c is None else c for p, c in zip(found, counts)]
             if not done:
-                ends = list(accumulate(counts))
+                # a piece has a token at least, so the budget ends among the first pieces
+                ends = list(accumulate(counts[: limit - total + 1]))
                 k = bisect_right(ends, limit - total)
                 cut = at + sum(map(len, found[:k]))
                 if k < len(found):
-                    done = True
+                    done = True  # nothing after this piece fits
                     if not special:
                         left = limit - total - (ends[k - 1] if k else 0)
                         table, piece = self.table(found[k].encode("utf-8")), found[k]
