@@ -215,9 +215,9 @@ def best_cut_entropy(spark, sf_dir):
     return _cut(_flag_cells(spark, sf_dir), "entropy", [["s_r_0", "s_r_1"]])
 
 
-@query(_sql_cut(_sql_long(NUMBERS, "lineitem", _IS_R), ["r0", "r1"], _GINI, 5000))
+@query(_sql_cut(_sql_long(NUMBERS, "lineitem", _IS_R), ["r0", "r1"], _GINI, 1000))
 def best_cut_minleaf(spark, sf_dir):
-    return _cut(_flag_cells(spark, sf_dir), "gini", [["s_r_0", "s_r_1"]], 5000)
+    return _cut(_flag_cells(spark, sf_dir), "gini", [["s_r_0", "s_r_1"]], 1000)
 
 
 @query(_sql_cut(_sql_long(["p_size", "p_partkey"], "part", "p_retailprice AS wy, p_retailprice * p_retailprice AS wyy"), ["wy", "wyy"], _MSE))
@@ -390,13 +390,13 @@ def _sql_tree(base: str, columns: list[str], kind: str, depth: int, select: str)
     return "WITH " + ",".join(parts) + f"\n{select.format(last=last)}"
 
 
-_PART_CLASS = "SELECT p_partkey, CASE WHEN p_retailprice > 950 THEN 1.0 ELSE 0.0 END AS y, 1.0::DOUBLE AS w, p_size::FLOAT::DOUBLE AS a, p_partkey::FLOAT::DOUBLE AS b FROM part"
+_PART_CLASS = "SELECT p_partkey, CASE WHEN p_retailprice > 912 AND p_retailprice < 960 THEN 1.0 ELSE 0.0 END AS y, 1.0::DOUBLE AS w, p_size::FLOAT::DOUBLE AS a, p_partkey::FLOAT::DOUBLE AS b FROM part"
 _PART_PRICE = "SELECT p_partkey, p_retailprice AS y, 1.0::DOUBLE AS w, p_size::FLOAT::DOUBLE AS a, p_partkey::FLOAT::DOUBLE AS b FROM part"
 _LEAVES = "SELECT count(*) AS n, round(avg(y), 6) AS rate FROM {last} GROUP BY node"
 
 
-def _part(spark, sf_dir, threshold: float = 950.0) -> DataFrame:
-    return read(spark, sf_dir, "part").withColumn("dear", (F.col("p_retailprice") > threshold).cast("int"))
+def _part(spark, sf_dir) -> DataFrame:
+    return read(spark, sf_dir, "part").withColumn("dear", ((F.col("p_retailprice") > 912) & (F.col("p_retailprice") < 960)).cast("int"))
 
 
 def _leaf_rates(model: TreeModel, df: DataFrame, y) -> DataFrame:
@@ -532,10 +532,10 @@ def pair_screen_topk(spark, sf_dir):
 
 
 @query("""
-WITH base AS (SELECT p_size::FLOAT::DOUBLE AS x, CASE WHEN p_retailprice > 950 THEN 1.0 ELSE 0.0 END AS y FROM part),
+WITH base AS (SELECT p_size::FLOAT::DOUBLE AS x, CASE WHEN p_retailprice > 912 AND p_retailprice < 960 THEN 1.0 ELSE 0.0 END AS y FROM part),
 c AS (SELECT x, count(*) AS n, sum(y) AS r1, count(*) - sum(y) AS r0 FROM base GROUP BY ALL),
 u AS (SELECT x, lead(x) OVER w AS nx, sum(n) OVER w AS ln, sum(n) OVER () - sum(n) OVER w AS rn, sum(r0) OVER w AS l0, sum(r1) OVER w AS l1, sum(r0) OVER () - sum(r0) OVER w AS t0, sum(r1) OVER () - sum(r1) OVER w AS t1 FROM c WINDOW w AS (ORDER BY x ROWS UNBOUNDED PRECEDING))
-SELECT x / 2 + nx / 2 AS threshold, greatest(l0 + t1, l1 + t0) AS reward, (CASE WHEN l0 + t1 >= l1 + t0 THEN 0 ELSE 1 END)::INTEGER AS left_child FROM u WHERE nx IS NOT NULL AND ln >= 13 AND rn >= 13 ORDER BY reward DESC, x LIMIT 1""")
+SELECT x / 2 + nx / 2 AS threshold, greatest(l0 + t1, l1 + t0)::DOUBLE AS reward, (CASE WHEN l0 + t1 >= l1 + t0 THEN 0 ELSE 1 END)::INTEGER AS left_child FROM u WHERE nx IS NOT NULL AND ln >= 13 AND rn >= 13 ORDER BY reward DESC, x LIMIT 1""")
 def refine_best_threshold(spark, sf_dir):
     df = _part(spark, sf_dir).select(narrow("p_size").alias("x"), F.col("dear").cast("double").alias("y"), F.lit(1).alias("one"))
     from pyspark.sql.window import Window
