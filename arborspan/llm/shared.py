@@ -77,7 +77,9 @@ def buffer_of(column) -> tuple[np.ndarray, np.ndarray]:
 
 
 #: Bytes of text that one vectorised step works on; a longer text is a step of its own.
-STEP_BYTES = 1 << 20
+STEP_BYTES = 1 << 18
+#: Rows that Spark hands to a worker at once (its own default of 10,000 long texts is too much).
+BATCH_ROWS = 1000
 
 
 def steps(offsets: np.ndarray, limit: int = STEP_BYTES):
@@ -182,11 +184,19 @@ def arrow_type(schema: T.StructType) -> pa.Schema:
     return to_arrow_schema(schema)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Bound a worker's batches, where the session has Spark's default, and ship the package."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, str(BATCH_ROWS))
+    ship(spark)
+
+
 def map_texts(df: DataFrame, function, schema: str | T.StructType) -> DataFrame:
     """``mapInArrow`` with the result's columns given as lists or arrays."""
     target = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
 
-    ship(df.sparkSession)
+    small_batches(df.sparkSession)
 
     def run(batches):
         names = arrow_type(target)
