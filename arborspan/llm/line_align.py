@@ -50,8 +50,13 @@ def line_table(column) -> list[tuple[np.ndarray, np.ndarray]]:
 
 
 def run_keys(hashes: np.ndarray, words: np.ndarray, min_words: int = MIN_WORDS) -> np.ndarray:
-    """Hashes of the minimal runs of lines that reach ``min_words`` words, without
-    the lines that have none at either end."""
+    """Distinct hashes of :func:`minimal_runs`."""
+    return np.unique(minimal_runs(hashes, words, min_words)[2])
+
+
+def minimal_runs(hashes: np.ndarray, words: np.ndarray, min_words: int = MIN_WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first line, end, hash) of the runs of lines that just reach ``min_words``
+    words, none of them beginning with a line without words."""
     n = len(hashes)
     ends = np.concatenate([[0], np.cumsum(words)])
     start = np.flatnonzero(words > 0)
@@ -59,10 +64,10 @@ def run_keys(hashes: np.ndarray, words: np.ndarray, min_words: int = MIN_WORDS)
     ok = stop <= n
     start, stop = start[ok], stop[ok]
     if not len(start):
-        return np.zeros(0, np.uint64)
+        return start, stop, np.zeros(0, np.uint64)
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(hashes) * powers_odd(n), dtype=np.uint64)])
     value = (sums[stop] - sums[start]) * inverse_odd(n)[start]
-    return np.unique(mix(value + (stop - start).astype(np.uint64)))
+    return start, stop, mix(value + (stop - start).astype(np.uint64))
 
 
 _STEP = 0xD1342543DE82EF95
@@ -135,7 +140,8 @@ def common_blocks(early: np.ndarray, late: np.ndarray, words: np.ndarray, min_wo
     """Lines of ``late`` in common blocks of at least ``min_words`` words.
 
     What an alignment leaves over, such as moved or repeated blocks, is aligned
-    with ``early`` again until nothing more is found.
+    with ``early`` again; where that finds no more, a minimal run that both
+    still share is a block by itself, until none is left.
     """
     known = set(early.tolist())
     left = list(range(len(late)))
@@ -153,6 +159,8 @@ def common_blocks(early: np.ndarray, late: np.ndarray, words: np.ndarray, min_wo
             if sum(int(words[i]) for i in lines) >= min_words:
                 found += lines
             block = [(x, y)]
+        if not found:
+            found = _shared_run(early, late, words, left, min_words)
         if not found:
             break
         gone += found
@@ -161,6 +169,23 @@ def common_blocks(early: np.ndarray, late: np.ndarray, words: np.ndarray, min_wo
     return sorted(gone)
 
 
+def _shared_run(early: np.ndarray, late: np.ndarray, words: np.ndarray, left: list[int], min_words: int) -> list[int]:
+    """Lines of one run that ``early`` and the lines ``left`` of ``late`` share."""
+    size = dict(zip(late.tolist(), words.tolist()))
+    own = np.array([size.get(h, min_words) for h in early.tolist()], np.int64)
+    at = {int(k): int(i) for i, _, k in zip(*(x[::-1] for x in minimal_runs(early.view(np.uint64), own, min_words)))}
+    cuts = [0, *(k for k in range(1, len(left)) if left[k] != left[k - 1] + 1), len(left)]
+    for a, b in zip(cuts[:-1], cuts[1:]):
+        lines = np.array(left[a:b], np.int64)
+        for i, j, key in zip(*minimal_runs(late[lines].view(np.uint64), words[lines].astype(np.int64), min_words)):
+            if int(key) in at:
+                e = at[int(key)] + int(j - i)
+                while j < len(lines) and e < len(early) and late[lines[j]] == early[e]:
+                    j, e = j + 1, e + 1
+                return lines[i:j].tolist()
+    return []
+
+
 def _line_tables(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFrame:
     def run(batch):
         tables = line_table(batch.column(1))
