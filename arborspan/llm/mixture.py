@@ -21,7 +21,7 @@ MAX_PASSES = 3
 #: Words of a text.
 WORD = r"[^ \t\n\x0B\f\r]+"
 #: Rows of one source that are sorted in one task, about.
-ROWS_PER_PIECE = 20_000
+ROWS_PER_PIECE = 4_000
 
 
 def word_count(text: Column) -> Column:
@@ -89,8 +89,10 @@ def mix_sources(
     # in order of finish time, truncated at the budget of all words
     total = by_source.agg(F.sum("source_size").alias("w"), F.sum("n").alias("n")).first()
     ranges = max(1, -(-(total["n"] or 0) * passes // rows_per_piece))
+    # what isn't served adds nothing to the sums: it is spread beyond the last range
+    place = F.when(F.col("__served") > 0, F.floor(F.col("__finish") * ranges)).otherwise(2 * ranges + 1 + F.pmod(F.col("__row"), F.lit(ranges)))
     ordered = running_total(
-        packets.withColumn("__range", F.floor(F.col("__finish") * ranges).cast("int")), [], "__range",
+        packets.withColumn("__range", place.cast("int")), [], "__range",
         [F.col("__finish"), F.col("__turn"), F.col("__own"), F.col("__row"), F.col("__pass")], "__served", "__sum",
     )
     left = F.lit(total["w"] or 0) - (F.col("__sum") - F.col("__served"))
