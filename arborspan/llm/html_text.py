@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 from .shared import map_texts
 
+#: Elements that are a paragraph of their parent.
+PARAGRAPHS = frozenset("p pre td th li dd dt blockquote h1 h2 h3 h4 h5 h6 figcaption".split())
 #: HTML's elements by how they are treated.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes".split())
@@ -254,7 +256,11 @@ def extract(source: str | None) -> str:
     for holder, text in blocks:
         if len(text) < 25:
             continue
-        points, share, node = paragraph_points(text), 1.0, holder if holder.name not in ("p", "pre", "td", "li", "blockquote", "h1", "h2", "h3", "h4", "h5", "h6") else holder.parent
+        points = paragraph_points(text)
+        if holder.name not in PARAGRAPHS:  # bare text in a container counts for both
+            holder.score += points
+            scored[id(holder)] = holder
+        share, node = 1.0, holder.parent
         while node is not None and share > 0.05:
             node.score += points * share
             scored[id(node)] = node
@@ -275,34 +281,27 @@ def extract(source: str | None) -> str:
         return node.score * bonus * (1 - link_density(node))
 
     best = max((n for n in order if id(n) in scored and n.name != "#root" or n is root), key=value)
-    # an article around the best container is the whole text
-    up = best
+    # an article (or else a main part) around the best container is the whole text
+    around, up = [], best
     while up is not None:
-        if up.name == "article":
-            best = up
-            break
+        around.append(up)
         up = up.parent
+    for name in ("article", "main"):
+        best = next((n for n in around if n.name == name), best)
+        if best.name == name:
+            break
     kept = [best]
-    parent = best.parent
-    if parent is not None and best.name != "body":
-        least = max(8.0, value(best) * 0.2)
-        kept = []
-        for item in parent.items:
-            if not isinstance(item, Node) or item.dropped:
-                continue
-            if item is best:
-                kept.append(item)
-            elif item.score and value(item) >= least:
-                kept.append(item)
-            elif item.name == "p" and best.name != "article":
-                inner = _WHITE.sub(" ", "".join(t for _, t in _flow(item, True)))
-                if link_density(item) < 0.25 and len(inner) > 80:
-                    kept.append(item)
-            elif item.name in ("h1", "h2") and best.name not in ("article", "main") and parent.name != "body":
-                kept.append(item)
+    if best.parent is not None and best.name not in ("article", "main", "body"):
+        least = 0.2 * value(best)
+        kept = [n for n in best.parent.items if isinstance(n, Node) and not n.dropped and (n is best or (n.score and value(n) >= least) or _reads_like_text(n) or (n.name in ("h1", "h2") and best.parent.name != "body"))]
     return "\n\n".join(t for node in kept for _, t in _flow(node, True))
 
 
+def _reads_like_text(node: Node) -> bool:
+    """A sibling with a long block and hardly any link text."""
+    return link_density(node) < 0.2 and any(len(t) >= 80 for _, t in _flow(node, True))
+
+
 def extract_main_text(df: DataFrame, id_col: str = "page_id", html_col: str = "html", keep: tuple[str, ...] = ()) -> DataFrame:
     """Per row: id, the columns named in ``keep``, and ``text``, the page's main text.
 
