@@ -18,10 +18,15 @@ from ..functions import targets as Y
 from ..functions.features import Feature, check_finite, features_of, value_column
 from ..functions.params import TreeParams, check_int
 from ..plans.routing import path_column, walk_column
+from ..runtime import ship
 from . import sampling
 from .growth import Table, Tree, fit_trees
 
 
+#: Nodes of a model beyond which rows are scored in batches and not by one expression.
+EXPRESSION_NODES = 1500
+
+
 def _as_list(x) -> list:
     return [x] if isinstance(x, str) else list(x)
 
@@ -171,6 +176,8 @@ class TreeModel:
         missing = [c for f in self.features for c in f.columns if c not in df.columns]
         if missing:
             raise ValueError(f"the table lacks feature columns {missing}")
+        if len(self.trees) > 1 and sum(len(t.nodes) for t in self.trees.values()) > EXPRESSION_NODES:
+            return self._transform_batches(df)
         added = ["prediction", "probability", "leaf"]
         keep = [c for c in df.columns if c not in added]
         names = [f"__leaf_{t}" for t in sorted(self.trees)]
@@ -206,6 +213,36 @@ class TreeModel:
             extra.append(F.col(names[0]).alias("leaf"))
         return out.select(*keep, *extra)
 
+    def _transform_batches(self, df: DataFrame) -> DataFrame:
+        """As :meth:`transform`, with vectorised walks in Python workers. No shuffle."""
+        import pandas as pd
+        from pyspark.sql import types as T
+
+        from . import walker
+
+        ship(df.sparkSession)
+        keep = [c for c in df.columns if c not in ("prediction", "probability", "leaf")]
+        inputs = [f"__f{i}" for i in range(len(self.features))]
+        rows = df.select(*keep, *[v.alias(n) for v, n in zip(self.values(), inputs)])
+        values = T.ArrayType(T.ArrayType(T.DoubleType())) if self.classes is not None else T.ArrayType(T.DoubleType())
+        schema = T.StructType([rows.schema[c] for c in keep] + [T.StructField("__values", values)])
+        held = df.sparkSession.sparkContext.broadcast((self.trees, self.scaling, self.classes, self.outputs))  # nodes: bounded by the model's own size
+
+        def run(frames):
+            trees, scaling, classes, outputs = held.value
+            for frame in frames:
+                each = walker.mean_values(trees, scaling, classes, outputs, frame[inputs].to_numpy(float))
+                out = frame[keep].copy()
+                out["__values"] = [[list(map(float, e[i])) if classes is not None else float(e[i]) for e in each] for i in range(len(frame))]
+                yield pd.DataFrame(out)
+
+        scored = rows.mapInPandas(run, schema)
+        one, get = self.outputs == 1, [F.element_at("__values", o + 1) for o in range(self.outputs)]
+        if self.classes is None:
+            return scored.select(*keep, (get[0] if one else F.col("__values")).alias("prediction"))
+        labels = [Y.decode(F.array_position(p, F.array_max(p)) - 1, c) for p, c in zip(get, self.classes)]
+        return scored.select(*keep, (labels[0] if one else F.array(*labels)).alias("prediction"), (get[0] if one else F.col("__values")).alias("probability"))
+
     def predict(self, df: DataFrame) -> DataFrame:
         return self.transform(df).select("prediction")
 

@@ -33,11 +33,12 @@ def running_totals(df: DataFrame, group: list[str], bucket: str, order: list[Col
 def range_bucket(df: DataFrame, group: list[str], x: str, pieces: int) -> DataFrame:
     """``df`` with ``bucket``: the position of ``x`` among its group's quantiles.
 
-    Groups are few (a node's features); their quantiles are broadcast.
+    ``group`` names a column at least. Groups are few (a node's features); their
+    quantiles are broadcast.
     """
     if pieces <= 1:
         return df.withColumn("bucket", F.lit(0))
     shares = [i / pieces for i in range(1, pieces)]
     edges = df.groupBy(*group).agg(F.percentile_approx(x, shares, 1000).alias("__edges"))
-    out = df.join(F.broadcast(edges), group) if group else df.crossJoin(F.broadcast(edges))
+    out = df.join(F.broadcast(edges), group)
     return out.withColumn("bucket", F.size(F.filter("__edges", lambda e: e < F.col(x)))).drop("__edges")

@@ -246,8 +246,8 @@ def best_cut_gain_hessian(spark, sf_dir):
 
     df = read(spark, sf_dir, "orders").select(narrow("o_custkey").alias("x"), (F.col("o_totalprice") - 150000).alias("g"))
     cells = df.groupBy("x").agg(F.sum("g").alias("g"), F.count(F.lit(1)).cast("double").alias("h")).withColumn("one", F.lit(1))
-    totals = cells.agg(F.sum("g").alias("tg"), F.sum("h").alias("th"))
-    run = running_totals(range_bucket(cells, ["one"], "x", 8), ["one"], "bucket", [F.col("x")], {"g": "lg", "h": "lh"}).crossJoin(F.broadcast(totals))  # one row
+    totals = cells.groupBy("one").agg(F.sum("g").alias("tg"), F.sum("h").alias("th"))  # one row
+    run = running_totals(range_bucket(cells, ["one"], "x", 8), ["one"], "bucket", [F.col("x")], {"g": "lg", "h": "lh"}).join(F.broadcast(totals), "one")
     from pyspark.sql.window import Window
 
     pieces = cuts.known_pieces(run, ["one"])
@@ -678,6 +678,27 @@ def plus_dataset(spark, sf_dir):
     return datasets.make_plus(spark, 1500, random_state=0)
 
 
+@query()
+def numeric_panel(spark, sf_dir):
+    """The root's child along its feature, in 80 strips."""
+    df = read(spark, sf_dir, "part")
+    model = ShapeTreeRegressor(num_partitions=3, max_depth=1, min_impurity_decrease=0.0).fit(df, ["p_partkey"], "p_retailprice")
+    span = df.agg(F.min("p_partkey"), F.max("p_partkey")).first()
+    panel = explain.numeric_panel(model, 0, float(span[0]), float(span[1]))
+    return spark.createDataFrame(list(enumerate(panel["strips"])), "strip int, child int")
+
+
+@query()
+def pair_heatmap(spark, sf_dir):
+    """Children of a pair split over a grid of both features."""
+    df = _part(spark, sf_dir).withColumn("both", F.when((F.col("p_size") > 25) == (F.col("p_partkey") % 97 > 40), 1).otherwise(0)).withColumn("m", F.col("p_partkey") % 97)
+    model = ShapeTreeClassifier(max_depth=2, pairwise_candidates=1.0, **FREE).fit(df, ["p_size", "m"], "both")
+    pairs = [n["node_id"] for n in model.trees[0].nodes if n["kind"] == "pair"]
+    if not pairs:
+        return spark.createDataFrame([], "i int, j int, a double, b double, child int")
+    return explain.pair_heatmap(spark, model, pairs[0], [(0.0, 50.0), (0.0, 97.0)], cells=20)
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fit a tree on lineitem and give each leaf's rule, rows and class share."""
     df = read(spark, sf_dir, "lineitem").withColumn("returned", (F.col("l_returnflag") == "R").cast("int"))

@@ -215,3 +215,31 @@ def test_many_values_are_cut_into_quantiles(spark):
     df = spark.range(3000).select((F.col("id") * 1.0).alias("x"), (F.col("id") > 1500).cast("int").alias("y"))
     model = ShapeTreeClassifier(max_distinct=500, quantile_bins=64).fit(df, ["x"], "y")
     assert model.score(df) > 0.97
+
+
+def test_batches_score_as_expressions_do(spark, monkeypatch):
+    from arborspan.operators import estimators
+
+    df = datasets.make_plus(spark, 200, random_state=7).withColumn("c", F.when(F.col("row_id") % 3 == 0, "u").when(F.col("row_id") % 3 == 1, "v")).withColumn("x0", F.when(F.col("row_id") % 11 != 0, F.col("x0")))
+    for made in (ShapeForestClassifier(n_estimators=3, max_depth=3, random_state=1, row_id="row_id", pairwise_candidates=1), ShapeForestRegressor(n_estimators=3, max_depth=3, random_state=1, row_id="row_id")):
+        model = made.fit(df, ["x0", "x1", "c"], "y")
+        plain = {r["row_id"]: r for r in model.transform(df).collect()}
+        monkeypatch.setattr(estimators, "EXPRESSION_NODES", 1)
+        for r in model.transform(df).collect():
+            assert r["prediction"] == pytest.approx(plain[r["row_id"]]["prediction"])
+        monkeypatch.undo()
+
+
+def test_panels(spark, strict):
+    rows = [(float(a), float(b), "uvw"[k % 3], int(a * b < 0)) for k, ((a, b), n) in enumerate(zip([(-1, -1), (-1, 1), (1, -1), (1, 1)], [40, 30, 30, 28])) for _ in range(n)]
+    df = spark.createDataFrame(rows, "x0 double, x1 double, c string, y int")
+    model = ShapeTreeClassifier(**strict | {"pairwise_candidates": 1}).fit(df, ["x0", "x1"], "y")
+    grid = explain.pair_heatmap(spark, model, 0, [(-2.0, 2.0), (-2.0, 2.0)], cells=2)
+    assert grid.count() == 9
+    same = grid.where("a is not null and b is not null").selectExpr("a * b < 0 as other", "child").distinct()
+    assert same.count() == 2
+    one = ShapeTreeClassifier(**strict | {"max_depth": 1}).fit(df, ["x0"], "y")
+    panel = explain.numeric_panel(one, 0, -1.0, 1.0, columns=4)
+    assert panel["strips"][0] != panel["strips"][-1] and panel["switches"] == [0.0]
+    cat = ShapeTreeClassifier(**strict | {"max_depth": 1}).fit(df, ["c"], "y")
+    assert [n for n, _ in explain.category_panel(cat, 0)] == ["u", "v", "w", "missing"]
