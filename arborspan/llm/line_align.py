@@ -1,12 +1,13 @@
 """Line deduplication by pairwise alignment (operator 9).
 
-Lines are hashed. A run of consecutive lines that just reaches ``min_words``
-words is a key; documents that share a key overlap there. A key of one or two
-documents names the pair itself; a commoner one pairs each later document with
-the first that holds it, which is an exact way with one partner per key. A pair
-is aligned by patience diff on line hashes, and common blocks of at least
-``min_words`` words are deleted from the later document (the larger id).
-The first holder of a block never loses it.
+A text's lines are cut further where a sentence ends before a space, so that a
+passage inside a longer line is a run of lines too. Lines are hashed. A run of
+consecutive lines that just reaches ``min_words`` words is a key; documents that
+share a key overlap there. A key of two documents names the pair itself; a
+commoner one pairs each later document with the first that holds it, which is an
+exact way with one partner per key. A pair is aligned by patience diff on line
+hashes, and common blocks of at least ``min_words`` words are deleted from the
+later document (the larger id). The first holder of a block never loses it.
 """
 
 from __future__ import annotations
@@ -15,8 +16,10 @@ from bisect import bisect_left
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .shared import SPACE, Words, _LANES, bounded, buffer_of, drop_stage, map_texts, mix, stage, steps
 
@@ -24,6 +27,14 @@ from .shared import SPACE, Words, _LANES, bounded, buffer_of, drop_stage, map_te
 MIN_WORDS = 20
 
 
+def breaks_of(part: np.ndarray) -> np.ndarray:
+    """Places of the bytes between lines: line feeds, and spaces after a sentence's end."""
+    gap = part == 10
+    ends = (part == 46) | (part == 33) | (part == 63)
+    gap[1:] |= (part[1:] == 32) & ends[:-1]
+    return np.flatnonzero(gap)
+
+
 def line_table(column) -> list[tuple[np.ndarray, np.ndarray]]:
     """Per text: a hash of each line (of its words, in lower case) and its words."""
     raw, off = buffer_of(column)
@@ -31,8 +42,10 @@ def line_table(column) -> list[tuple[np.ndarray, np.ndarray]]:
     for i, j in steps(off):
         part, o = raw[off[i] : off[j]], off[i : j + 1] - off[i]
         w = Words(part, o, SPACE)
-        breaks = np.flatnonzero(part == 10)
-        per = np.searchsorted(breaks, o)  # line feeds before each text
+        breaks = breaks_of(part)
+        if len(breaks):  # a sentence's end in one text isn't one before the next
+            breaks = breaks[(part[breaks] == 10) | ~np.isin(breaks, o)]
+        per = np.searchsorted(breaks, o)  # breaks before each text
         lines_of = np.diff(per) + 1
         # line index, over all texts, of each word
         doc = np.repeat(np.arange(j - i), np.diff(w.first))
@@ -200,8 +213,8 @@ def _line_tables(docs: DataFrame, id_col: str, text_col: str, min_words: int) ->
 def overlapping_pairs(tables: DataFrame) -> DataFrame:
     """Distinct (early, late): each key's first document and each later one."""
     keys = tables.select("id", F.explode("keys").alias("key"))
-    first = keys.groupBy("key").agg(F.min("id").alias("early"), F.max("id").alias("last")).where("early < last").select("key", "early")
-    return keys.join(first, "key").where("early < id").select("early", F.col("id").alias("late")).distinct()
+    first = stage(keys.groupBy("key").agg(F.min("id").alias("early"), F.max("id").alias("last")).where("early < last").select("key", "early"), "line-owners")
+    return keys.join(bounded(first, first.count()), "key").where("early < id").select("early", F.col("id").alias("late")).distinct()
 
 
 def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
@@ -245,14 +258,40 @@ def remove_duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: st
     base = docs.select(*[F.col(c) for c in keep])
     small = bounded(cuts.select(F.col("id").alias("__cut_id"), F.col("cut").alias("__cut")), cuts.select(F.sum(F.size("cut") + 2)).first()[0] or 0)
     joined = base.join(small, base[id_col] == small["__cut_id"], "left").drop("__cut_id")
-    lines = F.split(F.col(text_col), "\n", -1)
-    kept_lines = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__cut"))
-    left = F.when(F.col("__cut").isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(kept_lines, lambda i: lines[i]), "\n"))
-    count = lambda t: F.coalesce(F.regexp_count(t, F.lit(r"[^ \t\n\x0B\f\r]+")), F.lit(0))
-    out = joined.withColumn("__left", left)
-    out = out.withColumn("words_cut", F.when(F.col("__cut").isNull(), 0).otherwise(count(F.col(text_col)) - count(F.col("__left"))).cast("bigint"))
-    out = out.withColumn("lines_cut", F.coalesce(F.size("__cut"), F.lit(0)).cast("bigint"))
-    out = out.withColumn(text_col, F.col("__left"))
-    if drop_emptied:
-        out = out.where(F.col("__cut").isNull() | (F.trim(F.col(text_col)) != ""))
-    return out.select(*keep, "lines_cut", "words_cut")
+    at = keep.index(text_col)
+
+    def run(batch):
+        column, cut = batch.column(at), batch.column(len(keep))
+        rows = np.flatnonzero(cut.is_valid().to_numpy(zero_copy_only=False) & column.is_valid().to_numpy(zero_copy_only=False))
+        lines_cut, words_cut = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64)
+        texts = []
+        own = column.take(pa.array(rows))
+        for k, (text, (_, words)) in enumerate(zip(own, line_table(own))):
+            gone = np.asarray(cut[rows[k]].values)
+            gone = gone[gone < len(words)]
+            lines_cut[rows[k]], words_cut[rows[k]] = len(gone), int(words[gone].sum())
+            texts.append(without_lines(text.as_py(), set(gone.tolist())))
+        mask = np.zeros(batch.num_rows, bool)
+        mask[rows] = True
+        new = pc.replace_with_mask(column, pa.array(mask), pa.array(texts, column.type))
+        columns = [new if c == at else batch.column(c) for c in range(len(keep))]
+        out = [*columns, pa.array(lines_cut), pa.array(words_cut)]
+        if drop_emptied:
+            left = pa.array(np.array([k for k in range(batch.num_rows) if not (mask[k] and not new[k].as_py().strip())], np.int64))
+            out = [c.take(left) for c in out]
+        yield out
+
+    kinds = T.StructType([*(base.schema[c] for c in keep), T.StructField("lines_cut", T.LongType()), T.StructField("words_cut", T.LongType())])
+    return map_texts(joined, run, kinds)
+
+
+def without_lines(text: str, gone: set[int]) -> str:
+    """A text without some of its lines; each kept one has the break before it, but the first."""
+    raw = text.encode("utf-8")
+    breaks = breaks_of(np.frombuffer(raw, np.uint8)).tolist()
+    starts, stops = [0, *(b + 1 for b in breaks)], [*breaks, len(raw)]
+    pieces = []
+    for k, (a, b) in enumerate(zip(starts, stops)):
+        if k not in gone:
+            pieces.append(raw[a - 1 if pieces and a else a : b])
+    return b"".join(pieces).decode("utf-8")

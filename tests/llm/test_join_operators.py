@@ -235,10 +235,17 @@ def test_lines_on_the_table(spark, tiny):
                 key = " ".join(words(x))
                 assert key not in seen or seen[key] == i
                 seen[key] = i
-    for i, text in docs.items():  # every long line stays in its first document
-        for x in text.split("\n"):
-            if len(x.split()) > 50:
-                assert " ".join(words(x)) in seen
+    pieces = lambda t: {" ".join(words(x)) for x in re.split(r"\n|(?<=[.!?]) ", t)}
+    left = set().union(*(pieces(r["text"] or "") for r in out.values()))
+    for text in docs.values():  # every line, and every sentence of one, stays somewhere
+        assert pieces(text) <= left | {""}
+
+
+def test_sentences_are_lines_of_their_own(spark):
+    first, second, third = (line(k, 15).capitalize() + "." for k in (31, 32, 33))
+    rows = [(1, f"{first} {second}\n{third}"), (2, f"Before it. {first} {second} After it.\nlast"), (3, f"{third} {third}! {second}? no"), (4, f"{second}"), (5, f"x{first} {second} y")]
+    got = {r["doc_id"]: (r["text"], r["lines_cut"], r["words_cut"]) for r in line_align.remove_duplicate_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: (rows[0][1], 0, 0), 2: ("Before it. After it.\nlast", 2, 30), 3: (rows[2][1], 0, 0), 4: (second, 0, 0), 5: (rows[4][1], 0, 0)}
 
 
 # --------------------------------------------------------------- benchmark
