@@ -134,6 +134,14 @@ class TreeModel:
     def n_features_in_(self) -> int:
         return len(self.feature_names_in_)
 
+    @property
+    def n_outputs_(self) -> int:
+        return self.outputs
+
+    @property
+    def processed_features_(self) -> list[Feature]:
+        return self.features
+
     @property
     def classes_(self):
         return None if self.classes is None else self.classes[0] if self.outputs == 1 else self.classes

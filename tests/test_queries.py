@@ -36,3 +36,17 @@ def test_query(spark, tiny, name):
         want = con.fetchall()
         assert sorted(columns) == sorted(got.columns)
         assert sorted(plain(r[c] for c in columns) for r in rows) == sorted(map(plain, want))
+
+
+def test_everything_else_works_without_the_llm_folder(tmp_path):
+    import shutil
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    root = Path(entry_point.__file__).parent
+    shutil.copytree(root / "arborspan", tmp_path / "arborspan", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    for name in ("__spark_entry__.py", "bench.py"):
+        shutil.copy(root / name, tmp_path / name)
+    code = "import __spark_entry__ as e, bench; q = e.queries(); assert len(q) > 50 and not any(n.startswith('op') or n == 'pipeline' for n in q); assert set(e.oracle_sql()) <= set(q)"
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, timeout=120)
