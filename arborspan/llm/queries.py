@@ -2,14 +2,10 @@
 
 from __future__ import annotations
 
-import hashlib
-
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontaminate, html_text, line_align, minhash, mixture, quality, secret_spans, token_counts, toxicity, vector_join
-from .shared import map_texts
 
 #: The query's score thresholds and label folds.
 TOXIC_FOLDS, TOXIC_HELD, QUALITY_FOLDS, QUALITY_HELD = 3, 1, 5, 0
@@ -118,4 +114,51 @@ SELECT doc_id, size, source_size, target,
 FROM queued
 """
 
-ORACLE_SQL = {"op3_weighted_fair_mix": _MIX_SQL}
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+#: Least member of each component of ``links (a, b)`` over ``nodes (id)``.
+_REACH = """
+both_ways AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+reach(id, label) AS (SELECT a, a FROM both_ways UNION SELECT e.b, r.label FROM reach r JOIN both_ways e ON e.a = r.id),
+parts AS (SELECT id, min(label) AS label FROM reach GROUP BY id)"""
+
+_NEAR_SQL = f"""
+WITH RECURSIVE split AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^ \t\n\x0B\f\r]+') AS w FROM documents),
+grams AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS g
+  FROM split),
+sizes AS (SELECT doc_id, count(*) AS n FROM grams GROUP BY doc_id),
+shared AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM grams x JOIN grams y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM shared JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)),{_REACH}
+SELECT d.doc_id, coalesce(s.n, 0)::BIGINT AS n_shingles, coalesce(p.label, d.doc_id) AS component_id, coalesce(p.label, d.doc_id) = d.doc_id AS kept
+FROM documents d LEFT JOIN sizes s USING (doc_id) LEFT JOIN parts p ON p.id = d.doc_id"""
+
+_VECTOR_SQL = f"""
+WITH RECURSIVE usable AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings
+  WHERE label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (SELECT x.vec_id AS a, y.vec_id AS b FROM usable x JOIN usable y ON x.label = y.label AND x.vec_id < y.vec_id AND len(x.v) = len(y.v) WHERE list_cosine_similarity(x.v, y.v) >= 0.93),{_REACH},
+degrees AS (SELECT a AS id, count(*) AS n FROM both_ways GROUP BY a)
+SELECT e.vec_id, coalesce(n, 0)::BIGINT AS n_links, coalesce(p.label, e.vec_id)::BIGINT AS component_id, coalesce(p.label, e.vec_id) = e.vec_id AS kept
+FROM embeddings e LEFT JOIN parts p ON p.id = e.vec_id LEFT JOIN degrees d ON d.id = e.vec_id"""
+
+_WINDOW_SQL = rf"""
+WITH words AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+items AS (SELECT item_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+windows AS (
+  SELECT DISTINCT item_id::VARCHAR AS item, least(13, len(w)) AS k, unnest(list_transform(range(1, len(w) - least(13, len(w)) + 2), lambda i: array_to_string(w[i:i + least(13, len(w)) - 1], ' '))) AS g
+  FROM items WHERE len(w) > 0),
+lengths AS (SELECT DISTINCT k FROM windows),
+grams AS (SELECT doc_id, k, unnest(range(1, len(w) - k + 2)) AS i, w FROM words, lengths WHERE len(w) >= k),
+found AS (SELECT doc_id, k, i, item FROM (SELECT doc_id, k, i, array_to_string(w[i:i + k - 1], ' ') AS g FROM grams) JOIN windows USING (k, g)),
+hits AS (SELECT doc_id, count(DISTINCT place) AS n FROM (SELECT doc_id, unnest(range(i, i + k)) AS place FROM found) GROUP BY doc_id),
+held AS (SELECT doc_id, count(*) AS n, string_agg(item, ',' ORDER BY item) AS list FROM (SELECT DISTINCT doc_id, item FROM found) GROUP BY doc_id)
+SELECT w.doc_id, len(w.w)::BIGINT AS n_words, coalesce(h.n, 0)::BIGINT AS n_hit, coalesce(t.n, 0)::BIGINT AS n_items, sha256(coalesce(t.list, '')) AS items_sha256,
+  coalesce(h.n, 0) > 0 AND 20 * coalesce(h.n, 0) >= len(w.w) AS contaminated
+FROM words w LEFT JOIN hits h USING (doc_id) LEFT JOIN held t USING (doc_id)"""
+
+ORACLE_SQL = {
+    "op2_minhash_near_dedup": _NEAR_SQL, "op3_weighted_fair_mix": _MIX_SQL, "op6_pivot_range_join": _VECTOR_SQL, "op10_automaton_decontamination": _WINDOW_SQL,
+}
