@@ -13,7 +13,8 @@ from functools import reduce
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from ..plans.prefix import range_bucket, running_totals
 
 EPS = float(np.finfo(np.float64).eps)
 #: Two medians are averaged when the weight below them is half of all within this.
@@ -71,25 +72,25 @@ def class_columns(code: str, weight: Column, classes: int) -> list[Column]:
     return [F.sum(F.when(F.col(code) == k, weight).otherwise(F.lit(0.0))) for k in range(classes)]
 
 
-def weighted_median(df: DataFrame, groups: list[str], y: str, w: str) -> DataFrame:
-    """Per group: ``median`` and ``mae`` around it.
+def weighted_median(df: DataFrame, groups: list[str], y: str, w: str, pieces: int = 8) -> DataFrame:
+    """Per group: ``median`` and ``mae`` around it. ``groups`` are few (nodes).
 
     The median is the first value at which cumulative weight exceeds half of all;
     where the weight before it is just half, it is averaged with the value before.
-    Values are summed per distinct value first, so a window sorts those only.
+    Values are summed per distinct value first, and a group's running sums are
+    cut into ``pieces`` ranges, so that no task sorts a whole group.
     """
-    cells = df.where((F.col(w) > 0) & F.col(y).isNotNull()).groupBy(*groups, F.col(y).alias("__y")).agg(F.sum(w).alias("__w"))
-    own = Window.partitionBy(*groups) if groups else Window.partitionBy(F.lit(0))
-    run = own.orderBy("__y").rowsBetween(Window.unboundedPreceding, 0)
-    half = F.sum("__w").over(own) / 2
-    ranked = cells.withColumn("__half", half).withColumn("__cum", F.sum("__w").over(run)).withColumn("__prev", F.lag("__y").over(own.orderBy("__y")))
-    above = ranked.withColumn("__before", F.col("__cum") - F.col("__w")).withColumn("__hit", (F.col("__cum") > F.col("__half")) & (F.col("__before") <= F.col("__half")))
-    even = F.abs(F.col("__before") - F.col("__half")) <= HALF_TOLERANCE
-    value = F.when(even & F.col("__prev").isNotNull(), (F.col("__prev") + F.col("__y")) / 2).otherwise(F.col("__y"))
-    with_median = above.withColumn("__m", F.max(F.when(F.col("__hit"), value)).over(own))
-    return with_median.groupBy(*groups).agg(
-        F.max("__m").alias("median"), (F.sum(F.col("__w") * F.abs(F.col("__y") - F.col("__m"))) / F.sum("__w")).alias("mae")
+    cells = df.where((F.col(w) > 0) & F.col(y).isNotNull()).groupBy(*groups, F.col(y).alias("y")).agg(F.sum(w).alias("w"))
+    run = running_totals(range_bucket(cells, groups, "y", pieces), groups, "bucket", [F.col("y")], {"w": "cum"})
+    half = cells.groupBy(*groups).agg((F.sum("w") / 2).alias("half"))
+    above = F.col("cum") > F.col("half")
+    found = run.join(F.broadcast(half), groups).groupBy(*groups).agg(
+        F.min(F.when(above, F.col("y"))).alias("at"), F.max(F.when(~above, F.col("y"))).alias("below"), F.max(F.when(~above, F.col("cum"))).alias("left"), F.first("half").alias("half")
     )
+    even = F.col("below").isNotNull() & (F.abs(F.col("left") - F.col("half")) <= HALF_TOLERANCE)
+    medians = found.select(*groups, F.when(even, (F.col("below") + F.col("at")) / 2).otherwise(F.col("at")).alias("median"))
+    spread = (F.sum(F.col("w") * F.abs(F.col("y") - F.col("median"))) / F.sum("w")).alias("mae")
+    return cells.join(F.broadcast(medians), groups).groupBy(*groups).agg(F.first("median").alias("median"), spread)
 
 
 # --------------------------------------------------------------------- numpy

@@ -298,15 +298,27 @@ def _pairs(table, params, loss, trees, open_, by_node, budget, max_arity) -> dic
 # ---------------------------------------------------------------------- trees
 
 
-def root_sums(table: Table, loss: Loss) -> dict[int, tuple[Sums, list[float]]]:
-    """Sums of each tree's rows and, for the absolute error, medians."""
-    frame = aggregate(table.rows, ["tree"], table, loss.absolute).toPandas()
-    out = {}
-    for t, own in frame.groupby("tree"):
-        own = own.sort_values([c for c in own.columns if c.startswith("y")], kind="stable") if loss.absolute else own
-        s = sums_of(own, np.zeros(len(own), np.int64), 1, table.classes, table.outputs, loss.absolute)
-        out[int(t)] = s, [C.median_of(s.y[0][:, o], s.v[0]) for o in range(table.outputs)] if loss.absolute else []
-    return out
+def node_stats(rows: DataFrame, keys: list[str], table: Table, loss: Loss) -> dict[tuple, tuple]:
+    """Per key: rows, mass, statistics, impurity (mean over outputs), medians.
+
+    One row a key reaches the driver; medians and absolute errors are found by
+    window plans, since those need all targets.
+    """
+    o, k = stat_shape(table.classes, table.outputs)
+    mw = F.col("mult") * F.col("w")
+    if loss.absolute:
+        counted = rows.groupBy(*keys).agg(F.sum("mult").cast("bigint").alias("n"), F.sum(mw).alias("wsum"))
+        medians = [{tuple(r[c] for c in keys): (r["median"], r["mae"]) for r in C.weighted_median(rows.withColumn("__mw", mw), keys, y, "__mw").collect()} for y in table.targets]
+        out = {}
+        for r in counted.collect():
+            key = tuple(r[c] for c in keys)
+            found = [m.get(key, (0.0, 0.0)) for m in medians]
+            out[key] = r["n"], r["wsum"], np.zeros((o, k)), sum(e for _, e in found) / table.outputs, [m for m, _ in found]
+        return out
+    frame = aggregate(rows, keys, table, False).toPandas()
+    sums = sums_of(frame, np.arange(len(frame)), len(frame), table.classes, table.outputs, False)
+    impurity = loss.of(sums) / table.outputs
+    return {tuple(int(v) for v in key): (int(sums.n[i]), float(sums.w[i]), sums.s[i], float(impurity[i]), []) for i, key in enumerate(frame[keys].itertuples(index=False, name=None))}
 
 
 def leaf_value(w: float, s, classes, outputs: int, median: list[float]) -> list:
@@ -346,9 +358,9 @@ def fit_trees(table: Table, params: TreeParams) -> dict[int, Tree]:
     loss = Loss(params.criterion, table.outputs)
     trees: dict[int, Tree] = {}
     paths: dict[tuple[int, int], str] = {}
-    for t, (s, median) in sorted(root_sums(table, loss).items()):
+    for (t,), (n, w, s, impurity, median) in sorted(node_stats(table.rows, ["tree"], table, loss).items(), key=lambda x: x[0]):
         tree = Tree([], np.zeros(len(table.features)))
-        tree.nodes.append(new_node(t, 0, -1, 0, 0, s.n[0], s.w[0], s.s[0], loss.of(s)[0] / loss.outputs, median, table))
+        tree.nodes.append(new_node(t, 0, -1, 0, 0, n, w, s, impurity, median, table))
         trees[t] = tree
         paths[t, 0] = ""
 

@@ -19,13 +19,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import criteria as C
 from ..functions.params import check_int, check_number
 from ..plans.routing import child_column, walk_column
 from ..runtime import ship
 from . import inner, pairs
 from .estimators import TreeModel, prepare
-from .growth import Table, Tree, aggregate, leaf_value, sums_of
+from .growth import Table, Tree, leaf_value, node_stats
 from .inner import Loss, Sums, midpoint
 
 #: Rewards nearer than this, relative to the best, count as equal.
@@ -291,21 +290,15 @@ def refresh(table: Table, trees: dict[int, Tree], loss: Loss) -> None:
     for t, tree in trees.items():
         here = walk_column(tree.nodes, table.values, lambda n: F.lit(n["node_id"]))
         leaf = F.when(F.col("tree") == t, here) if leaf is None else leaf.when(F.col("tree") == t, here)
-    frame = aggregate(table.rows.withColumn("leaf", leaf), ["tree", "leaf"], table, loss.absolute).toPandas()
+    found = node_stats(table.rows.withColumn("leaf", leaf), ["tree", "leaf"], table, loss)
     for t, tree in trees.items():
-        own = frame[frame["tree"] == t]
-        cells = own["leaf"].to_numpy(np.int64)
-        sums = sums_of(own, cells, len(tree.nodes), table.classes, table.outputs, loss.absolute)
-        impurity = loss.of(sums) / loss.outputs
-        for n in tree.nodes:
-            k = n["node_id"]
-            if n["is_leaf"]:
-                n |= {"n": int(sums.n[k]), "mass": float(sums.w[k]), "impurity": float(impurity[k])}
-                if table.classes is not None:
-                    n["class_counts"] = [sums.s[k, o, :c].tolist() for o, c in enumerate(table.classes)]
-                if sums.w[k] > 0:
-                    median = [C.median_of(sums.y[k][:, o], sums.v[k]) for o in range(table.outputs)] if loss.absolute else []
-                    n["value"] = leaf_value(float(sums.w[k]), sums.s[k].tolist(), table.classes, table.outputs, median)
+        for n in (n for n in tree.nodes if n["is_leaf"]):
+            rows, mass, s, impurity, median = found.get((t, n["node_id"]), (0, 0.0, None, 0.0, []))
+            n |= {"n": int(rows), "mass": float(mass), "impurity": float(impurity)}
+            if table.classes is not None:
+                n["class_counts"] = [s[o, :c].tolist() if s is not None else [0.0] * c for o, c in enumerate(table.classes)]
+            if mass > 0:
+                n["value"] = leaf_value(float(mass), s.tolist(), table.classes, table.outputs, median)
         for n in sorted((n for n in tree.nodes if not n["is_leaf"]), key=lambda n: -n["depth"]):
             kids = [tree.nodes[c] for c in n["children"]]
             n |= {"n": sum(c["n"] for c in kids), "mass": sum(c["mass"] for c in kids)}

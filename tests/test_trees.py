@@ -243,3 +243,12 @@ def test_panels(spark, strict):
     assert panel["strips"][0] != panel["strips"][-1] and panel["switches"] == [0.0]
     cat = ShapeTreeClassifier(**strict | {"max_depth": 1}).fit(df, ["c"], "y")
     assert [n for n, _ in explain.category_panel(cat, 0)] == ["u", "v", "w", "missing"]
+
+
+def test_absolute_error_on_quantiles(spark):
+    df = spark.range(3000).select((F.col("id") * 1.0).alias("x"), F.when(F.col("id") > 1500, 100.0 + F.col("id") % 50).otherwise(F.col("id") % 50).alias("y"))
+    model = ShapeTreeRegressor(criterion="mae", max_depth=1, max_distinct=2500).fit(df, ["x"], "y")
+    assert model.score(df) > 0.8
+    exact = ShapeTreeRegressor(criterion="mae", max_depth=1).fit(df, ["x"], "y")
+    assert exact.score(df) > 0.9
+    assert refine(exact, df, lambda_=0.0).score(df) >= exact.score(df) - 1e-6
