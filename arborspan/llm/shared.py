@@ -3,6 +3,8 @@ Arrow buffers, connected components and distributed running totals."""
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import uuid
 
 import numpy as np
@@ -23,8 +25,10 @@ def stage_dir(spark: SparkSession) -> str:
     or a folder in the warehouse where that setting is missing."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_stages"
+        found = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + f"/_stages/{spark.sparkContext.applicationId}"
         spark.conf.set("spark.checkpoint.dir", found)
+        if found.startswith(("/", "file:/")):  # no cluster's folder: nothing of it outlives the session
+            atexit.register(shutil.rmtree, "/" + found.removeprefix("file:").lstrip("/"), ignore_errors=True)
     return found.rstrip("/")
 
 
