@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import SPACE, Words, _LANES, bounded, buffer_of, drop_stage, map_texts, mix, stage, steps
+from .shared import SPACE, Words, _LANES, buffer_of, drop_stage, map_texts, mix, stage, steps
 
 #: Words that a common block must have to be deleted.
 MIN_WORDS = 20
@@ -213,8 +213,8 @@ def _line_tables(docs: DataFrame, id_col: str, text_col: str, min_words: int) ->
 def overlapping_pairs(tables: DataFrame) -> DataFrame:
     """Distinct (early, late): each key's first document and each later one."""
     keys = tables.select("id", F.explode("keys").alias("key"))
-    first = stage(keys.groupBy("key").agg(F.min("id").alias("early"), F.max("id").alias("last")).where("early < last").select("key", "early"), "line-owners")
-    return keys.join(bounded(first, first.count()), "key").where("early < id").select("early", F.col("id").alias("late")).distinct()
+    first = keys.groupBy("key").agg(F.min("id").alias("early"), F.max("id").alias("last")).where("early < last").select("key", "early")
+    return keys.join(first.hint("shuffle_hash"), "key").where("early < id").select("early", F.col("id").alias("late")).distinct()
 
 
 def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
@@ -256,7 +256,8 @@ def remove_duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: st
     cuts = duplicate_lines(docs, id_col, text_col, min_words)
     keep = [c for c in docs.columns if c not in ("lines_cut", "words_cut")]
     base = docs.select(*[F.col(c) for c in keep])
-    small = bounded(cuts.select(F.col("id").alias("__cut_id"), F.col("cut").alias("__cut")), cuts.select(F.sum(F.size("cut") + 2)).first()[0] or 0)
+    # the same way at every size: texts are shuffled once, not sorted, to the lists of cut lines
+    small = cuts.select(F.col("id").alias("__cut_id"), F.col("cut").alias("__cut")).hint("shuffle_hash")
     joined = base.join(small, base[id_col] == small["__cut_id"], "left").drop("__cut_id")
     at = keep.index(text_col)
 
