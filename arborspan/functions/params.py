@@ -25,7 +25,10 @@ def check_int(name: str, value, least: int) -> int:
 
 
 def feature_count(max_features, n: int) -> int:
-    """How many of ``n`` features a node may look at."""
+    """How many of ``n`` features a node may look at. A function of ``(n, rng)``
+    gives the features themselves, in order; it counts as a free choice here."""
+    if callable(max_features):
+        return n
     if max_features is None or (isinstance(max_features, numbers.Integral) and not isinstance(max_features, bool) and max_features == 0):
         return n
     if isinstance(max_features, str):

@@ -162,15 +162,18 @@ def _discover(table: Table, params: TreeParams, loss: Loss, trees: dict[int, Tre
     wanted = feature_count(params.max_features, len(features))
     bags = {}
     for (t, k), info in open_.items():
-        if wanted < len(features):
-            order = np.random.default_rng(node_seed(params.random_state, t, info["path"], "bag")).permutation(len(features))[:wanted]
+        rng = np.random.default_rng(node_seed(params.random_state, t, info["path"], "bag"))
+        if callable(params.max_features):
+            order = np.array(list(dict.fromkeys(int(f) for f in params.max_features(len(features), rng))), np.int64)
+        elif wanted < len(features):
+            order = rng.permutation(len(features))[:wanted]
         else:
             order = np.arange(len(features))
         bags[t, k] = order.tolist()
     rows = with_nodes(table, trees, set(open_))
     long = rows.withColumn("cell", F.explode(F.array(*[F.struct(F.lit(i).alias("f"), F.col(f"f{i}").alias("x")) for i in range(len(features))])))
     long = long.select("tree", "node", F.col("cell.f").alias("f"), F.col("cell.x").alias("x"), "mult", "w", *table.targets)
-    if wanted < len(features):
+    if any(len(b) < len(features) for b in bags.values()):
         allowed = rows.sparkSession.createDataFrame([(t, k, f) for (t, k), fs in bags.items() for f in fs], "tree int, node int, f int")
         long = long.join(F.broadcast(allowed), ["tree", "node", "f"])  # open nodes times features: bounded by the trees' own size
     sums = aggregate(long, ["tree", "node", "f", "x"], table, absolute)

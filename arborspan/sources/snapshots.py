@@ -68,7 +68,7 @@ def _plain(v):
 def to_json(model: TreeModel) -> str:
     """Everything of a model as one JSON text."""
     body = {
-        "kind": model.kind, "params": model.params.get_params(), "features": features_json(model.features), "names": model.feature_names_in_, "targets": model.targets, "classes": model.classes,
+        "kind": model.kind, "params": {k: None if callable(v) else v for k, v in model.params.get_params().items()}, "features": features_json(model.features), "names": model.feature_names_in_, "targets": model.targets, "classes": model.classes,
         "scaling": {str(t): s for t, s in model.scaling.items()}, "refined": model.refined, "forest": model.forest,
         "trees": {str(t): {"nodes": tree.nodes, "importances": tree.importances} for t, tree in model.trees.items()},
     }

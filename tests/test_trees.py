@@ -252,3 +252,10 @@ def test_absolute_error_on_quantiles(spark):
     exact = ShapeTreeRegressor(criterion="mae", max_depth=1).fit(df, ["x"], "y")
     assert exact.score(df) > 0.9
     assert refine(exact, df, lambda_=0.0).score(df) >= exact.score(df) - 1e-6
+
+
+def test_features_of_a_node_may_be_picked_by_a_function(spark):
+    df = datasets.make_plus(spark, 300, random_state=8)
+    model = ShapeTreeClassifier(max_depth=2, max_features=lambda n, rng: [1]).fit(df, ["x0", "x1"], "y")
+    assert {f for n in model.trees[0].nodes for f in n["logical"]} == {1}
+    assert snapshots.from_json(snapshots.to_json(model)).score(df) == model.score(df)
