@@ -673,6 +673,20 @@ def discretizer_bins(spark, sf_dir):
     return model.transform(df).groupBy("bin").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("p_retailprice"), 4).alias("price"))
 
 
+@query("""
+SELECT (CASE WHEN event_id % 10 = 0 THEN 0 WHEN value::FLOAT::DOUBLE <= 10 OR (value::FLOAT::DOUBLE > 20.5 AND value::FLOAT::DOUBLE <= 40) THEN 0 ELSE 1 END)::INTEGER AS child, count(*) AS n
+FROM events GROUP BY ALL""")
+def stream_route_counts(spark, sf_dir):
+    """Rows of a stream by the child that a split sends them to."""
+    schema = read(spark, sf_dir, "events").schema
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    x = F.when(F.col("event_id") % 10 != 0, narrow("value"))
+    counted = stream.groupBy(routing.child_column(_NUMERIC_NODE, [x]).alias("child")).agg(F.count(F.lit(1)).alias("n"))
+    run = counted.writeStream.format("memory").queryName("stream_route_counts").outputMode("complete").trigger(availableNow=True).start()
+    run.awaitTermination()
+    return spark.table("stream_route_counts")
+
+
 @query()
 def plus_dataset(spark, sf_dir):
     return datasets.make_plus(spark, 1500, random_state=0)
