@@ -135,7 +135,7 @@ def grow(root, expand, max_leaves: int | None, max_depth: int | None, min_gain:
     """Best-first growth (last-in first-out without a leaf cap).
 
     A node is ``(gain, impurity, depth, payload)``; ``expand(payload)`` gives its
-    two children as ``(node or None, leaf)``. Yields nothing: returns the leaves.
+    two children as ``(node or None, leaf)``. Returns the leaves.
     """
     leaves: list = []
     frontier: list = []
@@ -249,7 +249,7 @@ def category_bins(codes: np.ndarray, sums: Sums, missing: Sums, loss: Loss, cate
         return [(None, ((c,), "active")), (node(others, depth) if others else None, (others, "rest"))]
 
     every = tuple(range(categories))
-    leaves = [(p[0] if p[1] in ("active", "rest") else p[0], p[1]) for p in grow((node(every, 0), (every, "rest")), expand, max_leaves, max_depth, min_gain)]
+    leaves = grow((node(every, 0), (every, "rest")), expand, max_leaves, max_depth, min_gain)
     active = [p for p in leaves if p[1] == "active"]
     rest = [p for p in leaves if p[1] != "active"]
     ordered = active + rest  # the first peeled category is the first bin
