@@ -24,7 +24,7 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]+")
 KINDS = ("assign", "access", "hex", "random")
 
-#: A hex run of 16 or more holds one of these windows at every eighth place.
+#: The hex pattern's runs that are long enough, found at once.
 _LONG_HEX = re.compile(r"[0-9a-f]{16,}")
 _CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 _KEYWORD = re.compile(r"passw|secret|token|api_?key", re.I | re.A)
@@ -76,7 +76,7 @@ def find_spans(text: str, min_ratio: float = MIN_RATIO, path: str | None = None)
             continue
         start = m.start() + m[0].index(s)
         end = start + len(s)
-        if any(a < end and start < b for _, a, b in found if _ != "random"):
+        if any(kind != "random" and a < end and start < b for kind, a, b in found):
             continue
         if characters_per_token(s, path) < min_ratio:
             found.append(("random", start, end))

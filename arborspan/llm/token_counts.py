@@ -17,8 +17,6 @@ from bisect import bisect_right
 from functools import lru_cache
 from itertools import accumulate
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
