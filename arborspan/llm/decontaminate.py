@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import hashlib
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -198,42 +199,54 @@ def find_benchmark_spans(docs: DataFrame, benchmark: DataFrame, id_col: str = "d
     items; with several shards the rows are joined by a row key, so repeated
     ids stay apart. Other columns are ignored.
     """
-    spark = docs.sparkSession
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    schema = f"{id_col} {kind}, n_words bigint, spans array<struct<start:bigint,end:bigint>>, items array<string>"
-    ranges = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-
-    def scan(shard):
-        held = spark.sparkContext.broadcast(shard)
-
-        def run(batch):
-            n, spans, items = [], [], []
-            for words, _, hits, found in _automaton(held.value, window).scan(batch.column(1)):
-                n.append(words)
-                spans.append([{"start": a, "end": b} for a, b in hits])
-                items.append(sorted(found))
-            yield [batch.column(0), n, pa.array(spans, ranges), items]
-
-        return run
-
     shards = list(item_shards(benchmark, shard_bytes=shard_bytes)) if benchmark is not None else [()]
     if len(shards) == 1:
-        return map_texts(rows, scan(shards[0]), schema)
+        return map_texts(rows, _scanner(rows, shards[0], window), f"{id_col} {kind}, {_FOUND}")
     # several shards: each pass adds to the rows of the one before
     keyed = stage(rows.withColumn("row", F.monotonically_increasing_id()), "decontaminate")
+    one = _over_shards(_of_each_shard(keyed, shards, window))
+    return keyed.select("row", F.col("id").alias(id_col)).join(one, "row").drop("row")
+
+
+_FOUND = "n_words bigint, spans array<struct<start:bigint,end:bigint>>, items array<string>"
+_RANGES = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+
+
+def _scanner(rows: DataFrame, shard, window: int):
+    """Function of a batch ``(key, text)``: key, words, spans and items of one shard."""
+    held = rows.sparkSession.sparkContext.broadcast(shard)
+
+    def run(batch):
+        n, spans, items = [], [], []
+        for words, _, hits, found in _automaton(held.value, window).scan(batch.column(1)):
+            n.append(words)
+            spans.append([{"start": a, "end": b} for a, b in hits])
+            items.append(sorted(found))
+        yield [batch.column(0), n, pa.array(spans, _RANGES), items]
+
+    return run
+
+
+def _of_each_shard(keyed: DataFrame, shards, window: int) -> DataFrame:
+    """Findings of every shard by itself for ``keyed (row, text)``: a row for each row and shard."""
     parts = None
     for shard in shards:
-        own = map_texts(keyed.select(F.col("row").alias("id"), "text"), scan(shard), schema.replace(f"{id_col} {kind}", "row bigint"))
+        own = map_texts(keyed.select("row", "text"), _scanner(keyed, shard, window), f"row bigint, {_FOUND}")
         parts = own if parts is None else parts.unionByName(own)
+    return parts
+
+
+def _over_shards(parts: DataFrame) -> DataFrame:
+    """One row for each ``row``, with the spans of all shards joined."""
     merged = parts.groupBy("row").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
 
     def join_up(batch):
         spans = [[{"start": a, "end": b} for a, b in joined([(s["start"], s["end"]) for s in x])] for x in batch.column(2).to_pylist()]
-        yield [batch.column(0), batch.column(1), pa.array(spans, ranges), batch.column(3)]
+        yield [batch.column(0), batch.column(1), pa.array(spans, _RANGES), batch.column(3)]
 
-    one = map_texts(merged, join_up, schema.replace(f"{id_col} {kind}", "row bigint"))
-    return keyed.select("row", F.col("id").alias(id_col)).join(one, "row").drop("row")
+    return map_texts(merged, join_up, f"row bigint, {_FOUND}")
 
 
 def items_digest(items) -> str:
@@ -245,36 +258,55 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
     Spans go from texts whose hit words are at least ``min_coverage`` of all
     words; rows at or beyond ``drop_coverage`` go altogether. Other rows, null
-    texts among them, stay as they are. Columns are those of ``docs``. No shuffle.
+    texts among them, stay as they are. Columns are those of ``docs``. The words
+    hit by items of any shard count together: one shard takes one pass without a
+    shuffle, with several the rows are joined with their spans by a row key.
     """
     names = docs.columns
     at = names.index(text_col)
-    spark = docs.sparkSession
-    out = docs
-    for shard in item_shards(benchmark, shard_bytes=shard_bytes):
-        held = spark.sparkContext.broadcast(shard)
-
-        def run(batch, held=held):
-            texts, stay = [], []
-            column = batch.column(at)
-            raw = buffer_of(column)[0]
-            for k, (n, (w, base, chunk, start), hits, _) in enumerate(_automaton(held.value, window).scan(column)):
-                hit = sum(b - a for a, b in hits)
-                share = hit / n if n else 0.0
-                text = column[k].as_py()
-                if hit and share >= min_coverage:
-                    if drop_coverage is not None and share >= drop_coverage:
-                        continue
-                    body, pieces, last = raw, [], start
-                    for a, b in hits:
-                        pieces.append(body[last : chunk + int(w.start[base + a])].tobytes())
-                        last = chunk + int(w.end[base + b - 1])
-                    pieces.append(body[last : start + len(text.encode("utf-8"))].tobytes())
-                    text = b"".join(pieces).decode("utf-8")
-                texts.append(text)
-                stay.append(k)
-            kept = batch.take(pa.array(stay, pa.int64()))
-            yield [pa.array(texts, pa.string()) if c == at else kept.column(c) for c in range(len(names))]
-
-        out = map_texts(out, run, out.schema)
-    return out
+    shards = item_shards(benchmark, shard_bytes=shard_bytes)
+    first, second = next(shards), next(shards, None)
+
+    def cut(batch, found):
+        """``found``: per text its words, their byte ranges and the hit word ranges."""
+        texts, stay = [], []
+        column = batch.column(at)
+        raw = buffer_of(column)[0]
+        for k, (n, (w, base, chunk, start), hits) in enumerate(found(batch, column)):
+            hit = sum(b - a for a, b in hits)
+            share = hit / n if n else 0.0
+            text = column[k].as_py()
+            if hit and share >= min_coverage:
+                if drop_coverage is not None and share >= drop_coverage:
+                    continue
+                pieces, last = [], start
+                for a, b in hits:
+                    pieces.append(raw[last : chunk + int(w.start[base + a])].tobytes())
+                    last = chunk + int(w.end[base + b - 1])
+                pieces.append(raw[last : start + len(text.encode("utf-8"))].tobytes())
+                text = b"".join(pieces).decode("utf-8")
+            texts.append(text)
+            stay.append(k)
+        kept = batch.take(pa.array(stay, pa.int64()))
+        yield [pa.array(texts, pa.string()) if c == at else kept.column(c) for c in range(len(names))]
+
+    if second is None:
+        held = docs.sparkSession.sparkContext.broadcast(first)
+
+        def scanned(batch, column):
+            return ((n, place, hits) for n, place, hits, _ in _automaton(held.value, window).scan(column))
+
+        return map_texts(docs, lambda batch: cut(batch, scanned), docs.schema)
+    keyed = stage(docs.withColumn("__row", F.monotonically_increasing_id()), "decontaminate")
+    texts = keyed.select(F.col("__row").alias("row"), F.col(text_col).alias("text"))
+    parts = _of_each_shard(texts, chain([first, second], shards), window).where("size(spans) > 0")
+    spans = _over_shards(parts).select(F.col("row").alias("__row"), F.col("spans").alias("__spans"))
+    rows = keyed.join(spans, "__row", "left").select(*[F.col(f"`{c}`") for c in names], "__spans")
+
+    def merged(batch, column):
+        raw, off = buffer_of(column)
+        for k, hits in enumerate(batch.column(len(names)).to_pylist()):
+            w = Words(raw[off[k] : off[k + 1]], off[k : k + 2] - off[k], ALNUM, hashed=False) if hits else None
+            yield len(w.start) if w else 0, (w, 0, int(off[k]), int(off[k])), [(s["start"], s["end"]) for s in hits or ()]
+
+    return map_texts(rows, lambda batch: cut(batch, merged), docs.schema)

@@ -315,6 +315,24 @@ def test_spans_are_cut_out(spark):
     assert decontaminate.find_benchmark_spans(docs.limit(0), bench).count() == 0
 
 
+def test_coverage_counts_over_all_shards(spark):
+    items = [(i, " ".join(f"q{i}x{k:02d}" for k in range(13))) for i in range(6)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    limit = sum(len(t) for _, t in items) // 2 + 1
+    shards = [s for s in decontaminate.item_shards(bench, shard_bytes=limit) if s]
+    assert len(shards) > 1
+    one, two = shards[0][0][1], shards[1][0][1]
+    fill = [f"w{k}" for k in range(374)]
+    text = " ".join(["É", *fill[:100], one, *fill[100:200], two + ".", *fill[200:-1]])  # 13 and 13 of 400 words
+    rows = [(1, text, 0), (1, text, 0), (2, " ".join([one, *fill]), 0), (3, None, 0), (4, "", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, row int")
+    for size in (decontaminate.SHARD_BYTES, limit):
+        left = decontaminate.remove_spans(docs, bench, drop_coverage=0.05, shard_bytes=size)
+        assert left.columns == docs.columns and sorted(tuple(r) for r in left.collect()) == rows[2:], size
+        cut = decontaminate.remove_spans(docs, bench, shard_bytes=size).where("doc_id = 1").collect()
+        assert [r["text"] for r in cut] == [text.replace(one, "").replace(two, "")] * 2, size
+
+
 # ------------------------------------------------------------------ mixing
 
 
