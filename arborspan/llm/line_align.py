@@ -199,15 +199,21 @@ def _shared_run(early: np.ndarray, late: np.ndarray, words: np.ndarray, left: li
     return []
 
 
+def _named(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``(id, version, text)`` of the rows that can overlap; ``version`` tells rows of one id apart by their text."""
+    text = F.col(text_col)
+    return docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("version"), text.alias("text")).where("id is not null and text is not null")
+
+
 def _line_tables(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFrame:
     def run(batch):
-        tables = line_table(batch.column(1))
+        tables = line_table(batch.column(2))
         keys = [run_keys(h, w, min_words).view(np.int64) for h, w in tables]
-        yield [batch.column(0), [h.view(np.int64) for h, _ in tables], [w.astype(np.int32) for _, w in tables], keys]
+        yield [batch.column(0), batch.column(1), [h.view(np.int64) for h, _ in tables], [w.astype(np.int32) for _, w in tables], keys]
 
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("id is not null and text is not null")
-    return stage(map_texts(rows, run, f"id {kind}, lines array<bigint>, words array<int>, keys array<bigint>"), "lines")
+    rows = _named(docs, id_col, text_col)
+    return stage(map_texts(rows, run, f"id {kind}, version bigint, lines array<bigint>, words array<int>, keys array<bigint>"), "lines")
 
 
 def overlapping_pairs(tables: DataFrame) -> DataFrame:
@@ -218,27 +224,28 @@ def overlapping_pairs(tables: DataFrame) -> DataFrame:
 
 
 def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """``(id, cut array<int>)``: indexes of the lines to delete, for documents that have some."""
+    """``(id, version, cut array<int>)``: indexes of the lines to delete, for documents that have some."""
     kind = docs.schema[id_col].dataType.simpleString()
     tables = _line_tables(docs, id_col, text_col, min_words)
     pairs = stage(overlapping_pairs(tables), "line-pairs")
-    own = tables.select("id", "lines", "words")
+    own = tables.select("id", "version", "lines", "words")
     early = own.select(F.col("id").alias("early"), F.col("lines").alias("early_lines"))
-    late = own.select(F.col("id").alias("late"), "lines", "words")
-    both = pairs.join(late, "late").join(early, "early").select("late", "early_lines", "lines", "words")
+    late = own.select(F.col("id").alias("late"), "version", "lines", "words")
+    both = pairs.join(late, "late").join(early, "early").select("late", "version", "early_lines", "lines", "words")
 
     def run(batch):
         ids, cuts = [], []
-        e, l, w = batch.column(1), batch.column(2), batch.column(3)
+        e, l, w = batch.column(2), batch.column(3), batch.column(4)
         for k in range(batch.num_rows):
             cut = common_blocks(*(np.asarray(x[k].values) for x in (e, l, w)), min_words)
             if cut:
                 ids.append(k)
                 cuts.append(cut)
-        yield [batch.column(0).take(pa.array(ids, pa.int64())), cuts]
+        take = pa.array(ids, pa.int64())
+        yield [batch.column(0).take(take), batch.column(1).take(take), cuts]
 
-    found = map_texts(both, run, f"id {kind}, cut array<int>")
-    merged = found.groupBy("id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("cut")))).alias("cut"))
+    found = map_texts(both, run, f"id {kind}, version bigint, cut array<int>")
+    merged = found.groupBy("id", "version").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("cut")))).alias("cut"))
     out = stage(merged, "line-cuts")
     drop_stage(pairs, tables)
     return out
@@ -249,16 +256,17 @@ def remove_duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: st
 
     Columns are those of ``docs`` with the text shortened, and ``lines_cut``
     and ``words_cut``; columns of these names give way. Null texts stay null and
-    rows with a null id stay whole. Rows of one id keep their own lines unless
-    both are cut by an earlier document: they aren't compared with each other.
+    rows with a null id stay whole. Rows of one id aren't compared with each
+    other, and each loses only what an earlier document has of its own text.
     ``drop_emptied``: leave out rows of which nothing is left.
     """
     cuts = duplicate_lines(docs, id_col, text_col, min_words)
     keep = [c for c in docs.columns if c not in ("lines_cut", "words_cut")]
     base = docs.select(*[F.col(c) for c in keep])
     # the same way at every size: texts are shuffled once, not sorted, to the lists of cut lines
-    small = cuts.select(F.col("id").alias("__cut_id"), F.col("cut").alias("__cut")).hint("shuffle_hash")
-    joined = base.join(small, base[id_col] == small["__cut_id"], "left").drop("__cut_id")
+    small = cuts.select(F.col("id").alias("__cut_id"), F.col("version").alias("__version"), F.col("cut").alias("__cut")).hint("shuffle_hash")
+    same = (base[id_col] == small["__cut_id"]) & (F.xxhash64(base[text_col]) == small["__version"])
+    joined = base.join(small, same, "left").drop("__cut_id", "__version")
     at = keep.index(text_col)
 
     def run(batch):

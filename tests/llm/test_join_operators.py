@@ -223,6 +223,13 @@ def test_lines_of_odd_tables(spark):
     assert sorted(len(r["text"]) for r in line_align.remove_duplicate_lines(twice).collect()) == [0, 0, len(long)]
 
 
+def test_rows_of_one_id_lose_their_own_lines_only(spark):
+    a, b, c = line(41), line(42), line(43)
+    rows = [(1, a), (2, f"{a}\n{b}"), (2, f"{c}\n{b}"), (2, f"{a}\n{b}")]
+    got = line_align.remove_duplicate_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["text"], r["lines_cut"]) for r in got) == sorted([(1, a, 0), (2, b, 1), (2, f"{c}\n{b}", 0), (2, b, 1)])
+
+
 def test_lines_on_the_table(spark, tiny):
     docs = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{tiny}/documents.parquet").collect()}
     out = {r["doc_id"]: r for r in queries.op9_patience_line_dedup(spark, tiny).collect()}
