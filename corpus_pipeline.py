@@ -26,12 +26,16 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return line_align.remove_duplicate_lines(docs, drop_emptied=True).select(*docs.columns)
 
 
+#: Similarity in percent from which on the stage takes two documents for near-duplicates.
+NEAR_PERCENT = 80
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group, that of the smallest id.
 
     Rows of one id and text count once; rows without an id stay.
     """
-    found = stage(minhash.near_duplicates(docs).select("doc_id", "kept"), "near")
+    found = stage(minhash.near_duplicates(docs, percent=NEAR_PERCENT).select("doc_id", "kept"), "near")
     gone = found.where("doc_id is not null and not kept").select(F.col("doc_id").alias("__gone")).distinct()
     out = docs.join(bounded(gone, gone.count()), F.col("doc_id") == F.col("__gone"), "left_anti")
     twice = found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("__twice"))

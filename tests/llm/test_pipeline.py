@@ -51,6 +51,14 @@ def test_stages_take_effect(spark, tmp_path):
     assert whole == {k: r["taken"] for k, r in mixed.items()}
 
 
+def test_near_dedup_links_from_four_fifths(spark):
+    first, other = ([f"{name}{k}" for k in range(104)] for name in "vw")
+    changed = lambda words, n: " ".join("new" + w if k in range(20, 20 + 30 * n, 30) else w for k, w in enumerate(words))
+    rows = [(1, changed(first, 0)), (2, changed(first, 2)), (3, changed(other, 0)), (4, changed(other, 3))]  # 90 of 110 and 85 of 115 shingles
+    docs = spark.createDataFrame([(i, t, "en", "src") for i, t in rows], "doc_id long, text string, lang string, source string")
+    assert {r["doc_id"] for r in P.near_dedup(spark, docs, "").collect()} == {1, 3, 4}
+
+
 def test_stages_on_empty_and_repeated_rows(spark, tmp_path):
     folder = str(tmp_path)
     docs = fixture(spark, folder)
