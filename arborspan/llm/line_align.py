@@ -8,6 +8,12 @@ commoner one pairs each later document with the first that holds it, which is an
 exact way with one partner per key. A pair is aligned by patience diff on line
 hashes, and common blocks of at least ``min_words`` words are deleted from the
 later document (the larger id). The first holder of a block never loses it.
+
+With ``inside_lines``, passages of more than 50 words go too, wherever they
+begin and end. In every 51 words in a row the run of 20 words of the least hash is a sample, so that documents
+with a common passage share a sample. Around shared samples every run of 51
+words is a key with one owner, and later documents lose the words of the keys
+that an earlier one owns.
 """
 
 from __future__ import annotations
@@ -17,6 +23,7 @@ from bisect import bisect_left
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -25,6 +32,8 @@ from .shared import SPACE, Words, _LANES, buffer_of, drop_stage, map_texts, mix,
 
 #: Words that a common block must have to be deleted.
 MIN_WORDS = 20
+#: Words of a common passage that is deleted even inside of lines, and of its samples.
+PASSAGE, SAMPLE = 51, 20
 
 
 def breaks_of(part: np.ndarray) -> np.ndarray:
@@ -95,6 +104,37 @@ def inverse_odd(n: int) -> np.ndarray:
     return np.cumprod(np.concatenate([[np.uint64(1)], np.full(max(n - 1, 0), _INVERSE, np.uint64)]), dtype=np.uint64)
 
 
+def word_runs(hashes: np.ndarray, width: int) -> np.ndarray:
+    """Hash of each run of ``width`` words."""
+    n = len(hashes)
+    if n < width:
+        return np.zeros(0, np.uint64)
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashes * powers_odd(n), dtype=np.uint64)])
+    return mix((sums[width:] - sums[:-width]) * inverse_odd(n)[: n - width + 1] + np.uint64(width))
+
+
+def samples(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first word, hash) of the sampled runs: the least of each passage's runs of ``SAMPLE`` words."""
+    span = PASSAGE - SAMPLE + 1
+    runs = word_runs(hashes, SAMPLE)
+    if len(runs) < span:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    view = sliding_window_view(runs, span)
+    at = np.unique(np.concatenate([view[k : k + 8192].argmin(1) + np.arange(k, min(k + 8192, len(view))) for k in range(0, len(view), 8192)]))
+    return at, runs[at]
+
+
+def passage_keys(hashes: np.ndarray, shared: np.ndarray) -> np.ndarray:
+    """Distinct hashes of the runs of ``PASSAGE`` words that hold one of the samples ``shared``."""
+    at, key = samples(hashes)
+    keys = word_runs(hashes, PASSAGE)
+    edge = np.zeros(len(hashes) + 1, np.int64)
+    at = at[np.isin(key, shared)]
+    np.add.at(edge, np.maximum(at - (PASSAGE - SAMPLE), 0), 1)
+    np.add.at(edge, at + 1, -1)
+    return np.unique(keys[np.cumsum(edge)[: len(keys)] > 0])
+
+
 def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
     """Aligned index pairs of two sequences of line hashes.
 
@@ -216,11 +256,53 @@ def _line_tables(docs: DataFrame, id_col: str, text_col: str, min_words: int) ->
     return stage(map_texts(rows, run, f"id {kind}, version bigint, lines array<bigint>, words array<int>, keys array<bigint>"), "lines")
 
 
+def word_hashes(column) -> list[np.ndarray]:
+    """Hashes of each text's words, in lower case."""
+    raw, off = buffer_of(column)
+    out = []
+    for i, j in steps(off):
+        w = Words(raw[off[i] : off[j]], off[i : j + 1] - off[i], SPACE)
+        out += [w.hash[a:b] for a, b in zip(w.first[:-1], w.first[1:])]
+    return out
+
+
+def common_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(id, version, passages array<bigint>)``: hashes of the runs of ``PASSAGE``
+    words that an earlier document has too, for documents that have some."""
+    kind = docs.schema[id_col].dataType.simpleString()
+    rows = _named(docs, id_col, text_col)
+
+    def sample(batch):
+        yield [batch.column(0), batch.column(1), [np.unique(samples(h)[1]).view(np.int64) for h in word_hashes(batch.column(2))]]
+
+    sampled = stage(map_texts(rows, sample, f"id {kind}, version bigint, keys array<bigint>"), "samples")
+    keys = sampled.select("id", "version", F.explode("keys").alias("key"))
+    shared = keys.join(_owners(keys).select("key").hint("shuffle_hash"), "key").groupBy("id", "version").agg(F.collect_set("key").alias("shared"))
+    shared = stage(shared, "shared-samples")
+    names = shared.select(F.col("id").alias("own_id"), F.col("version").alias("own"), "shared").hint("shuffle_hash")
+    texts = rows.join(names, (F.col("id") == F.col("own_id")) & (F.col("version") == F.col("own"))).select("id", "version", "text", "shared")
+
+    def around(batch):
+        known = (np.asarray(s.values).view(np.uint64) for s in batch.column(3))
+        yield [batch.column(0), batch.column(1), [passage_keys(h, s).view(np.int64) for h, s in zip(word_hashes(batch.column(2)), known)]]
+
+    found = stage(map_texts(texts, around, f"id {kind}, version bigint, keys array<bigint>"), "passages")
+    runs = found.select("id", "version", F.explode("keys").alias("key"))
+    late = runs.join(_owners(runs).hint("shuffle_hash"), "key").where("early < id")
+    out = stage(late.groupBy("id", "version").agg(F.collect_set("key").alias("passages")), "passage-cuts")
+    drop_stage(sampled, shared, found)
+    return out
+
+
+def _owners(keys: DataFrame) -> DataFrame:
+    """(key, early) of the keys that several documents hold, and the first of these."""
+    return keys.groupBy("key").agg(F.min("id").alias("early"), F.max("id").alias("last")).where("early < last").select("key", "early")
+
+
 def overlapping_pairs(tables: DataFrame) -> DataFrame:
     """Distinct (early, late): each key's first document and each later one."""
     keys = tables.select("id", F.explode("keys").alias("key"))
-    first = keys.groupBy("key").agg(F.min("id").alias("early"), F.max("id").alias("last")).where("early < last").select("key", "early")
-    return keys.join(first.hint("shuffle_hash"), "key").where("early < id").select("early", F.col("id").alias("late")).distinct()
+    return keys.join(_owners(keys).hint("shuffle_hash"), "key").where("early < id").select("early", F.col("id").alias("late")).distinct()
 
 
 def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
@@ -251,35 +333,41 @@ def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out
 
 
-def remove_duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, drop_emptied: bool = False) -> DataFrame:
+def remove_duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, drop_emptied: bool = False, inside_lines: bool = False) -> DataFrame:
     """Documents without the blocks that an earlier document has.
 
     Columns are those of ``docs`` with the text shortened, and ``lines_cut``
     and ``words_cut``; columns of these names give way. Null texts stay null and
     rows with a null id stay whole. Rows of one id aren't compared with each
     other, and each loses only what an earlier document has of its own text.
-    ``drop_emptied``: leave out rows of which nothing is left.
+    ``drop_emptied``: leave out rows of which nothing is left. ``inside_lines``:
+    cut every run of ``PASSAGE`` words that an earlier document has as well, also
+    out of lines and sentences of which the rest stays.
     """
-    cuts = duplicate_lines(docs, id_col, text_col, min_words)
+    none = F.array().cast("array<bigint>")
+    cuts = duplicate_lines(docs, id_col, text_col, min_words).withColumn("passages", none)
+    if inside_lines:
+        both = cuts.unionByName(common_passages(docs, id_col, text_col).withColumn("cut", none.cast("array<int>")))
+        cuts = both.groupBy("id", "version").agg(F.flatten(F.collect_list("cut")).alias("cut"), F.flatten(F.collect_list("passages")).alias("passages"))
     keep = [c for c in docs.columns if c not in ("lines_cut", "words_cut")]
     base = docs.select(*[F.col(c) for c in keep])
     # the same way at every size: texts are shuffled once, not sorted, to the lists of cut lines
-    small = cuts.select(F.col("id").alias("__cut_id"), F.col("version").alias("__version"), F.col("cut").alias("__cut")).hint("shuffle_hash")
+    small = cuts.select(F.col("id").alias("__cut_id"), F.col("version").alias("__version"), F.col("cut").alias("__cut"), F.col("passages").alias("__passages")).hint("shuffle_hash")
     same = (base[id_col] == small["__cut_id"]) & (F.xxhash64(base[text_col]) == small["__version"])
     joined = base.join(small, same, "left").drop("__cut_id", "__version")
     at = keep.index(text_col)
 
     def run(batch):
-        column, cut = batch.column(at), batch.column(len(keep))
+        column, cut, passages = batch.column(at), batch.column(len(keep)), batch.column(len(keep) + 1)
         rows = np.flatnonzero(cut.is_valid().to_numpy(zero_copy_only=False) & column.is_valid().to_numpy(zero_copy_only=False))
         lines_cut, words_cut = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64)
         texts = []
         own = column.take(pa.array(rows))
         for k, (text, (_, words)) in enumerate(zip(own, line_table(own))):
-            gone = np.asarray(cut[rows[k]].values)
-            gone = gone[gone < len(words)]
-            lines_cut[rows[k]], words_cut[rows[k]] = len(gone), int(words[gone].sum())
-            texts.append(without_lines(text.as_py(), set(gone.tolist())))
+            runs = np.asarray(passages[rows[k]].values).view(np.uint64)
+            first = np.flatnonzero(np.isin(word_runs(word_hashes(own.slice(k, 1))[0], PASSAGE), runs)) if len(runs) else np.zeros(0, np.int64)
+            new_text, lines_cut[rows[k]], words_cut[rows[k]] = shortened(text.as_py(), words, np.asarray(cut[rows[k]].values), first)
+            texts.append(new_text)
         mask = np.zeros(batch.num_rows, bool)
         mask[rows] = True
         new = pc.replace_with_mask(column, pa.array(mask), pa.array(texts, column.type))
@@ -294,13 +382,43 @@ def remove_duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: st
     return map_texts(joined, run, kinds)
 
 
-def without_lines(text: str, gone: set[int]) -> str:
-    """A text without some of its lines; each kept one has the break before it, but the first."""
+def shortened(text: str, words: np.ndarray, gone: np.ndarray, passages: np.ndarray) -> tuple[str, int, int]:
+    """A text without the lines ``gone`` and the passages that begin at the words
+    ``passages``, and how many lines and words that are.
+
+    ``words``: those of each line. Each kept line has the break before it, but
+    the first. Of the gaps about a passage inside of a line one stays.
+    """
     raw = text.encode("utf-8")
-    breaks = breaks_of(np.frombuffer(raw, np.uint8)).tolist()
-    starts, stops = [0, *(b + 1 for b in breaks)], [*breaks, len(raw)]
-    pieces = []
-    for k, (a, b) in enumerate(zip(starts, stops)):
-        if k not in gone:
-            pieces.append(raw[a - 1 if pieces and a else a : b])
-    return b"".join(pieces).decode("utf-8")
+    part = np.frombuffer(raw, np.uint8)
+    edge = np.zeros(int(words.sum()) + 1, np.int64)
+    np.add.at(edge, passages, 1)
+    np.add.at(edge, passages + PASSAGE, -1)
+    inside = np.cumsum(edge)[:-1] > 0
+    ends = np.cumsum(words)
+    covered = np.concatenate([[0], np.cumsum(inside)])
+    out = (words > 0) & (covered[ends] - covered[ends - words] == words)
+    out[gone] = True
+    lost = inside | np.repeat(out, words)
+    breaks = breaks_of(part)
+    starts, stops = np.concatenate([[0], breaks + 1]), np.concatenate([breaks, [len(raw)]])
+    keep = np.ones(len(raw), bool)
+    stay = np.flatnonzero(~out)
+    for k in np.flatnonzero(out):
+        keep[max(starts[k] - 1, 0) : stops[k]] = False
+    if len(stay):
+        keep[: starts[stay[0]]] = False
+    if inside.any():
+        w = Words(part, np.array([0, len(raw)]), SPACE, hashed=False)
+        line = np.repeat(np.arange(len(words)), words)
+        heads = ends - words
+        part_of = inside & ~out[line]  # passages' words in lines that stay
+        for a in np.flatnonzero(part_of & ~np.concatenate([[False], part_of[:-1] & (line[1:] == line[:-1])])):
+            b = a
+            while b < ends[line[a]] and part_of[b]:
+                b += 1
+            if b < ends[line[a]]:  # with the gap after it, else with that before it
+                keep[w.start[a] : w.start[b]] = False
+            else:
+                keep[(w.start[a - 1] + w.length[a - 1] if a > heads[line[a]] else w.start[a]) : w.start[b - 1] + w.length[b - 1]] = False
+    return part[keep].tobytes().decode("utf-8"), int(out.sum()), int(lost.sum())

@@ -22,8 +22,8 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without blocks that an earlier one has; those of which nothing is left go."""
-    return line_align.remove_duplicate_lines(docs, drop_emptied=True).select(*docs.columns)
+    """Documents without blocks and passages of over 50 words that an earlier one has; those of which nothing is left go."""
+    return line_align.remove_duplicate_lines(docs, drop_emptied=True, inside_lines=True).select(*docs.columns)
 
 
 #: Similarity in percent from which on the stage takes two documents for near-duplicates.

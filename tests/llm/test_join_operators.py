@@ -223,6 +223,39 @@ def test_lines_of_odd_tables(spark):
     assert sorted(len(r["text"]) for r in line_align.remove_duplicate_lines(twice).collect()) == [0, 0, len(long)]
 
 
+def test_long_passages_go_wherever_they_begin(spark):
+    rng = np.random.default_rng(12)
+    own = lambda n: [f"o{v}" for v in rng.integers(0, 10**9, n)]
+    shared = [f"p{k}" for k in range(400)]
+    parts = [(0, 400), (7, 58), (100, 150), (30, 90), (200, 251), (349, 400), (0, 51), (60, 130)]
+    rows = [(0, own(30) + shared), (1, [w.upper() for w in shared[:60]])]
+    for i, (a, b) in enumerate(parts[1:] * 2, 2):
+        rows.append((i, own(int(rng.integers(0, 40))) + shared[a:b] + own(int(rng.integers(1, 40)))))
+    rows.append((50, own(5) + shared[10:40] + shared[300:330] + own(5)))  # 30 words each of two passages
+    rows.append((51, own(5) + ["a", "b"] * 40))
+    rows.append((52, own(5) + ["b", "a"] * 40))
+    want, seen = {}, set()
+    for i, w in rows:
+        low = [x.lower() for x in w]
+        runs = [tuple(low[k : k + 51]) for k in range(len(low) - 50)]
+        lost = {k + d for k, x in enumerate(runs) if x in seen for d in range(51)}
+        want[i] = (" ".join(x for k, x in enumerate(w) if k not in lost), len(lost))
+        seen |= set(runs)
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")
+    got = {r["doc_id"]: (r["text"], r["words_cut"]) for r in line_align.remove_duplicate_lines(docs, inside_lines=True).collect()}
+    assert got == want and sum(n > 0 for _, n in want.values()) > 12
+
+
+def test_gaps_about_passages(spark):
+    p = [f"p{k}" for k in range(60)]
+    one, two = " ".join(p[:30]), " ".join(p[30:])
+    rows = [(1, " ".join(p)), (2, f"a b {one} {two} c\nd"), (3, f"é {one}\n{two} f"), (4, f"g\n{one} {two}\nh"), (5, f"{one}  {two} i"), (6, f"j\n k {one}\n\n{two}"), (7, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: (r["text"], r["lines_cut"], r["words_cut"]) for r in line_align.remove_duplicate_lines(docs, inside_lines=True).collect()}
+    assert got == {1: (rows[0][1], 0, 0), 2: ("a b c\nd", 0, 60), 3: ("é\nf", 0, 60), 4: ("g\nh", 1, 60), 5: ("i", 0, 60), 6: ("j\n k\n", 1, 60), 7: (None, 0, 0)}
+    assert line_align.remove_duplicate_lines(docs.limit(0), inside_lines=True).count() == 0
+
+
 def test_rows_of_one_id_lose_their_own_lines_only(spark):
     a, b, c = line(41), line(42), line(43)
     rows = [(1, a), (2, f"{a}\n{b}"), (2, f"{c}\n{b}"), (2, f"{a}\n{b}")]

@@ -51,6 +51,12 @@ def test_stages_take_effect(spark, tmp_path):
     assert whole == {k: r["taken"] for k, r in mixed.items()}
 
 
+def test_line_dedup_cuts_passages_inside_lines(spark):
+    shared, names = " ".join(f"p{k}" for k in range(60)), "doc_id long, text string, lang string, source string"
+    docs = spark.createDataFrame([(1, f"one {shared} two.", "en", "src"), (2, f"three {shared} four.", "en", "src")], names)
+    assert {r["doc_id"]: r["text"] for r in P.line_dedup(spark, docs, "").collect()} == {1: f"one {shared} two.", 2: "three four."}
+
+
 def test_near_dedup_links_from_four_fifths(spark):
     first, other = ([f"{name}{k}" for k in range(104)] for name in "vw")
     changed = lambda words, n: " ".join("new" + w if k in range(20, 20 + 30 * n, 30) else w for k, w in enumerate(words))
