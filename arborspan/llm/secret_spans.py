@@ -3,7 +3,9 @@
 Three fixed patterns give the base spans. Beyond them, a long unbroken string
 whose characters per token, under a rank-file vocabulary, are few is taken for
 a random string; digests of known lengths, UUIDs, dotted or path-like names
-and plain identifiers are left out.
+and plain identifiers are left out. What a base span leaves of a string is
+tested by itself, and where a string as a whole reads like words, so are its
+parts between separators. Every pattern takes time in proportion to the text.
 """
 
 from __future__ import annotations
@@ -11,6 +13,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+from bisect import bisect_right
 from functools import lru_cache
 
 from pyspark.sql import DataFrame
@@ -31,10 +34,15 @@ _KEYWORD = re.compile(r"passw|secret|token|api_?key", re.I | re.A)
 #: Left out: hex digests by length, UUIDs, and words joined by a separator.
 _UUID = re.compile(r"[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}")
 _DIGEST = re.compile(r"(?:[0-9a-fA-F]{32}|[0-9a-fA-F]{40}|[0-9a-fA-F]{56}|[0-9a-fA-F]{64}|[0-9a-fA-F]{96}|[0-9a-fA-F]{128})")
-_NAME = re.compile(r"[A-Za-z]*(?:[0-9]{0,4})?(?:[_/+=-]+[A-Za-z]*[0-9]{0,4})*")
+_PART = re.compile(r"[A-Za-z]*[0-9]{0,4}")
+_SEPARATORS = re.compile(r"[_/+=-]+")
+_EDGE = "=-_/+"
 
-#: A string with fewer characters per token than this is random.
-MIN_RATIO = 2.0
+#: A string with fewer characters per token than this is random; one of fewer
+#: characters than this isn't looked at.
+MIN_RATIO, MIN_LENGTH = 2.0, 20
+#: Characters that are encoded at once: the tokens of a longer string are summed.
+CHUNK = 2048
 
 
 @lru_cache(maxsize=2)
@@ -55,11 +63,33 @@ def default_path() -> str:
 
 def is_identifier(s: str) -> bool:
     """A digest of a known length, a UUID, or letters and short numbers joined by separators."""
-    return bool(_DIGEST.fullmatch(s) or _UUID.fullmatch(s) or _NAME.fullmatch(s))
+    return bool(_DIGEST.fullmatch(s) or _UUID.fullmatch(s)) or all(map(_PART.fullmatch, _SEPARATORS.split(s)))
 
 
 def characters_per_token(s: str, path: str | None = None) -> float:
-    return len(s) / max(1, len(encoding(path or default_path()).encode_ordinary(s)))
+    tokens = encoding(path or default_path()).encode_ordinary
+    return len(s) / max(1, sum(len(tokens(s[i : i + CHUNK])) for i in range(0, len(s), CHUNK)))
+
+
+def _random(text: str, start: int, end: int, min_ratio: float, path: str | None) -> tuple[int, int] | None:
+    """The random string that ``text[start:end]`` is without separators around it."""
+    bare = text[start:end].lstrip(_EDGE)
+    start, bare = end - len(bare), bare.rstrip(_EDGE)
+    if len(bare) < MIN_LENGTH or not (re.search("[0-9]", bare) and re.search("[A-Za-z]", bare)) or is_identifier(bare):
+        return None
+    return (start, start + len(bare)) if characters_per_token(bare, path) < min_ratio else None
+
+
+def _outside(start: int, end: int, taken: list[tuple[int, int]], starts: list[int]):
+    """The parts of ``start..end`` that the sorted, disjoint ranges ``taken`` leave."""
+    k = max(bisect_right(starts, start) - 1, 0)
+    while k < len(taken) and taken[k][0] < end:
+        a, b = taken[k]
+        if start < a:
+            yield start, a
+        start, k = max(start, b), k + 1
+    if start < end:
+        yield start, end
 
 
 def find_spans(text: str, min_ratio: float = MIN_RATIO, path: str | None = None) -> list[tuple[str, int, int]]:
@@ -70,16 +100,22 @@ def find_spans(text: str, min_ratio: float = MIN_RATIO, path: str | None = None)
     if "AKIA" in text:
         found += [("access", m.start(), m.end()) for m in ACCESS.finditer(text) if len(m[0]) >= 18]
     found += [("hex", m.start(), m.end()) for m in _LONG_HEX.finditer(text)]
+    taken: list[tuple[int, int]] = []
+    for a, b in sorted((a, b) for _, a, b in found):
+        taken[-1:] = [(taken[-1][0], max(taken[-1][1], b))] if taken and a <= taken[-1][1] else [*taken[-1:], (a, b)]
+    starts = [a for a, _ in taken]
     for m in _CANDIDATE.finditer(text):
-        s = m[0].strip("=-_/+")
-        if len(s) < 20 or not (re.search("[0-9]", s) and re.search("[A-Za-z]", s)) or is_identifier(s):
-            continue
-        start = m.start() + m[0].index(s)
-        end = start + len(s)
-        if any(kind != "random" and a < end and start < b for kind, a, b in found):
-            continue
-        if characters_per_token(s, path) < min_ratio:
-            found.append(("random", start, end))
+        for start, end in _outside(m.start(), m.end(), taken, starts):
+            hit = _random(text, start, end, min_ratio, path)
+            if hit:
+                found.append(("random", *hit))
+                continue
+            for gap in _SEPARATORS.finditer(text, start, end):
+                part = _random(text, start, gap.start(), min_ratio, path) if gap.start() - start >= MIN_LENGTH else None
+                found += [("random", *part)] if part else []
+                start = gap.end()
+            part = _random(text, start, end, min_ratio, path) if end - start >= MIN_LENGTH else None
+            found += [("random", *part)] if part else []
     return sorted(found, key=lambda x: (x[1], KINDS.index(x[0])))
 
 
