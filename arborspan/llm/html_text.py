@@ -3,13 +3,17 @@
 A page is parsed into a tree with the usual implied end tags. Each paragraph
 earns points for its length and its commas; the points go to its ancestors,
 halved at every further step, and are discounted by link density. The best
-container wins and its siblings that hold text of the same kind are kept.
+container wins and its siblings that hold text of the same kind are kept. Inside
+of what wins, containers that are mostly links go. Parsing takes time in
+proportion to the page, however broken it is: open elements are a stack whose
+places are known by name, and no pattern backtracks.
 """
 
 from __future__ import annotations
 
 import html as _entities
 import re
+from bisect import bisect_right
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -57,20 +61,28 @@ CLUTTER = frozenset(
 #: Words that mark the article itself.
 CONTENT = frozenset("article body content entry main post story text page blog hentry".split())
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
-_ATTR = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""", re.S)
+#: A tag's attributes: a quote counts only after "=" and where it is closed again.
+_TOKEN = re.compile(
+    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)"
+    r"|<(/?)([A-Za-z][^\s/>]*+)((?:[^>=]++|=\s*+\"[^\"]*+\"|=\s*+'[^']*+'|=)*+)(?:>|\Z)",
+    re.S,
+)
+_ATTR = re.compile(r"""([^\s=/>"']++)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s>]++)))?""", re.S)
+_END_OF_RAW = {name: re.compile(f"</{name}", re.I | re.A) for name in RAW}
 _WHITE = re.compile(r"\s+")
 _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
 class Node:
-    __slots__ = ("name", "attrs", "parent", "items", "score", "text_n", "link_n", "dropped")
+    __slots__ = ("name", "attrs", "parent", "holder", "items", "score", "text_n", "link_n", "links", "dropped")
 
     def __init__(self, name, attrs="", parent=None):
         self.name, self.attrs, self.parent = name, attrs, parent
+        #: The block that text directly in this element belongs to.
+        self.holder = self if parent is None or name in BLOCK else parent.holder
         self.items: list = []
         self.score = 0.0
-        self.text_n = self.link_n = 0
+        self.text_n = self.link_n = self.links = 0
         self.dropped = False
 
 
@@ -78,67 +90,84 @@ def attributes(raw: str) -> dict[str, str]:
     return {m[1].lower(): _entities.unescape(m[2] or m[3] or m[4] or "") for m in _ATTR.finditer(raw)} if raw.strip(" /") else {}
 
 
+class Open:
+    """The open elements, outermost first, and the places of each name and of blocks."""
+
+    def __init__(self, root: Node):
+        self.stack = [root]
+        self.places: dict[str, list[int]] = {}
+        self.blocks: list[int] = []
+
+    def push(self, node: Node) -> None:
+        self.places.setdefault(node.name, []).append(len(self.stack))
+        if node.name in BLOCK:
+            self.blocks.append(len(self.stack))
+        self.stack.append(node)
+
+    def close(self, place: int) -> None:
+        """End the element at ``place`` and all inside of it."""
+        while len(self.stack) > place:
+            node = self.stack.pop()
+            self.places[node.name].pop()
+            if node.name in BLOCK:
+                self.blocks.pop()
+
+    def last(self, names) -> int:
+        """Place of the innermost open element of some names; 0 if there is none."""
+        return max((p[-1] for p in map(self.places.get, names) if p), default=0)
+
+    def first_after(self, names, place: int) -> int:
+        """Place of the outermost open element of some names inside of ``place``."""
+        found = [(p, bisect_right(p, place)) for p in map(self.places.get, names) if p]
+        return min((p[k] for p, k in found if k < len(p)), default=0)
+
+
+#: Elements that the end tag of an inline element doesn't reach out of.
+WALLS = ("td", "th", "table", "div", "article", "section", "li", "body")
+
+
 def parse(source: str) -> Node:
     """Tree of a page. Text that ends inside a tag or comment loses only that tag."""
     root = Node("#root")
-    at, now, pos, end = 0, root, 0, len(source)
-    lower = None
+    opened = Open(root)
+    pos, end = 0, len(source)
 
     def add_text(node, s):
         if s:
-            node.items.append(s)
+            node.items.append(_entities.unescape(s))
 
     while pos < end:
         m = _TOKEN.search(source, pos)
+        add_text(opened.stack[-1], source[pos : m.start() if m else end])
         if not m:
-            add_text(now, _entities.unescape(source[pos:]))
             break
-        if m.start() > pos:
-            add_text(now, _entities.unescape(source[pos : m.start()]))
         pos = m.end()
         if m[2] is None:
             continue
         name = m[2].lower()
         if m[1]:  # an end tag
-            at = now
-            while at is not root and at.name != name:
-                if name not in BLOCK and at.name in ("td", "th", "table", "div", "article", "section", "li", "body"):
-                    at = root
-                    break
-                at = at.parent
-            if at is not root:
-                now = at.parent
+            place = opened.last((name,))
+            if place and (name in BLOCK or place > opened.last(WALLS)):
+                opened.close(place)
             continue
-        if name in CLOSES_P:
-            at = now
-            while at is not root and at.name not in BLOCK:
-                at = at.parent
-            if at.name == "p":
-                now = at.parent
+        if name in CLOSES_P and opened.blocks and opened.stack[opened.blocks[-1]].name == "p":
+            opened.close(opened.blocks[-1])
         if name in IMPLIED:
             ends, borders = IMPLIED[name]
-            at = now
-            last = None
-            while at is not root and at.name not in borders:
-                if at.name in ends:
-                    last = at
-                at = at.parent
-            if last is not None:
-                now = last.parent
+            place = opened.first_after(ends, opened.last(borders))
+            if place:
+                opened.close(place)
+        now = opened.stack[-1]
         node = Node(name, m[3], now)
         now.items.append(node)
         if name in RAW:
-            lower = lower if lower is not None else source.lower() if len(source.lower()) == end else source
-            close = lower.find(f"</{name}", pos)
-            stop = close if close >= 0 else end
+            close = _END_OF_RAW[name].search(source, pos)
             if name in ("textarea", "title"):
-                add_text(node, _entities.unescape(source[pos:stop]))
-            gt = source.find(">", stop)
-            pos = end if close < 0 or gt < 0 else gt + 1
-        elif name not in VOID and not m[3].endswith("/"):
-            now = node
-        elif name not in VOID and name in BLOCK:
-            now = node  # a stray slash does not close an ordinary element
+                add_text(node, source[pos : close.start() if close else end])
+            after = source.find(">", close.end()) if close else -1
+            pos = after + 1 or end
+        elif name not in VOID and (name in BLOCK or not m[3].endswith("/")):  # a stray slash doesn't close a block
+            opened.push(node)
     return root
 
 
@@ -188,13 +217,13 @@ def _flow(node: Node, drop: bool):
                 continue
             if item.dropped and drop:
                 if item.name in BLOCK:
-                    close(_holder(at))
+                    close(at.holder)
                 continue
             if item.name == "br":
                 piece.append(" ")
                 continue
             if item.name in BLOCK:
-                close(_holder(at))
+                close(at.holder)
             stack.append((item, iter(item.items)))
             break
         else:
@@ -205,12 +234,6 @@ def _flow(node: Node, drop: bool):
     return blocks
 
 
-def _holder(node: Node) -> Node:
-    while node.parent is not None and node.name not in BLOCK:
-        node = node.parent
-    return node
-
-
 def _mark(root: Node) -> list[Node]:
     """Drop clutter; count text and link text of what stays; elements in page order."""
     order, stack = [], [(root, False)]
@@ -233,9 +256,21 @@ def _mark(root: Node) -> list[Node]:
             elif not item.dropped:
                 node.text_n += item.text_n
                 node.link_n += item.text_n if node.name == "a" else item.link_n
+                node.links += item.links + (item.name == "a")
     return order
 
 
+#: Containers inside of an article that go when they are nearly all links, and how many.
+LISTS, LINKS, LINK_SHARE = frozenset("div section ul ol dl table".split()), 4, 0.8
+
+
+def _drop_link_lists(order: list[Node], kept: list[Node], around: list[Node]) -> None:
+    stay = {id(n) for n in (*kept, *around)}
+    for node in order:
+        if node.name in LISTS and node.links >= LINKS and id(node) not in stay and link_density(node) > LINK_SHARE:
+            node.dropped = True
+
+
 def link_density(node: Node) -> float:
     return node.link_n / node.text_n if node.text_n else 0.0
 
@@ -294,6 +329,7 @@ def extract(source: str | None) -> str:
     if best.parent is not None and best.name not in ("article", "main", "body"):
         least = 0.2 * value(best)
         kept = [n for n in best.parent.items if isinstance(n, Node) and not n.dropped and (n is best or (n.score and value(n) >= least) or _reads_like_text(n) or (n.name in ("h1", "h2") and best.parent.name != "body"))]
+    _drop_link_lists(order, kept, around)
     return "\n\n".join(t for node in kept for _, t in _flow(node, True))
 
 
