@@ -4,27 +4,30 @@ Text is parted into pieces by the vocabulary's own pattern. For a piece, a
 dynamic programme finds the last token of the encoding of *every* prefix: among
 the vocabulary's tokens that end there, it is the one that byte-pair merging
 would leave beside the last token of the rest. Counts follow by
-``count[i] = count[i - len(last[i])] + 1``. Tables of pieces are kept, so a
-text's count, its longest prefix within a budget and the count of any prefix
-are sums and look-ups and nothing is encoded again.
+``count[i] = count[i - len(last[i])] + 1``. Tables of pieces that come again are
+kept. A text's own table strings them together: the exact count at every byte,
+from which its count, its longest prefix within a budget and the count of any
+prefix are read off, and nothing is encoded again.
 """
 
 from __future__ import annotations
 
 import json
+import re
 import unicodedata
-from bisect import bisect_right
 from functools import lru_cache
-from itertools import accumulate
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import map_texts
+from .shared import buffer_of, map_texts
 
-#: Counts of pieces in one generation of a worker's cache. A full generation
-#: becomes the old one, from which pieces that come again are taken over.
-KEPT_PIECES = 600_000
+#: Tables of pieces in one generation of a worker's cache. A full generation
+#: becomes the old one, from which pieces that come again are taken over. Pieces
+#: of more characters are not kept.
+KEPT_PIECES, KEPT_LENGTH = 300_000, 64
 #: Pairs of tokens whose seam a worker remembers.
 KEPT_PAIRS = 400_000
 
@@ -60,8 +63,6 @@ WHITE = "\\t\\n\\x0b\\x0c\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u20
 @lru_cache(maxsize=2)
 def piece_pattern():
     """The pattern of byte-level pieces, with Unicode's classes written out."""
-    import re
-
     letter, number = _classes()
     return re.compile(
         rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{letter}]+| ?[{number}]+| ?[^{WHITE}{letter}{number}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+"
@@ -92,8 +93,9 @@ class PrefixCounter:
         self.vocab = {t for t in self.vocab if len(t) == 1 or t in self.parts}
         self.longest = max(map(len, self.vocab))
         self._pair: dict = {}
-        self._counts: dict[str, int] = {}
-        self._old: dict[str, int] = {}
+        self._tables: dict[str, bytes] = {}
+        self._old: dict[str, bytes] = {}
+        self._special = re.compile("|".join(map(re.escape, sorted(self.added, key=len, reverse=True)))) if self.added else None
 
     def _stays(self, a: bytes, b: bytes) -> bool:
         """Whether ``a`` and ``b`` stay two tokens when their bytes are merged
@@ -137,100 +139,70 @@ class PrefixCounter:
             last.append(token)
         return count
 
-    def piece_count(self, piece: str) -> int:
-        found = self._counts.get(piece)
+    def piece_table(self, piece: str) -> bytes:
+        """Tokens at each byte of a piece, as 32-bit numbers."""
+        found = self._tables.get(piece)
         if found is None:
             found = self._old.get(piece)
             if found is None:
-                found = self.table(piece.encode("utf-8"))[-1]
-            if len(self._counts) >= KEPT_PIECES:
-                self._old = dict(self._counts)
-                self._counts.clear()
-            self._counts[piece] = found
+                found = np.array(self.table(piece.encode("utf-8"))[1:], np.uint32).tobytes()
+            if len(piece) > KEPT_LENGTH:
+                return found
+            if len(self._tables) >= KEPT_PIECES:
+                self._old = dict(self._tables)
+                self._tables.clear()
+            self._tables[piece] = found
         return found
 
     def _segments(self, text: str):
-        """(is an added token, string) parts of a text in order."""
-        if not any(t in text for t in self.added):
-            yield False, text
-            return
+        """(is an added token, string) parts of a text in order: the leftmost
+        added token first, of those the longest."""
         at = 0
-        while at < len(text):
-            hits = [(text.find(t, at), -len(t), t) for t in self.added if t in text[at:]]
-            if not hits:
-                break
-            pos, _, token = min(hits)
-            if pos > at:
-                yield False, text[at:pos]
-            yield True, token
-            at = pos + len(token)
+        for m in self._special.finditer(text) if self._special else ():
+            if m.start() > at:
+                yield False, text[at : m.start()]
+            yield True, m[0]
+            at = m.end()
         if at < len(text):
             yield False, text[at:]
 
-    def pieces(self, text: str):
+    def prefix_counts(self, text: str) -> np.ndarray:
+        """Tokens at every byte of a text. Inside an added token it is one token."""
+        tables: list[bytes] = []
+        known, one = self._tables, self.piece_table
         for special, part in self._segments(text):
             if special:
-                yield True, part
-            else:
-                for p in piece_pattern().findall(part):
-                    yield False, p
+                tables.append(np.ones(len(part.encode("utf-8")), np.uint32).tobytes())
+                continue
+            pieces = piece_pattern().findall(part)
+            found = list(map(known.get, pieces))
+            if None in found:
+                found = [one(p) if t is None else t for p, t in zip(pieces, found)]
+            tables += found
+        if not tables:
+            return np.zeros(0, np.int64)
+        inside = np.frombuffer(b"".join(tables), np.uint32).astype(np.int64)
+        size = np.fromiter(map(len, tables), np.int64, len(tables)) >> 2
+        ends = np.cumsum(size)
+        before = np.cumsum(inside[ends - 1])
+        before = np.concatenate([[0], before[:-1]])
+        return inside + np.repeat(before, size)
 
     def count(self, text: str) -> int:
-        total, known, one = 0, self._counts, self.piece_count
-        for special, part in self._segments(text):
-            if special:
-                total += 1
-            else:
-                found = piece_pattern().findall(part)
-                counts = list(map(known.get, found))
-                try:
-                    total += sum(counts)
-                except TypeError:
-                    total += sum(one(p) if c is None else c for p, c in zip(found, counts))
-        return total
-
-    def measure(self, text: str, limit: int) -> tuple[int, int]:
-        """Tokens of the whole text, and code points of its longest prefix that
-        ends between characters inside ``limit`` tokens, piece by piece."""
-        total, cut, done, at = 0, 0, False, 0
-        pattern, known, one = piece_pattern(), self._counts, self.piece_count
-        if limit >= len(text.encode("utf-8")):  # a token has a byte at least
-            return self.count(text), len(text)
-        for special, part in self._segments(text):
-            found = [part] if special else pattern.findall(part)
-            counts = [1] if special else list(map(known.get, found))
-            if None in counts:
-                counts = [one(p) if c is None else c for p, c in zip(found, counts)]
-            if not done:
-                # a piece has a token at least, so the budget ends among the first pieces
-                ends = list(accumulate(counts[: limit - total + 1]))
-                k = bisect_right(ends, limit - total)
-                cut = at + sum(map(len, found[:k]))
-                if k < len(found):
-                    done = True  # nothing after this piece fits
-                    if not special:
-                        left = limit - total - (ends[k - 1] if k else 0)
-                        table, piece = self.table(found[k].encode("utf-8")), found[k]
-                        size, best = 0, 0
-                        for c, ch in enumerate(piece, 1):
-                            size += len(ch.encode("utf-8"))
-                            if table[size] <= left:
-                                best = c
-                        cut += best
-            total += sum(counts)
-            at += len(part)
-        return total, cut
-
-    def prefix_counts(self, text: str) -> list[int]:
-        """Tokens after each whole piece and, inside a piece, at each byte: one
-        entry for every byte of the text, and 0 first."""
-        out, base = [0], 0
-        for special, piece in self.pieces(text):
-            raw = piece.encode("utf-8")
-            inner = [0] + [1] * len(raw) if special else self.table(raw)
-            out += [base + c for c in inner[1:]]
-            base = out[-1]
-        return out
+        at = self.prefix_counts(text)
+        return int(at[-1]) if len(at) else 0
+
+    def measure(self, raw: bytes, limit: int) -> tuple[int, int]:
+        """Tokens of a whole text, and code points of its longest prefix, cut
+        between characters, that has at most ``limit`` tokens."""
+        at = self.prefix_counts(raw.decode("utf-8"))
+        total = int(at[-1]) if len(at) else 0
+        heads = (np.frombuffer(raw, np.uint8) & 0xC0) != 0x80
+        if total <= limit:
+            return total, int(heads.sum())
+        whole = np.append(heads[1:], True)  # a character ends at this byte
+        fits = np.flatnonzero(whole & (at <= limit))
+        return total, int(whole[: fits[-1] + 1].sum()) if len(fits) else 0
 
 
 @lru_cache(maxsize=4)
@@ -255,14 +227,12 @@ def count_tokens(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     def run(batch):
         tokens = counter(path or default_path())
-        sizes, counts, cuts = [], [], []
-        for i in range(batch.num_rows):
-            text = batch.column(1)[i].as_py() or ""
-            n, cut = tokens.measure(text, limit)
-            sizes.append(len(text.encode("utf-8")))
-            counts.append(n)
-            cuts.append(cut)
-        yield [batch.column(0), sizes, counts, [n > limit for n in counts], cuts]
+        raw, off = buffer_of(batch.column(1))
+        sizes = np.diff(off)
+        counts, cuts = np.zeros(len(sizes), np.int64), np.zeros(len(sizes), np.int64)
+        for i in range(len(sizes)):
+            counts[i], cuts[i] = tokens.measure(raw[off[i] : off[i + 1]].tobytes(), limit)
+        yield [batch.column(0), sizes, counts, pa.array(counts > limit), cuts]
 
     kind = df.schema[id_col].dataType.simpleString()
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
