@@ -4,12 +4,15 @@ One automaton holds every substring of the normalised test items. Document
 words are streamed through it; at each word the longest matching length is
 tracked, and where it reaches a window's length the words of that window are
 hit. A word that no item holds sends the automaton to its root, so only runs of
-known words are walked; the rest of a text is passed over in numpy.
+known words are walked; the rest of a text is passed over in numpy. States are
+entries of arrays, some 40 bytes a word of the items in all: nearly every state
+has one way on, and only those with several have a dictionary.
 """
 
 from __future__ import annotations
 
 import hashlib
+from array import array
 from functools import lru_cache
 from itertools import chain
 
@@ -22,11 +25,17 @@ from .shared import ALNUM, Words, buffer_of, map_texts, stage, steps
 
 #: Words of a window, and UTF-8 bytes of item text that one automaton is built of.
 WINDOW = 13
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 4 << 20
 
 
 class Automaton:
-    """Suffix automaton of the items' word sequences with the windows' items."""
+    """Suffix automaton of the items' word sequences with the windows' items.
+
+    ``only[v]`` and ``onward[v]``: the word and the state that follow state ``v``;
+    ``BRANCHED`` marks a state whose ways on are in ``ways[v]``.
+    """
+
+    NONE, BRANCHED = -1, -2
 
     def __init__(self, items: list[tuple[str, str]], window: int = WINDOW):
         self.window = window
@@ -35,73 +44,102 @@ class Automaton:
         self.vocabulary, ids = np.unique(w.hash, return_inverse=True)
         self._seen = np.zeros(1 << 18, bool)
         self._seen[(self.vocabulary >> np.uint64(46)).astype(np.int64)] = True
-        sequences = [(items[k][0], ids[w.first[k] : w.first[k + 1]].tolist()) for k in range(len(items)) if w.first[k + 1] > w.first[k]]
-        self.shortest = min([window, *(len(s) for _, s in sequences)])
-        self.next: list[dict[int, int]] = [{}]
-        self.link, self.longest = [-1], [0]
-        at_state: list[tuple[int, str]] = []  # every item's states as it is read
-        whole: list[tuple[int, int, str]] = []
-        for item, seq in sequences:
+        self.names = [name for name, _ in items]
+        size = np.diff(w.first)
+        self.shortest = int(min([window, *size[size > 0].tolist()]))
+        self.only, self.onward, self.ways = array("i", [self.NONE]), array("i", [0]), {}
+        self.link, self.longest = array("i", [-1]), array("i", [0])
+        ended, ending = array("i"), array("i")  # states that a window of an item ends in, and the items
+        whole: list[tuple[int, int, int]] = []
+        for k in np.flatnonzero(size).tolist():
             last = 0
-            for k, c in enumerate(seq, 1):
+            for at, c in enumerate(ids[w.first[k] : w.first[k + 1]].tolist(), 1):
                 last = self._extend(last, c)
-                if len(seq) >= window and k >= window:
-                    at_state.append((last, item))
-            if len(seq) < window:
-                whole.append((last, len(seq), item))
-        n = len(self.link)
-        self.at_window = [-1] * n  # the ancestor that holds the suffix of a window's length
-        order = sorted(range(n), key=self.longest.__getitem__)
-        for v in order:
-            if self.longest[v] >= window:
-                up = self.link[v]
-                self.at_window[v] = v if self.longest[up] < window else self.at_window[up]
-        held: dict[int, set[str]] = {}
-        for v, item in at_state:
-            held.setdefault(self.at_window[v], set()).add(item)
-        self.items = {v: tuple(sorted(s)) for v, s in held.items()}
-        short: dict[int, dict[str, int]] = {}
+                if at >= window:
+                    ended.append(last)
+                    ending.append(k)
+            if size[k] < window:
+                whole.append((last, int(size[k]), k))
+        link, longest = np.array(self.link, np.int64), np.array(self.longest, np.int64)
+        # the ancestor that holds the suffix of a window's length
+        at_window = np.where(longest >= window, np.arange(len(link)), -1)
+        while True:
+            up = link[at_window]
+            move = (at_window >= 0) & (longest[up] >= window)
+            if not move.any():
+                break
+            at_window[move] = up[move]
+        self.at_window = array("i", at_window.astype(np.int32).tobytes())
+        # items by window: most have one
+        pair = np.unique(np.stack([at_window[np.array(ended, np.int64)], np.array(ending, np.int64)], 1), axis=0)
+        held, first, many = np.unique(pair[:, 0], return_index=True, return_counts=True)
+        one = np.full(len(link), -1, np.int32)
+        one[held] = pair[first, 1]
+        self.item = array("i", one.tobytes())
+        self.more = {int(v): pair[i + 1 : i + n, 1].tolist() for v, i, n in zip(held[many > 1], first[many > 1], many[many > 1])}
+        self.short: dict[int, list[tuple[int, int]]] = {}
         for v, k, item in whole:
             while self.link[v] >= 0 and self.longest[self.link[v]] >= k:
                 v = self.link[v]
-            short.setdefault(v, {})[item] = k
-        self.short: dict[int, tuple[tuple[int, str], ...]] = {}
-        for v in order:  # a state also ends the short items of its suffixes
-            own = {(k, i) for i, k in short.get(v, {}).items()} | set(self.short.get(self.link[v], ()) if v else ())
-            if own:
-                self.short[v] = tuple(sorted(own))
+            self.short.setdefault(v, []).append((k, item))
+        # the nearest suffix state that ends a short item, itself included
+        self.ends_short = None
+        if self.short:
+            near = np.zeros(len(link), np.int64)
+            own = np.fromiter(self.short, np.int64)
+            near[own] = own
+            for v in np.argsort(longest, kind="stable")[1:].tolist():
+                if not near[v]:
+                    near[v] = near[link[v]]
+            self.ends_short = array("i", near.astype(np.int32).tobytes())
+
+    def _step(self, v: int, c: int) -> int:
+        """The state after ``v`` and the word ``c``; -1 if there is none."""
+        if self.only[v] == c:
+            return self.onward[v]
+        return self.ways[v].get(c, -1) if self.only[v] == self.BRANCHED else -1
+
+    def _lead(self, v: int, c: int, to: int) -> None:
+        if self.only[v] in (self.NONE, c):
+            self.only[v], self.onward[v] = c, to
+        else:
+            if self.only[v] != self.BRANCHED:
+                self.ways[v] = {self.only[v]: self.onward[v]}
+                self.only[v] = self.BRANCHED
+            self.ways[v][c] = to
 
     def _extend(self, last: int, c: int) -> int:
-        known = self.next[last].get(c)
-        if known is not None and self.longest[known] == self.longest[last] + 1:
-            return known
-        if known is not None:
-            return self._split(last, c, known)
+        known = self._step(last, c)
+        if known >= 0:
+            return known if self.longest[known] == self.longest[last] + 1 else self._split(last, c, known)
         now = self._state(self.longest[last] + 1)
         p = last
-        while p >= 0 and c not in self.next[p]:
-            self.next[p][c] = now
+        while p >= 0 and self._step(p, c) < 0:
+            self._lead(p, c, now)
             p = self.link[p]
         if p < 0:
             self.link[now] = 0
         else:
-            q = self.next[p][c]
+            q = self._step(p, c)
             self.link[now] = q if self.longest[q] == self.longest[p] + 1 else self._split(p, c, q)
         return now
 
     def _state(self, length: int) -> int:
-        self.next.append({})
+        self.only.append(self.NONE)
+        self.onward.append(0)
         self.link.append(-1)
         self.longest.append(length)
         return len(self.link) - 1
 
     def _split(self, p: int, c: int, q: int) -> int:
         twin = self._state(self.longest[p] + 1)
-        self.next[twin] = dict(self.next[q])
+        self.only[twin], self.onward[twin] = self.only[q], self.onward[q]
+        if self.only[q] == self.BRANCHED:
+            self.ways[twin] = dict(self.ways[q])
         self.link[twin] = self.link[q]
         self.link[q] = twin
-        while p >= 0 and self.next[p].get(c) == q:
-            self.next[p][c] = twin
+        while p >= 0 and self._step(p, c) == q:
+            self._lead(p, c, twin)
             p = self.link[p]
         return twin
 
@@ -115,30 +153,38 @@ class Automaton:
             out[maybe[ok]] = at[ok]
         return out
 
-    def walk(self, ids: list[int], first: int, hits: list[tuple[int, int]], found: set[str]) -> None:
+    def walk(self, ids: list[int], first: int, hits: list[tuple[int, int]], found: set[int]) -> None:
         """Stream a run of known words; note hit word ranges and items."""
-        step, link, longest, window = self.next, self.link, self.longest, self.window
-        at_window, items, short = self.at_window, self.items, self.short
+        only, onward, ways, link, longest, window = self.only, self.onward, self.ways, self.link, self.longest, self.window
+        at_window, one, more, ends_short = self.at_window, self.item, self.more, self.ends_short
+        branched = self.BRANCHED
         v = length = 0
         for i, c in enumerate(ids, first + 1):
-            to = step[v].get(c)
-            while to is None and v:
+            while True:
+                word = only[v]
+                to = onward[v] if word == c else ways[v].get(c, -1) if word == branched else -1
+                if to >= 0 or not v:
+                    break
                 v = link[v]
                 length = longest[v]
-                to = step[v].get(c)
-            if to is None:
+            if to < 0:
                 continue
             v, length = to, length + 1
             if length >= window:
-                held = items.get(at_window[v])
-                if held:
+                held = at_window[v]
+                if one[held] >= 0:
                     hits.append((i - window, i))
-                    found.update(held)
-            if v in short:
-                for k, item in short[v]:
-                    if k <= length:
-                        hits.append((i - k, i))
-                        found.add(item)
+                    found.add(one[held])
+                    if held in more:
+                        found.update(more[held])
+            if ends_short:
+                at = ends_short[v]
+                while at:
+                    for k, item in self.short[at]:
+                        if k <= length:
+                            hits.append((i - k, i))
+                            found.add(item)
+                    at = ends_short[link[at]]
 
     def scan(self, column):
         """Per text: words, byte ranges of the words, hit word ranges (joined), items."""
@@ -162,7 +208,7 @@ class Automaton:
                 base, hits, found = int(w.first[d]), [], set()
                 for a, b in by_doc.get(d, ()):
                     self.walk(ids[a:b].tolist(), a - base, hits, found)
-                yield int(w.first[d + 1]) - base, (w, base, int(off[i]), int(off[i + d])), joined(hits), found
+                yield int(w.first[d + 1]) - base, (w, base, int(off[i]), int(off[i + d])), joined(hits), {self.names[k] for k in found}
 
 
 def joined(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -175,7 +221,7 @@ def joined(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-@lru_cache(maxsize=4)
+@lru_cache(maxsize=1)
 def _automaton(items: tuple[tuple[str, str], ...], window: int) -> Automaton:
     return Automaton(list(items), window)
 
@@ -196,21 +242,29 @@ def find_benchmark_spans(docs: DataFrame, benchmark: DataFrame, id_col: str = "d
 
     Items of fewer words than ``window`` are one window each; null and empty
     items and texts hold nothing. One pass without a shuffle for each shard of
-    items; with several shards the rows are joined by a row key, so repeated
-    ids stay apart. Other columns are ignored.
+    items; with several shards the rows are joined with their spans by a row
+    key, so repeated ids stay apart. Other columns are ignored.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    shards = list(item_shards(benchmark, shard_bytes=shard_bytes)) if benchmark is not None else [()]
-    if len(shards) == 1:
-        return map_texts(rows, _scanner(rows, shards[0], window), f"{id_col} {kind}, {_FOUND}")
-    # several shards: each pass adds to the rows of the one before
+    shards = item_shards(benchmark, shard_bytes=shard_bytes) if benchmark is not None else iter([()])
+    first, second = next(shards), next(shards, None)
+    if second is None:
+        return map_texts(rows, _scanner(rows, first, window), f"{id_col} {kind}, {_FOUND}")
     keyed = stage(rows.withColumn("row", F.monotonically_increasing_id()), "decontaminate")
-    one = _over_shards(_of_each_shard(keyed, shards, window))
-    return keyed.select("row", F.col("id").alias(id_col)).join(one, "row").drop("row")
+    found = _over_shards(_of_each_shard(keyed, chain([first, second], shards), window)).select(F.col("row").alias("hit_row"), "spans", "items")
+    both = keyed.join(found, F.col("row") == F.col("hit_row"), "left").select("id", "text", F.coalesce("spans", F.array().cast(_SPANS)).alias("spans"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
+
+    def counted(batch):
+        raw, off = buffer_of(batch.column(1))
+        n = np.concatenate([np.diff(Words(raw[off[i] : off[j]], off[i : j + 1] - off[i], ALNUM, hashed=False).first) for i, j in steps(off)])
+        yield [batch.column(0), n, *batch.columns[2:]]
+
+    return map_texts(both, counted, f"{id_col} {kind}, {_FOUND}")
 
 
-_FOUND = "n_words bigint, spans array<struct<start:bigint,end:bigint>>, items array<string>"
+_SPANS = "array<struct<start:bigint,end:bigint>>"
+_FOUND = f"n_words bigint, spans {_SPANS}, items array<string>"
 _RANGES = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
 
@@ -230,23 +284,24 @@ def _scanner(rows: DataFrame, shard, window: int):
 
 
 def _of_each_shard(keyed: DataFrame, shards, window: int) -> DataFrame:
-    """Findings of every shard by itself for ``keyed (row, text)``: a row for each row and shard."""
+    """Findings of every shard for ``keyed (row, text)``, written shard by shard:
+    only the rows that it hits, and never more than one shard on the driver."""
     parts = None
     for shard in shards:
-        own = map_texts(keyed.select("row", "text"), _scanner(keyed, shard, window), f"row bigint, {_FOUND}")
+        own = stage(map_texts(keyed.select("row", "text"), _scanner(keyed, shard, window), f"row bigint, {_FOUND}").where("size(spans) > 0"), "shard")
         parts = own if parts is None else parts.unionByName(own)
     return parts
 
 
 def _over_shards(parts: DataFrame) -> DataFrame:
     """One row for each ``row``, with the spans of all shards joined."""
-    merged = parts.groupBy("row").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    merged = parts.groupBy("row").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
 
     def join_up(batch):
-        spans = [[{"start": a, "end": b} for a, b in joined([(s["start"], s["end"]) for s in x])] for x in batch.column(2).to_pylist()]
-        yield [batch.column(0), batch.column(1), pa.array(spans, _RANGES), batch.column(3)]
+        spans = [[{"start": a, "end": b} for a, b in joined([(s["start"], s["end"]) for s in x])] for x in batch.column(1).to_pylist()]
+        yield [batch.column(0), pa.array(spans, _RANGES), batch.column(2)]
 
-    return map_texts(merged, join_up, f"row bigint, {_FOUND}")
+    return map_texts(merged, join_up, f"row bigint, spans {_SPANS}, items array<string>")
 
 
 def items_digest(items) -> str:
@@ -299,7 +354,7 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         return map_texts(docs, lambda batch: cut(batch, scanned), docs.schema)
     keyed = stage(docs.withColumn("__row", F.monotonically_increasing_id()), "decontaminate")
     texts = keyed.select(F.col("__row").alias("row"), F.col(text_col).alias("text"))
-    parts = _of_each_shard(texts, chain([first, second], shards), window).where("size(spans) > 0")
+    parts = _of_each_shard(texts, chain([first, second], shards), window)
     spans = _over_shards(parts).select(F.col("row").alias("__row"), F.col("spans").alias("__spans"))
     rows = keyed.join(spans, "__row", "left").select(*[F.col(f"`{c}`") for c in names], "__spans")
 
