@@ -1,12 +1,14 @@
 """Near-duplicates by MinHash (operator 2).
 
 Texts with equal shingle sets are one class. Many universal hash functions give
-each class its minima; bands of minima put classes into buckets. Links are
-confirmed on full shingle sets: first from each bucket's members to a few hubs
-among them, twice; then, in buckets whose members are still in several
-components, between all members of different components, block by block, where
-only links that join components leave a block. Components come from alternating
-large-star and small-star. No step makes a row for each pair of a group.
+each class its minima; bands of minima put classes into buckets. Each bucket's
+members meet a few hubs among them, twice; then, in buckets whose members are
+still in several components, members of different components meet, block by
+block, and only links that join components leave a block. A pair is tested on
+set sizes and signatures first; what passes is confirmed on full shingle sets,
+which are made once for each likely class. Components come from alternating
+large-star and small-star. No step makes a row for each pair of a group, and
+joins on buckets and hubs deal hot keys over many tasks.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import SPACE, Words, bounded, buffer_of, components, drop_stage, map_texts, mix, shingles, stage, steps
+from .shared import SPACE, Words, bounded, buffer_of, components, drop_stage, map_texts, mix, shingles, spread_join, stage, steps
 
 #: Words of a shingle; a link needs 100 * intersection >= LINK_PERCENT * union.
 SHINGLE = 5
@@ -78,11 +80,11 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int = LINK_PERCENT) -> bool:
 
 
 def _signatures(rows: DataFrame, kind: str) -> DataFrame:
-    """Per row of ``(id, text)``: id, set size, class key, band keys, 16 bits of each minimum."""
+    """Per row of ``(id, version, text)``: id, version, set size, class key, band keys, 16 bits of each minimum."""
 
     def run(batch):
         n, key, bands, bits = [], [], [], []
-        for s in shingle_sets(batch.column(1)):
+        for s in shingle_sets(batch.column(2)):
             n.append(len(s))
             if len(s):
                 sig = minima(s)
@@ -93,70 +95,96 @@ def _signatures(rows: DataFrame, kind: str) -> DataFrame:
                 key.append(None)
                 bands.append(None)
                 bits.append(None)
-        yield [batch.column(0), n, key, bands, bits]
+        yield [batch.column(0), batch.column(1), n, key, bands, bits]
 
-    return map_texts(rows, run, f"id {kind}, n_shingles bigint, key binary, bands array<bigint>, bits binary")
+    return map_texts(rows, run, f"id {kind}, version bigint, n_shingles bigint, key binary, bands array<bigint>, bits binary")
 
 
-def _texts_of(keys: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
-    """(key, text) of distinct class keys; rows of one id with other texts come along."""
-    ids = stage(keys.join(classes.select("key", "rep"), "key"), "text-ids")
+def least_agreement(percent: int) -> int:
+    """Equal minima that a pair at the limit falls short of with probability < 1e-8."""
+    wide, p = BANDS * ROWS, percent / 100
+    return int(wide * p - 6 * (wide * p * (1 - p)) ** 0.5)
+
+
+def likely_pairs(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """The pairs (hub, key) of class keys that may be similar by set sizes and signatures."""
+    own = classes.select("key", "n", "bits")
+    both = spread_join(pairs.join(own, "key"), own.select(F.col("key").alias("hub"), F.col("n").alias("hub_n"), F.col("bits").alias("hub_bits")), "hub")
+    near = 100 * F.least("n", "hub_n") >= percent * F.greatest("n", "hub_n")
+    least = least_agreement(percent)
+
+    def run(batch):
+        a, b = (np.frombuffer(b"".join(c.to_pylist()), np.uint16).reshape(batch.num_rows, -1) for c in batch.columns[2:])
+        take = pa.array(np.flatnonzero((a == b).sum(1) >= least))
+        yield [batch.column(0).take(take), batch.column(1).take(take)]
+
+    return map_texts(both.where(near).select("hub", "key", "bits", "hub_bits"), run, "hub binary, key binary")
+
+
+def _sets_of(keys: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
+    """(key, set) of distinct class keys: each one's shingle set, from the text of its first row."""
+    ids = stage(keys.join(classes.select("key", "rep.*"), "key").select("key", F.col("id").alias("rep"), F.col("version").alias("rep_version")), "text-ids")
     side = bounded(ids, ids.count())
-    return texts.join(side, texts["id"] == side["rep"]).select("key", "text")
+    found = texts.join(side, (texts["id"] == side["rep"]) & (texts["version"] == side["rep_version"])).select("key", "text")
+
+    def run(batch):
+        yield [batch.column(0), [s.view(np.int64) for s in shingle_sets(batch.column(1))]]
+
+    out = stage(map_texts(found, run, "key binary, set array<bigint>"), "sets")
+    drop_stage(ids)
+    return out
 
 
 def confirm(pairs: DataFrame, classes: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of class keys whose full sets are similar enough."""
-    ends = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct()
-    named = _texts_of(ends, classes, texts)
-    right = named.select(F.col("key").alias("b"), F.col("text").alias("text_b"))
-    left = named.select(F.col("key").alias("a"), F.col("text").alias("text_a"))
-    both = pairs.join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b")
+    """The pairs (hub, key) of class keys whose full sets are similar enough, as a stage table (u, v)."""
+    likely = stage(likely_pairs(pairs, classes, percent), "likely")
+    sets = _sets_of(likely.select("key").unionByName(likely.select(F.col("hub").alias("key"))).distinct(), classes, texts)
+    both = spread_join(likely.join(sets, "key"), sets.select(F.col("key").alias("hub"), F.col("set").alias("hub_set")), "hub", likely.groupBy("hub").agg(F.count(F.lit(1)).alias("n")))
 
     def run(batch):
-        a, b = batch.column(0), batch.column(1)
-        ok = []
-        sets_a, sets_b, seen = None, shingle_sets(batch.column(3)), None
-        for k in range(batch.num_rows):
-            if a[k] != seen:
-                sets_a, seen = shingle_sets(batch.column(2).slice(k, 1))[0], a[k]
-            # rows of one id may differ in text: only the class's own text counts
-            if linked(sets_a, sets_b[k], percent) and class_key(sets_a) == a[k].as_py() and class_key(sets_b[k]) == b[k].as_py():
-                ok.append(k)
+        a, b = batch.column(2), batch.column(3)
+        ok = [k for k in range(batch.num_rows) if linked(*(np.asarray(x[k].values).view(np.uint64) for x in (a, b)), percent)]
         take = pa.array(ok, pa.int64())
-        yield [a.take(take), b.take(take)]
+        yield [batch.column(0).take(take), batch.column(1).take(take)]
 
-    return map_texts(both, run, "u binary, v binary").distinct()
+    # several rows may have the text of a class's first row
+    out = stage(map_texts(both.select("hub", "key", "set", "hub_set"), run, "u binary, v binary").distinct(), "links")
+    drop_stage(likely, sets)
+    return out
 
 
-def _hub_pairs(members: DataFrame, hubs: int, salt: int) -> DataFrame:
-    """Each bucket's members with some of its members, drawn by a hash of their own
-    in each bucket; only pairs of different components."""
+def _hubs(members: DataFrame, hubs: int, salt: int, *more) -> DataFrame:
+    """Per bucket: ``size`` and ``hubs`` of its members, drawn by a hash of their own in each bucket."""
     turn = lambda h: F.min(F.struct(F.xxhash64("key", "band", F.lit(salt + h)).alias("x"), F.col("key").alias("hub"), F.col("comp").alias("hub_comp")))
-    drawn = members.groupBy("band").agg(F.array(*[turn(h) for h in range(hubs)]).alias("hubs"))
-    pairs = members.join(drawn, "band").select("key", "comp", F.explode(F.array_distinct("hubs")).alias("h")).where("key <> h.hub and comp <> h.hub_comp")
-    return pairs.select(F.least("key", "h.hub").alias("a"), F.greatest("key", "h.hub").alias("b")).distinct()
+    return members.groupBy("band").agg(F.count(F.lit(1)).alias("size"), F.array_distinct(F.array(*[turn(h) for h in range(hubs)])).alias("hubs"), *more)
+
+
+def _hub_pairs(members: DataFrame) -> DataFrame:
+    """Distinct pairs of a bucket's hubs and its members of other components."""
+    pairs = members.select("key", "comp", F.explode("hubs").alias("h")).where("key <> h.hub and comp <> h.hub_comp")
+    return pairs.select("h.hub", "key").distinct()
 
 
-def _mixed(members: DataFrame, parts: DataFrame) -> DataFrame:
-    """Members, with their components, of the buckets that hold several of these."""
-    comp = members.drop("comp").join(parts, members["key"] == parts["node"], "left").select("band", "pos", "key", F.coalesce("component", "key").alias("comp"))
-    several = comp.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo <> hi")
-    return comp.join(several.select("band", "size"), "band")
+def _mixed(members: DataFrame, parts: DataFrame, hubs: int, salt: int) -> DataFrame:
+    """Members, with their components and new hubs, of the buckets that hold several components."""
+    comp = stage(
+        members.select("band", "pos", "key").join(parts, members["key"] == parts["node"], "left").select("band", "pos", "key", F.coalesce("component", "key").alias("comp")), "comps"
+    )
+    drawn = stage(_hubs(comp, hubs, salt, F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("band", "size", "hubs"), "hubs")
+    out = stage(spread_join(comp, drawn, "band", drawn.select("band", F.col("size").alias("n"))), "mixed")
+    drop_stage(comp, drawn)
+    return out
 
 
 def _compare(table: pa.Table, percent: int, sets) -> tuple[list[int], list[tuple[int, int]]]:
     """Members of a group of two blocks that have a likely partner, and, given
     ``sets``, confirmed links that join components."""
-    wide = BANDS * ROWS
-    p = percent / 100
-    # agreement that a pair at the limit falls short of with probability < 1e-8
-    least = int(wide * p - 6 * (wide * p * (1 - p)) ** 0.5)
+    least = least_agreement(percent)
     n, mine, i, j = (table[c].to_numpy() for c in ("n", "mine", "i", "j"))
     pos, same = int(table["pos"][0].as_py()), i[0] == j[0]
     keys = table["key"].to_pylist()
     _, comp = np.unique(np.array([c.hex() for c in table["comp"].to_pylist()]), return_inverse=True)
-    bits = np.frombuffer(b"".join(table["bits"].to_pylist()), np.uint16).reshape(len(n), wide)
+    bits = np.frombuffer(b"".join(table["bits"].to_pylist()), np.uint16).reshape(len(n), -1)
     bands = table["bands"].combine_chunks().flatten().to_numpy().reshape(len(n), BANDS)
     likely, links = set(), []
     for k in range(len(n)):
@@ -177,47 +205,82 @@ def _compare(table: pa.Table, percent: int, sets) -> tuple[list[int], list[tuple
                 likely |= {k, *at.tolist()}
             continue
         for m in at.tolist():
-            if comp[m] != comp[k] and sets(k) is not None and sets(m) is not None and linked(sets(k), sets(m), percent):
+            if comp[m] != comp[k] and linked(sets[k], sets[m], percent):
                 links.append((k, m))
                 comp[comp == comp[m]] = comp[k]
     return sorted(likely), [(keys[a], keys[b]) for a, b in links]
 
 
 def _cross_links(mixed: DataFrame, classes: DataFrame, texts: DataFrame, percent: int, block: int) -> DataFrame:
-    """Confirmed links between the components of a bucket.
+    """Confirmed links between the components of a bucket, as a stage table.
 
     A bucket is cut into blocks of about ``block`` members by the key's hash, and
     every pair of blocks is a group. A first pass on the minima names the members
-    that have a likely partner; only their texts are fetched for the second.
+    that have a likely partner; only their sets are made for the second.
     """
     member = mixed.withColumn("blocks", F.ceil(F.col("size") / block).cast("int")).withColumn("mine", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
-    spread = member.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "band", "pos", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "key", "comp"
-    )
-    rows = spread.join(classes.select("key", "n", "bits", "bands"), "key")
+    own = member.select("band", "pos", "blocks", "mine", "key", "comp").join(classes.select("key", "n", "bits", "bands"), "key")
+    spread = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("i", F.least("mine", "other")).withColumn("j", F.greatest("mine", "other"))
+    schema = "band bigint, pos int, i int, j int, mine int, key binary, comp binary, n bigint, bits binary, bands array<bigint>"
+    names = [c.split()[0] for c in schema.split(", ")]
 
     def name(table: pa.Table) -> pa.Table:
         at, _ = _compare(table, percent, None)
-        return table.take(pa.array(at, pa.int64())).select(["band", "pos", "i", "j", "mine", "key", "comp", "n", "bits", "bands"])
+        return table.take(pa.array(at, pa.int64())).select(names)
 
-    schema = "band bigint, pos int, i int, j int, mine int, key binary, comp binary, n bigint, bits binary, bands array<bigint>"
-    likely = stage(rows.select(*[c.split()[0] for c in schema.split(", ")]).groupBy("band", "i", "j").applyInArrow(name, schema), "likely")
-    named = _texts_of(likely.select("key").distinct(), classes, texts)
+    likely = stage(spread.select(*names).groupBy("band", "i", "j").applyInArrow(name, schema), "likely")
+    sets = _sets_of(likely.select("key").distinct(), classes, texts)
 
     def link(table: pa.Table) -> pa.Table:
-        column, keys = table["text"], table["key"].to_pylist()
-        made: dict = {}
+        column = table["set"].combine_chunks()
+        off, values = column.offsets.to_numpy(), column.values.to_numpy().view(np.uint64)
+        _, links = _compare(table, percent, [values[a:b] for a, b in zip(off[:-1], off[1:])])
+        return pa.table({"u": pa.array([a for a, _ in links], pa.binary()), "v": pa.array([b for _, b in links], pa.binary())})
 
-        def sets(k):
-            if k not in made:
-                s = shingle_sets(column.slice(k, 1))[0]
-                made[k] = s if class_key(s) == keys[k] else None
-            return made[k]
+    out = stage(likely.join(sets, "key").groupBy("band", "i", "j").applyInArrow(link, "u binary, v binary").distinct(), "cross")
+    drop_stage(likely, sets)
+    return out
 
-        _, links = _compare(table, percent, sets)
-        return pa.table({"u": pa.array([a for a, _ in links], pa.binary()), "v": pa.array([b for _, b in links], pa.binary())})
 
-    return likely.join(named, "key").groupBy("band", "i", "j").applyInArrow(link, "u binary, v binary").distinct()
+def _grouped(docs: DataFrame, id_col: str, text_col: str, percent: int, block: int) -> tuple[DataFrame, DataFrame]:
+    """Stage tables of rows ``(id, version, n_shingles, key)`` and of class names
+    ``(key, comp, rep, first, n)``: a class's component, its first row, that of
+    its component, and its number of rows. ``version`` tells rows of one id apart
+    by their text."""
+    kind = docs.schema[id_col].dataType.simpleString()
+    text = F.col(text_col)
+    texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("version"), text.alias("text"))
+    sig = stage(_signatures(texts, kind), "signatures")
+    usable = sig.where("id is not null and key is not null")
+    first = [F.first(c).alias(c) for c in ("bands", "bits")]
+    classes = stage(usable.groupBy("key").agg(F.min(F.struct("id", "version")).alias("rep"), F.count(F.lit(1)).alias("rows"), F.first("n_shingles").alias("n"), *first), "classes")
+    texts = texts.where("id is not null and text is not null")
+    every = classes.select("key", F.posexplode("bands").alias("pos", "band"), F.col("key").alias("comp"))
+    drawn = stage(_hubs(every, HUBS[0], 0).where("size > 1"), "hubs")
+    members = stage(spread_join(every, drawn, "band", drawn.select("band", F.col("size").alias("n"))), "buckets")
+    drop_stage(drawn)
+    parts = None
+    for round_ in range(len(HUBS)):
+        pairs = stage(_hub_pairs(members), "pairs")
+        links = confirm(pairs, classes, texts, percent)
+        edges = links if parts is None else links.unionByName(parts.select(F.col("node").alias("u"), F.col("component").alias("v")))
+        new = components(edges)
+        mixed = _mixed(members, new, *((HUBS[round_ + 1], 100 * (round_ + 1)) if round_ + 1 < len(HUBS) else (1, 0)))
+        drop_stage(pairs, links, members, *([parts] if parts is not None else []))
+        parts, members = new, mixed
+    if members.head(1):
+        cross = _cross_links(members, classes, texts, percent, block)
+        if cross.head(1):
+            new = components(cross.unionByName(parts.select(F.col("node").alias("u"), F.col("component").alias("v"))))
+            drop_stage(parts)
+            parts = new
+        drop_stage(cross)
+    known = classes.join(parts, classes["key"] == parts["node"], "left").select("key", "rep", "rows", F.coalesce("component", "key").alias("comp"))
+    least = known.groupBy("comp").agg(F.min("rep").alias("first"), F.count(F.lit(1)).alias("n"))
+    names = stage(spread_join(known, least.drop("n"), "comp", least).select("key", "comp", "rep", "first", F.col("rows").alias("n")), "names")
+    rows = stage(sig.select("id", "version", "n_shingles", "key"), "rows")
+    drop_stage(members, parts, classes, sig)
+    return rows, names
 
 
 def near_duplicates(
@@ -231,39 +294,42 @@ def near_duplicates(
     component is named by its smallest id. Every row gives one row; other
     columns are ignored.
     """
-    kind = docs.schema[id_col].dataType.simpleString()
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    sig = stage(_signatures(texts, kind), "signatures")
-    usable = sig.where("id is not null and key is not null")
-    classes = stage(
-        usable.groupBy("key").agg(F.min("id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("bits").alias("bits")), "classes"
-    )
-    every = classes.select("key", F.posexplode("bands").alias("pos", "band"))
-    shared = every.groupBy("band").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("band")
-    members = stage(every.join(shared, "band").select("band", "pos", "key", F.col("key").alias("comp")), "buckets")
-    texts = texts.where("id is not null and text is not null")
-    parts, old = None, [members]
-    for round_, hubs in enumerate(HUBS):
-        pairs = stage(_hub_pairs(members, hubs, 100 * round_), "pairs")
-        links = confirm(pairs, classes, texts, percent)
-        if parts is not None:
-            links = links.unionByName(parts.select(F.col("node").alias("u"), F.col("component").alias("v")))
-        parts = components(links)
-        members = stage(_mixed(members, parts), "mixed")
-        drop_stage(pairs)
-        old += [members, parts]
-    if members.head(1):
-        cross = stage(_cross_links(members, classes, texts, percent, block), "cross")
-        if cross.head(1):
-            parts = components(cross.unionByName(parts.select(F.col("node").alias("u"), F.col("component").alias("v"))))
-        drop_stage(cross)
-    drop_stage(*[t for t in old if t is not parts])
-    known = classes.join(parts, classes["key"] == parts["node"], "left").select("key", "rep", F.coalesce("component", "key").alias("comp"))
-    named = known.join(known.groupBy("comp").agg(F.min("rep").alias("component_id"), F.count(F.lit(1)).alias("n")).where("n > 1").select("comp", "component_id"), "comp", "left")
-    names = named.select(F.col("key").alias("__key"), F.coalesce("component_id", "rep").alias("__component"))
-    # sets held by one id only, and linked with none, need no name from elsewhere
-    out = sig.select("id", "n_shingles", "key").join(names, F.col("key") == F.col("__key"), "left")
-    component = F.when(F.col("id").isNotNull(), F.coalesce("__component", "id"))
-    return out.select(
-        F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(False)).alias("kept")
-    )
+    rows, names = _grouped(docs, id_col, text_col, percent, block)
+    # classes of one row that are linked with none need no name from elsewhere
+    shared = names.where("n > 1 or rep <> first").select("key", F.col("first.id").alias("component"), "n")
+    known = rows.where("id is not null and key is not null")
+    loose = rows.where("id is null or key is null").withColumn("component", F.col("id"))
+    alone = known.join(shared.select("key").hint("shuffle_hash"), "key", "left_anti").withColumn("component", F.col("id"))
+    linked_ = spread_join(known, shared.drop("n"), "key", shared)
+    columns = [F.col("id").alias(id_col), "n_shingles", F.col("component").alias("component_id"), F.coalesce(F.col("component") == F.col("id"), F.lit(False)).alias("kept")]
+    return loose.select(*columns).unionByName(alone.select(*columns)).unionByName(linked_.select(*columns))
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = LINK_PERCENT, block: int = BLOCK) -> DataFrame:
+    """``docs`` with one row of each near-duplicate group: that of the smallest
+    id and, of rows of one id, of the smallest hash of the text.
+
+    Rows that are equal in id and text count once. Rows without an id, and texts
+    without words, are in no group and stay. Columns are those of ``docs``.
+    """
+    rows, names = _grouped(docs, id_col, text_col, percent, block)
+    version = F.xxhash64(F.col(text_col))
+    # of each class at most its first row stays, and of each component one class
+    shared = names.where("n > 1 or rep <> first")
+    known = rows.where("id is not null and key is not null").select("id", "version", "key")
+    gone = spread_join(known, shared.select("key", "rep", "first"), "key", shared.select("key", "n")).where("rep <> first or id <> rep.id or version <> rep.version")
+    gone = stage(gone.select(F.col("id").alias("__gone"), F.col("version").alias("__version")).distinct(), "gone")
+    twice = stage(rows.where("id is not null").groupBy("id", "version").count().where("count > 1").select(F.col("id").alias("__gone"), F.col("version").alias("__version")), "twice")
+    drop_stage(rows, names)
+
+    def same(side):
+        return (docs[id_col] == side["__gone"]) & (version.eqNullSafe(side["__version"]))
+
+    side = bounded(gone, gone.count())
+    left = docs.join(side, same(side), "left_anti")
+    n = twice.count()
+    if n:
+        side = bounded(twice, n)
+        again = left.join(side, same(side), "left_semi").withColumn("__version", version).dropDuplicates([id_col, "__version"]).drop("__version")
+        left = left.join(side, same(side), "left_anti").unionByName(again)
+    return left

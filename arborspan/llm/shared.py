@@ -40,17 +40,24 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._stage_path = path
+    # what a returned plan still reads goes when the application ends
+    _path, system = _file_system(spark, path)
+    system.deleteOnExit(_path)
     return out
 
 
+def _file_system(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
 def drop_stage(*tables: DataFrame) -> None:
     """Delete stage tables that no later plan reads."""
     for df in tables:
         path = getattr(df, "_stage_path", None)
         if path:
-            spark = df.sparkSession
-            p = spark._jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+            p, system = _file_system(df.sparkSession, path)
+            system.delete(p, True)
 
 
 #: A side of a join is broadcast only up to this many rows of a few integers (some 50 MB).
@@ -63,6 +70,36 @@ def bounded(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
+#: A key of more rows than this, and of more than a thousandth of all rows, is hot.
+HOT_ROWS, HOT_SHARE = 2000, 1000
+
+
+def spread_join(many: DataFrame, one: DataFrame, key: str, counts: DataFrame | None = None) -> DataFrame:
+    """``many`` with the columns of ``one``, which has one row for each ``key``;
+    rows without a partner go.
+
+    Hot keys of ``many`` are dealt over several tasks: a row goes to a block by
+    its hash, and the key's row in ``one`` to each block. Fewer than ``HOT_SHARE``
+    keys can be hot, so the list of them is safe to broadcast, at every size.
+    ``counts (key, n)``: rows by key, where they are known.
+    """
+    counts = many.groupBy(key).agg(F.count(F.lit(1)).alias("n")) if counts is None else counts.select(key, "n")
+    blocks = {
+        r[key]: -(-r["n"] // HOT_ROWS)
+        for r in counts.where(F.col("n") > HOT_ROWS).orderBy(F.desc("n")).limit(HOT_SHARE).collect()
+        if r[key] is not None
+    }
+    if not blocks:
+        return many.join(one.hint("shuffle_hash"), key)
+    kind = many.schema[key].dataType.simpleString()
+    hot = F.broadcast(many.sparkSession.createDataFrame(list(blocks.items()), f"`{key}` {kind}, __blocks int"))
+    own = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in many.columns]), F.coalesce("__blocks", F.lit(1))).cast("int")
+    dealt = many.join(hot, key, "left").withColumn("__block", own).drop("__blocks")
+    copies = F.explode(F.sequence(F.lit(0), F.coalesce("__blocks", F.lit(1)) - 1))
+    copied = one.join(hot, key, "left").withColumn("__block", copies).drop("__blocks")
+    return dealt.join(copied.hint("shuffle_hash"), [key, "__block"]).drop("__block")
+
+
 # ------------------------------------------------------------- text as buffers
 
 

@@ -11,7 +11,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from arborspan.llm import decontaminate, line_align, minhash, mixture, queries, vector_join
+from arborspan.llm import decontaminate, line_align, minhash, mixture, queries, shared, vector_join
 from arborspan.llm.shared import components
 
 SPACE = r"[^\x20\x09-\x0D]+"
@@ -429,3 +429,21 @@ def test_mix_equals_sql(spark, tiny):
     names = [d[0] for d in con.description]
     want = sorted(map(tuple, con.fetchall()))
     assert sorted(tuple(r[c] for c in names) for r in queries.op3_weighted_fair_mix(spark, tiny).collect()) == want
+
+
+def test_hot_keys_are_dealt_over_tasks(spark, monkeypatch):
+    monkeypatch.setattr(shared, "HOT_ROWS", 50)
+    many = spark.range(1000).select((F.col("id") % 7).alias("x"), "id").withColumn("key", F.when(F.col("x") < 3, 0).otherwise(F.col("id")))
+    one = spark.range(0, 1000, 2).select(F.col("id").alias("key"), (F.col("id") * 10).alias("value"))
+    for counts in (None, many.groupBy("key").agg(F.count(F.lit(1)).alias("n"))):
+        got = {(r["id"], r["key"], r["value"]) for r in shared.spread_join(many, one, "key", counts).collect()}
+        assert got == {(i, k, 10 * k) for i in range(1000) for k in [0 if i % 7 < 3 else i] if k % 2 == 0}
+    blocks = shared.spread_join(many, one, "key")._jdf.queryExecution().optimizedPlan().toString()
+    assert "__block" in blocks
+
+
+def test_near_duplicates_with_hot_buckets(spark, monkeypatch):
+    monkeypatch.setattr(shared, "HOT_ROWS", 5)
+    rows = near_rows(60, seed=4)
+    _, comp = brute_near(rows)
+    assert {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), block=8).collect()} == comp

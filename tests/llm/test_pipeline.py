@@ -79,3 +79,15 @@ def test_stages_on_empty_and_repeated_rows(spark, tmp_path):
             assert out.count() <= table.count()
     assert P.near_dedup(spark, extra, folder).where("doc_id = 2").count() == 1
     assert P.near_dedup(spark, extra, folder).where("doc_id is null").count() == 1
+
+
+def test_rows_of_one_id_are_judged_by_their_own_text(spark):
+    text = lambda name, n=104: " ".join(f"{name}{k}" for k in range(n))
+    near = text("p").replace("p50 ", "other ")
+    rows = [(1, text("p")), (2, text("p")), (2, text("q")), (3, text("r")), (3, near), (4, text("s")), (4, text("s").replace("s50 ", "new ")), (5, text("t")), (5, text("t"))]
+    docs = spark.createDataFrame([(i, t, "en", "src") for i, t in rows], "doc_id long, text string, lang string, source string")
+    got = sorted((r["doc_id"], r["text"]) for r in P.near_dedup(spark, docs, "").collect())
+    assert [x for x in got if x[0] < 4] == [(1, text("p")), (2, text("q")), (3, text("r"))]
+    assert [x[0] for x in got if x[0] > 3] == [4, 5]
+    cut = {(r["doc_id"], r["text"]) for r in P.line_dedup(spark, docs.where("doc_id < 3"), "").collect()}
+    assert cut == {(1, text("p")), (2, text("q"))}
