@@ -8,11 +8,10 @@ row for each document that it takes, with the words taken.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from arborspan.llm import decontaminate, line_align, minhash, mixture, quality
 from arborspan.llm.queries import QUALITY_FOLDS, QUALITY_HELD, fold, table
-from arborspan.llm.shared import bounded, stage
+from arborspan.llm.shared import drop_stage, stage
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,17 +32,10 @@ NEAR_PERCENT = 80
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group, that of the smallest id.
 
-    Rows of one id and text count once; rows without an id stay.
+    Rows that are equal in id and text count once; a row that shares its id with
+    another text is judged by its own text; rows without an id stay.
     """
-    found = stage(minhash.near_duplicates(docs, percent=NEAR_PERCENT).select("doc_id", "kept"), "near")
-    gone = found.where("doc_id is not null and not kept").select(F.col("doc_id").alias("__gone")).distinct()
-    out = docs.join(bounded(gone, gone.count()), F.col("doc_id") == F.col("__gone"), "left_anti")
-    twice = found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("__twice"))
-    n = twice.count()
-    if n:
-        same = F.col("doc_id") == F.col("__twice")
-        out = out.join(bounded(twice, n), same, "left_anti").unionByName(out.join(bounded(twice, n), same, "left_semi").dropDuplicates(["doc_id", "text"]))
-    return out.select(*docs.columns)
+    return minhash.drop_near_duplicates(docs, percent=NEAR_PERCENT).select(*docs.columns)
 
 
 def benchmark_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -70,7 +62,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the whole table; each one's rows are written and read again."""
     docs = table(spark, sf_dir, "documents")
     for name, step in STAGES[:-1]:
-        docs = stage(step(spark, docs, sf_dir), name)
+        new = stage(step(spark, docs, sf_dir), name)
+        drop_stage(docs)
+        docs = new
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
