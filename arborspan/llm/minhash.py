@@ -159,6 +159,13 @@ def _hubs(members: DataFrame, hubs: int, salt: int, *more) -> DataFrame:
     return members.groupBy("band").agg(F.count(F.lit(1)).alias("size"), F.array_distinct(F.array(*[turn(h) for h in range(hubs)])).alias("hubs"), *more)
 
 
+def _with_hubs(members: DataFrame, hubs: int, salt: int, counts: DataFrame) -> DataFrame:
+    drawn = stage(_hubs(members, hubs, salt), "hubs")
+    out = stage(spread_join(members, drawn, "band", counts), "buckets")
+    drop_stage(drawn)
+    return out
+
+
 def _hub_pairs(members: DataFrame) -> DataFrame:
     """Distinct pairs of a bucket's hubs and its members of other components."""
     pairs = members.select("key", "comp", F.explode("hubs").alias("h")).where("key <> h.hub and comp <> h.hub_comp")
@@ -255,10 +262,11 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, percent: int, block: i
     first = [F.first(c).alias(c) for c in ("bands", "bits")]
     classes = stage(usable.groupBy("key").agg(F.min(F.struct("id", "version")).alias("rep"), F.count(F.lit(1)).alias("rows"), F.first("n_shingles").alias("n"), *first), "classes")
     texts = texts.where("id is not null and text is not null")
-    every = classes.select("key", F.posexplode("bands").alias("pos", "band"), F.col("key").alias("comp"))
-    drawn = stage(_hubs(every, HUBS[0], 0).where("size > 1"), "hubs")
-    members = stage(spread_join(every, drawn, "band", drawn.select("band", F.col("size").alias("n"))), "buckets")
-    drop_stage(drawn)
+    every = classes.select("key", F.posexplode("bands").alias("pos", "band"))
+    shared = stage(every.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "shared")
+    found = stage(spread_join(every, shared.select("band"), "band", shared).withColumn("comp", F.col("key")), "found")
+    members = _with_hubs(found, HUBS[0], 0, shared)
+    drop_stage(shared, found)
     parts = None
     for round_ in range(len(HUBS)):
         pairs = stage(_hub_pairs(members), "pairs")
