@@ -19,6 +19,8 @@ from ..plans.prefix import range_bucket, running_totals
 EPS = float(np.finfo(np.float64).eps)
 #: Two medians are averaged when the weight below them is half of all within this.
 HALF_TOLERANCE = 1e-12
+#: Losses that differ by less than this share of the whole are equal: sums that were added in another order differ that much.
+TIE_SHARE = 1e-11
 
 #: The names that criteria go by.
 CLASSIFICATION = {"gini": "gini", "entropy": "entropy", "log_loss": "entropy"}
@@ -96,6 +98,11 @@ def weighted_median(df: DataFrame, groups: list[str], y: str, w: str, pieces: in
 # --------------------------------------------------------------------- numpy
 
 
+def first_least(values: np.ndarray, whole: float) -> int:
+    """Place of the first of the least values, of which some may differ by rounding only."""
+    return int(np.argmax(values <= values.min() + TIE_SHARE * abs(whole)))
+
+
 def safe_divide(a, b):
     return np.divide(a, b, out=np.zeros(np.broadcast(a, b).shape), where=np.asarray(b) > 0)
 

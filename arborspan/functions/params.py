@@ -68,7 +68,10 @@ class TreeParams:
     inner_max_leaf_nodes: int | None = 4
     inner_min_samples_leaf: int = 13
     inner_min_impurity_decrease: float = 0.01
+    #: Moves of bins between children, for each bin at most.
     coordinate_descent_max_iters: int = 10
+    #: Idle rounds after which the search ends; the best of all moves is looked
+    #: for, so the first idle round proves that none is left.
     coordinate_descent_patience: int = 5
     random_state: int | None = 42
     max_features: object = None

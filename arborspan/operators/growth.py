@@ -117,7 +117,7 @@ def describe(bins: inner.Bins, choice: assignment.Choice, logical: list[int], lo
     }
 
 
-def search_feature(frame: pd.DataFrame, feature: Feature, f: int, params: TreeParams, loss: Loss, classes, max_arity: int, parent: float | None, seed: int):
+def search_feature(frame: pd.DataFrame, feature: Feature, f: int, params: TreeParams, loss: Loss, classes, max_arity: int, parent: float | None):
     """All candidates of one (tree, node, feature), and the proxy for pairs."""
     x = frame["x"].to_numpy(float)
     gone = np.isnan(x)
@@ -127,7 +127,6 @@ def search_feature(frame: pd.DataFrame, feature: Feature, f: int, params: TreePa
     missing = sums_of(frame[gone], np.zeros(int(gone.sum()), np.int64), 1, classes, loss.outputs, absolute)
     if parent is None:
         parent = loss.whole(inner._append(sums, missing)) / loss.outputs
-    rng = np.random.default_rng(seed)
     caps = params.inner_max_depth, params.inner_max_leaf_nodes
     if feature.numeric:
         bins = inner.numeric_bins(values, sums, missing, loss, params.inner_min_samples_leaf, params.inner_min_impurity_decrease, *caps)
@@ -137,7 +136,7 @@ def search_feature(frame: pd.DataFrame, feature: Feature, f: int, params: TreePa
     if bins is None:
         return [], None
     run = lambda b, k, rounds: assignment.search(
-        b, loss, parent, k, params.min_samples_leaf, params.min_impurity_decrease, params.branching_penalty, rounds, params.coordinate_descent_patience, rng, params.mae_coordinate_descent
+        b, loss, parent, k, params.min_samples_leaf, rounds, params.mae_coordinate_descent
     )
     found = run(bins, max_arity, params.coordinate_descent_max_iters)
     out = [describe(bins, c, [f], loss) for c in found.values()]
@@ -178,12 +177,11 @@ def _discover(table: Table, params: TreeParams, loss: Loss, trees: dict[int, Tre
         long = long.join(F.broadcast(allowed), ["tree", "node", "f"])  # open nodes times features: bounded by the trees' own size
     sums = aggregate(long, ["tree", "node", "f", "x"], table, absolute)
     parents = {key: info["impurity"] for key, info in open_.items()}
-    seeds = {key: node_seed(params.random_state, key[0], info["path"]) for key, info in open_.items()}
 
     def run(key: tuple[Any, ...], frame: pd.DataFrame) -> pd.DataFrame:
         t, k, f = (int(v) for v in key)
         frame = frame.sort_values(["x", *[c for c in frame.columns if c.startswith("y")]], kind="stable")
-        got = search_feature(frame, features[f], f, params, loss, classes, max_arity, parents[t, k], seeds[t, k] ^ f)
+        got = search_feature(frame, features[f], f, params, loss, classes, max_arity, parents[t, k])
         return pd.DataFrame({"tree": [t], "node": [k], "f": [f], "payload": [pickle.dumps(got)]})
 
     got = sums.groupBy("tree", "node", "f").applyInPandas(run, "tree int, node int, f int, payload binary").collect()
@@ -279,7 +277,6 @@ def _pairs(table, params, loss, trees, open_, by_node, budget, max_arity) -> dic
     joint = rows.join(F.broadcast(wanted), ["tree", "node"]).select("tree", "node", "fa", "fb", F.element_at(values, F.col("fa") + 1).alias("xa"), F.element_at(values, F.col("fb") + 1).alias("xb"), "mult", "w", *table.targets)
     sums = aggregate(joint, ["tree", "node", "fa", "fb", "xa", "xb"], table, loss.absolute)
     parents = {key: info["impurity"] for key, info in open_.items()}
-    seeds = {key: node_seed(params.random_state, key[0], info["path"], "pair") for key, info in open_.items()}
 
     def fit(key: tuple[Any, ...], frame: pd.DataFrame) -> pd.DataFrame:
         t, k, a, b = (int(v) for v in key)
@@ -289,8 +286,7 @@ def _pairs(table, params, loss, trees, open_, by_node, budget, max_arity) -> dic
         bins = pairs.pair_bins(x, (features[a].kind, features[b].kind), part, loss, params.inner_min_samples_leaf, params.inner_min_impurity_decrease, params.inner_max_depth, params.inner_max_leaf_nodes)
         got = []
         if len(bins.sums) >= 2:
-            rng = np.random.default_rng(seeds[t, k] ^ (a * 1_000_003 + b))
-            found = assignment.search(bins, loss, parents[t, k], max_arity, params.min_samples_leaf, params.min_impurity_decrease, params.branching_penalty, params.coordinate_descent_max_iters, params.coordinate_descent_patience, rng, params.mae_coordinate_descent)
+            found = assignment.search(bins, loss, parents[t, k], max_arity, params.min_samples_leaf, params.coordinate_descent_max_iters, params.mae_coordinate_descent)
             got = [describe(bins, c, [a, b], loss) for c in found.values()]
         return pd.DataFrame({"tree": [t], "node": [k], "fa": [a], "fb": [b], "payload": [pickle.dumps(got)]})
 

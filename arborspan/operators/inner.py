@@ -127,7 +127,7 @@ def best_cut(x: np.ndarray, sums: Sums, loss: Loss, lo: int, hi: int, min_leaf:
         rw, rs = np.cumsum(sums.w[lo:hi][::-1])[::-1][1:], np.cumsum(sums.s[lo:hi][::-1], 0)[::-1][1:]
         score = left.w * loss.of(left) + rw * loss.of(Sums(total - n[:-1], rw, rs))
     score = np.where(ok & np.isfinite(score), score, np.inf)
-    k = int(np.argmin(score))
+    k = C.first_least(score, float(sums.w[lo:hi].sum()) * loss.whole(sums.take(np.arange(lo, hi))))
     return (float(score[k]), lo + k + 1) if np.isfinite(score[k]) else None
 
 
@@ -226,6 +226,7 @@ def category_bins(codes: np.ndarray, sums: Sums, missing: Sums, loss: Loss, cate
         cells = rest_of(left)
         every = _append(cells, missing)
         n, best = int(every.n.sum()), None
+        impurity, w = loss.whole(every), float(every.w.sum())
         for c in left:
             if c not in index:
                 continue
@@ -236,11 +237,10 @@ def category_bins(codes: np.ndarray, sums: Sums, missing: Sums, loss: Loss, cate
                 continue
             a = sums.take([index[c]])
             score = float(a.w.sum() * loss.whole(a) + inactive.w.sum() * loss.whole(inactive))
-            if np.isfinite(score) and (best is None or score < best[0]):
+            if np.isfinite(score) and (best is None or score < best[0] - C.TIE_SHARE * abs(w * impurity)):
                 best = score, c
         if best is None:
             return None
-        impurity, w = loss.whole(every), float(every.w.sum())
         return (impurity - best[0] / w if w > 0 else 0.0), impurity, depth, (left, best[1])
 
     def expand(payload, depth):
@@ -268,6 +268,8 @@ def numeric_stump(x: np.ndarray, sums: Sums, missing: Sums, loss: Loss, min_leaf
     m = len(x)
     if not m:
         return None
+    every = _append(sums, missing)
+    slack = C.TIE_SHARE * abs(float(every.w.sum()) * loss.whole(every))
     groups = [0]  # cells that begin a new value
     for i in range(1, m):
         if np.float32(x[i]) > np.float32(x[i - 1]) + VALUE_TOLERANCE:
@@ -283,7 +285,7 @@ def numeric_stump(x: np.ndarray, sums: Sums, missing: Sums, loss: Loss, min_leaf
             if min(counts) < max(min_leaf, 1):
                 continue
             value = sum(float(p.w.sum()) * loss.whole(p) for p in parts)
-            if np.isfinite(value) and value < best:
+            if np.isfinite(value) and value < best - (slack if np.isfinite(best) else 0):
                 best, cut = value, at
     return _stump(x, sums, missing, cut)
 
@@ -322,7 +324,8 @@ def fast_numeric_stump(x: np.ndarray, sums: Sums, missing: Sums, loss: Loss, min
         value = a[1] * loss.of(Sums(*a)) + b[1] * loss.of(Sums(*b))
         scores.append(np.where((np.minimum(a[0], b[0]) >= max(min_leaf, 1)) & np.isfinite(value), value, np.inf))
     both = np.minimum(*scores)
-    k = int(np.argmin(both))
+    every = _append(sums, missing)
+    k = C.first_least(both, float(every.w.sum()) * loss.whole(every))
     if np.isfinite(both[k]):
         best, cut = both[k], int(bounds[k])
     return _stump(x, sums, missing, cut)
@@ -331,6 +334,8 @@ def fast_numeric_stump(x: np.ndarray, sums: Sums, missing: Sums, loss: Loss, min
 def category_stump(codes: np.ndarray, sums: Sums, missing: Sums, loss: Loss, categories: int, min_leaf: int) -> Bins | None:
     """One category against the rest, with missing rows on either side."""
     best = None
+    every = _append(sums, missing)
+    slack = C.TIE_SHARE * abs(float(every.w.sum()) * loss.whole(every))
     for i, c in enumerate(codes):
         others = np.array([k for k in range(len(codes)) if k != i], np.int64)
         for missing_active in (False, True):
@@ -339,7 +344,7 @@ def category_stump(codes: np.ndarray, sums: Sums, missing: Sums, loss: Loss, cat
             if min(a.n.sum(), b.n.sum()) < max(min_leaf, 1):
                 continue
             value = float(a.w.sum() * loss.whole(a) + b.w.sum() * loss.whole(b))
-            if np.isfinite(value) and (best is None or value < best[0]):
+            if np.isfinite(value) and (best is None or value < best[0] - slack):
                 best = value, int(c), i, others
     if best is None:
         parts = sums.merged([np.arange(len(codes))])

@@ -21,16 +21,45 @@ def impurity_column(kind: str, sums: list[Column], weight: Column) -> Column:
     raise ValueError(kind)
 
 
+#: Two losses are equal when they differ by less than this share of the group's own loss, in decimals.
+TIE_DECIMALS = 10
+
+
+def centred(cells: DataFrame, group: list[str], kind: str, outputs: list[list[str]]) -> DataFrame:
+    """``cells`` with squared-error sums taken about their group's mean, so that
+    sums of squares don't cancel; other criteria's sums stay."""
+    if kind != "squared_error":
+        return cells
+    means = cells.groupBy(*group).agg(*[(F.sum(wy) / F.nullif(F.sum("w"), F.lit(0.0))).alias(f"mean_{wy}") for wy, _ in outputs])
+    out = cells.join(F.broadcast(means), group)
+    for wy, wyy in outputs:
+        m = F.coalesce(f"mean_{wy}", F.lit(0.0))
+        out = out.withColumn(wyy, F.col(wyy) - 2 * m * F.col(wy) + m * m * F.col("w")).withColumn(wy, F.col(wy) - m * F.col("w")).drop(f"mean_{wy}")
+    return out
+
+
+def whole_loss(kind: str, outputs: list[list[str]], sums) -> Column:
+    """Impurity times weight of a whole group, summed over outputs; ``sums(name)`` is a total."""
+    parts = [sums("w") * impurity_column(kind, [sums(c) for c in o], sums("w")) for o in outputs]
+    return C.total([F.coalesce(p, F.lit(0.0)) for p in parts])
+
+
+def ranked(loss, whole: Column) -> Column:
+    """What cuts are compared by: the loss as a share of the group's own."""
+    return F.round(F.coalesce(F.col(loss) / F.nullif(whole, F.lit(0.0)), F.col(loss)), TIE_DECIMALS)
+
+
 def best_cuts(cells: DataFrame, group: list[str], kind: str, outputs: list[list[str]], min_leaf: int = 1, pieces: int = 1) -> DataFrame:
     """Per group, the best numeric cut of ``cells (group.., x, n, w, sums..)``.
 
     ``outputs`` lists each output's sum columns. Equal losses go to the smallest
-    value. ``pieces`` cuts a group's running sums into that many tasks. Groups
+    value; they are compared relative to the group's loss, which no scale of the
+    target and no order of partial sums changes. ``pieces`` cuts a group's running sums into that many tasks. Groups
     without a cut have no row. Columns: ``threshold, loss, n_left, n_right``;
     ``loss`` is the children's impurity times weight, summed over outputs.
     """
     stats = [c for o in outputs for c in o]
-    known = cells.where(F.col("x").isNotNull())
+    known = centred(cells.where(F.col("x").isNotNull()), group, kind, outputs)
     totals = known.groupBy(*group).agg(F.sum("n").alias("t_n"), F.sum("w").alias("t_w"), *[F.sum(c).alias(f"t_{c}") for c in stats])
     run = running_totals(range_bucket(known, group, "x", pieces), group, "bucket", [F.col("x")], {"n": "l_n", "w": "l_w"} | {c: f"l_{c}" for c in stats})
     # the next value is in the same piece, or the least of the piece after
@@ -53,9 +82,10 @@ def best_cuts(cells: DataFrame, group: list[str], kind: str, outputs: list[list[
     fits = (F.col("l_n") >= min_leaf) & (right["n"] >= min_leaf)
     middle = F.col("x") / 2 + F.col("nx") / 2
     found = run.where(F.col("nx").isNotNull() & apart & fits).select(
-        *group, "x", F.when(middle == F.col("nx"), F.col("x")).otherwise(middle).alias("threshold"), loss.alias("loss"), F.col("l_n").alias("n_left"), right["n"].alias("n_right")
-    )
-    pick = F.min_by(F.struct("threshold", "loss", "n_left", "n_right"), F.struct(F.round("loss", 9), "x"))
+        *group, "x", F.when(middle == F.col("nx"), F.col("x")).otherwise(middle).alias("threshold"), loss.alias("loss"), F.col("l_n").alias("n_left"), right["n"].alias("n_right"),
+        whole_loss(kind, outputs, lambda c: F.col(f"t_{c}")).alias("whole"),
+    )
+    pick = F.min_by(F.struct("threshold", "loss", "n_left", "n_right"), F.struct(ranked("loss", F.col("whole")), "x"))
     return found.groupBy(*group).agg(pick.alias("b")).select(*group, "b.*")
 
 
@@ -73,6 +103,7 @@ def best_categories(cells: DataFrame, group: list[str], kind: str, outputs: list
     """
     stats = [c for o in outputs for c in o]
     names = ["n", "w", *stats]
+    cells = centred(cells, group, kind, outputs)
     totals = cells.groupBy(*group).agg(*[F.sum(c).alias(f"t_{c}") for c in names], *[F.coalesce(F.sum(F.when(F.col("x").isNull(), F.col(c))), F.lit(0)).alias(f"m_{c}") for c in names])
     known = cells.where("x is not null").join(F.broadcast(totals), group)
     options = known.withColumn("with_missing", F.explode(F.array(*[F.lit(k) for k in ((0, 1) if missing_sides else (0,))])))
@@ -82,8 +113,8 @@ def best_categories(cells: DataFrame, group: list[str], kind: str, outputs: list
     for o in outputs:
         both = F.coalesce(a["w"] * impurity_column(kind, [a[c] for c in o], a["w"]), F.lit(0.0)) + F.coalesce(b["w"] * impurity_column(kind, [b[c] for c in o], b["w"]), F.lit(0.0))
         loss = both if loss is None else loss + both
-    found = options.where((a["n"] >= min_leaf) & (b["n"] >= min_leaf)).select(*group, "x", "with_missing", loss.alias("loss"), a["n"].alias("n_in"), b["n"].alias("n_out"))
-    pick = F.min_by(F.struct(F.col("x").alias("category"), "with_missing", "loss", "n_in", "n_out"), F.struct(F.round("loss", 9), "x", "with_missing"))
+    found = options.where((a["n"] >= min_leaf) & (b["n"] >= min_leaf)).select(*group, "x", "with_missing", loss.alias("loss"), a["n"].alias("n_in"), b["n"].alias("n_out"), whole_loss(kind, outputs, lambda c: F.col(f"t_{c}")).alias("whole"))
+    pick = F.min_by(F.struct(F.col("x").alias("category"), "with_missing", "loss", "n_in", "n_out"), F.struct(ranked("loss", F.col("whole")), "x", "with_missing"))
     return found.groupBy(*group).agg(pick.alias("b")).select(*group, "b.*")
 
 
@@ -95,6 +126,7 @@ def best_stumps(cells: DataFrame, group: list[str], kind: str, outputs: list[lis
     """
     stats = [c for o in outputs for c in o]
     names = ["n", "w", *stats]
+    cells = centred(cells, group, kind, outputs)
     gone = cells.groupBy(*group).agg(*[F.coalesce(F.sum(F.when(F.col("x").isNull(), F.col(c))), F.lit(0)).alias(f"m_{c}") for c in names])
     known = cells.where("x is not null")
     up = Window.partitionBy(*group).orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
@@ -112,7 +144,8 @@ def best_stumps(cells: DataFrame, group: list[str], kind: str, outputs: list[lis
         loss = both if loss is None else loss + both
     middle = F.col("x") / 2 + F.col("nx") / 2
     found = run.where((a["n"] >= min_leaf) & (b["n"] >= min_leaf)).select(
-        *group, "x", "missing_side", F.when(middle == F.col("nx"), F.col("x")).otherwise(middle).alias("threshold"), loss.alias("loss"), a["n"].alias("n_left"), b["n"].alias("n_right")
-    )
-    pick = F.min_by(F.struct("threshold", "missing_side", "loss", "n_left", "n_right"), F.struct(F.round("loss", 9), "x", "missing_side"))
+        *group, "x", "missing_side", F.when(middle == F.col("nx"), F.col("x")).otherwise(middle).alias("threshold"), loss.alias("loss"), a["n"].alias("n_left"), b["n"].alias("n_right"),
+        whole_loss(kind, outputs, lambda c: a[c] + b[c]).alias("whole"),
+    )
+    pick = F.min_by(F.struct("threshold", "missing_side", "loss", "n_left", "n_right"), F.struct(ranked("loss", F.col("whole")), "x", "missing_side"))
     return found.groupBy(*group).agg(pick.alias("b")).select(*group, "b.*")

@@ -1,3 +1,5 @@
+from itertools import product
+
 import numpy as np
 import pytest
 from hypothesis import given, settings
@@ -97,7 +99,7 @@ def test_search_never_beats_its_parent_bound_and_observes_root():
     loss = Loss("gini", 1)
     bins = inner.numeric_bins(keys, own, gone, loss, 1, 0.0, None, 8)
     whole = loss.whole(own)
-    found = assignment.search(bins, loss, whole, 4, 1, 0.0, 0.0, 10, 5, np.random.default_rng(0))
+    found = assignment.search(bins, loss, whole, 4, 1, 10)
     root = assignment.Partition(bins.sums, loss, bins.root_labels(0), 2).score()[0]
     best = {}
     for (arity, _), c in found.items():
@@ -111,3 +113,74 @@ def test_inner_tree_respects_limits():
     assert bins.thresholds == [9.5] and bins.sums.n.tolist() == [10, 10, 0]
     assert inner.numeric_bins(keys, own, gone, Loss("gini", 1), 11, 0.0, None, None).thresholds == []
     assert inner.numeric_bins(np.zeros(0), own.take([]), gone, Loss("gini", 1), 1, 0.0, None, None) is None
+
+
+def assignments(b, k):
+    """Every assignment of ``b`` bins to ``k`` children."""
+    return product(range(k), repeat=b)
+
+
+@pytest.mark.parametrize("criterion", ["gini", "entropy", "squared_error", "absolute_error"])
+def test_tables_of_moves_equal_plain_scores(criterion):
+    rng = np.random.default_rng(3)
+    for trial in range(12):
+        bins = random_bins(rng, criterion, 6)
+        loss = Loss(criterion, 1)
+        k = 2 + trial % 2
+        labels = rng.integers(0, k, 6)
+        if trial % 3 == 0:
+            labels[-1] = k
+        part = assignment.Partition(bins, loss, labels, k)
+        got, n = part.moves()
+        for j in range(6):
+            for p in range(k):
+                trial_labels = labels.copy()
+                trial_labels[j] = p
+                plain = assignment.Partition(bins, loss, trial_labels, k)
+                value, rows = plain.score()
+                assert got[j, p] == pytest.approx(value * bins.w[trial_labels < k].sum(), abs=1e-9) and (n[j, p] == rows).all()
+        if trial % 3 == 0:
+            both, rows = part.moves(5)
+            for j in range(5):
+                for p in range(k):
+                    for m in range(k):
+                        trial_labels = labels.copy()
+                        trial_labels[j], trial_labels[5] = p, m
+                        value, count = assignment.Partition(bins, loss, trial_labels, k).score()
+                        assert both[j, p, m] == pytest.approx(value * bins.w.sum(), abs=1e-9) and (rows[j, p, m] == count).all()
+
+
+def random_bins(rng, criterion, b):
+    y, w = rng.integers(0, 3, (b, 7)).astype(float), rng.integers(0, 3, (b, 7)).astype(float)
+    mass = w.sum(1)
+    if criterion in ("gini", "entropy"):
+        s = np.stack([(w * (y == c)).sum(1) for c in range(3)], 1)[:, None, :]
+    else:
+        s = np.stack([(w * y).sum(1), (w * y * y).sum(1)], 1)[:, None, :]
+    return inner.Sums(np.full(b, 7), mass, s, [v[:, None] for v in y], list(w)) if criterion == "absolute_error" else inner.Sums(np.full(b, 7), mass, s)
+
+
+@pytest.mark.parametrize("criterion", ["gini", "squared_error"])
+def test_search_is_near_the_best_of_all_assignments(criterion):
+    rng = np.random.default_rng(5)
+    loss, near = Loss(criterion, 1), 0
+    for _ in range(20):
+        sums_ = random_bins(rng, criterion, 7)
+        bins = inner.Bins("numeric", sums_, [float(i) for i in range(5)], root=[0, 0, 1, 1, 1, 1])
+        whole = loss.whole(sums_)
+        found = assignment.search(bins, loss, whole, 3, 1, 10)
+        for k in (2, 3):
+            best = min(assignment.Partition(sums_, loss, a, k).score()[0] for a in assignments(7, k) if len(set(a)) == k)
+            got = min((c.impurity for (arity, _), c in found.items() if arity == k), default=np.inf)
+            assert got >= best - 1e-9
+            near += got <= best + 0.02 * whole
+    assert near >= 36
+
+
+def test_equal_cuts_go_to_the_first_at_any_scale():
+    values = np.array([1.0, 0.1, 0.7, 0.3, 0.7, 0.1, 1.0])
+    for scale in (1e-9, 1.0, 1e9):
+        keys, own, _ = sums(range(7), [0] * 7)
+        y = values * scale
+        own = inner.Sums(own.n, own.w, np.stack([y, y * y], 1)[:, None, :])
+        assert inner.best_cut(keys, own, Loss("squared_error", 1), 0, 7, 1)[1] == 1
