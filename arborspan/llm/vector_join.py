@@ -1,12 +1,15 @@
 """Embedding near-duplicates by an exact metric range join (operator 6).
 
 On the unit sphere a cosine of at least ``c`` is a distance of at most
-``r = sqrt(2 - 2c)``. Vectors go to the cell of their nearest pivot, and by the
-triangle inequality also to every cell in which a partner may live: those with
-``d(x, p) <= radius(p) + r`` and ``d(x, p) <= d(x, home) + 2r`` (the distance to
-the bisecting plane, which is sharper, is tested too). A pair is found in the
-cell of its first member's home, so cells join independently; a large cell is
-cut into blocks whose pairs are tasks of their own.
+``r = sqrt(2 - 2c)``. Each label has pivots of its own, and a vector lives in the
+cell of its nearest one. By the triangle inequality its partners live only in
+cells with ``d(x, p) <= radius(p) + r`` and ``d(x, p) <= d(x, home) + 2r`` (the
+distance to the bisecting plane, which is sharper, is tested too). Of two such
+cells one is the receiver: vectors of the other one are dealt to it as guests,
+so every pair meets in just one cell, and cells join independently: residents
+with residents and with guests. That is never more comparing than all pairs of a
+label; the better vectors are clustered, the fewer guests there are. A large cell
+is cut into blocks whose pairs are tasks of their own.
 """
 
 from __future__ import annotations
@@ -18,78 +21,154 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import components, map_texts, stage
+from .shared import bounded, components, drop_stage, map_texts, spread_join, stage
 
 #: Least cosine of a link.
 MIN_COSINE = 0.93
-#: Pivots at most (they are sent to every worker: 4096 vectors of 64 doubles are
-#: 2 MB), vectors per pivot aimed at, and vectors of a block.
-MAX_PIVOTS, PER_PIVOT, BLOCK = 4096, 500, 2048
-#: Vectors of the sample by which the number of pivots is chosen.
-PROBES = 1000
+#: Pivots of all labels, and bytes of them, at most (they are sent to every
+#: worker); residents per cell aimed at, and vectors of a block; vectors from
+#: which on a label has two pivots at least.
+MAX_PIVOTS, PIVOT_BYTES, PER_PIVOT, BLOCK, SPLIT = 4096, 16 << 20, 1024, 2048, 32
 #: What distances in single steps of double precision may be off by.
 SLACK = 1e-9
 
 
 def _usable(column) -> np.ndarray:
-    """Row numbers of vectors that are finite and not zero."""
-    ok = []
-    for k in range(len(column)):
-        v = column[k].values
-        if v.null_count == 0:
-            x = np.asarray(v.to_numpy(zero_copy_only=False), np.float64)
-            norm = math.sqrt(float(x @ x)) if np.isfinite(x).all() else 0.0
-            if norm > 0 and math.isfinite(norm):
-                ok.append(k)
-    return np.array(ok, np.int64)
+    """Row numbers of vectors that are finite and not zero; none is null or empty."""
+    if not len(column):
+        return np.zeros(0, np.int64)
+    x = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)  # null is not finite either
+    size = np.diff(column.offsets.to_numpy())
+    heads = np.cumsum(size) - size
+    return np.flatnonzero(np.logical_and.reduceat(np.isfinite(x), heads) & np.logical_or.reduceat(x != 0, heads))
 
 
 def _matrix(column) -> np.ndarray:
-    """Unit vectors, in double precision, of a column of vectors of one length."""
+    """Unit vectors, in double precision, of a column of vectors of one length;
+    scaled by their largest component first, so that no square over- or underflows."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     x = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+    x = x / np.abs(x).max(1)[:, None]
     return x / np.sqrt((x * x).sum(1))[:, None]
 
 
-def choose_pivots(sample: np.ndarray, total: int, r: float, max_pivots: int, per_pivot: int) -> np.ndarray:
-    """The first vectors of a sample, as many as make the join cheapest.
+class Cells:
+    """The pivots of one label and, once it is known, how far their cells reach."""
 
-    For each number of pivots, the rest of the sample shows in how many cells a
-    vector is dealt; where vectors are so far apart that all cells get nearly
-    everything, one cell is cheaper than many.
+    def __init__(self, pivots: np.ndarray, radius: np.ndarray | None = None):
+        self.pivots, self.radius = pivots, radius
+        self.apart = np.sqrt(np.maximum(2 - 2 * (pivots @ pivots.T), 0))
+        at = np.arange(len(pivots))
+        odd = (at[:, None] + at[None, :]) % 2 == 1
+        #: whether the second cell takes guests from the first: the larger one of
+        #: an odd sum, the smaller one of an even sum
+        self.receives = np.where(odd, at[None, :] > at[:, None], at[None, :] < at[:, None])
+
+    def home(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Distances to all pivots, the nearest one, and the distance to it."""
+        d = np.sqrt(np.maximum(2 - 2 * (x @ self.pivots.T), 0))
+        home = d.argmin(1)
+        return d, home, d[np.arange(len(x)), home]
+
+    def guests(self, x: np.ndarray, r: float) -> tuple[np.ndarray, np.ndarray]:
+        """Home of each vector, and whether it is a guest of each cell."""
+        d, home, own = self.home(x)
+        go = self.receives[home] & (d <= self.radius[None, :] + r + SLACK) & (d <= own[:, None] + 2 * r + SLACK)
+        span = self.apart[home]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            plane = np.where(span > 0, (d**2 - own[:, None] ** 2) / (2 * span), 0.0)
+        return home, go & (plane <= r + 1e-7)
+
+
+def choose_pivots(classes: DataFrame, max_pivots: int, per_pivot: int, split: int) -> dict[tuple[int, str], Cells]:
+    """Pivots by length of vector and label: vectors drawn in the order of a hash.
+
+    The labels with most vectors have pivots, one for each ``per_pivot`` vectors
+    and two at least; all have ``max_pivots`` at most. Others are a cell each.
     """
-    best, best_cost = 1, float(total) * total
-    p = 2
-    while p <= min(max_pivots, total // per_pivot, len(sample) // 2):
-        pivots, probe = sample[:p], sample[p:]
-        apart = np.sqrt(np.maximum(2 - 2 * (pivots @ pivots.T), 0))
-        home, own, _ = _cells(probe, pivots, None, apart, r)
-        radius = np.full(p, -np.inf)
-        np.maximum.at(radius, home, own)
-        _, _, go = _cells(probe, pivots, radius * 1.1, apart, r)
-        share = (go.sum() + len(probe)) / len(probe)
-        cost = float(total) * total * share / p + total * share * 200
-        if cost < 0.6 * best_cost:
-            best, best_cost = p, cost
-        p *= 2
-    return sample[:best]
-
-
-def _cells(x: np.ndarray, pivots: np.ndarray, radius: np.ndarray | None, apart: np.ndarray, r: float):
-    """Home cell of each unit vector, its distance, and the other cells that it goes to."""
-    d = np.sqrt(np.maximum(2 - 2 * (x @ pivots.T), 0))
-    home = d.argmin(1)
-    own = d[np.arange(len(x)), home]
-    if radius is None:
-        return home, own, None
-    go = (d <= radius[None, :] + r + SLACK) & (d <= own[:, None] + 2 * r + SLACK)
-    span = apart[home]
-    with np.errstate(divide="ignore", invalid="ignore"):
-        plane = np.where(span > 0, (d**2 - own[:, None] ** 2) / (2 * span), 0.0)
-    go &= plane <= r + 1e-7
-    go[np.arange(len(x)), home] = False
-    return home, own, go
+    groups = classes.groupBy("width", "label").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= split)
+    rows = groups.orderBy(F.desc("n"), "width", "label").limit(max_pivots // 2).collect()
+    if not rows:
+        return {}
+    most = max(2, min(max_pivots, PIVOT_BYTES // (8 * max(r["width"] for r in rows))))
+    rows = rows[: most // 2]
+    wanted = [max(2, r["n"] // per_pivot) for r in rows]
+    share = min(1.0, most / sum(wanted))
+    plan = [(r["width"], r["label"], r["n"], max(2, int(w * share))) for r, w in zip(rows, wanted)]
+    spark = classes.sparkSession
+    listed = F.broadcast(spark.createDataFrame(plan, "width int, label string, total bigint, pivots int"))
+    turn = F.xxhash64("node")
+    drawn = classes.join(listed, ["width", "label"]).where(F.pmod(turn, F.col("total")) < 4 * F.col("pivots") + 64).withColumn("turn", F.xxhash64("node", F.lit("pivot")))
+    from pyspark.sql.window import Window
+
+    place = F.row_number().over(Window.partitionBy("width", "label").orderBy("turn", "node"))
+    got = drawn.withColumn("place", place).where("place <= pivots").select("width", "label", "v").toArrow()
+    found: dict[tuple[int, str], list[int]] = {}
+    for k, key in enumerate(zip(got["width"].to_pylist(), got["label"].to_pylist())):
+        found.setdefault(key, []).append(k)
+    return {key: Cells(_matrix(got["v"].take(pa.array(at)))) for key, at in found.items() if len(at) > 1}
+
+
+def _by_label(batch, cells: dict):
+    """(rows, cells or None) of a batch ``(.., width, label)`` by label and length."""
+    width, label = batch.column(batch.num_columns - 2).to_pylist(), batch.column(batch.num_columns - 1).to_pylist()
+    places: dict[tuple[int, str], list[int]] = {}
+    for k, key in enumerate(zip(width, label)):
+        places.setdefault(key, []).append(k)
+    for key, at in places.items():
+        yield np.array(at), cells.get(key)
+
+
+def deal(classes: DataFrame, vtype: str, min_cosine: float, max_pivots: int, per_pivot: int, split: int = SPLIT) -> DataFrame:
+    """A row for each class ``(node, copies, v, width, label)`` and cell that it lives in
+    (``resident``) or is a guest of; ``cell`` names the length, the label and the pivot."""
+    spark = classes.sparkSession
+    r = math.sqrt(max(0.0, 2 - 2 * min_cosine))
+    cells = choose_pivots(classes, max_pivots, per_pivot, split)
+    held = spark.sparkContext.broadcast(cells)
+
+    def reach(batch):
+        rows, cell, far = [], [], []
+        for at, own in _by_label(batch, held.value):
+            if own is None:
+                continue
+            _, home, d = own.home(_matrix(batch.column(0).take(pa.array(at))))
+            rows.append(at)
+            cell.append(home)
+            far.append(d)
+        if rows:
+            at = pa.array(np.concatenate(rows))
+            yield [batch.column(1).take(at), batch.column(2).take(at), np.concatenate(cell).astype(np.int32), np.concatenate(far)]
+
+    if cells:
+        far = map_texts(classes.select("v", "width", "label"), reach, "width int, label string, cell int, d double")
+        for key, own in cells.items():
+            own.radius = np.full(len(own.pivots), -np.inf)
+        for row in far.groupBy("width", "label", "cell").agg(F.max("d").alias("d")).collect():  # a row for each pivot
+            cells[row["width"], row["label"]].radius[row["cell"]] = row["d"]
+    known = spark.sparkContext.broadcast(cells)
+
+    def go(batch):
+        node, copies, v = batch.columns[:3]
+        rows, cell, lives = [], [], []
+        for at, own in _by_label(batch, known.value):
+            if own is None:
+                rows.append(at)
+                cell.append(np.zeros(len(at), np.int32))
+                lives.append(np.ones(len(at), bool))
+                continue
+            home, guest = own.guests(_matrix(v.take(pa.array(at))), r)
+            k, c = np.nonzero(guest)
+            rows += [at, at[k]]
+            cell += [home.astype(np.int32), c.astype(np.int32)]
+            lives += [np.ones(len(at), bool), np.zeros(len(k), bool)]
+        take = pa.array(np.concatenate(rows))
+        yield [node.take(take), copies.take(take), v.take(take), batch.column(3).take(take), batch.column(4).take(take), np.concatenate(cell), pa.array(np.concatenate(lives))]
+
+    schema = f"node bigint, copies bigint, v {vtype}, width int, label string, cell int, resident boolean"
+    dealt = map_texts(classes.select("node", "copies", "v", "width", "label"), go, schema)
+    return dealt.select("node", "copies", "v", F.concat_ws("/", "width", "cell", "label").alias("cell"), "resident")
 
 
 def near_vectors(
@@ -105,90 +184,58 @@ def near_vectors(
     one id too (they share a component and count each other); a null id links
     with nothing, its component is null. Other columns are ignored.
     """
-    spark = vectors.sparkSession
     kind = vectors.schema[id_col].dataType.simpleString()
+    vtype = vectors.schema[vector_col].dataType.simpleString()
     label = F.col(label_col).cast("string") if label_col else F.lit("")
-    rows = vectors.select(F.col(id_col).alias("id"), label.alias("label"), F.col(vector_col).alias("v"))
-    usable = rows.where("id is not null and label is not null and v is not null and size(v) > 0")
-    grouped = usable.groupBy("label", "v").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies"))
+    rows = vectors.select(F.col(id_col).alias("id"), F.struct(label.alias("label"), F.col(vector_col).alias("v")).alias("key"))
+    can_link = F.col("id").isNotNull() & F.col("key.label").isNotNull() & F.col("key.v").isNotNull() & (F.size("key.v") > 0)
+    grouped = rows.where(can_link).groupBy("key").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies")).select("id", "key.label", "copies", "key.v")
 
     def finite(batch):
-        take = pa.array(_usable(batch.column(2)))
-        yield [batch.column(k).take(take) for k in (0, 1, 3, 2)]
+        take = pa.array(_usable(batch.column(3)))
+        yield [c.take(take) for c in batch.columns]
 
-    vtype = vectors.schema[vector_col].dataType.simpleString()
-    source = grouped.select("id", "label", "v", "copies")
-    classes = map_texts(source, finite, f"id {kind}, label string, copies bigint, v {vtype}")
+    classes = map_texts(grouped, finite, f"id {kind}, label string, copies bigint, v {vtype}")
     classes = stage(classes.withColumn("node", F.monotonically_increasing_id()).withColumn("width", F.size("v")), "vectors")
-    r = math.sqrt(max(0.0, 2 - 2 * min_cosine))
-    # pivots: a bounded sample in the order of a hash, for each length of vector
-    widths = {w["width"]: w["n"] for w in classes.groupBy("width").agg(F.count(F.lit(1)).alias("n")).collect()}
-    edges = None
-    for width, total in sorted(widths.items()):
-        same = classes.where(F.col("width") == width)
-        sample = _matrix(same.select("v", "node").orderBy(F.xxhash64("node"), "node").limit(min(PROBES + 2 * total // per_pivot, PROBES + max_pivots)).select("v").toArrow()["v"])
-        pivots = choose_pivots(sample, total, r, max_pivots, per_pivot)
-        apart = np.sqrt(np.maximum(2 - 2 * (pivots @ pivots.T), 0))
-        found = _join(spark, same, vtype, pivots, apart, r, min_cosine, block)
-        edges = found if edges is None else edges.unionByName(found)
-    if edges is None:
-        empty = rows.select(F.col("id").alias(id_col), F.lit(0).cast("bigint").alias("n_links"), F.col("id").alias("component_id"), F.col("id").isNotNull().alias("kept"))
-        return empty
-    found = stage(edges, "vector-links")
-    counts = found.where("v is null").groupBy(F.col("u").alias("cnode")).agg(F.sum("n").alias("links"))
+    dealt = stage(deal(classes, vtype, min_cosine, max_pivots, per_pivot), "vector-cells")
+    found = stage(_join(dealt, min_cosine, block), "vector-links")
     parts = components(found.where("v is not null").select("u", "v"))
-    named = classes.select("node", "id", "label", "v", "copies").join(parts, "node", "left").withColumn("comp", F.coalesce("component", "node")).drop("component")
-    least = named.groupBy("comp").agg(F.min("id").alias("component_id"))
-    full = named.join(least, "comp").join(counts, named["node"] == counts["cnode"], "left").select(
-        F.col("label").alias("__label"), F.col("v").alias("__v"), "component_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links")
-    )
-    out = rows.join(full, (rows["label"] == full["__label"]) & (rows["v"] == full["__v"]) & rows["id"].isNotNull(), "left")
-    component = F.coalesce("component_id", "id")
-    return out.select(
-        F.col("id").alias(id_col), F.coalesce("links", F.lit(0)).cast("bigint").alias("n_links"), component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(False)).alias("kept")
-    )
+    counts = found.where("v is null").groupBy(F.col("u").alias("node")).agg(F.sum("n").alias("links"))
+    named = classes.join(parts.withColumnRenamed("node", "part"), F.col("node") == F.col("part"), "left").withColumn("comp", F.coalesce("component", "node"))
+    named = named.select("node", "id", F.struct("label", "v").alias("key"), "copies", "comp")
+    least = named.groupBy("comp").agg(F.min("id").alias("component"), F.count(F.lit(1)).alias("n"))
+    full = spread_join(named, least.drop("n"), "comp", least).join(counts, "node", "left")
+    full = stage(full.select("key", "component", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"), F.col("copies").alias("n")).where("links > 0 or n > 1"), "vector-names")
+    drop_stage(classes, dealt, found, parts)
+    # vectors that are linked with none need no name from elsewhere
+    alone = rows.where(can_link).join(full.select("key").hint("shuffle_hash"), "key", "left_anti").select("id")
+    alone = alone.unionByName(rows.where(~F.coalesce(can_link, F.lit(False))).select("id")).select("id", F.lit(0).cast("bigint").alias("links"), F.col("id").alias("component"))
+    out = alone.unionByName(spread_join(rows.where(can_link), full.drop("n"), "key", full).select("id", "links", "component"))
+    return out.select(F.col("id").alias(id_col), F.col("links").alias("n_links"), F.col("component").alias("component_id"), F.coalesce(F.col("component") == F.col("id"), F.lit(False)).alias("kept"))
 
 
-def _join(spark, classes: DataFrame, vtype: str, pivots, apart, r: float, min_cosine: float, block: int) -> DataFrame:
-    """Rows (u, v, n): partial link counts of u (v null) and spanning links (u, v)."""
-    held = spark.sparkContext.broadcast((pivots, apart))
-
-    def home(batch):
-        p, a = held.value
-        x = _matrix(batch.column(1))
-        h, d, _ = _cells(x, p, None, a, r)
-        yield [h.astype(np.int32), d]
-
-    reach = map_texts(classes.select("node", "v"), home, "cell int, d double").groupBy("cell").agg(F.max("d").alias("d"), F.count(F.lit(1)).alias("n")).collect()
-    radius = np.full(len(pivots), -np.inf)
-    for c in reach:
-        radius[c["cell"]] = c["d"]
-    held2 = spark.sparkContext.broadcast((pivots, apart, radius))
-
-    def deal(batch):
-        p, a, rad = held2.value
-        x = _matrix(batch.column(1))
-        h, _, go = _cells(x, p, rad, a, r)
-        k, c = np.nonzero(go)
-        at = np.concatenate([np.arange(len(x)), k])
-        cell = np.concatenate([h, c]).astype(np.int32)
-        take = pa.array(at)
-        yield [batch.column(0).take(take), batch.column(2).take(take), batch.column(3).take(take), batch.column(1).take(take), cell, h[at].astype(np.int32)]
-
-    dealt = map_texts(classes.select("node", "v", "label", "copies"), deal, f"node bigint, label string, copies bigint, v {vtype}, cell int, home int")
-    dealt = stage(dealt, "vector-cells")
-    sizes = dealt.groupBy("label", "cell").agg(F.count(F.lit(1)).alias("n")).select("label", "cell", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
-    member = dealt.join(sizes, ["label", "cell"]).withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    spread = member.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "label", "cell", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "home", "node", "copies", "v"
+def _join(dealt: DataFrame, min_cosine: float, block: int) -> DataFrame:
+    """Rows (u, v, n): partial link counts of u (v null) and spanning links (u, v).
+
+    A cell of more than ``block`` vectors is cut into blocks of residents and,
+    after these, blocks of guests; each pair of blocks but two of guests is a group.
+    """
+    sizes = dealt.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("resident").cast("int")).alias("own")).where(F.col("n") > block)
+    sizes = stage(sizes.select("cell", F.ceil(F.col("own") / block).cast("int").alias("homes"), F.ceil((F.col("n") - F.col("own")) / block).cast("int").alias("others")), "vector-blocks")
+    member = dealt.join(bounded(sizes, sizes.count()), "cell", "left")
+    turn = lambda n: F.pmod(F.xxhash64("node"), F.greatest(n, F.lit(1))).cast("int")
+    mine = F.when(F.col("homes").isNull(), 0).when(F.col("resident"), turn(F.col("homes"))).otherwise(F.col("homes") + turn(F.col("others")))
+    last = F.when(F.col("homes").isNull(), 0).when(F.col("resident"), F.col("homes") + F.col("others") - 1).otherwise(F.col("homes") - 1)
+    spread = member.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), last))).select(
+        "cell", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "resident", "node", "copies", "v"
     )
 
     def compare(table: pa.Table) -> pa.Table:
-        node, copies, mine, homes = (table[c].to_numpy() for c in ("node", "copies", "mine", "home"))
+        node, copies, mine = (table[c].to_numpy() for c in ("node", "copies", "mine"))
+        lives = table["resident"].to_numpy()
         x = _matrix(table["v"])
-        cell, same = table["cell"][0].as_py(), table["i"][0].as_py() == table["j"][0].as_py()
-        left = np.arange(len(node)) if same else np.flatnonzero(mine == table["i"][0].as_py())
-        right = left if same else np.flatnonzero(mine == table["j"][0].as_py())
+        i, j = table["i"][0].as_py(), table["j"][0].as_py()
+        left, right = np.flatnonzero((mine == i) & lives), np.flatnonzero(mine == j)
         links = np.zeros(len(node), np.int64)
         parent = np.arange(len(node))
 
@@ -200,12 +247,9 @@ def _join(spark, classes: DataFrame, vtype: str, pivots, apart, r: float, min_co
 
         for s in range(0, len(left), 512):
             a = left[s : s + 512]
-            cos = np.clip(x[a] @ x[right].T, -1, 1)
-            ok = cos >= min_cosine
-            # a pair belongs to the home cell of its member with the smaller node
-            first = np.where(node[a][:, None] < node[right][None, :], homes[a][:, None], homes[right][None, :])
-            ok &= first == cell
-            ok &= (node[a][:, None] < node[right][None, :]) if same else (node[a][:, None] != node[right][None, :])
+            ok = np.clip(x[a] @ x[right].T, -1, 1) >= min_cosine
+            if i == j:  # two residents meet once
+                ok &= ~lives[right][None, :] | (node[a][:, None] < node[right][None, :])
             links[a] += ok @ copies[right]
             links[right] += copies[a] @ ok
             for k in np.flatnonzero(ok.any(1)):
@@ -221,4 +265,4 @@ def _join(spark, classes: DataFrame, vtype: str, pivots, apart, r: float, min_co
         n = np.concatenate([links[linked], np.zeros(len(joined), np.int64)])
         return pa.table({"u": pa.array(u), "v": v, "n": pa.array(n)})
 
-    return spread.groupBy("label", "cell", "i", "j").applyInArrow(compare, "u bigint, v bigint, n bigint")
+    return spread.groupBy("cell", "i", "j").applyInArrow(compare, "u bigint, v bigint, n bigint")

@@ -141,13 +141,41 @@ def test_vector_edges(spark):
     assert got == [(0, 0, 0, False), (1, 1, 1, True), (1, 1, 1, True), (2, 0, 2, True)]
 
 
-def test_pivots_pay_only_where_vectors_are_clustered():
+def classes_of(spark, x, label="a"):
+    rows = [(i, 1, [float(c) for c in v], len(v), label) for i, v in enumerate(x)]
+    return spark.createDataFrame(rows, "node bigint, copies bigint, v array<double>, width int, label string")
+
+
+def test_pairs_meet_in_one_cell_and_clusters_have_few_guests(spark):
     rng = np.random.default_rng(0)
     unit = lambda x: x / np.linalg.norm(x, axis=1)[:, None]
-    spread = unit(rng.normal(size=(1000, 64)))
-    tight = unit(rng.normal(size=(40, 64))[rng.integers(0, 40, 1000)] + rng.normal(size=(1000, 64)) * 0.02)
-    assert len(vector_join.choose_pivots(spread, 100_000, 0.374, 64, 500)) == 1
-    assert len(vector_join.choose_pivots(tight, 100_000, 0.374, 64, 500)) > 4
+    spread = unit(rng.normal(size=(400, 64)))
+    tight = unit(unit(rng.normal(size=(10, 64)))[rng.integers(0, 10, 400)] + rng.normal(size=(400, 64)) * 0.02)  # fewer clusters than pivots
+    guests = {}
+    for name, x in (("spread", spread), ("tight", tight)):
+        dealt = vector_join.deal(classes_of(spark, x), "array<double>", 0.93, 64, 20).collect()
+        home = {r["node"]: r["cell"] for r in dealt if r["resident"]}
+        cells = defaultdict(set)
+        for r in dealt:
+            cells[r["node"]].add(r["cell"])
+        assert len(home) == 400 and len(set(home.values())) > 10
+        guests[name] = len(dealt) - 400
+        for a, b in zip(*np.nonzero(np.triu(x @ x.T >= 0.93, 1))):
+            meet = [c for c in cells[a] & cells[b] if c in (home[a], home[b])]
+            assert len(meet) == 1
+    assert 2 * guests["tight"] < guests["spread"] <= 400 * 19 // 2  # half of the 19 other cells at most
+
+
+def test_the_registered_join_uses_several_cells(spark, tiny):
+    v = spark.read.parquet(f"{tiny}/embeddings.parquet")
+    classes = v.select(F.col("vec_id").alias("node"), F.lit(1).cast("bigint").alias("copies"), F.col("embedding").alias("v"), F.size("embedding").alias("width"), F.lit("all").alias("label"))
+    assert vector_join.deal(classes, "array<float>", vector_join.MIN_COSINE, vector_join.MAX_PIVOTS, vector_join.PER_PIVOT).select("cell").distinct().count() > 1
+
+
+def test_extreme_components_link(spark):
+    rows = [(1, [1e200, 2e200], 0), (2, [1.0, 2.0], 0), (3, [1e-200, 2e-200], 0), (4, [5e-324, 0.0], 0), (5, [1.7e308, 0.0], 0), (6, [-1.0, 0.0], 0)]
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in vector_join.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    assert got == {1: (2, 1), 2: (2, 1), 3: (2, 1), 4: (1, 4), 5: (1, 4), 6: (0, 6)}
 
 
 # -------------------------------------------------------------------- lines
