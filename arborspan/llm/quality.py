@@ -2,7 +2,8 @@
 
 A text's score is linear in its statistics. Pairs of a preferred and a rejected
 text give logistic loss on the difference of their statistics; the threshold is
-the quantile of the scores at which the training rows' rejected share lies.
+the quantile of the scores of all training rows at which their rejected share
+lies. Only the weights are fitted on a bounded sample.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import CASED_SPACE, Words, buffer_of, map_texts, shingles, steps
+from .shared import CASED_SPACE, Words, bounded, buffer_of, drop_stage, map_texts, shingles, stage, steps
 
 #: Bounds of the sample that a model is fitted on: rows of each label, and pairs.
 MAX_ROWS, MAX_PAIRS = 4000, 40_000
@@ -113,9 +114,9 @@ class QualityModel:
         return 1 / (1 + np.exp(-np.clip(self.slope * (self.margins(statistics(column)) - self.cut) + base, -40, 40)))
 
 
-def fit_bradley_terry(stats: np.ndarray, good: np.ndarray, weight: np.ndarray | None = None, pairs: int = MAX_PAIRS, l2: float = 1e-3, rounds: int = 25) -> QualityModel:
-    """Fit on statistics and 0/1 labels. ``weight``: rows that each sampled row
-    stands for; the quantile is taken with it. With one label only, no weight is learnt."""
+def fit_bradley_terry(stats: np.ndarray, good: np.ndarray, pairs: int = MAX_PAIRS, l2: float = 1e-3, rounds: int = 25) -> QualityModel:
+    """Fit weights on statistics and 0/1 labels; the cut is left at 0. With one
+    label only, no weight is learnt, and all texts are on that label's side."""
     mean, scale = (stats.mean(0), stats.std(0)) if len(stats) else (np.zeros(len(NAMES)), np.ones(len(NAMES)))
     scale = np.where(scale > 1e-12, scale, 1.0)
     x = np.clip((stats - mean) / scale, -8, 8)
@@ -134,14 +135,18 @@ def fit_bradley_terry(stats: np.ndarray, good: np.ndarray, weight: np.ndarray |
         if np.abs(move).max() < 1e-7:
             break
     s = x @ beta
-    weight = np.ones(len(s)) if weight is None else weight
-    order = np.argsort(s, kind="stable")
-    share = weight[lo].sum() / weight.sum()
-    run = np.cumsum(weight[order]) / weight.sum()
-    k = min(int(np.searchsorted(run, share, side="right")), len(s) - 1)
-    cut = (s[order[k]] + s[order[max(k - 1, 0)]]) / 2
-    spread = max(s[hi].mean() - s[lo].mean(), 1e-9)
-    return QualityModel(mean, scale, beta, cut, 8.0 / spread)
+    return QualityModel(mean, scale, beta, 0.0, 8.0 / max(s[hi].mean() - s[lo].mean(), 1e-9))
+
+
+def rejected_quantile(margins: DataFrame) -> float:
+    """Of rows ``(y, margin)``: midway between the margins on either side of the
+    quantile at which the share of the rows with ``y = 0`` lies."""
+    share = margins.agg(F.avg((F.col("y") == 0).cast("double")).alias("share")).first()["share"]
+    if share is None:
+        return 0.0
+    at = margins.agg(F.percentile_approx("margin", F.lit(float(share)), F.lit(100_000)).alias("at")).first()["at"]
+    after = margins.where(F.col("margin") > F.lit(at)).agg(F.min("margin").alias("after")).first()["after"]
+    return (at + (after if after is not None else at)) / 2
 
 
 def train_quality(
@@ -149,26 +154,36 @@ def train_quality(
 ) -> QualityModel:
     """Fit from ``labels (id, 0/1)`` on rows where ``trainable``.
 
-    At most ``max_rows`` rows of each label are drawn, in the order of a hash of
-    the id. Null ids, labels and texts are passed over.
+    At most ``max_rows`` rows of each label are drawn for the weights, in the
+    order of a hash of the id; the threshold's quantile is that of all rows with
+    a label. Null ids, labels and texts are passed over.
     """
     trainable = F.lit(True) if trainable is None else trainable
     known = labels.select(id_col, (F.col(label_col) == 1).cast("int").alias("__y")).where(F.col(id_col).isNotNull() & F.col("__y").isNotNull()).where(trainable)
-    totals = {r["__y"]: r["n"] for r in known.groupBy("__y").agg(F.count(F.lit(1)).alias("n")).collect()}
+    rows = known.count()
     order = F.xxhash64(F.col(id_col).cast("string"), F.lit("quality"))
     drawn = known.where("__y = 1").orderBy(order, id_col).limit(max_rows).unionByName(known.where("__y = 0").orderBy(order, id_col).limit(max_rows))
-    texts = docs.select(id_col, F.col(text_col).alias("__text")).where("__text is not null").join(F.broadcast(drawn), id_col).select("__y", "__text")
+    texts = docs.select(id_col, F.col(text_col).alias("__text")).where("__text is not null")
 
     def run(batch):
         yield [batch.column(0), pa.array(list(statistics(batch.column(1))), pa.list_(pa.float64()))]
 
-    got = map_texts(texts, run, "y int, stats array<double>").toArrow()
+    got = map_texts(texts.join(F.broadcast(drawn), id_col).select("__y", "__text"), run, "y int, stats array<double>").toArrow()
     y = got["y"].to_numpy()
     stats = got["stats"].combine_chunks().values.to_numpy().reshape(-1, len(NAMES)) if len(y) else np.zeros((0, len(NAMES)))
     order = np.lexsort((*stats.T, y))  # the rows' order must not depend on the partitions
     y, stats = y[order], stats[order]
-    each = {k: totals.get(k, 0) / max(1, int((y == k).sum())) for k in (0, 1)}
-    return fit_bradley_terry(stats, y, np.array([each[int(k)] for k in y]))
+    model = fit_bradley_terry(stats, y)
+    if len(np.unique(y)) < 2:
+        return model
+
+    def judge(batch):
+        yield [batch.column(0), model.margins(statistics(batch.column(1)))]
+
+    margins = stage(map_texts(texts.join(bounded(known, rows), id_col).select("__y", "__text"), judge, "y int, margin double"), "margins")
+    model.cut = rejected_quantile(margins)
+    drop_stage(margins)
+    return model
 
 
 def score_quality(docs: DataFrame, model: QualityModel, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3, keep_columns: bool = False) -> DataFrame:
