@@ -3,15 +3,17 @@
 A text's lines are cut further where a sentence ends before a space, so that a
 passage inside a longer line is a run of lines too. Lines are hashed. A run of
 consecutive lines that just reaches ``min_words`` words is a key; documents that
-share a key overlap there. A key of two documents names the pair itself; a
-commoner one pairs each later document with the first that holds it, which is an
-exact way with one partner per key. A pair is aligned by patience diff on line
-hashes, and common blocks of at least ``min_words`` words are deleted from the
-later document (the larger id). The first holder of a block never loses it.
+share a key overlap there. A key is rare enough to pair documents by when two of
+them hold it; a commoner one pairs each later document with the first holder
+only, so that no key makes more pairs than documents hold it, and none is passed
+over. A pair is aligned by patience diff on line hashes, and common blocks of at
+least ``min_words`` words are deleted from the later document (the larger id).
+The first holder of a block never loses it. Keys that very many documents hold,
+and first holders of very many, are dealt over many tasks.
 
 With ``inside_lines``, passages of more than 50 words go too, wherever they
-begin and end. In every 51 words in a row the run of 20 words of the least hash is a sample, so that documents
-with a common passage share a sample. Around shared samples every run of 51
+begin and end. In every 51 words in a row the run of 20 words of the least hash
+is a sample, so that documents with a common passage share a sample. Around shared samples every run of 51
 words is a key with one owner, and later documents lose the words of the keys
 that an earlier one owns.
 """
@@ -28,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import SPACE, Words, _LANES, buffer_of, drop_stage, map_texts, mix, stage, steps
+from .shared import SPACE, Words, _LANES, buffer_of, drop_stage, map_texts, mix, spread_join, stage, steps
 
 #: Words that a common block must have to be deleted.
 MIN_WORDS = 20
@@ -277,7 +279,8 @@ def common_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     sampled = stage(map_texts(rows, sample, f"id {kind}, version bigint, keys array<bigint>"), "samples")
     keys = sampled.select("id", "version", F.explode("keys").alias("key"))
-    shared = keys.join(_owners(keys).select("key").hint("shuffle_hash"), "key").groupBy("id", "version").agg(F.collect_set("key").alias("shared"))
+    owned = stage(_owners(keys), "sample-owners")
+    shared = spread_join(keys, owned.select("key"), "key", owned).groupBy("id", "version").agg(F.collect_set("key").alias("shared"))
     shared = stage(shared, "shared-samples")
     names = shared.select(F.col("id").alias("own_id"), F.col("version").alias("own"), "shared").hint("shuffle_hash")
     texts = rows.join(names, (F.col("id") == F.col("own_id")) & (F.col("version") == F.col("own"))).select("id", "version", "text", "shared")
@@ -288,32 +291,46 @@ def common_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     found = stage(map_texts(texts, around, f"id {kind}, version bigint, keys array<bigint>"), "passages")
     runs = found.select("id", "version", F.explode("keys").alias("key"))
-    late = runs.join(_owners(runs).hint("shuffle_hash"), "key").where("early < id")
+    owners = stage(_owners(runs), "passage-owners")
+    late = spread_join(runs, owners.drop("n"), "key", owners).where("early < id")
     out = stage(late.groupBy("id", "version").agg(F.collect_set("key").alias("passages")), "passage-cuts")
-    drop_stage(sampled, shared, found)
+    drop_stage(sampled, owned, shared, found, owners)
     return out
 
 
 def _owners(keys: DataFrame) -> DataFrame:
-    """(key, early) of the keys that several documents hold, and the first of these."""
-    return keys.groupBy("key").agg(F.min("id").alias("early"), F.max("id").alias("last")).where("early < last").select("key", "early")
+    """(key, early, n) of the keys that several documents hold: the first of
+    these, and the key's rows."""
+    several = keys.groupBy("key").agg(F.min("id").alias("early"), F.max("id").alias("last"), F.count(F.lit(1)).alias("n"))
+    return several.where("early < last").select("key", "early", "n")
 
 
 def overlapping_pairs(tables: DataFrame) -> DataFrame:
     """Distinct (early, late): each key's first document and each later one."""
     keys = tables.select("id", F.explode("keys").alias("key"))
-    return keys.join(_owners(keys).hint("shuffle_hash"), "key").where("early < id").select("early", F.col("id").alias("late")).distinct()
+    owners = stage(_owners(keys), "line-owners")
+    later = spread_join(keys, owners.drop("n"), "key", owners).where("early < id")
+    out = stage(later.select("early", F.col("id").alias("late")).distinct(), "line-pairs")
+    drop_stage(owners)
+    return out
+
+
+def _with_early(many: DataFrame, early: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``many`` with the lines of each row of its early document; that of many partners is sent to several tasks."""
+    held = early.groupBy("early").agg(F.collect_list("early_lines").alias("held"))  # rows of one id
+    counts = pairs.groupBy("early").agg(F.count(F.lit(1)).alias("n"))
+    return spread_join(many, held, "early", counts).withColumn("early_lines", F.explode("held")).drop("held")
 
 
 def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """``(id, version, cut array<int>)``: indexes of the lines to delete, for documents that have some."""
     kind = docs.schema[id_col].dataType.simpleString()
     tables = _line_tables(docs, id_col, text_col, min_words)
-    pairs = stage(overlapping_pairs(tables), "line-pairs")
+    pairs = overlapping_pairs(tables)
     own = tables.select("id", "version", "lines", "words")
     early = own.select(F.col("id").alias("early"), F.col("lines").alias("early_lines"))
     late = own.select(F.col("id").alias("late"), "version", "lines", "words")
-    both = pairs.join(late, "late").join(early, "early").select("late", "version", "early_lines", "lines", "words")
+    both = _with_early(pairs.join(late, "late"), early, pairs).select("late", "version", "early_lines", "lines", "words")
 
     def run(batch):
         ids, cuts = [], []
