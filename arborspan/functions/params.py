@@ -83,16 +83,20 @@ class TreeParams:
     tao_lambda: float = 1e-4
     tao_pair_scale: float = 2.0
     mae_coordinate_descent: bool = False
-    #: A numeric feature with more distinct values is cut into this many quantile bins first.
+    #: Values of a numeric feature, or rows of a pair's node, that one task searches;
+    #: beyond it the same search runs in range pieces, with the same result. (The
+    #: absolute error, which no sums give, is searched in one task.)
     max_distinct: int = 1 << 20
-    quantile_bins: int = 4096
+    #: Cut numeric features with more than ``max_distinct`` values (under the absolute
+    #: error: targets too) into this many quantiles first; None, as it is, for exact cuts.
+    quantile_bins: int | None = None
 
     def checked(self, classification: bool) -> "TreeParams":
         for name in ("min_impurity_decrease", "pairwise_penalty", "branching_penalty", "inner_min_impurity_decrease", "tao_lambda", "tao_pair_scale"):
             check_number(name, getattr(self, name))
-        for name, least in (("num_partitions", 2), ("min_samples_leaf", 1), ("inner_min_samples_leaf", 1), ("tao_n_runs", 0), ("coordinate_descent_max_iters", 0), ("coordinate_descent_patience", 0), ("max_distinct", 2), ("quantile_bins", 2)):
+        for name, least in (("num_partitions", 2), ("min_samples_leaf", 1), ("inner_min_samples_leaf", 1), ("tao_n_runs", 0), ("coordinate_descent_max_iters", 0), ("coordinate_descent_patience", 0), ("max_distinct", 2)):
             check_int(name, getattr(self, name), least)
-        for name, least in (("max_depth", 1), ("max_leaf_nodes", 1), ("inner_max_depth", 1), ("inner_max_leaf_nodes", 2)):
+        for name, least in (("max_depth", 1), ("max_leaf_nodes", 1), ("inner_max_depth", 1), ("inner_max_leaf_nodes", 2), ("quantile_bins", 2)):
             if getattr(self, name) is not None:
                 check_int(name, getattr(self, name), least)
         check_number("pairwise_candidates", self.pairwise_candidates)

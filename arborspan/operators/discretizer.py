@@ -12,9 +12,9 @@ from ..functions.features import Feature
 from ..functions.params import TreeParams
 from ..plans.routing import bin_column, category_bin_column, pair_bin_column
 from ..runtime import ship
-from . import inner, pairs
+from . import inner, pairs, wide
 from .estimators import _as_list, prepare
-from .growth import aggregate, sums_of
+from .growth import aggregate, row_stats, sums_of
 from .inner import Bins, Loss
 
 
@@ -30,10 +30,12 @@ class ShapeDiscretizer:
     min_impurity_decrease: float = 0.0
     max_depth: int | None = None
     max_leaf_nodes: int | None = None
+    #: Values of a feature, or rows of a pair, that one task searches; beyond it the search runs in range pieces.
+    max_distinct: int = 1 << 20
 
     def fit(self, df: DataFrame, columns: list[str], target: str | list[str], weight: str | None = None, feature_dict: dict | None = None) -> "DiscretizerModel":
         classification = self.criterion.strip().lower() in ("gini", "entropy", "log_loss")
-        params = TreeParams(criterion=self.criterion).checked(classification)
+        params = TreeParams(criterion=self.criterion, max_distinct=self.max_distinct).checked(classification)
         made = prepare(df, columns, _as_list(target), replace(params, class_weight=None), classification, weight, feature_dict)
         table, loss = made.table, Loss(params.criterion, made.table.outputs)
         if not 1 <= len(table.features) <= 2:
@@ -42,6 +44,8 @@ class ShapeDiscretizer:
         sums, classes, features = aggregate(table.rows, keys, table, loss.absolute), table.classes, table.features
         caps = (self.min_samples_leaf, self.min_impurity_decrease, self.max_depth, self.max_leaf_nodes)
         ship(df.sparkSession)
+        if not loss.absolute and (table.wide if len(keys) == 1 else table.rows.count() > self.max_distinct):
+            return DiscretizerModel(self._wide(table, loss, caps), features, loss)
 
         def run(frame):
             import numpy as np
@@ -74,6 +78,20 @@ class ShapeDiscretizer:
         return DiscretizerModel(bins, features, loss)
 
 
+    def _wide(self, table, loss: Loss, caps) -> Bins:
+        features, stats = table.features, table.classes or [2] * table.outputs
+        if len(features) == 1:
+            cells = aggregate(table.rows, ["tree", "f0"], table, False).withColumnRenamed("wsum", "w").withColumnRenamed("f0", "x")
+            found = wide.numeric_bins(cells, wide.Plan(["tree"], loss, stats), *caps)
+        else:
+            rows = row_stats(table.rows.select(F.lit(0).alias("node"), F.lit(0).alias("fa"), F.lit(1).alias("fb"), F.col("f0").alias("xa"), F.col("f1").alias("xb"), "tree", "mult", "w", *table.targets), table)
+            kinds = tuple("continuous" if f.numeric else f.kind for f in features)
+            found, _ = wide.pair_bins(rows, wide.Plan(["tree"], loss, stats), {(0,): kinds}, *caps)
+        if (0,) not in found:
+            raise ValueError("the feature has no finite value")
+        return found[0,]
+
+
 @dataclass
 class DiscretizerModel:
     bins: Bins

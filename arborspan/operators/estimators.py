@@ -80,36 +80,32 @@ def prepare(df: DataFrame, feature_columns: list[str], target: str | list[str],
                 own = (F.col(y) - F.lit(mean)) / F.lit(scale)
                 scaled = F.when(F.col("tree") == t, own) if scaled is None else scaled.when(F.col("tree") == t, own)
             each = each.withColumn(y, scaled.cast("float").cast("double"))
-        return Prepared(Table(each, features, len(targets), [len(c) for c in classes] if classification else None), classes if classification else None, None, n)
+        _, wide = compress(base, features, replace(params, quantile_bins=None), len(targets))
+        return Prepared(Table(each, features, len(targets), [len(c) for c in classes] if classification else None, wide), classes if classification else None, None, n)
     if not classification:
         scaling = Y.standardisation(base, names, "w")
         for y, (mean, scale) in zip(names, scaling):
             base = base.withColumn(y, ((F.col(y) - F.lit(mean)) / F.lit(scale)).cast("float").cast("double"))
-    base = compress(base, features, params, len(targets))
-    return Prepared(Table(base, features, len(targets), [len(c) for c in classes] if classification else None), classes if classification else None, scaling, n)
+    base, wide = compress(base, features, params, len(targets))
+    return Prepared(Table(base, features, len(targets), [len(c) for c in classes] if classification else None, wide), classes if classification else None, scaling, n)
 
 
-def compress(rows: DataFrame, features: list[Feature], params: TreeParams, outputs: int = 1) -> DataFrame:
-    """Cut numeric columns with many values into quantile bins, so that no group
-    of one feature's values outgrows a task.
-
-    A feature is cut when it has more than ``max_distinct`` values. The absolute
-    error needs values and targets together: with more than ``max_distinct``
-    rows, both are cut to the square root of that many bins.
+def compress(rows: DataFrame, features: list[Feature], params: TreeParams, outputs: int = 1) -> tuple[DataFrame, frozenset[int]]:
+    """The rows, and the numeric features that have more than ``max_distinct``
+    values. With ``quantile_bins`` such features are cut into quantiles, and under
+    the absolute error such targets too; then none is left.
     """
-    columns, most, bins = [f"f{i}" for i, f in enumerate(features) if f.numeric], params.max_distinct, params.quantile_bins
+    columns = [f"f{i}" for i, f in enumerate(features) if f.numeric]
     absolute = params.criterion == "absolute_error"
     if absolute:
         columns += [f"y{o}" for o in range(outputs)]
-    if not columns:
-        return rows
-    row = rows.agg(F.count(F.lit(1)).alias("n"), *[F.approx_count_distinct(c).alias(c) for c in columns]).first()
-    if absolute:
-        bins = max(2, int(most**0.5))
-        most = bins if row["n"] > params.max_distinct else row["n"] + 1
-    many = [c for c in columns if row[c] > 0.9 * most]
-    if not many:
-        return rows
+    if not columns or (absolute and params.quantile_bins is None):
+        return rows, frozenset()
+    row = rows.agg(*[F.approx_count_distinct(c).alias(c) for c in columns]).first()
+    many = [c for c in columns if row[c] > 0.9 * params.max_distinct]
+    if not many or params.quantile_bins is None:
+        return rows, frozenset(int(c[1:]) for c in many)
+    bins = params.quantile_bins
     shares = [i / bins for i in range(1, bins)]
     cuts = rows.agg(*[F.percentile_approx(c, shares, 100_000).alias(c) for c in many]).first()
     for c in many:
@@ -118,7 +114,7 @@ def compress(rows: DataFrame, features: list[Feature], params: TreeParams, outpu
         above = edges[-1] + max(1.0, abs(edges[-1])) if c.startswith("f") else edges[-1]
         reps = F.array(*[F.lit(float(e)) for e in [*edges, above]])
         rows = rows.withColumn(c, F.when(F.col(c).isNotNull(), F.element_at(reps, at + 1)))
-    return rows
+    return rows, frozenset()
 
 
 @dataclass

@@ -26,7 +26,7 @@ from ..functions.features import Feature
 from ..functions.params import TreeParams, feature_count, pair_budget
 from ..plans.routing import child_column, walk_column
 from ..runtime import ship
-from . import assignment, inner, pairs
+from . import assignment, inner, pairs, wide
 from .inner import Loss, Sums
 
 
@@ -34,13 +34,15 @@ from .inner import Loss, Sums
 class Table:
     """Prepared rows: ``tree, mult, w``, feature values ``f0..``, targets ``y0..``.
 
-    ``classes``: number of classes of each output; None for regression.
+    ``classes``: number of classes of each output; None for regression. ``wide``:
+    numeric features with more values than one task searches.
     """
 
     rows: DataFrame
     features: list[Feature]
     outputs: int
     classes: list[int] | None = None
+    wide: frozenset[int] = frozenset()
 
     @property
     def values(self) -> list[Column]:
@@ -135,25 +137,57 @@ def search_feature(frame: pd.DataFrame, feature: Feature, f: int, params: TreePa
         bins = inner.category_bins(values, sums, missing, loss, count, params.inner_min_samples_leaf, params.inner_min_impurity_decrease, *caps)
     if bins is None:
         return [], None
-    run = lambda b, k, rounds: assignment.search(
-        b, loss, parent, k, params.min_samples_leaf, rounds, params.mae_coordinate_descent
-    )
-    found = run(bins, max_arity, params.coordinate_descent_max_iters)
-    out = [describe(bins, c, [f], loss) for c in found.values()]
+    found = children_of(bins, params, loss, parent, max_arity)
+    stump = None
+    if wants_stump(found, feature, params, int(missing.n[0])):
+        stump = inner.fast_numeric_stump(values, sums, missing, loss, params.min_samples_leaf) if feature.numeric else inner.category_stump(values, sums, missing, loss, count, params.min_samples_leaf)
+    return candidates(bins, found, stump, f, params, loss, parent)
+
+
+def children_of(bins: inner.Bins, params: TreeParams, loss: Loss, parent: float, max_arity: int, rounds: int | None = None):
+    """Best assignments of bins to children."""
+    rounds = params.coordinate_descent_max_iters if rounds is None else rounds
+    return assignment.search(bins, loss, parent, max_arity, params.min_samples_leaf, rounds, params.mae_coordinate_descent)
+
+
+def wants_stump(found, feature: Feature, params: TreeParams, missing: int) -> bool:
+    """Whether a two-way cut of its own may do better than the inner tree's."""
+    best = assignment.raw_best(found)
+    return best is None or not best.root_feasible or (feature.numeric and (params.inner_min_samples_leaf > params.min_samples_leaf or missing > 0))
+
+
+def candidates(bins: inner.Bins, found, stump: inner.Bins | None, f: int, params: TreeParams, loss: Loss, parent: float):
+    """The inner tree's and the stump's candidates, and the better one's best as proxy."""
     best = assignment.raw_best(found)
     proxy = (best, bins) if best is not None else None
-    feasible = best is not None and best.root_feasible
-    if not feasible or (feature.numeric and (params.inner_min_samples_leaf > params.min_samples_leaf or missing.n[0] > 0)):
-        stump = inner.fast_numeric_stump(values, sums, missing, loss, params.min_samples_leaf) if feature.numeric else inner.category_stump(values, sums, missing, loss, count, params.min_samples_leaf)
-        if stump is not None:
-            also = run(stump, 2, 0)
-            out += [describe(stump, c, [f], loss) for c in also.values()]
-            other = assignment.raw_best(also)
-            if other is not None and (best is None or (other.impurity, other.arity) < (best.impurity, best.arity)):
-                proxy = (other, stump)
+    out = [describe(bins, c, [f], loss) for c in found.values()]
+    if stump is not None:
+        also = children_of(stump, params, loss, parent, 2, 0)
+        out += [describe(stump, c, [f], loss) for c in also.values()]
+        other = assignment.raw_best(also)
+        if other is not None and (best is None or other.impurity < best.impurity - C.TIE_SHARE * abs(parent)):
+            proxy = (other, stump)
     return out, (describe(proxy[1], proxy[0], [f], loss) if proxy else None)
 
 
+def search_wide(sums: DataFrame, table: Table, params: TreeParams, loss: Loss, parents: dict[tuple[int, int], float], max_arity: int) -> dict[tuple[int, int], dict[int, tuple]]:
+    """As :func:`search_feature`, for all wide features of all open nodes at once, in range pieces."""
+    cells = sums.withColumnRenamed("wsum", "w").persist()
+    try:
+        plan = wide.Plan(["tree", "node", "f"], loss, table.classes or [2] * table.outputs)
+        caps = params.inner_min_samples_leaf, params.inner_min_impurity_decrease, params.inner_max_depth, params.inner_max_leaf_nodes
+        bins = wide.numeric_bins(cells, plan, *caps)
+        found = {key: children_of(b, params, loss, parents[key[:2]], max_arity) for key, b in bins.items()}
+        again = [key for key, b in bins.items() if wants_stump(found[key], table.features[key[2]], params, int(b.sums.n[-1]))]
+        stumps = wide.numeric_stumps(cells, plan, again, params.min_samples_leaf)
+    finally:
+        cells.unpersist()
+    out: dict[tuple[int, int], dict[int, tuple]] = {}
+    for key, b in bins.items():
+        out.setdefault(key[:2], {})[key[2]] = candidates(b, found[key], stumps.get(key), key[2], params, loss, parents[key[:2]])
+    return out
+
+
 def _discover(table: Table, params: TreeParams, loss: Loss, trees: dict[int, Tree], open_: dict[tuple[int, int], dict], max_arity: int) -> dict[tuple[int, int], list[dict]]:
     """Candidates of every open node: ``open_[tree, node]`` holds its path."""
     ship(table.rows.sparkSession)
@@ -170,12 +204,16 @@ def _discover(table: Table, params: TreeParams, loss: Loss, trees: dict[int, Tre
             order = np.arange(len(features))
         bags[t, k] = order.tolist()
     rows = with_nodes(table, trees, set(open_))
-    long = rows.withColumn("cell", F.explode(F.array(*[F.struct(F.lit(i).alias("f"), F.col(f"f{i}").alias("x")) for i in range(len(features))])))
-    long = long.select("tree", "node", F.col("cell.f").alias("f"), F.col("cell.x").alias("x"), "mult", "w", *table.targets)
-    if any(len(b) < len(features) for b in bags.values()):
-        allowed = rows.sparkSession.createDataFrame([(t, k, f) for (t, k), fs in bags.items() for f in fs], "tree int, node int, f int")
-        long = long.join(F.broadcast(allowed), ["tree", "node", "f"])  # open nodes times features: bounded by the trees' own size
-    sums = aggregate(long, ["tree", "node", "f", "x"], table, absolute)
+    allowed = None
+    if any(len(b) < len(features) for b in bags.values()):  # open nodes times features: bounded by the trees' own size
+        allowed = F.broadcast(rows.sparkSession.createDataFrame([(t, k, f) for (t, k), fs in bags.items() for f in fs], "tree int, node int, f int"))
+
+    def sums(some: list[int]) -> DataFrame:
+        long = rows.withColumn("cell", F.explode(F.array(*[F.struct(F.lit(i).alias("f"), F.col(f"f{i}").alias("x")) for i in some])))
+        long = long.select("tree", "node", F.col("cell.f").alias("f"), F.col("cell.x").alias("x"), "mult", "w", *table.targets)
+        long = long.join(allowed, ["tree", "node", "f"]) if allowed is not None else long
+        return aggregate(long, ["tree", "node", "f", "x"], table, absolute)
+
     parents = {key: info["impurity"] for key, info in open_.items()}
 
     def run(key: tuple[Any, ...], frame: pd.DataFrame) -> pd.DataFrame:
@@ -184,21 +222,23 @@ def _discover(table: Table, params: TreeParams, loss: Loss, trees: dict[int, Tre
         got = search_feature(frame, features[f], f, params, loss, classes, max_arity, parents[t, k])
         return pd.DataFrame({"tree": [t], "node": [k], "f": [f], "payload": [pickle.dumps(got)]})
 
-    got = sums.groupBy("tree", "node", "f").applyInPandas(run, "tree int, node int, f int, payload binary").collect()
-    by_node: dict[tuple[int, int], dict[int, tuple]] = {}
-    for r in got:
-        by_node.setdefault((r["tree"], r["node"]), {})[r["f"]] = pickle.loads(r["payload"])
+    narrow = [i for i in range(len(features)) if i not in table.wide]
+    by_node: dict[tuple[int, int], dict[int, tuple]] = search_wide(sums(sorted(table.wide)), table, params, loss, parents, max_arity) if table.wide else {}
+    if narrow:
+        for r in sums(narrow).groupBy("tree", "node", "f").applyInPandas(run, "tree int, node int, f int, payload binary").collect():
+            by_node.setdefault((r["tree"], r["node"]), {})[r["f"]] = pickle.loads(r["payload"])
     budget = pair_budget(params.pairwise_candidates, len(features))
     kept_pairs = _pairs(table, params, loss, trees, open_, by_node, budget, max_arity) if budget else {}
     out: dict[tuple[int, int], list[dict]] = {}
     for key in open_:
         best: dict[int, dict] = {}
         found = by_node.get(key, {})
+        slack = C.TIE_SHARE * abs(trees[key[0]].nodes[key[1]]["mass"] * parents[key])
         ordered = [c for f in bags[key] if f in found for c in found[f][0]] + kept_pairs.get(key, {}).get("candidates", [])
         for c in ordered:
             cost = params.min_impurity_decrease + params.branching_penalty * (c["arity"] - 2) + (params.pairwise_penalty if c["kind"] == "pair" else 0.0)
             c["reg_gain"] = c["gain"] - cost
-            if np.isfinite(c["reg_gain"]) and c["reg_gain"] > C.EPS and (c["arity"] not in best or c["reg_gain"] > best[c["arity"]]["reg_gain"]):
+            if np.isfinite(c["reg_gain"]) and c["reg_gain"] > C.EPS and (c["arity"] not in best or c["reg_gain"] > best[c["arity"]]["reg_gain"] + slack):
                 best[c["arity"]] = c
         retained = kept_pairs.get(key, {}).get("pairs", [])
         for c in best.values():
@@ -272,28 +312,53 @@ def _pairs(table, params, loss, trees, open_, by_node, budget, max_arity) -> dic
     if not listed:
         return {}
     spark = table.rows.sparkSession
-    wanted = spark.createDataFrame(listed, "tree int, node int, fa int, fb int")
-    values = F.array(*table.values)
-    joint = rows.join(F.broadcast(wanted), ["tree", "node"]).select("tree", "node", "fa", "fb", F.element_at(values, F.col("fa") + 1).alias("xa"), F.element_at(values, F.col("fb") + 1).alias("xb"), "mult", "w", *table.targets)
-    sums = aggregate(joint, ["tree", "node", "fa", "fb", "xa", "xb"], table, loss.absolute)
     parents = {key: info["impurity"] for key, info in open_.items()}
+    size = {(t, k): trees[t].nodes[k]["n"] for t, k in chosen}
+    values = F.array(*table.values)
+
+    def joint(some: list[tuple[int, int, int, int]]) -> DataFrame:
+        wanted = F.broadcast(spark.createDataFrame(some, "tree int, node int, fa int, fb int"))  # a row for each pair
+        both = [F.element_at(values, F.col(f"f{s}") + 1).alias(f"x{s}") for s in "ab"]
+        return rows.join(wanted, ["tree", "node"]).select("tree", "node", "fa", "fb", *both, "mult", "w", *table.targets)
 
     def fit(key: tuple[Any, ...], frame: pd.DataFrame) -> pd.DataFrame:
         t, k, a, b = (int(v) for v in key)
         frame = frame.sort_values(["xa", "xb", *[c for c in frame.columns if c.startswith("y")]], kind="stable")
         x, cells = np.unique(frame[["xa", "xb"]].to_numpy(float), axis=0, return_inverse=True, equal_nan=True) if len(frame) else (np.zeros((0, 2)), np.zeros(0, np.int64))
         part = sums_of(frame, cells.ravel(), len(x), classes, loss.outputs, loss.absolute)
-        bins = pairs.pair_bins(x, (features[a].kind, features[b].kind), part, loss, params.inner_min_samples_leaf, params.inner_min_impurity_decrease, params.inner_max_depth, params.inner_max_leaf_nodes)
-        got = []
-        if len(bins.sums) >= 2:
-            found = assignment.search(bins, loss, parents[t, k], max_arity, params.min_samples_leaf, params.coordinate_descent_max_iters, params.mae_coordinate_descent)
-            got = [describe(bins, c, [a, b], loss) for c in found.values()]
-        return pd.DataFrame({"tree": [t], "node": [k], "fa": [a], "fb": [b], "payload": [pickle.dumps(got)]})
-
-    fitted = {(r["tree"], r["node"], r["fa"], r["fb"]): pickle.loads(r["payload"]) for r in sums.groupBy("tree", "node", "fa", "fb").applyInPandas(fit, "tree int, node int, fa int, fb int, payload binary").collect()}
+        bins = pairs.pair_bins(x, (features[a].kind, features[b].kind), part, loss, *caps)
+        return pd.DataFrame({"tree": [t], "node": [k], "fa": [a], "fb": [b], "payload": [pickle.dumps(described(t, k, a, b, bins))]})
+
+    def described(t, k, a, b, bins):
+        found = children_of(bins, params, loss, parents[t, k], max_arity) if len(bins.sums) >= 2 else {}
+        return [describe(bins, c, [a, b], loss) for c in found.values()]
+
+    caps = params.inner_min_samples_leaf, params.inner_min_impurity_decrease, params.inner_max_depth, params.inner_max_leaf_nodes
+    large = [key for key in listed if size[key[:2]] > params.max_distinct and not loss.absolute]
+    small = [key for key in listed if key not in set(large)]
+    fitted: dict[tuple[int, int, int, int], list[dict]] = {}
+    if small:
+        sums = aggregate(joint(small), ["tree", "node", "fa", "fb", "xa", "xb"], table, loss.absolute)
+        for r in sums.groupBy("tree", "node", "fa", "fb").applyInPandas(fit, "tree int, node int, fa int, fb int, payload binary").collect():
+            fitted[r["tree"], r["node"], r["fa"], r["fb"]] = pickle.loads(r["payload"])
+    if large:
+        plan = wide.Plan(["tree", "node", "fa", "fb"], loss, classes or [2] * table.outputs)
+        kinds = {key: tuple("continuous" if features[f].numeric else features[f].kind for f in key[2:]) for key in large}
+        bins, _ = wide.pair_bins(row_stats(joint(large), table), plan, kinds, *caps)
+        fitted |= {key: described(*key, b) for key, b in bins.items()}
     return {key: {"pairs": [list(p) for p in ps], "candidates": [c for p in ps for c in fitted.get((*key, *p), [])]} for key, ps in chosen.items()}
 
 
+def row_stats(rows: DataFrame, table: Table) -> DataFrame:
+    """Rows with the columns ``n``, ``w`` and ``s_..`` of which the statistics are sums."""
+    mw = F.col("mult") * F.col("w")
+    if table.classes is not None:
+        own = {f"s_{o}_{k}": F.when(F.col(f"y{o}") == k, mw).otherwise(F.lit(0.0)) for o, n in enumerate(table.classes) for k in range(n)}
+    else:
+        own = {f"s_{o}_{k}": mw * F.col(f"y{o}") * (F.col(f"y{o}") if k else F.lit(1.0)) for o in range(table.outputs) for k in (0, 1)}
+    return rows.select("tree", "node", "fa", "fb", "xa", "xb", F.col("mult").cast("bigint").alias("n"), mw.alias("w"), *[c.alias(name) for name, c in own.items()])
+
+
 # ---------------------------------------------------------------------- trees
 
 

@@ -7,7 +7,6 @@ peels categories one by one) into bins; the last bin is the missing one.
 
 from __future__ import annotations
 
-import heapq
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -131,45 +130,53 @@ def best_cut(x: np.ndarray, sums: Sums, loss: Loss, lo: int, hi: int, min_leaf:
     return (float(score[k]), lo + k + 1) if np.isfinite(score[k]) else None
 
 
-def grow(root, expand, max_leaves: int | None, max_depth: int | None, min_gain: float):
-    """Best-first growth (last-in first-out without a leaf cap).
+def growing(root, max_leaves: int | None, max_depth: int | None, min_gain: float):
+    """Best-first growth (last-in first-out without a leaf cap), as a generator.
 
-    A node is ``(gain, impurity, depth, payload)``; ``expand(payload)`` gives its
-    two children as ``(node or None, leaf)``. Returns the leaves.
+    A node is ``(gain, impurity, depth, payload)``. Asked for are the two children
+    of a payload at a depth, as ``(node or None, leaf)``; the leaves are returned.
     """
-    leaves: list = []
-    frontier: list = []
-    order = 0
-
-    def push(node):
-        nonlocal order
-        order += 1
-        if max_leaves is None:
-            frontier.append((order, node))
-        else:
-            heapq.heappush(frontier, (-node[0], order, node))
-
     first, whole = root
     if first is None or first[1] <= C.EPS:
         return [whole]
-    push(first)
-    count = 1
-    while frontier:
-        node = frontier.pop()[-1] if max_leaves is None else heapq.heappop(frontier)[-1]
-        gain, impurity, depth, payload = node
-        full = max_leaves is not None and count >= max_leaves
-        if full or impurity <= C.EPS or gain + C.EPS < min_gain or (max_depth is not None and depth >= max_depth):
+    leaves: list = []
+    waiting = [(first, 0)]
+    made, count = 1, 1
+
+    def rank(entry):
+        node, order = entry
+        return (-node[0], order) if max_leaves is not None else (-order,)
+
+    while waiting:
+        entry = min(waiting, key=rank)
+        waiting.remove(entry)
+        gain, impurity, depth, payload = entry[0]
+        closed = impurity <= C.EPS or gain + C.EPS < min_gain
+        if closed or (max_leaves is not None and count >= max_leaves) or (max_depth is not None and depth >= max_depth):
             leaves.append(payload)
             continue
         count += 1
-        for child, leaf in expand(payload, depth + 1):
+        for child, leaf in (yield payload, depth + 1):
             if child is None:
                 leaves.append(leaf)
             else:
-                push(child)
+                waiting.append((child, made))
+                made += 1
     return leaves
 
 
+def grow(root, expand, max_leaves: int | None, max_depth: int | None, min_gain: float):
+    """The leaves of :func:`growing`, with ``expand(payload, depth)`` for its questions."""
+    steps = growing(root, max_leaves, max_depth, min_gain)
+    answer = None
+    while True:
+        try:
+            payload, depth = steps.send(answer)
+        except StopIteration as e:
+            return e.value
+        answer = expand(payload, depth)
+
+
 def numeric_bins(x: np.ndarray, sums: Sums, missing: Sums, loss: Loss, min_leaf: int, min_gain: float, max_depth: int | None, max_leaves: int | None) -> Bins | None:
     """Bins of a numeric feature; None if all its values are missing.
 

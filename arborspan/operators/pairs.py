@@ -2,133 +2,139 @@
 
 from __future__ import annotations
 
-import heapq
+from dataclasses import dataclass
 
 import numpy as np
 
 from ..functions import criteria as C
-from .inner import VALUE_TOLERANCE, Bins, Loss, Sums, midpoint
+from . import inner
+from .inner import Bins, Loss, Sums, midpoint
 
 
-def best_pair_split(x: np.ndarray, kinds: tuple[str, str], cells: np.ndarray, sums: Sums, loss: Loss, min_leaf: int, mass: float):
-    """(gain, axis, threshold or category, left, right, missing cells) or None.
+@dataclass
+class Asked:
+    """What a growing pair tree asks for: ``made``, new entries as (entry, parent,
+    side), and ``open``, the entries whose best split is wanted."""
 
-    ``x[cell, axis]`` with NaN for missing. A split's missing rows are a third
-    child; only the two finite children must have ``min_leaf`` rows.
-    """
-    own = sums.take(cells)
-    whole = float(own.w.sum()) * loss.whole(own)
-    best = None
-    for axis in (0, 1):
-        v = x[cells, axis]
-        finite, gone = cells[~np.isnan(v)], cells[np.isnan(v)]
-        if len(finite) < 2:
-            continue
-        lost = sums.take(gone)
-        lost_value = float(lost.w.sum()) * loss.whole(lost) if len(gone) else 0.0
-        for threshold, left, right in _sides(x[finite, axis], kinds[axis], finite, sums, min_leaf):
-            a, b = sums.take(left), sums.take(right)
-            value = float(a.w.sum()) * loss.whole(a) + float(b.w.sum()) * loss.whole(b) + lost_value
-            gain = (whole - value) / mass if mass > 0 else 0.0
-            if np.isfinite(gain) and gain > C.EPS and (best is None or gain > best[0] + C.EPS):
-                best = gain, axis, threshold, left, right, gone
-    return best
+    nodes: list[dict]
+    made: list[tuple[int, int, int]]
+    open: list[int]
 
 
-def _sides(v, kind, cells, sums, min_leaf):
-    if kind != "continuous":
-        for c in np.unique(v):
-            left, right = cells[v != c], cells[v == c]
-            if sums.n[left].sum() >= min_leaf and sums.n[right].sum() >= min_leaf and len(left) and len(right):
-                yield int(c), left, right
-        return
+def growing(kinds: tuple[str, str], min_gain: float, max_depth: int | None, max_leaves: int | None):
+    """Growth of a pair tree as a generator of :class:`Asked`.
+
+    An answer gives for each open entry its best split, ``(gain, axis, threshold
+    or category, rows on the left, on the right, missing)``, or None. The tree is
+    returned, with leaves numbered as bins in the order of its entries.
+    """
+    nodes: list[dict] = [{"depth": 0}]
+    waiting: list[tuple[float, int, tuple]] = []
+    made, finite = [(0, -1, -1)], 1
+    while True:
+        room = max_leaves is None or finite < max_leaves
+        fresh = [k for k, _, _ in made if room and (max_depth is None or nodes[k]["depth"] < max_depth)]
+        found = yield Asked(nodes, made, fresh)
+        waiting += [(found[k][0], k, found[k]) for k in fresh if found.get(k) is not None and found[k][0] + C.EPS >= min_gain]
+        if not waiting or not room:
+            break
+        entry = max(waiting, key=lambda e: (e[0], -e[1])) if max_leaves is not None else waiting[-1]
+        waiting.remove(entry)
+        _, k, (_, axis, threshold, n_left, n_right, n_gone) = entry
+        base, depth = len(nodes), nodes[k]["depth"] + 1
+        made = [(base + side, k, side) for side in range(3 if n_gone else 2)]
+        nodes += [{"depth": depth} for _ in made]
+        nodes[k] |= {"axis": axis, "kind": kinds[axis], "threshold": threshold, "left": base, "right": base + 1, "missing": base + 2 if n_gone else base + int(n_left < n_right)}
+        finite += 1
+    return as_tree(nodes)
+
+
+def as_tree(nodes: list[dict], leaf=None) -> list[dict]:
+    """Entries of a pair tree; ``leaf(entry)`` names leaves, by default in their order."""
+    order = {k: i for i, k in enumerate(k for k, n in enumerate(nodes) if "axis" not in n)}
+    fields = ("axis", "kind", "threshold", "left", "right", "missing")
+    return [{"axis": -1, "bin": leaf(k) if leaf else order[k]} if k in order else {f: n[f] for f in fields} | {"bin": -1} for k, n in enumerate(nodes)]
+
+
+def _numeric_cut(v: np.ndarray, cells: np.ndarray, sums: Sums, loss: Loss, min_leaf: int):
+    """(loss, threshold, left cells, right cells) of the best cut of ``cells`` by their values, or None."""
     order = np.argsort(v, kind="stable")
     v, cells = v[order], cells[order]
-    n = np.cumsum(sums.n[cells])
-    v32 = v.astype(np.float32)
-    cuts = 1 + np.flatnonzero((v32[1:] > v32[:-1] + VALUE_TOLERANCE) & (n[:-1] >= min_leaf) & (n[-1] - n[:-1] >= min_leaf))
-    for k in cuts:
-        yield midpoint(float(v[k - 1]), float(v[k])), cells[:k], cells[k:]
+    groups = np.flatnonzero(np.append(True, v[1:] != v[:-1]))
+    ends = np.append(groups[1:], len(v))
+    own = sums.take(cells)
+    found = inner.best_cut(v[groups], own.merged([np.arange(a, b) for a, b in zip(groups, ends)]) if loss.absolute else _summed(own, groups), loss, 0, len(groups), min_leaf)
+    if found is None:
+        return None
+    value, cut = found
+    at = groups[cut]
+    return value, midpoint(float(v[at - 1]), float(v[at])), cells[:at], cells[at:]
+
+
+def _summed(own: Sums, heads: np.ndarray) -> Sums:
+    return Sums(np.add.reduceat(own.n, heads), np.add.reduceat(own.w, heads), np.add.reduceat(own.s, heads, 0))
+
+
+def _category_cut(v: np.ndarray, cells: np.ndarray, sums: Sums, loss: Loss, min_leaf: int):
+    """(loss, category, the others' cells, its cells) of the best category against the rest, or None."""
+    options = []
+    for c in np.unique(v):
+        left, right = cells[v != c], cells[v == c]
+        both = sums.merged([left, right])
+        if len(left) and min(both.n) >= min_leaf:
+            options.append((float((both.w * loss.of(both)).sum()), int(c), left, right))
+    if not options:
+        return None
+    own = sums.take(cells)
+    return options[C.first_least(np.array([o[0] for o in options]), float(own.w.sum()) * loss.whole(own))]
+
 
+def best_pair_split(x: np.ndarray, kinds: tuple[str, str], cells: np.ndarray, sums: Sums, loss: Loss, min_leaf: int, mass: float):
+    """(gain, axis, threshold or category, left, right, missing cells) or None.
 
-def fast_pair_split(x, kinds, cells, sums, loss, min_leaf, mass):
-    """As :func:`best_pair_split`, with the cuts of a numeric axis scored at once."""
-    if loss.absolute:
-        return best_pair_split(x, kinds, cells, sums, loss, min_leaf, mass)
+    ``x[cell, axis]`` with NaN for missing. A split's missing rows are a third
+    child; only the two finite children must have ``min_leaf`` rows. The second
+    axis must be better than the first.
+    """
     own = sums.take(cells)
-    whole = float(own.w.sum()) * loss.whole(own)
-    best = None
-    for axis in (0, 1):
+    whole, best = float(own.w.sum()) * loss.whole(own), None
+    for axis, kind in enumerate(kinds):
         v = x[cells, axis]
-        finite, gone = cells[~np.isnan(v)], cells[np.isnan(v)]
-        if len(finite) < 2:
+        gone = np.isnan(v)
+        if (~gone).sum() < 2:
+            continue
+        found = (_numeric_cut if kind == "continuous" else _category_cut)(v[~gone], cells[~gone], sums, loss, min_leaf)
+        if found is None:
             continue
-        lost = sums.take(gone)
-        lost_value = float(lost.w.sum()) * loss.whole(lost) if len(gone) else 0.0
-        if kinds[axis] != "continuous":
-            options = [(t, a, b) for t, a, b in _sides(x[finite, axis], kinds[axis], finite, sums, min_leaf)]
-            scored = [(float(sums.w[a].sum()) * loss.whole(sums.take(a)) + float(sums.w[b].sum()) * loss.whole(sums.take(b)), t, a, b) for t, a, b in options]
-            if not scored:
-                continue
-            k = min(range(len(scored)), key=lambda i: scored[i][0])
-            value, threshold, left, right = scored[k]
-        else:
-            values = x[finite, axis]
-            order = np.argsort(values, kind="stable")
-            values, ordered = values[order], finite[order]
-            n, w, s = np.cumsum(sums.n[ordered]), np.cumsum(sums.w[ordered]), np.cumsum(sums.s[ordered], 0)
-            v32 = values.astype(np.float32)
-            cuts = np.flatnonzero((v32[1:] > v32[:-1] + VALUE_TOLERANCE) & (n[:-1] >= min_leaf) & (n[-1] - n[:-1] >= min_leaf))
-            if not len(cuts):
-                continue
-            rw, rs = np.cumsum(sums.w[ordered][::-1])[::-1], np.cumsum(sums.s[ordered][::-1], 0)[::-1]
-            score = w[cuts] * loss.of(Sums(n[cuts], w[cuts], s[cuts])) + rw[cuts + 1] * loss.of(Sums(n[cuts], rw[cuts + 1], rs[cuts + 1]))
-            k = int(cuts[np.argmin(score)])
-            value, threshold, left, right = float(score.min()), midpoint(float(values[k]), float(values[k + 1])), ordered[: k + 1], ordered[k + 1 :]
-        gain = (whole - value - lost_value) / mass if mass > 0 else 0.0
+        lost = sums.take(cells[gone])
+        value = found[0] + (float(lost.w.sum()) * loss.whole(lost) if gone.any() else 0.0)
+        gain = (whole - value) / mass if mass > 0 else 0.0
         if np.isfinite(gain) and gain > C.EPS and (best is None or gain > best[0] + C.EPS):
-            best = gain, axis, threshold, left, right, gone
+            best = gain, axis, *found[1:], cells[gone]
     return best
 
 
 def pair_bins(x: np.ndarray, kinds: tuple[str, str], sums: Sums, loss: Loss, min_leaf: int, min_gain: float, max_depth: int | None, max_leaves: int | None) -> Bins:
     """Bins of two features; all leaves of the pair tree in the order of its nodes."""
     mass = float(sums.w.sum())
-    nodes: list[dict] = [{"cells": np.arange(len(x)), "depth": 0}]
-    frontier: list = []
-
-    def offer(k):
-        node = nodes[k]
-        if max_depth is not None and node["depth"] >= max_depth:
-            return
-        found = fast_pair_split(x, kinds, node["cells"], sums, loss, min_leaf, mass)
-        if found is not None and found[0] + C.EPS >= min_gain:
-            heapq.heappush(frontier, (-found[0], k, found)) if max_leaves is not None else frontier.append((0.0, k, found))
-
-    offer(0)
-    finite_leaves = 1
-    while frontier and (max_leaves is None or finite_leaves < max_leaves):
-        _, k, (_, axis, threshold, left, right, gone) = heapq.heappop(frontier) if max_leaves is not None else frontier.pop()
-        node, depth = nodes[k], nodes[k]["depth"] + 1
-        base = len(nodes)
-        nodes += [{"cells": left, "depth": depth}, {"cells": right, "depth": depth}]
-        node |= {"axis": axis, "kind": kinds[axis], "threshold": threshold, "left": base, "right": base + 1}
-        if len(gone):
-            nodes.append({"cells": gone, "depth": depth})
-            node["missing"] = base + 2
-        else:
-            node["missing"] = base if sums.n[left].sum() >= sums.n[right].sum() else base + 1
-        finite_leaves += 1
-        for child in range(base, len(nodes)):
-            offer(child)
-    leaves = [k for k, node in enumerate(nodes) if "axis" not in node]
-    tree = []
-    for k, node in enumerate(nodes):
-        if "axis" in node:
-            tree.append({f: node[f] for f in ("axis", "kind", "threshold", "left", "right", "missing")} | {"bin": -1})
-        else:
-            tree.append({"axis": -1, "bin": leaves.index(k)})
-    return Bins("pair", sums.merged([nodes[k]["cells"] for k in leaves]), tree=tree, has_missing=False)
+    steps, answer = growing(kinds, min_gain, max_depth, max_leaves), None
+    held: dict[int, np.ndarray] = {-1: np.arange(len(x))}
+    splits: dict[int, tuple] = {}
+    while True:
+        try:
+            asked = steps.send(answer)
+        except StopIteration as e:
+            tree = e.value
+            break
+        for k, parent, side in asked.made:
+            held[k] = held[-1] if parent < 0 else splits[parent][side]
+        answer = {}
+        for k in asked.open:
+            best = best_pair_split(x, kinds, held[k], sums, loss, min_leaf, mass)
+            if best is not None:
+                splits[k] = best[3:]
+                answer[k] = *best[:3], *(int(sums.n[c].sum()) if i < 2 else len(c) for i, c in enumerate(best[3:]))
+    return Bins("pair", sums.merged([held[k] for k, n in enumerate(tree) if n["axis"] < 0]), tree=tree, has_missing=False)
 
 
 def route_pair(tree: list[dict], x: np.ndarray) -> np.ndarray:

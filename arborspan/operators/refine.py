@@ -20,15 +20,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.params import check_int, check_number
+from ..plans.cuts import best_reward_cuts
 from ..plans.routing import child_column, walk_column
 from ..runtime import ship
-from . import inner, pairs
+from . import inner, pairs, wide
 from .estimators import TreeModel, prepare
 from .growth import Table, Tree, leaf_value, node_stats
 from .inner import Loss, Sums, midpoint
 
 #: Rewards nearer than this, relative to the best, count as equal.
 CARE_TOLERANCE = 1e-9
+#: Mean rewards nearer than this are a tie, which the cheaper router wins.
+TIE = 1e-12
 
 
 def refine(model: TreeModel, df: DataFrame, weight: str | None = None, n_runs: int = 1, lambda_: float = 1e-4, pair_scale: float = 2.0, check: bool = True) -> TreeModel:
@@ -160,20 +163,25 @@ def _refine_level(table, trees, at, params, loss, lam, pair_scale) -> bool:
     router = "gini" if table.classes is None else params.criterion
     caps = (params.inner_min_samples_leaf, params.inner_min_impurity_decrease, params.inner_max_depth, params.inner_max_leaf_nodes)
     raw = raw_columns(table)
-    cells = [F.struct(F.lit(r).alias("r"), (F.col(f"f{f}") if c is None else F.when(F.col(f"f{f}") == float(c), F.lit(1.0)).otherwise(F.lit(0.0))).alias("x")) for r, (f, c) in enumerate(raw)]
     keep = ["tree", "node", "mult", "w", "rewards", "good", "share"]
-    long = care.withColumn("cell", F.explode(F.array(*cells))).select(*keep, F.col("cell.r").alias("r"), F.col("cell.x").alias("x"))
+    broad = [r for r, (f, _) in enumerate(raw) if f in table.wide]
+
+    def column_sums(some: list[int]) -> DataFrame:
+        cells = [F.struct(F.lit(r).alias("r"), (F.col(f"f{f}") if c is None else F.when(F.col(f"f{f}") == float(c), F.lit(1.0)).otherwise(F.lit(0.0))).alias("x")) for r in some for f, c in [raw[r]]]
+        long = care.withColumn("cell", F.explode(F.array(*cells))).select(*keep, F.col("cell.r").alias("r"), F.col("cell.x").alias("x"))
+        return _care_sums(long, ["tree", "node", "r", "x"], k)
 
     def single(key: tuple[Any, ...], frame: pd.DataFrame) -> pd.DataFrame:
         t, i, r = (int(v) for v in key)
         best = _best_single(frame.sort_values("x", kind="stable"), arity[t, i], dummies[t, i], router, caps)
         return pd.DataFrame({"tree": [t], "node": [i], "r": [r], "payload": [pickle.dumps(best)]})
 
-    got = _care_sums(long, ["tree", "node", "r", "x"], k).groupBy("tree", "node", "r").applyInPandas(single, "tree int, node int, r int, payload binary").collect()
-    singles: dict[tuple[int, int], dict[int, list]] = {}
-    for g in got:
-        singles.setdefault((g["tree"], g["node"]), {})[g["r"]] = pickle.loads(g["payload"])
-    fitted = _refine_pairs(table, care, keep, at, heads, arity, dummies, router, caps, k)
+    singles: dict[tuple[int, int], dict[int, list]] = _wide_singles(column_sums(broad), arity, dummies, router, caps, k) if broad else {}
+    if len(broad) < len(raw):
+        some = [r for r in range(len(raw)) if r not in broad]
+        for g in column_sums(some).groupBy("tree", "node", "r").applyInPandas(single, "tree int, node int, r int, payload binary").collect():
+            singles.setdefault((g["tree"], g["node"]), {})[g["r"]] = pickle.loads(g["payload"])
+    fitted = _refine_pairs(table, care, keep, at, heads, arity, dummies, router, caps, k, params.max_distinct)
     accepted = False
     for key, head in heads.items():
         node, mass, n_node = trees[key[0]].nodes[key[1]], head["mass"], head["n_node"]
@@ -185,19 +193,19 @@ def _refine_level(table, trees, at, params, loss, lam, pair_scale) -> bool:
         for kind in ("tree", "cut"):  # exact cuts come after the fitted routers
             for r, options in sorted(singles.get(key, {}).items()):
                 for o in options:
-                    if o["how"] == kind and (one is None or o["reward"] / mass - price > one[0]):
+                    if o["how"] == kind and (one is None or o["reward"] / mass - price > one[0] + TIE):
                         one = o["reward"] / mass - price, r, o
         two = None
         for (a, b), o in sorted(fitted.get(key, {}).items()):
             value = o["reward"] / mass - pair_scale * price
-            if two is None or value > two[0]:
+            if two is None or value > two[0] + TIE:
                 two = value, (a, b), o
         s1, s2 = one[0] if one else -np.inf, two[0] if two else -np.inf
-        if dummy >= current and dummy >= s1 and dummy >= s2:
+        if dummy >= current - TIE and dummy >= s1 - TIE and dummy >= s2 - TIE:
             node |= {"kind": "constant", "logical": [], "columns": [], "thresholds": [], "categories": [], "pair_tree": [], "bin_to_partition": [dummies[key]], "raw_gain": 0.0}
-        elif one and s1 > current and s1 > dummy and s1 >= s2:
+        elif one and s1 > current + TIE and s1 >= s2 - TIE:
             node |= _as_router(table, raw[one[1]], one[2])
-        elif two and s2 > current and s2 > dummy and s2 > s1:
+        elif two and s2 > current + TIE:
             a, b = two[1]
             node |= {"kind": "pair", "logical": [a, b], "columns": [*table.features[a].columns, *table.features[b].columns], "thresholds": [], "categories": [], "pair_tree": two[2]["tree"], "bin_to_partition": two[2]["labels"]}
         else:
@@ -251,15 +259,55 @@ def _best_single(frame: pd.DataFrame, k: int, dummy: int, router: str, caps) ->
     return out
 
 
-def _refine_pairs(table, care, keep, at, heads, arity, dummies, router, caps, k):
+def _wide_singles(sums: DataFrame, arity, dummies, router: str, caps, k: int) -> dict[tuple[int, int], dict[int, list]]:
+    """As :func:`_best_single`, for all wide columns of all nodes at once, in range pieces."""
+    good = [F.col(f"g{c}") for c in range(k)]
+    cells = sums.withColumnRenamed("n", "rows").withColumns({"n": F.col("nexp"), "w": sum(good[1:], good[0])} | {f"s_0_{c}": g for c, g in enumerate(good)}).persist()
+    plan = wide.Plan(["tree", "node", "r"], Loss(router, 1), [k])
+    out: dict[tuple[int, int], dict[int, list]] = {}
+    rewards = [f"q{c}" for c in range(k)]
+    try:
+        bins = wide.numeric_bins(cells.select(*plan.keys, "x", *plan.names), plan, *caps)
+        asked = plan.listed(sums.sparkSession, [(*key, b.thresholds) for key, b in bins.items()], "cut array<double>") if bins else None
+        totals: dict[tuple, dict[int, Any]] = {}
+        if asked is not None:
+            at = F.when(F.col("x").isNull(), F.size("cut") + 1).otherwise(F.size(F.filter("cut", lambda t: t < F.col("x"))))
+            for r in cells.join(asked, plan.keys).withColumn("bin", at).groupBy(*plan.keys, "bin").agg(F.sum("mass").alias("mass"), *[F.sum(q).alias(q) for q in rewards]).collect():
+                totals.setdefault(plan.key(r), {})[r["bin"]] = r
+        for key, b in bins.items():
+            rows = [totals.get(key, {}).get(i) for i in range(len(b.thresholds) + 2)]
+            by_bin = np.array([[r[q] if r else 0.0 for q in rewards[: arity[key[:2]]]] for r in rows])
+            mass = np.array([r["mass"] if r else 0.0 for r in rows])
+            labels = np.where(mass > 0, by_bin.argmax(1), dummies[key[:2]])
+            reward = float(by_bin[np.arange(len(labels)), labels].sum())
+            out.setdefault(key[:2], {}).setdefault(key[2], []).append({"how": "tree", "reward": reward, "thresholds": [float(t) for t in b.thresholds], "labels": labels.tolist()})
+        two = [key for key in bins if arity[key[:2]] == 2]
+        if two:
+            own = cells.join(plan.listed(sums.sparkSession, [(*key, 0) for key in two], "one int").drop("one"), plan.keys).drop("n").withColumnRenamed("rows", "n")
+            lost = {plan.key(r): r for r in own.where("x is null").groupBy(*plan.keys).agg(F.sum("mass").alias("mass"), F.sum("q0").alias("q0"), F.sum("q1").alias("q1")).collect()}
+            for r in best_reward_cuts(own.select(*plan.keys, "x", "n", "q0", "q1"), plan.keys, ("q0", "q1"), caps[0], plan.pieces).collect():
+                key = plan.key(r)
+                gone = lost.get(key)
+                q = [gone["q0"], gone["q1"]] if gone else [0.0, 0.0]
+                nan_child = int(np.argmax(q)) if gone and gone["mass"] > 0 else dummies[key[:2]]
+                side = r["left_child"]
+                out[key[:2]][key[2]].append({"how": "cut", "reward": r["reward"] + q[nan_child], "thresholds": [r["threshold"]], "labels": [side, 1 - side, nan_child]})
+    finally:
+        cells.unpersist()
+    return out
+
+
+def _refine_pairs(table, care, keep, at, heads, arity, dummies, router, caps, k, most):
     listed = [(t, i, a, b) for (t, i) in heads for a, b in at[t, i]["retained_pairs"]]
     if not listed:
         return {}
-    wanted = table.rows.sparkSession.createDataFrame(listed, "tree int, node int, fa int, fb int")
     values = F.array(*table.values)
-    joint = care.join(F.broadcast(wanted), ["tree", "node"]).select(*keep, "fa", "fb", F.element_at(values, F.col("fa") + 1).alias("xa"), F.element_at(values, F.col("fb") + 1).alias("xb"))
     features = table.features
 
+    def joint(some) -> DataFrame:
+        wanted = F.broadcast(table.rows.sparkSession.createDataFrame(some, "tree int, node int, fa int, fb int"))  # a row for each pair
+        return care.join(wanted, ["tree", "node"]).select(*keep, "fa", "fb", *[F.element_at(values, F.col(f"f{s}") + 1).alias(f"x{s}") for s in "ab"])
+
     def fit(key: tuple[Any, ...], frame: pd.DataFrame) -> pd.DataFrame:
         t, i, a, b = (int(v) for v in key)
         frame = frame.sort_values(["xa", "xb"], kind="stable")
@@ -276,7 +324,26 @@ def _refine_pairs(table, care, keep, at, heads, arity, dummies, router, caps, k)
         return pd.DataFrame({"tree": [t], "node": [i], "fa": [a], "fb": [b], "payload": [pickle.dumps(got)]})
 
     out: dict[tuple[int, int], dict] = {}
-    for r in _care_sums(joint, ["tree", "node", "fa", "fb", "xa", "xb"], k).groupBy("tree", "node", "fa", "fb").applyInPandas(fit, "tree int, node int, fa int, fb int, payload binary").collect():
+    large = [key for key in listed if heads[key[:2]]["n_node"] > most]
+    small = [key for key in listed if key not in set(large)]
+    if large:
+        mw = F.col("mult") * F.col("w")
+        good = [F.when(F.col("good")[c], mw * F.col("share")).otherwise(F.lit(0.0)) for c in range(k)]
+        names = ["tree", "node", "fa", "fb", "xa", "xb"]
+        rows = joint(large).select(
+            *names, (F.col("mult") * F.size(F.filter("good", lambda g: g))).cast("bigint").alias("n"), sum(good[1:], good[0]).alias("w"), *[g.alias(f"s_0_{c}") for c, g in enumerate(good)],
+            mw.alias("mass"), *[(mw * F.coalesce(F.col("rewards")[c], F.lit(0.0))).alias(f"q{c}") for c in range(k)],
+        )
+        plan = wide.Plan(names[:4], Loss(router, 1), [k])
+        kinds = {key: tuple("continuous" if features[f].numeric else features[f].kind for f in key[2:]) for key in large}
+        bins, more = wide.pair_bins(rows, plan, kinds, *caps, more=("mass", *(f"q{c}" for c in range(k))))
+        for (t, i, a, b), own in bins.items():
+            by_bin = np.stack([more[t, i, a, b][f"q{c}"] for c in range(arity[t, i])], 1)
+            labels = np.where(more[t, i, a, b]["mass"] > 0, by_bin.argmax(1), dummies[t, i])
+            out.setdefault((t, i), {})[a, b] = {"reward": float(by_bin[np.arange(len(labels)), labels].sum()), "labels": labels.tolist(), "tree": own.tree}
+    if not small:
+        return out
+    for r in _care_sums(joint(small), ["tree", "node", "fa", "fb", "xa", "xb"], k).groupBy("tree", "node", "fa", "fb").applyInPandas(fit, "tree int, node int, fa int, fb int, payload binary").collect():
         out.setdefault((r["tree"], r["node"]), {})[r["fa"], r["fb"]] = pickle.loads(r["payload"])
     return out
 

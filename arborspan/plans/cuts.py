@@ -118,23 +118,25 @@ def best_categories(cells: DataFrame, group: list[str], kind: str, outputs: list
     return found.groupBy(*group).agg(pick.alias("b")).select(*group, "b.*")
 
 
-def best_stumps(cells: DataFrame, group: list[str], kind: str, outputs: list[list[str]], min_leaf: int = 1) -> DataFrame:
+def best_stumps(cells: DataFrame, group: list[str], kind: str, outputs: list[list[str]], min_leaf: int = 1, pieces: int = 1) -> DataFrame:
     """Per group, the best cut when missing rows (null ``x``) may join either side.
 
     Feasibility is judged with the missing rows placed; finite against missing
-    is a cut as well (``threshold`` null). Left and right are summed separately.
+    is a cut as well (``threshold`` null). Left and right are summed separately,
+    each in ``pieces`` ranges.
     """
     stats = [c for o in outputs for c in o]
     names = ["n", "w", *stats]
     cells = centred(cells, group, kind, outputs)
     gone = cells.groupBy(*group).agg(*[F.coalesce(F.sum(F.when(F.col("x").isNull(), F.col(c))), F.lit(0)).alias(f"m_{c}") for c in names])
-    known = cells.where("x is not null")
-    up = Window.partitionBy(*group).orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
-    down = Window.partitionBy(*group).orderBy("x").rowsBetween(1, Window.unboundedFollowing)
-    run = known.select(
-        *group, "x", F.lead("x").over(Window.partitionBy(*group).orderBy("x")).alias("nx"),
-        *[F.sum(c).over(up).alias(f"l_{c}") for c in names], *[F.coalesce(F.sum(c).over(down), F.lit(0)).alias(f"r_{c}") for c in names],
-    )
+    known = range_bucket(cells.where("x is not null"), group, "x", pieces)
+    run = running_totals(known, group, "bucket", [F.col("x")], {c: f"l_{c}" for c in names})
+    run = running_totals(run.withColumn("bucket", -F.col("bucket")), group, "bucket", [F.col("x").desc()], {c: f"r_{c}" for c in names}, before=True).withColumn("bucket", -F.col("bucket"))
+    within = Window.partitionBy(*group, "bucket").orderBy("x")
+    if pieces > 1:
+        run = run.join(F.broadcast(known_pieces(run, group)), [*group, "bucket"], "left").withColumn("nx", F.coalesce(F.lead("x").over(within), F.col("next_piece")))
+    else:
+        run = run.withColumn("nx", F.lead("x").over(within))
     run = run.join(F.broadcast(gone), group).withColumn("missing_side", F.explode(F.array(F.lit(0), F.lit(1))))
     a = {c: F.col(f"l_{c}") + F.when(F.col("missing_side") == 0, F.col(f"m_{c}")).otherwise(F.lit(0)) for c in names}
     b = {c: F.col(f"r_{c}") + F.when(F.col("missing_side") == 1, F.col(f"m_{c}")).otherwise(F.lit(0)) for c in names}
@@ -143,9 +145,31 @@ def best_stumps(cells: DataFrame, group: list[str], kind: str, outputs: list[lis
         both = F.coalesce(a["w"] * impurity_column(kind, [a[c] for c in o], a["w"]), F.lit(0.0)) + F.coalesce(b["w"] * impurity_column(kind, [b[c] for c in o], b["w"]), F.lit(0.0))
         loss = both if loss is None else loss + both
     middle = F.col("x") / 2 + F.col("nx") / 2
-    found = run.where((a["n"] >= min_leaf) & (b["n"] >= min_leaf)).select(
+    apart = F.col("nx").isNull() | (F.col("nx").cast("float") > F.col("x").cast("float") + F.lit(1e-7).cast("float"))
+    found = run.where(apart & (a["n"] >= min_leaf) & (b["n"] >= min_leaf)).select(
         *group, "x", "missing_side", F.when(middle == F.col("nx"), F.col("x")).otherwise(middle).alias("threshold"), loss.alias("loss"), a["n"].alias("n_left"), b["n"].alias("n_right"),
         whole_loss(kind, outputs, lambda c: a[c] + b[c]).alias("whole"),
     )
     pick = F.min_by(F.struct("threshold", "missing_side", "loss", "n_left", "n_right"), F.struct(ranked("loss", F.col("whole")), "x", "missing_side"))
     return found.groupBy(*group).agg(pick.alias("b")).select(*group, "b.*")
+
+
+def best_reward_cuts(cells: DataFrame, group: list[str], rewards: tuple[str, str], min_leaf: int = 1, pieces: int = 1) -> DataFrame:
+    """Per group of ``cells (group.., x, n, rewards..)``, the cut that earns most
+    when one side goes to one child and the rest to the other: ``threshold,
+    reward, left_child``. Ties go to the smallest value, then to the first child."""
+    known = cells.where("x is not null")
+    names = ["n", *rewards]
+    totals = known.groupBy(*group).agg(*[F.sum(c).alias(f"t_{c}") for c in names])
+    run = running_totals(range_bucket(known, group, "x", pieces), group, "bucket", [F.col("x")], {c: f"l_{c}" for c in names})
+    within = Window.partitionBy(*group, "bucket").orderBy("x")
+    run = run.join(F.broadcast(known_pieces(run, group)), [*group, "bucket"], "left").withColumn("nx", F.coalesce(F.lead("x").over(within), F.col("next_piece"))).join(F.broadcast(totals), group)
+    right = {c: F.col(f"t_{c}") - F.col(f"l_{c}") for c in names}
+    a, b = rewards
+    run = run.select(*group, "x", "nx", F.col("l_n").alias("ln"), right["n"].alias("rn"), (F.col(f"l_{a}") + right[b]).alias("straight"), (F.col(f"l_{b}") + right[a]).alias("crossed"))
+    apart = F.col("nx").cast("float") > F.col("x").cast("float") + F.lit(1e-7).cast("float")
+    middle = F.col("x") / 2 + F.col("nx") / 2
+    scored = run.where(apart & (F.col("ln") >= min_leaf) & (F.col("rn") >= min_leaf)).select(
+        *group, "x", F.when(middle == F.col("nx"), F.col("x")).otherwise(middle).alias("threshold"), F.greatest("straight", "crossed").alias("reward"), (F.col("crossed") > F.col("straight")).cast("int").alias("left_child")
+    )
+    return scored.groupBy(*group).agg(F.max_by(F.struct("threshold", "reward", "left_child"), F.struct("reward", -F.col("x"))).alias("b")).select(*group, "b.*")

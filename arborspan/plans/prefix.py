@@ -9,24 +9,25 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
-def running_totals(df: DataFrame, group: list[str], bucket: str, order: list[Column], values: dict[str, str]) -> DataFrame:
-    """Sums over the rows up to each row, by ``group``, in the order of ``bucket``
-    and then ``order``; ``values`` maps a column to its total's name.
+def running_totals(df: DataFrame, group: list[str], bucket: str, order: list[Column], values: dict[str, str], before: bool = False) -> DataFrame:
+    """Sums over the rows up to each row (``before``: without the row itself), by
+    ``group``, in the order of ``bucket`` and then ``order``; ``values`` maps a
+    column to its total's name.
 
     ``bucket`` cuts a group into ordered pieces: only a piece is sorted in one
     task, and a group's pieces are summed first.
     """
     keys = [*group, bucket]
     whole = df.groupBy(*keys).agg(*[F.sum(v).alias(f"__sum_{v}") for v in values])
-    before = Window.partitionBy(*(group or [F.lit(0)])).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+    pieces = Window.partitionBy(*(group or [F.lit(0)])).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
     heads = whole.select(
-        *[F.col(k).alias(f"__{k}") for k in keys], *[F.coalesce(F.sum(f"__sum_{v}").over(before), F.lit(0)).alias(f"__before_{v}") for v in values]
+        *[F.col(k).alias(f"__{k}") for k in keys], *[F.coalesce(F.sum(f"__sum_{v}").over(pieces), F.lit(0)).alias(f"__before_{v}") for v in values]
     )
     match = reduce(lambda a, b: a & b, [df[k].eqNullSafe(heads[f"__{k}"]) for k in keys])
-    within = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    within = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1 if before else 0)
     out = df.join(heads, match)
     for v, name in values.items():
-        out = out.withColumn(name, F.col(f"__before_{v}") + F.sum(v).over(within))
+        out = out.withColumn(name, F.col(f"__before_{v}") + F.coalesce(F.sum(v).over(within), F.lit(0)))
     return out.drop(*[f"__before_{v}" for v in values], *[f"__{k}" for k in keys])
 
 

@@ -4,10 +4,11 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from arborspan.operators import explain
+from arborspan.operators import explain, wide
 from arborspan.operators.discretizer import ShapeDiscretizer
 from arborspan.operators.estimators import ShapeForestClassifier, ShapeForestRegressor, ShapeTreeClassifier, ShapeTreeRegressor
 from arborspan.operators.refine import refine
+from arborspan.plans import cuts
 from arborspan.plans.routing import leaf_predicates
 from arborspan.sources import datasets, snapshots
 from arborspan.streaming.scoring import score_stream, windowed_predictions
@@ -211,10 +212,67 @@ def test_input_checks(spark, strict):
         ShapeTreeRegressor(criterion="mae", **strict | {"num_partitions": 3}).fit(ok, ["x"], "y")
 
 
-def test_many_values_are_cut_into_quantiles(spark):
+def test_many_values_are_cut_into_quantiles_if_asked(spark):
     df = spark.range(3000).select((F.col("id") * 1.0).alias("x"), (F.col("id") > 1500).cast("int").alias("y"))
     model = ShapeTreeClassifier(max_distinct=500, quantile_bins=64).fit(df, ["x"], "y")
     assert model.score(df) > 0.97
+    assert ShapeTreeClassifier(max_distinct=500).fit(df, ["x"], "y").score(df) == 1.0
+
+
+def same_trees(a, b):
+    assert a.trees.keys() == b.trees.keys()
+    for t in a.trees:
+        left, right = a.trees[t].nodes, b.trees[t].nodes
+        assert len(left) == len(right)
+        for m, n in zip(left, right):
+            for name in ("kind", "logical", "categories", "bin_to_partition", "children", "n", "bin_n", "depth", "retained_pairs"):
+                assert m[name] == n[name], (name, m[name], n[name])
+            assert m["thresholds"] == pytest.approx(n["thresholds"]) and m["mass"] == pytest.approx(n["mass"]) and m["raw_gain"] == pytest.approx(n["raw_gain"], abs=1e-7)
+            assert [{k: v for k, v in e.items() if k != "missing"} for e in m["pair_tree"]] == [{k: v for k, v in e.items() if k != "missing"} for e in n["pair_tree"]]
+
+
+def wide_table(spark):
+    rng = np.random.default_rng(11)
+    rows = []
+    for i in range(400):
+        a, b = float(rng.normal()), float(rng.integers(0, 40))
+        rows.append((a if i % 11 else None, b, "uvwz"[i % 4] if i % 13 else None, int((a > 0) ^ (b > 20)), a * 3 + (b % 7), float(1 + i % 3), int(b > 10)))
+    return spark.createDataFrame(rows, "a double, b double, c string, y int, v double, w double, z int")
+
+
+@pytest.mark.parametrize("made, target, more, again", [
+    (ShapeTreeClassifier, "y", {"criterion": "entropy", "num_partitions": 3, "pairwise_candidates": 2, "max_depth": 1}, True),
+    (ShapeTreeRegressor, "v", {"pairwise_candidates": 1, "max_leaf_nodes": 3, "inner_min_samples_leaf": 20, "inner_max_leaf_nodes": 3}, True),
+    (ShapeTreeClassifier, ["y", "z"], {"inner_max_depth": 2, "inner_max_leaf_nodes": None, "max_depth": 1}, False),
+])
+def test_range_pieces_find_the_same_trees(spark, monkeypatch, made, target, more, again):
+    monkeypatch.setattr(wide, "PIECES", 5)
+    df = wide_table(spark).cache()
+    fit = lambda most: made(min_impurity_decrease=0.0, max_distinct=most, **more).fit(df, ["a", "b", "c"], target, weight="w")
+    one, pieces = fit(1 << 20), fit(2)
+    same_trees(one, pieces)
+    if again:
+        same_trees(refine(one, df, weight="w", lambda_=0.0), refine(pieces, df, weight="w", lambda_=0.0))
+
+
+def test_range_pieces_find_the_same_bins(spark, monkeypatch):
+    monkeypatch.setattr(wide, "PIECES", 5)
+    df = wide_table(spark).cache()
+    for columns, criterion, target in ((["a"], "gini", "y"), (["a", "c"], "squared_error", "v")):
+        one, pieces = (ShapeDiscretizer(criterion, max_leaf_nodes=4, max_distinct=most).fit(df, columns, target, weight="w") for most in (1 << 20, 2))
+        assert one.bins.thresholds == pytest.approx(pieces.bins.thresholds) and one.bins.sums.n.tolist() == pieces.bins.sums.n.tolist()
+        assert np.allclose(one.bin_statistics, pieces.bin_statistics)
+
+
+@pytest.mark.parametrize("parts", [1, 4, 7])
+def test_cuts_do_not_depend_on_partitions(spark, tiny, parts):
+    part = spark.read.parquet(f"{tiny}/part.parquet").withColumn("mirrored", F.abs(F.col("p_partkey") - 100.5)).repartition(parts)
+    cells = part.groupBy(F.lit(0).alias("g"), F.col("p_partkey").cast("double").alias("x")).agg(F.count(F.lit(1)).alias("n"), F.count(F.lit(1)).cast("double").alias("w"), F.sum(F.col("mirrored") * 1e6).alias("wy"), F.sum(F.col("mirrored") * F.col("mirrored") * 1e12).alias("wyy"))
+    found = cuts.best_cuts(cells, ["g"], "squared_error", [["wy", "wyy"]], 1, parts).first()
+    x, y = (np.array(v, float) for v in zip(*sorted((r["p_partkey"], r["mirrored"]) for r in part.select("p_partkey", "mirrored").collect())))
+    loss = [((y[:k] - y[:k].mean()) ** 2).sum() + ((y[k:] - y[k:].mean()) ** 2).sum() for k in range(1, len(y))]
+    first = next(k for k, v in enumerate(loss, 1) if v <= min(loss) * (1 + 1e-11))
+    assert found["threshold"] == (x[first - 1] + x[first]) / 2
 
 
 def test_batches_score_as_expressions_do(spark, monkeypatch):
@@ -247,7 +305,7 @@ def test_panels(spark, strict):
 
 def test_absolute_error_on_quantiles(spark):
     df = spark.range(3000).select((F.col("id") * 1.0).alias("x"), F.when(F.col("id") > 1500, 100.0 + F.col("id") % 50).otherwise(F.col("id") % 50).alias("y"))
-    model = ShapeTreeRegressor(criterion="mae", max_depth=1, max_distinct=2500).fit(df, ["x"], "y")
+    model = ShapeTreeRegressor(criterion="mae", max_depth=1, max_distinct=40, quantile_bins=50).fit(df, ["x"], "y")
     assert model.score(df) > 0.8
     exact = ShapeTreeRegressor(criterion="mae", max_depth=1).fit(df, ["x"], "y")
     assert exact.score(df) > 0.9
