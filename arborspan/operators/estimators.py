@@ -395,8 +395,8 @@ class _Forest(_Estimator):
         return {"n_estimators": 100, "bootstrap": True, "max_samples": None, "row_id": None}
 
     def fit(self, df: DataFrame, features: list[str], target: str | list[str], weight: str | None = None, feature_dict: dict | None = None, check: bool = True, classes: list[list] | None = None) -> TreeModel:
-        """Fit all trees together. With a unique ``row_id`` column the bootstrap is
-        that of numbered rows in its order; without one it is drawn by a hash."""
+        """Fit all trees together. With a numeric ``row_id`` column the bootstrap
+        numbers rows in its order; without one, in the order of a hash."""
         params = self.params.checked(self.classification)
         opts = self.forest_params
         check_int("n_estimators", opts["n_estimators"], 1)

@@ -2,18 +2,15 @@
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions.params import SEED_LIMIT
-from ..runtime import ship
+from ..plans.prefix import range_bucket, running_totals
 
-#: Rows up to which the drawn row numbers are made on the driver.
-EXACT_ROWS = 2_000_000
+#: Range pieces in which rows are numbered.
+PIECES = 64
 
 
 def bootstrap_size(n: int, max_samples) -> int:
@@ -36,55 +33,39 @@ def tree_seeds(random_state: int | None, trees: int) -> list[int]:
     return [int(rng.randint(SEED_LIMIT)) for _ in range(trees)]
 
 
-def multiplicities(seed: int, n: int, m: int) -> np.ndarray:
-    """How often each of ``n`` numbered rows is drawn among ``m`` draws."""
-    return np.bincount(np.random.RandomState(seed).randint(0, n, m), minlength=n)
+def draw_column(seed: Column, draw: Column, n: int) -> Column:
+    """Number of the row that a tree's draw takes: the first 60 bits of the md5 of
+    ``seed/draw``, modulo ``n``."""
+    bits = F.substring(F.md5(F.concat_ws("/", seed, draw).cast("binary")), 1, 15)
+    return F.pmod(F.conv(bits, 16, 10).cast("bigint"), F.lit(n))
+
+
+def numbered(rows: DataFrame, key: Column) -> DataFrame:
+    """Rows with ``__at``: 0, 1, .. in the order of a numeric key and then of a
+    hash of the row. Numbers are counted up in range pieces, not in one task."""
+    named = rows.withColumns({"__key": key, "__tie": F.xxhash64(*[F.col(f"`{c}`") for c in rows.columns]), "__one": F.lit(1)})
+    at = running_totals(range_bucket(named, ["__one"], "__key", PIECES), ["__one"], "bucket", [F.col("__key"), F.col("__tie")], {"__one": "__at"})
+    return at.withColumn("__at", (F.col("__at") - 1).cast("bigint")).drop("__key", "__tie", "__one", "bucket")
 
 
 def bootstrap(rows: DataFrame, trees: int, random_state: int | None, max_samples=None, replace: bool = True, by_row_id: bool = False) -> DataFrame:
     """``rows`` once for each tree that draws it, with ``mult`` draws.
 
-    ``by_row_id``: rows are numbered in the order of ``row_id`` and the draws are
-    those of a seeded generator; beyond ``EXACT_ROWS`` rows, and without ids, a
-    row's draws are Poisson by a hash of the row, which needs no shuffle.
+    A tree makes its draws with replacement, by a hash of its seed and the draw's
+    number, from numbered rows: the same rule for every number of rows, and the
+    same sample when a lost task is run again. ``by_row_id``: rows are numbered in
+    the order of the numeric ``row_id``; otherwise by a hash of their values (rows
+    that are alike in every column are interchangeable).
     """
-    spark = ship(rows.sparkSession)
-    seeds = tree_seeds(random_state, trees)
     base = rows.drop("tree", "mult")
+    each = F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree")
     if not replace:
-        out = base.withColumn("tree", F.explode(F.array(*[F.lit(t) for t in range(trees)]))).withColumn("mult", F.lit(1))
-        return out.drop("row_id")
+        return base.select("*", each).withColumn("mult", F.lit(1)).drop("row_id")
     n = base.count()
     m = bootstrap_size(n, max_samples)
-    if by_row_id and n <= EXACT_ROWS:
-        import pandas as pd
-
-        numbered = base.join(
-            base.select("row_id", (F.row_number().over(Window.orderBy("row_id")) - 1).alias("__at")), "row_id"
-        )
-        held = spark.sparkContext.broadcast(seeds)  # a few integers
-
-        def draw(frames):
-            for frame in frames:
-                for t in frame["tree"]:
-                    k = multiplicities(held.value[t], n, m)
-                    at = np.flatnonzero(k)
-                    yield pd.DataFrame({"tree": np.full(len(at), t, np.int32), "__at": at.astype(np.int64), "mult": k[at].astype(np.int32)})
-
-        drawn = spark.range(trees).select(F.col("id").cast("int").alias("tree")).repartition(min(trees, 200)).mapInPandas(draw, "tree int, __at bigint, mult int")
-        return numbered.join(drawn, "__at").drop("__at", "row_id")
-    rate, cut, steps = m / n if n else 0.0, 0.0, []
-    p = math.exp(-rate)
-    for k in range(0, 40):  # the inverse of the Poisson distribution's sums
-        cut += p
-        steps.append(cut)
-        p *= rate / (k + 1)
-        if cut > 1 - 1e-12:
-            break
-    columns = [F.col(c) for c in base.columns]
-    each = base.withColumn("tree", F.explode(F.array(*[F.lit(t) for t in range(trees)])))
+    spark, seeds = rows.sparkSession, tree_seeds(random_state, trees)
     seed = F.element_at(F.array(*[F.lit(s) for s in seeds]), F.col("tree") + 1)
-    # rows alike in every column draw apart by a number of their own
-    each = each.withColumn("__u", F.pmod(F.xxhash64(seed, F.monotonically_increasing_id(), *columns), F.lit(1 << 53)) / F.lit(float(1 << 53)))
-    mult = F.size(F.filter(F.array(*[F.lit(s) for s in steps]), lambda s: s <= F.col("__u")))
-    return each.withColumn("mult", mult).where("mult > 0").drop("__u", "row_id")
+    draws = spark.range(m).select(F.col("id").alias("draw"), each).select("tree", draw_column(seed, F.col("draw"), max(n, 1)).alias("__at"))
+    drawn = draws.groupBy("tree", "__at").agg(F.count(F.lit(1)).cast("int").alias("mult"))
+    key = F.col("row_id").cast("double") if by_row_id else F.xxhash64(*[F.col(f"`{c}`") for c in base.columns]).cast("double")
+    return numbered(base, key).join(drawn, "__at").drop("__at", "row_id")

@@ -8,17 +8,20 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import criteria as C
 from ..functions import targets as Y
-from ..functions.features import narrow
-from ..operators import explain
+from ..functions.features import Feature, narrow
+from ..functions.params import TreeParams
+from ..operators import explain, growth
 from ..operators.discretizer import ShapeDiscretizer
 from ..operators.estimators import ShapeForestClassifier, ShapeForestRegressor, ShapeTreeClassifier, ShapeTreeRegressor, TreeModel
 from ..operators.refine import refine
-from ..operators.sampling import bootstrap
+from ..operators.inner import Loss
+from ..operators.sampling import bootstrap, tree_seeds
 from ..sources import datasets, snapshots
 from . import cuts, routing
 
@@ -521,13 +524,13 @@ cells AS (SELECT a.f AS fa, b.f AS fb, a.p AS pa, b.p AS pb, count(*) AS n, sum(
 scored AS (SELECT fa, fb, sum(2 * s * (n - s) / n) / sum(n) AS impurity FROM cells GROUP BY ALL)
 SELECT fa, fb, round(impurity, 9) AS impurity FROM scored ORDER BY round(impurity, 9), fa, fb LIMIT 3""")
 def pair_screen_topk(spark, sf_dir):
-    df = read(spark, sf_dir, "lineitem").withColumn("y", (F.col("l_returnflag") == "R").cast("double"))
-    sides = F.array(*[F.struct(F.lit(i).alias("f"), (F.col(c) > F.lit(float(t))).cast("int").alias("p")) for i, (c, t) in enumerate(zip(NUMBERS, (25, 50000, 0.05, 0.04)))])
-    rows = df.select("y", sides.alias("s"))
-    pairs = F.flatten(F.transform("s", lambda a: F.transform(F.filter("s", lambda b: b["f"] > a["f"]), lambda b: F.struct(a["f"].alias("fa"), b["f"].alias("fb"), a["p"].alias("pa"), b["p"].alias("pb")))))
-    cells = rows.select("y", F.explode(pairs).alias("p")).groupBy("p.fa", "p.fb", "p.pa", "p.pb").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("s"))
-    gini = C.gini_column([F.col("s"), F.col("n") - F.col("s")])
-    scored = cells.groupBy("fa", "fb").agg((F.sum(F.col("n") * gini) / F.sum("n")).alias("impurity"))
+    df = read(spark, sf_dir, "lineitem").withColumn("y", (F.col("l_returnflag") == "R").cast("int"))
+    rows = df.select(F.lit(0).alias("tree"), F.lit(0).alias("node"), F.lit(1).alias("mult"), F.lit(1.0).alias("w"), F.col("y").alias("y0"), *[narrow(c).alias(f"f{i}") for i, c in enumerate(NUMBERS)])
+    table = growth.Table(rows, [Feature(c, "continuous", (c,)) for c in NUMBERS], 1, [2])
+    cut = lambda f, t: {"kind": "numeric", "logical": [f], "thresholds": [float(np.float32(t))], "categories": [], "pair_tree": [], "labels": [0, 1, 0], "arity": 2}
+    cells = growth.crossed(table, Loss("gini", 1), rows, {(0, 0): {f: cut(f, t) for f, t in enumerate((25, 50000, 0.05, 0.04))}})
+    gini = C.gini_column([F.col("s_0_0"), F.col("s_0_1")])
+    scored = cells.groupBy("fa", "fb").agg((F.sum(F.col("wsum") * gini) / F.sum("wsum")).alias("impurity"))
     return scored.select("fa", "fb", F.round("impurity", 9).alias("impurity")).orderBy("impurity", "fa", "fb").limit(3)
 
 
@@ -538,15 +541,8 @@ u AS (SELECT x, lead(x) OVER w AS nx, sum(n) OVER w AS ln, sum(n) OVER () - sum(
 SELECT x / 2 + nx / 2 AS threshold, greatest(l0 + t1, l1 + t0)::DOUBLE AS reward, (CASE WHEN l0 + t1 >= l1 + t0 THEN 0 ELSE 1 END)::INTEGER AS left_child FROM u WHERE nx IS NOT NULL AND ln >= 13 AND rn >= 13 ORDER BY reward DESC, x LIMIT 1""")
 def refine_best_threshold(spark, sf_dir):
     df = _part(spark, sf_dir).select(narrow("p_size").alias("x"), F.col("dear").cast("double").alias("y"), F.lit(1).alias("one"))
-    from pyspark.sql.window import Window
-
     cells = df.groupBy("one", "x").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("r1"), F.sum(1 - F.col("y")).alias("r0"))
-    up = Window.partitionBy("one").orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
-    down = Window.partitionBy("one").orderBy("x").rowsBetween(1, Window.unboundedFollowing)
-    left, right = {c: F.sum(c).over(up) for c in ("n", "r0", "r1")}, {c: F.sum(c).over(down) for c in ("n", "r0", "r1")}
-    run = cells.select("x", F.lead("x").over(Window.partitionBy("one").orderBy("x")).alias("nx"), left["n"].alias("ln"), right["n"].alias("rn"), (left["r0"] + right["r1"]).alias("a"), (left["r1"] + right["r0"]).alias("b"))
-    scored = run.where("nx is not null and ln >= 13 and rn >= 13").select("x", (F.col("x") / 2 + F.col("nx") / 2).alias("threshold"), F.greatest("a", "b").alias("reward"), (F.col("b") > F.col("a")).cast("int").alias("left_child"))
-    return scored.groupBy().agg(F.max_by(F.struct("threshold", "reward", "left_child"), F.struct("reward", -F.col("x"))).alias("b")).select("b.*")
+    return cuts.best_reward_cuts(cells, ["one"], ("r0", "r1"), 13, 8).drop("one")
 
 
 # ------------------------------------------------------------------- others
@@ -570,6 +566,205 @@ def document_quality_tree(spark, sf_dir):
     return _leaf_rates(model, df, F.col("quality").cast("double"))
 
 
+# -------------------------------------------- learners that SQL can follow
+
+def _sql_bins(base: str, kind: str, leaves: int) -> str:
+    """CTEs of inner trees over ``base (f, x, y, w)``, one for each ``f``: each round
+    cuts the interval that gains most. ``grown`` has the rows with their interval
+    ``node``; intervals are named by their least value."""
+    loss = (lambda a: f"2 * {a}y * ({a}w - {a}y) / nullif({a}w, 0)") if kind == "gini" else (lambda a: f"({a}yy - {a}y * {a}y / nullif({a}w, 0))")
+    parts, last = [f"g0 AS (SELECT f, x, y, w, min(x) OVER (PARTITION BY f) AS node FROM ({base}))"], "g0"
+    for k in range(1, leaves):
+        parts.append(f"""
+g{k}_cells AS (SELECT f, node, x, sum(w) AS sw, sum(w * y) AS sy, sum(w * y * y) AS syy FROM {last} GROUP BY ALL),
+g{k}_run AS (SELECT f, node, x, lead(x) OVER u AS nx, sum(sw) OVER u AS lw, sum(sy) OVER u AS ly, sum(syy) OVER u AS lyy, sum(sw) OVER a AS tw, sum(sy) OVER a AS ty, sum(syy) OVER a AS tyy,
+  sum(sw) OVER a - sum(sw) OVER u AS rw, sum(sy) OVER a - sum(sy) OVER u AS ry, sum(syy) OVER a - sum(syy) OVER u AS ryy FROM g{k}_cells
+  WINDOW u AS (PARTITION BY f, node ORDER BY x ROWS UNBOUNDED PRECEDING), a AS (PARTITION BY f, node)),
+g{k}_cut AS (SELECT f, node, x, nx, {loss('t')} - {loss('l')} - {loss('r')} AS gain FROM g{k}_run WHERE nx IS NOT NULL
+  QUALIFY row_number() OVER (PARTITION BY f ORDER BY round(gain, 7) DESC, node, x) = 1),
+g{k} AS (SELECT b.f, b.x, b.y, b.w, CASE WHEN c.node = b.node AND b.x > c.x THEN c.nx ELSE b.node END AS node FROM {last} b LEFT JOIN g{k}_cut c USING (f))""")
+        last = f"g{k}"
+    return "WITH " + ",".join(parts) + f",\ngrown AS (SELECT *, dense_rank() OVER (PARTITION BY f ORDER BY node) - 1 AS bin FROM {last})"
+
+
+_PRICE_BY_KEY = "SELECT 0 AS f, p_partkey::FLOAT::DOUBLE AS x, p_retailprice AS y, 1.0::DOUBLE AS w FROM part"
+_ODD = "CASE WHEN (p_size > 20) <> (p_partkey % 5 = 0) THEN 1.0 ELSE 0.0 END"
+_ODD_LONG = f"SELECT 0 AS f, p_size::FLOAT::DOUBLE AS x, {_ODD} AS y, 1.0::DOUBLE AS w FROM part UNION ALL SELECT 1, (p_partkey % 7)::FLOAT::DOUBLE, {_ODD}, 1.0::DOUBLE FROM part"
+
+
+def _odd_part(spark, sf_dir) -> DataFrame:
+    return read(spark, sf_dir, "part").withColumn("odd", ((F.col("p_size") > 20) != (F.col("p_partkey") % 5 == 0)).cast("int")).withColumn("m", F.col("p_partkey") % 7)
+
+
+@query(_sql_bins(_ODD_LONG, "gini", 3) + """,
+sums AS (SELECT f, bin, sum(w) AS w, sum(y) AS y FROM grown GROUP BY ALL),
+best AS (SELECT f FROM sums GROUP BY f ORDER BY round(sum(2 * y * (w - y) / w), 7), f LIMIT 1)
+SELECT w::BIGINT AS n, round(y / w, 6) AS rate FROM sums JOIN best USING (f)""")
+def kway_stumps(spark, sf_dir):
+    """Three bins of an inner tree, a child each: the feature that gains most."""
+    df = _odd_part(spark, sf_dir)
+    model = ShapeTreeClassifier(**FREE | {"max_depth": 1, "num_partitions": 3, "inner_max_leaf_nodes": 3}).fit(df, ["p_size", "m"], "odd")
+    return _leaf_rates(model, df, F.col("odd").cast("double"))
+
+
+@query(_sql_bins(_ODD_LONG, "gini", 4) + """,
+sums AS (SELECT f, bin, sum(w) AS w, sum(y) AS y FROM grown GROUP BY ALL),
+sides AS (SELECT f, mask, (mask >> bin) & 1 AS side, sum(w) AS w, sum(y) AS y FROM sums, (SELECT unnest(range(1, 8)) AS mask) GROUP BY ALL),
+best AS (SELECT f, mask FROM sides GROUP BY ALL HAVING count(*) = 2 ORDER BY round(sum(2 * y * (w - y) / w), 7), f, mask LIMIT 1)
+SELECT w::BIGINT AS n, round(y / w, 6) AS rate FROM sides JOIN best USING (f, mask)""")
+def coordinate_descent_stumps(spark, sf_dir):
+    """Four bins of an inner tree, dealt to two children: SQL tries every way."""
+    df = _odd_part(spark, sf_dir)
+    model = ShapeTreeClassifier(**FREE | {"max_depth": 1, "inner_max_leaf_nodes": 4}).fit(df, ["p_size", "m"], "odd")
+    return _leaf_rates(model, df, F.col("odd").cast("double"))
+
+
+@query("""
+WITH long AS (SELECT 0 AS f, p_size::FLOAT::DOUBLE AS x, p_retailprice + p_size AS y FROM part UNION ALL SELECT 1, (p_partkey % 100)::FLOAT::DOUBLE, p_retailprice + p_size FROM part),
+cuts AS (SELECT f, x AS edge, lead(x) OVER (PARTITION BY f ORDER BY x) AS nx FROM (SELECT DISTINCT f, x FROM long)),
+sides AS (SELECT c.f, c.edge, l.x <= c.edge AS low, l.y FROM cuts c JOIN long l USING (f) WHERE c.nx IS NOT NULL),
+middle AS (SELECT f, edge, low, median(y) AS m FROM sides GROUP BY ALL),
+loss AS (SELECT f, edge, sum(abs(y - m)) AS loss FROM sides JOIN middle USING (f, edge, low) GROUP BY ALL),
+best AS (SELECT f, edge FROM loss ORDER BY round(loss, 5), f, edge LIMIT 1)
+SELECT count(*) AS n, round(median(y), 2) AS predicted FROM sides JOIN best USING (f, edge) GROUP BY low""")
+def mae_stump(spark, sf_dir):
+    """Absolute error: SQL tries every cut, with the medians of both sides."""
+    df = read(spark, sf_dir, "part").withColumn("y", F.col("p_retailprice") + F.col("p_size")).withColumn("m", F.col("p_partkey") % 100)
+    model = ShapeTreeRegressor(criterion="absolute_error", **STUMPS | {"max_depth": 1}).fit(df, ["p_size", "m"], "y")
+    return model.transform(df).groupBy("leaf").agg(F.count(F.lit(1)).alias("n"), F.round(F.first("prediction"), 2).alias("predicted")).drop("leaf")
+
+
+@query(_sql_tree(_PART_CLASS, ["a", "b"], "gini", 2, """
+, pick AS (SELECT node, f, cut FROM b2_best WHERE whole - loss > 2.3e-16 ORDER BY round(whole - loss, 7) DESC, node LIMIT 1)
+SELECT count(*) AS n, round(avg(y), 6) AS rate FROM b1 LEFT JOIN pick ON b1.node = pick.node GROUP BY b1.node, CASE pick.f WHEN 0 THEN a <= cut WHEN 1 THEN b <= cut END"""))
+def leaf_budget_stumps(spark, sf_dir):
+    """Three leaves: of the root's children the one that gains more is split."""
+    df = _part(spark, sf_dir)
+    return _leaf_rates(ShapeTreeClassifier(**STUMPS | {"max_depth": None, "max_leaf_nodes": 3}).fit(df, ["p_size", "p_partkey"], "dear"), df, F.col("dear").cast("double"))
+
+
+def _sql_draws(seed: int, trees: int, table: str, key: str) -> str:
+    """CTEs of a bootstrap: ``drawn (tree, key, mult)``."""
+    seeds = ", ".join(f"({t}, {v})" for t, v in enumerate(tree_seeds(seed, trees)))
+    return f"""
+places AS (SELECT {key}, row_number() OVER (ORDER BY {key}) - 1 AS place FROM {table}),
+draws AS (SELECT t, ('0x' || substr(md5(seed || '/' || i), 1, 15))::BIGINT % (SELECT count(*) FROM {table}) AS place FROM (VALUES {seeds}) v(t, seed), (SELECT unnest(range((SELECT count(*) FROM {table}))) AS i)),
+drawn AS (SELECT t, {key}, count(*)::INTEGER AS mult FROM draws JOIN places USING (place) GROUP BY ALL)"""
+
+
+@query("WITH" + _sql_draws(11, 3, "part", "p_partkey") + " SELECT t::INTEGER AS tree, mult, count(*) AS rows FROM drawn GROUP BY ALL")
+def bootstrap_counts(spark, sf_dir):
+    """How many rows are drawn how often, by tree."""
+    rows = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("row_id"), F.lit(0).alias("tree"), F.lit(1).alias("mult"))
+    return bootstrap(rows, 3, 11, None, True, by_row_id=True).groupBy("tree", "mult").agg(F.count(F.lit(1)).alias("rows"))
+
+
+_FOREST = "WITH" + _sql_draws(7, 3, "part", "p_partkey") + """,
+b0 AS (SELECT t AS node, p_partkey, p_retailprice AS y, mult::DOUBLE AS w, p_size::FLOAT::DOUBLE AS a, (p_partkey % 100)::FLOAT::DOUBLE AS b FROM drawn JOIN part USING (p_partkey)),""" + _sql_level("b0", ["a", "b"], "mse", "b1")
+
+
+def _stump_forest(spark, sf_dir):
+    df = read(spark, sf_dir, "part").withColumn("m", F.col("p_partkey") % 100)
+    return df, ShapeForestRegressor(n_estimators=3, random_state=7, row_id="p_partkey", **STUMPS | {"max_depth": 1}).fit(df, ["p_size", "m"], "p_retailprice")
+
+
+@query(_FOREST + """,
+leaf AS (SELECT node, sum(w * y) / sum(w) AS mean FROM b1 GROUP BY node),
+each AS (SELECT p_partkey, s.node AS tree, 2 * s.node + CASE WHEN CASE f WHEN 0 THEN p_size::FLOAT::DOUBLE ELSE (p_partkey % 100)::FLOAT::DOUBLE END <= cut THEN 1 ELSE 2 END AS node FROM part, b1_best s)
+SELECT p_partkey, round(avg(mean), 2) AS predicted FROM each JOIN leaf USING (node) GROUP BY p_partkey""")
+def forest_mean_stumps(spark, sf_dir):
+    """Bootstrapped regression stumps; predictions are their mean."""
+    df, model = _stump_forest(spark, sf_dir)
+    return model.transform(df).select("p_partkey", F.round("prediction", 2).alias("predicted"))
+
+
+@query(_FOREST + """
+SELECT feature, round(avg((b.f = v.f)::INTEGER), 6) AS mean, round(stddev_pop((b.f = v.f)::INTEGER), 6) AS std FROM (VALUES (0, 'p_size'), (1, 'm')) v(f, feature), b1_best b GROUP BY feature""")
+def forest_importance_stumps(spark, sf_dir):
+    _, model = _stump_forest(spark, sf_dir)
+    rows = list(zip((f.columns[0] for f in model.features), map(float, model.mean_feature_importances_), map(float, model.std_feature_importance_)))
+    return spark.createDataFrame(rows, "feature string, mean double, std double").select("feature", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"))
+
+
+@query(_sql_tree(_PART_CLASS, ["a", "b"], "gini", 2, """
+, reached AS (SELECT node, count(*) AS n, avg(y) AS rate FROM b1 GROUP BY node UNION ALL SELECT node, count(*), avg(y) FROM b2 WHERE node > 2 GROUP BY node),
+splits AS (SELECT node, f, cut FROM b1_best UNION ALL SELECT node, f, cut FROM b2_best WHERE whole - loss > 2.3e-16),
+named AS (SELECT s.node, CASE f WHEN 0 THEN 'p_size' ELSE 'p_partkey' END AS f, printf('%.2f', cut) AS cut, l.n AS ln, r.n AS rn, 2 * s.node + 1 AS lo, 2 * s.node + 2 AS hi FROM splits s JOIN reached l ON l.node = 2 * s.node + 1 JOIN reached r ON r.node = 2 * s.node + 2),
+path(node, place) AS (VALUES (1, '1'), (2, '2'), (3, '11'), (4, '12'), (5, '21'), (6, '22')),
+texts AS (
+  SELECT lo AS node, 'a' AS kind, f || ' <= ' || cut || CASE WHEN ln >= rn THEN ' or ' || f || ' is missing' ELSE '' END AS t FROM named
+  UNION ALL SELECT hi, 'a', f || ' > ' || cut || CASE WHEN ln >= rn THEN '' ELSE ' or ' || f || ' is missing' END FROM named
+  UNION ALL SELECT node, 'b', 'class: ' || CASE WHEN rate > 0.5 THEN 1 ELSE 0 END FROM reached WHERE node NOT IN (SELECT node FROM splits))
+SELECT (row_number() OVER (ORDER BY place, kind) - 1)::INTEGER AS line, repeat('|   ', (len(place) - (kind = 'a')::INTEGER)::INTEGER) || '|--- ' || t AS rule FROM texts JOIN path USING (node)"""))
+def rules_text(spark, sf_dir):
+    df = _part(spark, sf_dir)
+    text = explain.export_text(ShapeTreeClassifier(**STUMPS | {"max_depth": 2}).fit(df, ["p_size", "p_partkey"], "dear"))
+    return spark.createDataFrame(list(enumerate(text.splitlines())), "line int, rule string")
+
+
+@query(_sql_tree(_PART_CLASS, ["a", "b"], "gini", 1, """
+, reached AS (SELECT sum((node = 1)::INTEGER) AS ln, sum((node = 2)::INTEGER) AS rn FROM b1),
+named AS (SELECT CASE f WHEN 0 THEN 'p_size' ELSE 'p_partkey' END AS f, printf('%.2f', cut) AS cut, ln, rn FROM b1_best, reached)
+SELECT '0 -> 1 [color="#e58139", tooltip="' || f || ' <= ' || cut || CASE WHEN ln >= rn THEN ' or ' || f || ' is missing' ELSE '' END || '"] ;' AS edge FROM named
+UNION ALL SELECT '0 -> 2 [color="#39e581", tooltip="' || f || ' > ' || cut || CASE WHEN ln >= rn THEN '' ELSE ' or ' || f || ' is missing' END || '"] ;' FROM named"""))
+def graph_edges(spark, sf_dir):
+    """Edges of a graph: a child's colour, and its rule as the tooltip."""
+    df = _part(spark, sf_dir)
+    text = explain.export_graphviz(ShapeTreeClassifier(**STUMPS | {"max_depth": 1}).fit(df, ["p_size", "p_partkey"], "dear"), df=df)
+    return spark.createDataFrame([(x,) for x in text.splitlines() if "->" in x], "edge string")
+
+
+@query(_sql_tree(_PART_CLASS, ["a", "b"], "gini", 1, """
+SELECT 0 AS depth, (SELECT count(*) FROM part) AS n, (SELECT CASE f WHEN 0 THEN 'p_size' ELSE 'p_partkey' END FROM b1_best) AS feature, (SELECT round(cut, 6) FROM b1_best) AS threshold, (SELECT round(whole - loss, 6) FROM b1_best) AS gain, (SELECT round(sum(y), 4) FROM part, LATERAL (SELECT CASE WHEN p_retailprice > 912 AND p_retailprice < 960 THEN 1.0 ELSE 0.0 END AS y)) AS ones
+UNION ALL SELECT 1, count(*), NULL, NULL, 0.0, round(sum(y), 4) FROM {last} GROUP BY node"""))
+def snapshot_splits(spark, sf_dir):
+    """A snapshot's rows: each node's depth, rows, split, gain and class weight."""
+    df = _part(spark, sf_dir)
+    rows = snapshots.nodes_table(spark, snapshots.from_json(snapshots.to_json(ShapeTreeClassifier(**STUMPS | {"max_depth": 1}).fit(df, ["p_size", "p_partkey"], "dear"))))
+    split = lambda c: F.when(F.size(c) > 0, F.col(c)[0])
+    return rows.select("depth", F.col("n").cast("bigint").alias("n"), split("columns").alias("feature"), F.round(split("thresholds"), 6).alias("threshold"), F.round("raw_gain", 6).alias("gain"), F.round(F.col("class_counts")[0][1], 4).alias("ones"))
+
+
+@query(_sql_bins(_PRICE_BY_KEY, "mse", 4) + " SELECT bin::INTEGER AS bin, count(*) AS n, round(avg(y), 4) AS price FROM grown GROUP BY bin")
+def discretizer_bins(spark, sf_dir):
+    df = read(spark, sf_dir, "part")
+    model = ShapeDiscretizer("squared_error", max_leaf_nodes=4).fit(df, ["p_partkey"], "p_retailprice")
+    return model.transform(df).groupBy("bin").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("p_retailprice"), 4).alias("price"))
+
+
+@query(_sql_tree(_PART_CLASS, ["a", "b"], "gini", 1, "SELECT strip::INTEGER AS strip, (lo + (strip + 0.5) * (hi - lo) / 80 > cut)::INTEGER AS child FROM b1_best, (SELECT min(p_partkey)::DOUBLE AS lo, max(p_partkey)::DOUBLE AS hi FROM part), (SELECT unnest(range(80)) AS strip)").replace("SELECT node, 0 AS f, a AS x, y, w FROM b0 UNION ALL ", ""))
+def numeric_panel_stump(spark, sf_dir):
+    """The child of each strip along a feature."""
+    df = _part(spark, sf_dir)
+    model = ShapeTreeClassifier(**STUMPS | {"max_depth": 1}).fit(df, ["p_partkey"], "dear")
+    span = df.agg(F.min("p_partkey"), F.max("p_partkey")).first()
+    return spark.createDataFrame(list(enumerate(explain.numeric_panel(model, 0, float(span[0]), float(span[1]))["strips"])), "strip int, child int")
+
+
+@query("""
+SELECT i::INTEGER AS i, j::INTEGER AS j, (CASE WHEN i = 10 THEN 1 WHEN i * 5 + 2.5 > 25 THEN 0 WHEN j = 10 OR j * 0.01 + 0.005 <= 0.05 THEN 0 ELSE 1 END)::INTEGER AS child
+FROM (SELECT unnest(range(11)) AS i), (SELECT unnest(range(11)) AS j)""")
+def pair_grid(spark, sf_dir):
+    """Children over a grid of a pair split's two features, missing cells last."""
+    node = {"node_id": 0, "kind": "pair", "logical": [0, 1], "pair_tree": _PAIR_TREE, "bin_to_partition": [0, 1, 0, 1], "children": [1, 2], "is_leaf": False}
+    features = [Feature(c, "continuous", (c,)) for c in ("l_quantity", "l_discount")]
+    model = TreeModel("classifier", TreeParams(), features, ["l_quantity", "l_discount"], ["y"], {0: growth.Tree([node])}, [[0, 1]])
+    return explain.pair_heatmap(spark, model, 0, [(0.0, 50.0), (0.0, 0.1)], cells=10).select("i", "j", "child")
+
+
+@query(f"""
+WITH base AS (SELECT p_size::DOUBLE AS a, (p_partkey % 7)::DOUBLE AS b, {_ODD} AS y FROM part),
+long AS (SELECT 0 AS f, a AS x, y FROM base UNION ALL SELECT 1, b, y FROM base),
+cells AS (SELECT f, x, sum(y) AS r1, sum(1 - y) AS r0 FROM long GROUP BY ALL),
+run AS (SELECT sum(r1) OVER u AS l1, sum(r0) OVER u AS l0, sum(r1) OVER a - sum(r1) OVER u AS t1, sum(r0) OVER a - sum(r0) OVER u AS t0 FROM cells WINDOW u AS (PARTITION BY f ORDER BY x ROWS UNBOUNDED PRECEDING), a AS (PARTITION BY f))
+SELECT max(greatest(l0 + t1, l1 + t0))::BIGINT AS correct FROM run""")
+def refine_stump(spark, sf_dir):
+    """Rows that a refined stump classifies right: as many as the best cut of any feature does."""
+    df = _odd_part(spark, sf_dir)
+    model = refine(ShapeTreeClassifier(**STUMPS | {"max_depth": 1}).fit(df, ["p_size", "m"], "odd"), df, lambda_=0.0)
+    return model.transform(df).where("prediction = odd").agg(F.count(F.lit(1)).alias("correct"))
+
+
 def _leaf_table(model: TreeModel, df: DataFrame) -> DataFrame:
     return model.transform(df).groupBy("leaf", F.col("prediction").cast("string").alias("prediction")).agg(F.count(F.lit(1)).alias("n"))
 
@@ -632,13 +827,6 @@ def forest_importance_stats(spark, sf_dir):
     return spark.createDataFrame(rows, "feature string, mean double, std double")
 
 
-@query()
-def bootstrap_counts(spark, sf_dir):
-    """How many rows are drawn how often, by tree."""
-    rows = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("row_id"), F.lit(0).alias("tree"), F.lit(1).alias("mult"))
-    return bootstrap(rows, 3, 11, None, True, by_row_id=True).groupBy("tree", "mult").agg(F.count(F.lit(1)).alias("rows"))
-
-
 @query()
 def refine_tree(spark, sf_dir):
     df = _part(spark, sf_dir)
@@ -646,13 +834,6 @@ def refine_tree(spark, sf_dir):
     return _leaf_table(refine(model, df, lambda_=0.0), df)
 
 
-@query()
-def rules_text(spark, sf_dir):
-    df = _part(spark, sf_dir)
-    text = explain.export_text(ShapeTreeClassifier(**STUMPS | {"max_depth": 2}).fit(df, ["p_size", "p_partkey"], "dear"))
-    return spark.createDataFrame(list(enumerate(text.splitlines())), "line int, rule string")
-
-
 @query()
 def graph_text(spark, sf_dir):
     df = _part(spark, sf_dir)
@@ -666,13 +847,6 @@ def model_snapshot(spark, sf_dir):
     return snapshots.nodes_table(spark, ShapeTreeClassifier(**STUMPS | {"max_depth": 2}).fit(df, ["p_size", "p_partkey"], "dear"))
 
 
-@query()
-def discretizer_bins(spark, sf_dir):
-    df = read(spark, sf_dir, "part")
-    model = ShapeDiscretizer("squared_error", max_leaf_nodes=4).fit(df, ["p_partkey"], "p_retailprice")
-    return model.transform(df).groupBy("bin").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("p_retailprice"), 4).alias("price"))
-
-
 @query("""
 SELECT (CASE WHEN event_id % 10 = 0 THEN 0 WHEN value::FLOAT::DOUBLE <= 10 OR (value::FLOAT::DOUBLE > 20.5 AND value::FLOAT::DOUBLE <= 40) THEN 0 ELSE 1 END)::INTEGER AS child, count(*) AS n
 FROM events GROUP BY ALL""")

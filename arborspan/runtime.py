@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import zipfile
 from pathlib import Path
@@ -17,7 +19,9 @@ def ship(spark: SparkSession) -> SparkSession:
     context = spark.sparkContext
     if context.applicationId not in _SHIPPED:
         root = Path(__file__).resolve().parent
-        target = Path(tempfile.mkdtemp(prefix="package-")) / f"{root.name}.zip"
+        folder = tempfile.mkdtemp(prefix="package-")  # the driver's own: executors fetch the file from it
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        target = Path(folder) / f"{root.name}.zip"
         with zipfile.ZipFile(target, "w") as out:
             for path in sorted(root.rglob("*.py")):
                 out.write(path, path.relative_to(root.parent))
