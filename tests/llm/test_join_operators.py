@@ -475,3 +475,39 @@ def test_near_duplicates_with_hot_buckets(spark, monkeypatch):
     rows = near_rows(60, seed=4)
     _, comp = brute_near(rows)
     assert {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), block=8).collect()} == comp
+
+
+# ------------------------------------------------- whole tables by brute force
+
+
+def plain_lines(text):
+    """A text's lines as tuples of words."""
+    return [tuple(words(line)) for line in re.split(r"\n|(?<=[.!?]) ", text)]
+
+
+def plain_cuts(rows, least=20):
+    """Lines of each document in runs of ``least`` words or more that an earlier document has too."""
+    seen, out = set(), {}
+    for i, text in sorted(rows):
+        lines = plain_lines(text)
+        runs = []
+        for a in range(len(lines)):
+            n = 0
+            for b in range(a, len(lines)):
+                n += len(lines[b])
+                if n >= least and lines[a]:
+                    runs.append((a, b + 1, tuple(lines[a : b + 1])))
+                    break
+        out[i] = sorted({k for a, b, key in runs if key in seen for k in range(a, b)})
+        seen |= {key for _, _, key in runs}
+    return out
+
+
+def test_line_dedup_of_a_table_equals_brute_force(spark, tiny):
+    rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{tiny}/documents.parquet").where("text is not null").collect()]
+    want = plain_cuts(rows)
+    text = dict(rows)
+    got = {r["doc_id"]: r for r in queries.op9_patience_line_dedup(spark, tiny).collect()}
+    for i, cut in want.items():
+        assert got[i]["lines_cut"] == len(cut), i
+        assert words(got[i]["text"]) == [w for k, line in enumerate(plain_lines(text[i])) if k not in cut for w in line], i

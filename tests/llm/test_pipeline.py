@@ -1,10 +1,14 @@
 """The pipeline's stages, each on its own input."""
 
+import duckdb
 import numpy as np
 from pyspark.sql import functions as F
 
 import corpus_pipeline as P
-from arborspan.llm import minhash
+from arborspan.llm import minhash, queries
+from arborspan.llm.shared import stage
+
+from test_join_operators import ALNUM, joined, plain_cuts, shingle_set, words
 
 
 def fixture(spark, folder):
@@ -91,3 +95,49 @@ def test_rows_of_one_id_are_judged_by_their_own_text(spark):
     assert [x[0] for x in got if x[0] > 3] == [4, 5]
     cut = {(r["doc_id"], r["text"]) for r in P.line_dedup(spark, docs.where("doc_id < 3"), "").collect()}
     assert cut == {(1, text("p")), (2, text("q"))}
+
+
+def test_stages_on_a_table_equal_brute_force(spark, tiny):
+    """Each stage's result on its own input, on the smallest tables."""
+    rows = lambda df: {r["doc_id"]: r["text"] for r in df.where("text is not null").collect()}
+    steps, docs = dict(P.STAGES), spark.read.parquet(f"{tiny}/documents.parquet")
+    good = stage(steps["quality"](spark, docs, tiny), "t1")
+    whole = queries.op7_bradley_terry_quality(spark, tiny).where("predicted = 1").select("doc_id").distinct().collect()
+    assert {r["doc_id"] for r in good.select("doc_id").collect()} == {r["doc_id"] for r in whole}
+    # no run of 51 words of a document stands in an earlier one
+    cut = stage(steps["line_dedup"](spark, good, tiny), "t2")
+    before, after, seen = rows(good), rows(cut), set()
+    runs = lambda w: {tuple(w[k : k + 51]) for k in range(len(w) - 50)}
+    lines = plain_cuts(before.items())
+    for i in sorted(before):
+        own = runs(words(before[i]))
+        if i in after:
+            assert not runs(words(after[i])) & seen
+        if not lines[i] and not own & seen and words(before[i]):  # nothing to cut
+            assert after[i] == before[i]
+        seen |= own
+    # one document of each group of near-duplicates
+    near = stage(steps["near_dedup"](spark, cut, tiny), "t3")
+    sets = {i: shingle_set(t) for i, t in after.items()}
+    ids = sorted(i for i in sets if sets[i])
+    links = [(a, b) for k, a in enumerate(ids) for b in ids[k + 1 :] if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    group = joined(ids, links)
+    assert set(rows(near)) == {i for i in after if group.get(i, i) == i}
+    # documents of which a twentieth stands in benchmark windows go
+    clean = stage(steps["decontaminate"](spark, near, tiny), "t4")
+    items = [words(r["text"], ALNUM) for r in spark.read.parquet(f"{tiny}/benchmark.parquet").collect()]
+    windows = {tuple(w[k : k + min(13, len(w))]) for w in items if w for k in range(len(w) - min(13, len(w)) + 1)}
+    sizes = {len(w) for w in windows}
+    kept = set()
+    for i, text in rows(near).items():
+        w = words(text, ALNUM)
+        hit = {p for n in sizes for k in range(len(w) - n + 1) if tuple(w[k : k + n]) in windows for p in range(k, k + n)}
+        if not hit or 20 * len(hit) < len(w):
+            kept.add(i)
+    assert set(rows(clean)) == kept
+    # the manifest is the mix of what is left
+    folder = clean._stage_path
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{folder.removeprefix('file:')}/*.parquet'")
+    want = {i: taken for i, taken in con.execute(f"SELECT doc_id, taken FROM ({queries.ORACLE_SQL['op3_weighted_fair_mix']}) WHERE taken > 0").fetchall()}
+    assert {r["doc_id"]: r["taken"] for r in steps["mix"](spark, clean, tiny).collect()} == want
