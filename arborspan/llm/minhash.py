@@ -107,9 +107,9 @@ def least_agreement(percent: int) -> int:
 
 
 def likely_pairs(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """The pairs (hub, key) of class keys that may be similar by set sizes and signatures."""
-    own = classes.select("key", "n", "bits")
-    both = spread_join(pairs.join(own, "key"), own.select(F.col("key").alias("hub"), F.col("n").alias("hub_n"), F.col("bits").alias("hub_bits")), "hub")
+    """The pairs (hub, node) of classes that may be similar by set sizes and signatures."""
+    own = classes.select("node", "n", "bits")
+    both = spread_join(pairs.join(own, "node"), own.select(F.col("node").alias("hub"), F.col("n").alias("hub_n"), F.col("bits").alias("hub_bits")), "hub")
     near = 100 * F.least("n", "hub_n") >= percent * F.greatest("n", "hub_n")
     least = least_agreement(percent)
 
@@ -118,28 +118,28 @@ def likely_pairs(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFram
         take = pa.array(np.flatnonzero((a == b).sum(1) >= least))
         yield [batch.column(0).take(take), batch.column(1).take(take)]
 
-    return map_texts(both.where(near).select("hub", "key", "bits", "hub_bits"), run, "hub binary, key binary")
+    return map_texts(both.where(near).select("hub", "node", "bits", "hub_bits"), run, "hub bigint, node bigint")
 
 
-def _sets_of(keys: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
-    """(key, set) of distinct class keys: each one's shingle set, from the text of its first row."""
-    ids = stage(keys.join(classes.select("key", "rep.*"), "key").select("key", F.col("id").alias("rep"), F.col("version").alias("rep_version")), "text-ids")
-    side = bounded(ids, ids.count())
-    found = texts.join(side, (texts["id"] == side["rep"]) & (texts["version"] == side["rep_version"])).select("key", "text")
+def _sets_of(nodes: DataFrame, most: int, classes: DataFrame, texts: DataFrame) -> DataFrame:
+    """(node, set) of at most ``most`` distinct classes: each one's shingle set, from
+    the text of its first row, as a stage table."""
+    side = bounded(nodes.join(classes.select("node", F.col("rep.id").alias("rep"), F.col("rep.version").alias("rep_version")), "node"), most)
+    found = texts.join(side, (texts["id"] == side["rep"]) & (texts["version"] == side["rep_version"])).select("node", "text")
 
     def run(batch):
         yield [batch.column(0), [s.view(np.int64) for s in shingle_sets(batch.column(1))]]
 
-    out = stage(map_texts(found, run, "key binary, set array<bigint>"), "sets")
-    drop_stage(ids)
-    return out
+    return stage(map_texts(found, run, "node bigint, set array<bigint>"), "sets")
 
 
-def confirm(pairs: DataFrame, classes: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """The pairs (hub, key) of class keys whose full sets are similar enough, as a stage table (u, v)."""
+def confirm(pairs: DataFrame, classes: DataFrame, texts: DataFrame, percent: int) -> tuple[DataFrame, list[DataFrame]]:
+    """The pairs (u, v) of classes whose full sets are similar enough, and the
+    stage tables that they are read from."""
     likely = stage(likely_pairs(pairs, classes, percent), "likely")
-    sets = _sets_of(likely.select("key").unionByName(likely.select(F.col("hub").alias("key"))).distinct(), classes, texts)
-    both = spread_join(likely.join(sets, "key"), sets.select(F.col("key").alias("hub"), F.col("set").alias("hub_set")), "hub", likely.groupBy("hub").agg(F.count(F.lit(1)).alias("n")))
+    nodes = likely.select("node").unionByName(likely.select(F.col("hub").alias("node"))).distinct()
+    sets = _sets_of(nodes, 2 * likely.count(), classes, texts)
+    both = spread_join(likely.join(sets, "node"), sets.select(F.col("node").alias("hub"), F.col("set").alias("hub_set")), "hub", likely.groupBy("hub").agg(F.count(F.lit(1)).alias("n")))
 
     def run(batch):
         a, b = batch.column(2), batch.column(3)
@@ -148,38 +148,40 @@ def confirm(pairs: DataFrame, classes: DataFrame, texts: DataFrame, percent: int
         yield [batch.column(0).take(take), batch.column(1).take(take)]
 
     # several rows may have the text of a class's first row
-    out = stage(map_texts(both.select("hub", "key", "set", "hub_set"), run, "u binary, v binary").distinct(), "links")
-    drop_stage(likely, sets)
-    return out
+    return map_texts(both.select("hub", "node", "set", "hub_set"), run, "u bigint, v bigint").distinct(), [likely, sets]
 
 
-def _hubs(members: DataFrame, hubs: int, salt: int, *more) -> DataFrame:
-    """Per bucket: ``size`` and ``hubs`` of its members, drawn by a hash of their own in each bucket."""
-    turn = lambda h: F.min(F.struct(F.xxhash64("key", "band", F.lit(salt + h)).alias("x"), F.col("key").alias("hub"), F.col("comp").alias("hub_comp")))
-    return members.groupBy("band").agg(F.count(F.lit(1)).alias("size"), F.array_distinct(F.array(*[turn(h) for h in range(hubs)])).alias("hubs"), *more)
+def _drawn(members: DataFrame, hubs: int, salt: int, *more) -> DataFrame:
+    """Per bucket: ``size`` and ``hubs``, members that lead when ids are read through
+    a mask of the bucket's own. Sums of plain numbers only, so they add up map-side."""
+    mask = [F.xxhash64("band", F.lit(salt + h)) for h in range(hubs)]
+    least = members.groupBy("band").agg(F.count(F.lit(1)).alias("size"), *more, *[F.min(F.col("node").bitwiseXOR(m)).alias(f"least{h}") for h, m in enumerate(mask)])
+    drawn = F.array_distinct(F.array(*[F.col(f"least{h}").bitwiseXOR(m) for h, m in enumerate(mask)]))
+    return least.withColumn("hubs", drawn).drop(*[f"least{h}" for h in range(hubs)])
 
 
-def _with_hubs(members: DataFrame, hubs: int, salt: int, counts: DataFrame) -> DataFrame:
-    drawn = stage(_hubs(members, hubs, salt), "hubs")
-    out = stage(spread_join(members, drawn, "band", counts), "buckets")
+def _with_hubs(members: DataFrame, drawn: DataFrame, name: str) -> DataFrame:
+    drawn = stage(drawn.select("band", "size", "hubs"), "hubs")
+    out = stage(spread_join(members, drawn, "band", drawn.select("band", F.col("size").alias("n"))), name)
     drop_stage(drawn)
     return out
 
 
-def _hub_pairs(members: DataFrame) -> DataFrame:
+def _hub_pairs(members: DataFrame, parts: DataFrame | None) -> DataFrame:
     """Distinct pairs of a bucket's hubs and its members of other components."""
-    pairs = members.select("key", "comp", F.explode("hubs").alias("h")).where("key <> h.hub and comp <> h.hub_comp")
-    return pairs.select("h.hub", "key").distinct()
+    pairs = members.select("node", "comp", F.explode("hubs").alias("hub")).where("node <> hub").distinct()
+    if parts is None:
+        return pairs.select("hub", "node")
+    of_hub = parts.select(F.col("node").alias("hub"), F.col("component").alias("hub_comp"))
+    return pairs.join(of_hub, "hub", "left").where(F.col("comp") != F.coalesce("hub_comp", "hub")).select("hub", "node")
 
 
 def _mixed(members: DataFrame, parts: DataFrame, hubs: int, salt: int) -> DataFrame:
     """Members, with their components and new hubs, of the buckets that hold several components."""
-    comp = stage(
-        members.select("band", "pos", "key").join(parts, members["key"] == parts["node"], "left").select("band", "pos", "key", F.coalesce("component", "key").alias("comp")), "comps"
-    )
-    drawn = stage(_hubs(comp, hubs, salt, F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("band", "size", "hubs"), "hubs")
-    out = stage(spread_join(comp, drawn, "band", drawn.select("band", F.col("size").alias("n"))), "mixed")
-    drop_stage(comp, drawn)
+    own = parts.select(F.col("node").alias("part"), "component")
+    comp = stage(members.select("band", "pos", "node").join(own, F.col("node") == F.col("part"), "left").select("band", "pos", "node", F.coalesce("component", "node").alias("comp")), "comps")
+    out = _with_hubs(comp, _drawn(comp, hubs, salt, F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi"), "mixed")
+    drop_stage(comp)
     return out
 
 
@@ -189,8 +191,8 @@ def _compare(table: pa.Table, percent: int, sets) -> tuple[list[int], list[tuple
     least = least_agreement(percent)
     n, mine, i, j = (table[c].to_numpy() for c in ("n", "mine", "i", "j"))
     pos, same = int(table["pos"][0].as_py()), i[0] == j[0]
-    keys = table["key"].to_pylist()
-    _, comp = np.unique(np.array([c.hex() for c in table["comp"].to_pylist()]), return_inverse=True)
+    keys = table["node"].to_pylist()
+    _, comp = np.unique(table["comp"].to_numpy(), return_inverse=True)
     bits = np.frombuffer(b"".join(table["bits"].to_pylist()), np.uint16).reshape(len(n), -1)
     bands = table["bands"].combine_chunks().flatten().to_numpy().reshape(len(n), BANDS)
     likely, links = set(), []
@@ -225,10 +227,10 @@ def _cross_links(mixed: DataFrame, classes: DataFrame, texts: DataFrame, percent
     every pair of blocks is a group. A first pass on the minima names the members
     that have a likely partner; only their sets are made for the second.
     """
-    member = mixed.withColumn("blocks", F.ceil(F.col("size") / block).cast("int")).withColumn("mine", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
-    own = member.select("band", "pos", "blocks", "mine", "key", "comp").join(classes.select("key", "n", "bits", "bands"), "key")
+    member = mixed.withColumn("blocks", F.ceil(F.col("size") / block).cast("int")).withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    own = member.select("band", "pos", "blocks", "mine", "node", "comp").join(classes.select("node", "n", "bits", "bands"), "node")
     spread = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("i", F.least("mine", "other")).withColumn("j", F.greatest("mine", "other"))
-    schema = "band bigint, pos int, i int, j int, mine int, key binary, comp binary, n bigint, bits binary, bands array<bigint>"
+    schema = "band bigint, pos int, i int, j int, mine int, node bigint, comp bigint, n bigint, bits binary, bands array<bigint>"
     names = [c.split()[0] for c in schema.split(", ")]
 
     def name(table: pa.Table) -> pa.Table:
@@ -236,15 +238,15 @@ def _cross_links(mixed: DataFrame, classes: DataFrame, texts: DataFrame, percent
         return table.take(pa.array(at, pa.int64())).select(names)
 
     likely = stage(spread.select(*names).groupBy("band", "i", "j").applyInArrow(name, schema), "likely")
-    sets = _sets_of(likely.select("key").distinct(), classes, texts)
+    sets = _sets_of(likely.select("node").distinct(), likely.count(), classes, texts)
 
     def link(table: pa.Table) -> pa.Table:
         column = table["set"].combine_chunks()
         off, values = column.offsets.to_numpy(), column.values.to_numpy().view(np.uint64)
         _, links = _compare(table, percent, [values[a:b] for a, b in zip(off[:-1], off[1:])])
-        return pa.table({"u": pa.array([a for a, _ in links], pa.binary()), "v": pa.array([b for _, b in links], pa.binary())})
+        return pa.table({"u": pa.array([a for a, _ in links], pa.int64()), "v": pa.array([b for _, b in links], pa.int64())})
 
-    out = stage(likely.join(sets, "key").groupBy("band", "i", "j").applyInArrow(link, "u binary, v binary").distinct(), "cross")
+    out = stage(likely.join(sets, "node").groupBy("band", "i", "j").applyInArrow(link, "u bigint, v bigint").distinct(), "cross")
     drop_stage(likely, sets)
     return out
 
@@ -260,30 +262,28 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, percent: int, block: i
     sig = stage(_signatures(texts, kind), "signatures")
     usable = sig.where("id is not null and key is not null")
     first = [F.first(c).alias(c) for c in ("bands", "bits")]
-    classes = stage(usable.groupBy("key").agg(F.min(F.struct("id", "version")).alias("rep"), F.count(F.lit(1)).alias("rows"), F.first("n_shingles").alias("n"), *first), "classes")
+    classes = usable.groupBy("key").agg(F.min(F.struct("id", "version")).alias("rep"), F.count(F.lit(1)).alias("rows"), F.first("n_shingles").alias("n"), *first)
+    classes = stage(classes.withColumn("node", F.monotonically_increasing_id()), "classes")  # numbers that stay, once written
     texts = texts.where("id is not null and text is not null")
-    every = classes.select("key", F.posexplode("bands").alias("pos", "band"))
-    shared = stage(every.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "shared")
-    found = stage(spread_join(every, shared.select("band"), "band", shared).withColumn("comp", F.col("key")), "found")
-    members = _with_hubs(found, HUBS[0], 0, shared)
-    drop_stage(shared, found)
+    every = classes.select("node", F.posexplode("bands").alias("pos", "band"), F.col("node").alias("comp"))
+    members = _with_hubs(every, _drawn(every, HUBS[0], 0).where("size > 1"), "buckets")
     parts = None
     for round_ in range(len(HUBS)):
-        pairs = stage(_hub_pairs(members), "pairs")
-        links = confirm(pairs, classes, texts, percent)
-        edges = links if parts is None else links.unionByName(parts.select(F.col("node").alias("u"), F.col("component").alias("v")))
-        new = components(edges)
+        pairs = stage(_hub_pairs(members, parts), "pairs")
+        links, read = confirm(pairs, classes, texts, percent)
+        new = components(links if parts is None else links.unionByName(_edges(parts)))
         mixed = _mixed(members, new, *((HUBS[round_ + 1], 100 * (round_ + 1)) if round_ + 1 < len(HUBS) else (1, 0)))
-        drop_stage(pairs, links, members, *([parts] if parts is not None else []))
+        drop_stage(pairs, members, *read, *([parts] if parts is not None else []))
         parts, members = new, mixed
     if members.head(1):
         cross = _cross_links(members, classes, texts, percent, block)
         if cross.head(1):
-            new = components(cross.unionByName(parts.select(F.col("node").alias("u"), F.col("component").alias("v"))))
+            new = components(cross.unionByName(_edges(parts)))
             drop_stage(parts)
             parts = new
         drop_stage(cross)
-    known = classes.join(parts, classes["key"] == parts["node"], "left").select("key", "rep", "rows", F.coalesce("component", "key").alias("comp"))
+    own = parts.select(F.col("node").alias("part"), "component")
+    known = classes.join(own, F.col("node") == F.col("part"), "left").select("key", "rep", "rows", F.coalesce("component", "node").alias("comp"))
     least = known.groupBy("comp").agg(F.min("rep").alias("first"), F.count(F.lit(1)).alias("n"))
     names = stage(spread_join(known, least.drop("n"), "comp", least).select("key", "comp", "rep", "first", F.col("rows").alias("n")), "names")
     rows = stage(sig.select("id", "version", "n_shingles", "key"), "rows")
@@ -291,6 +291,10 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, percent: int, block: i
     return rows, names
 
 
+def _edges(parts: DataFrame) -> DataFrame:
+    return parts.select(F.col("node").alias("u"), F.col("component").alias("v"))
+
+
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = LINK_PERCENT, block: int = BLOCK,
 ) -> DataFrame:

@@ -486,20 +486,34 @@ def plain_lines(text):
 
 
 def plain_cuts(rows, least=20):
-    """Lines of each document in runs of ``least`` words or more that an earlier document has too."""
-    seen, out = set(), {}
+    """Lines of each document in a common run of ``least`` words or more with the
+    first document that holds one of its runs that just reach as many."""
+    first, lines, out = {}, {}, {}
     for i, text in sorted(rows):
-        lines = plain_lines(text)
-        runs = []
-        for a in range(len(lines)):
+        lines[i] = own = plain_lines(text)
+        keys = set()
+        for a in range(len(own)):
             n = 0
-            for b in range(a, len(lines)):
-                n += len(lines[b])
-                if n >= least and lines[a]:
-                    runs.append((a, b + 1, tuple(lines[a : b + 1])))
+            for b in range(a, len(own)):
+                n += len(own[b])
+                if n >= least and own[a]:
+                    keys.add(tuple(own[a : b + 1]))
                     break
-        out[i] = sorted({k for a, b, key in runs if key in seen for k in range(a, b)})
-        seen |= {key for _, _, key in runs}
+        cut = set()
+        for early in {first[k] for k in keys if k in first}:
+            other = lines[early]
+            for a in range(len(own)):
+                for c in range(len(other)):
+                    if own[a] != other[c] or (a and c and own[a - 1] == other[c - 1]):
+                        continue  # no run begins here
+                    n = 0
+                    while a + n < len(own) and c + n < len(other) and own[a + n] == other[c + n]:
+                        n += 1
+                    if sum(map(len, own[a : a + n])) >= least:
+                        cut |= set(range(a, a + n))
+        out[i] = sorted(cut)
+        for k in keys:
+            first.setdefault(k, i)
     return out
 
 
