@@ -15,6 +15,7 @@ from __future__ import annotations
 import json
 import re
 import unicodedata
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -27,7 +28,7 @@ from .shared import buffer_of, map_texts
 #: Tables of pieces in one generation of a worker's cache. A full generation
 #: becomes the old one, from which pieces that come again are taken over. Pieces
 #: of more characters are not kept.
-KEPT_PIECES, KEPT_LENGTH = 300_000, 64
+KEPT_PIECES, KEPT_LENGTH = 500_000, 64
 #: Pairs of tokens whose seam a worker remembers.
 KEPT_PAIRS = 400_000
 
@@ -91,7 +92,12 @@ class PrefixCounter:
             self.parts.setdefault(a + b, (r, a, b))
         self.vocab = {raw(t) for t in spec["model"]["vocab"] if t not in self.added}
         self.vocab = {t for t in self.vocab if len(t) == 1 or t in self.parts}
-        self.longest = max(map(len, self.vocab))
+        # lengths of the tokens, longest first, that end in some three bytes; shorter tokens come last
+        lengths: dict[bytes, set[int]] = {}
+        for t in self.vocab:
+            if len(t) > 2:
+                lengths.setdefault(t[-3:], set()).add(len(t))
+        self.lengths = {end: (*sorted(own, reverse=True), 2, 1) for end, own in lengths.items()}
         self._pair: dict = {}
         self._tables: dict[str, bytes] = {}
         self._old: dict[str, bytes] = {}
@@ -123,10 +129,13 @@ class PrefixCounter:
 
     def table(self, piece: bytes) -> list[int]:
         """Tokens of each prefix of a piece, the empty one first."""
-        vocab, stays, known = self.vocab, self._stays, self._pair
+        vocab, stays, known, lengths = self.vocab, self._stays, self._pair, self.lengths
         count, last = [0], [b""]
         for end in range(1, len(piece) + 1):
-            for start in range(max(0, end - self.longest), end):
+            for size in lengths.get(piece[end - 3 : end], (2, 1)) if end > 2 else (2, 1):
+                start = end - size
+                if start < 0:
+                    continue
                 token = piece[start:end]
                 if token in vocab:
                     if not start:
@@ -145,7 +154,7 @@ class PrefixCounter:
         if found is None:
             found = self._old.get(piece)
             if found is None:
-                found = np.array(self.table(piece.encode("utf-8"))[1:], np.uint32).tobytes()
+                found = array("I", self.table(piece.encode("utf-8"))[1:]).tobytes()
             if len(piece) > KEPT_LENGTH:
                 return found
             if len(self._tables) >= KEPT_PIECES:
