@@ -65,7 +65,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         new = stage(step(spark, docs, sf_dir), name)
         drop_stage(docs)
         docs = new
-    return STAGES[-1][1](spark, docs, sf_dir)
+    out = STAGES[-1][1](spark, docs, sf_dir)
+    drop_stage(docs)  # the mix reads sizes that it wrote itself
+    return out
 
 
 #: The classifier, the alignment and the bands of minima are beyond SQL.
