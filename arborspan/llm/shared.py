@@ -261,17 +261,22 @@ def _sizes(edges: DataFrame):
     return row["n"], row["h"]
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _with_least(edges: DataFrame, neighbours: DataFrame, rows: int) -> DataFrame:
+    """``edges`` with ``m``, the least neighbour that ``u`` has in ``neighbours``. A
+    giant component's centre is a hot key; among few rows there is none."""
+    least = neighbours.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+    return spread_join(edges, least.drop("n"), "u", least) if rows > HOT_ROWS else edges.join(least.drop("n"), "u")
+
+
+def _large_star(edges: DataFrame, rows: int) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    return _with_least(both.where("v > u"), both, 2 * rows).select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, rows: int) -> DataFrame:
     turned = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = turned.groupBy("u").agg(F.min("v").alias("m"))
-    moved = turned.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
+    moved = _with_least(turned, turned, rows).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return moved.unionByName(turned.groupBy("u").agg(F.min("v").alias("v"))).distinct()
 
 
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
@@ -285,7 +290,7 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     now = stage(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), name)
     size = _sizes(now)
     while size[0]:
-        new = stage(_small_star(_large_star(now)), name)
+        new = stage(_small_star(_large_star(now, size[0]), size[0]), name)
         new_size = _sizes(new)
         drop_stage(now)
         now, done, size = new, new_size == size, new_size
