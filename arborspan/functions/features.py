@@ -133,17 +133,23 @@ def category_names(f: Feature) -> list[str]:
     return list(f.categories if f.kind == "label" else f.columns)
 
 
-def check_finite(df: DataFrame, columns: list[str], what: str = "X") -> int:
-    """Number of rows; an error if a value is infinite or beyond single precision."""
+def finite_checks(df: DataFrame, columns: list[str]) -> dict[str, Column]:
+    """Aggregates of :func:`judge_finite`: rows, and rows with a value that is
+    infinite or beyond single precision, by column."""
     numeric = [c for c in columns if not isinstance(df.schema[c].dataType, T.StringType)]
-    bad = [F.sum(F.when(F.abs(F.col(c).cast("double").cast("float")) == float("inf"), 1).otherwise(0)).alias(f"b{i}") for i, c in enumerate(numeric)]
-    row = df.agg(F.count(F.lit(1)).alias("n"), *bad).first()
-    for i, c in enumerate(numeric):
-        if row[f"b{i}"]:
+    beyond = lambda c: F.abs(F.col(c).cast("double").cast("float")) == float("inf")
+    return {"rows": F.count(F.lit(1))} | {f"beyond {c}": F.sum(F.when(beyond(c), 1).otherwise(0)) for c in numeric}
+
+
+def judge_finite(row, columns: list[str], what: str = "X") -> int:
+    """Number of rows; an error if there are none or a value isn't finite."""
+    found = row.asDict()
+    for c in columns:
+        if found.get(f"beyond {c}"):
             raise ValueError(f"{what} column {c!r} holds infinite values or values beyond single precision")
-    if not row["n"]:
+    if not found["rows"]:
         raise ValueError("no rows")
-    return row["n"]
+    return found["rows"]
 
 
 def features_json(features: list[Feature]) -> str:

@@ -38,11 +38,16 @@ def label_codes(df: DataFrame, column: str) -> DataFrame:
     return labels.withColumn("code", (F.dense_rank().over(Window.orderBy("label")) - 1).cast("int"))
 
 
-def check_encoded(df: DataFrame, codes: list[str]) -> None:
-    unknown = df.agg(*[F.sum(F.when(F.col(c).isNull(), 1).otherwise(0)).alias(c) for c in codes]).first()
-    for c in codes:
-        if unknown[c]:
-            raise ValueError(f"target holds labels that the model does not know ({c})")
+def target_checks(ys: dict[str, Column], classification: bool) -> dict[str, Column]:
+    """Aggregates of :func:`judge_targets`: rows whose code is unknown, or whose number isn't finite."""
+    bad = lambda y: y.isNull() if classification else y.isNull() | F.isnan(y) | (F.abs(y) == float("inf"))
+    return {f"bad {name}": F.sum(F.when(bad(y), 1).otherwise(0)) for name, y in ys.items()}
+
+
+def judge_targets(row, names: list[str], classification: bool) -> None:
+    for name in names:
+        if row[f"bad {name}"]:
+            raise ValueError(f"target holds labels that the model does not know ({name})" if classification else "regression targets must be finite")
 
 
 def weight_column(weight: str | None) -> Column:
@@ -50,13 +55,16 @@ def weight_column(weight: str | None) -> Column:
     return F.lit(1.0) if weight is None else F.coalesce(F.col(weight).cast("double"), F.lit(1.0)).cast("float").cast("double")
 
 
-def check_weights(df: DataFrame, column: str = "w") -> None:
+def weight_checks(w: Column) -> dict[str, Column]:
+    """Aggregates of :func:`judge_weights`."""
+    return {"bad weights": F.sum(F.when((w < 0) | F.isnan(w) | (w == float("inf")), 1).otherwise(0)), "most weight": F.max(w)}
+
+
+def judge_weights(row) -> None:
     """Weights are finite, not negative and not all zero."""
-    w = F.col(column)
-    row = df.agg(F.sum(F.when((w < 0) | F.isnan(w) | (w == float("inf")), 1).otherwise(0)).alias("bad"), F.max(w).alias("most")).first()
-    if row["bad"]:
+    if row["bad weights"]:
         raise ValueError("sample weights must be finite and not negative")
-    if not row["most"]:
+    if not row["most weight"]:
         raise ValueError("at least one sample weight must be positive")
 
 
@@ -85,19 +93,27 @@ def effective_weight(weight: Column, targets: list[str], multipliers: list[dict]
     return weight
 
 
+def mean_aggs(ys: dict[str, Column], w: Column) -> dict[str, Column]:
+    """Weighted mean of each target."""
+    return {f"mean {name}": F.sum(w * y) / F.nullif(F.sum(w), F.lit(0.0)) for name, y in ys.items()}
+
+
+def scaling_about(df: DataFrame, ys: dict[str, Column], w: Column, means) -> list[tuple[float, float]]:
+    """(mean, population deviation) of each target, given its mean; a flat target has scale 1."""
+    centre = {name: means[f"mean {name}"] or 0.0 for name in ys}
+    mass = F.nullif(F.sum(w), F.lit(0.0))
+    spread = df.agg(*[(F.sum(w * (y - F.lit(centre[name])) * (y - F.lit(centre[name]))) / mass).alias(name) for name, y in ys.items()]).first()
+    return [(m, v**0.5 if (v := spread[name] or 0.0) > max(FLAT * FLAT * max(m * m, 1e-300), 0.0) else 1.0) for name, m in centre.items()]
+
+
 def standardisation(df: DataFrame, targets: list[str], weight: str, groups: list[str] | None = None):
     """Weighted mean and population deviation of each target, as rows; a flat target has scale 1."""
     w = F.col(weight)
+    if not groups:
+        ys = {t: F.col(t) for t in targets}
+        return scaling_about(df, ys, w, df.agg(*[c.alias(n) for n, c in mean_aggs(ys, w).items()]).first())
     mass = F.nullif(F.sum(w), F.lit(0.0))
     first = df.groupBy(*(groups or [])).agg(*[(F.sum(w * F.col(t)) / mass).alias(f"m_{t}") for t in targets])
-    if not groups:
-        means = first.first()
-        spread = df.agg(*[(F.sum(w * (F.col(t) - F.lit(means[f"m_{t}"])) * (F.col(t) - F.lit(means[f"m_{t}"]))) / mass).alias(t) for t in targets]).first()
-        out = []
-        for t in targets:
-            m, v = means[f"m_{t}"] or 0.0, spread[t] or 0.0
-            out.append((m, v**0.5 if v > FLAT * FLAT * max(m * m, 1e-300) and v > 0 else 1.0))
-        return out
     # one row per group (a tree of a forest): few by construction
     spread = df.join(F.broadcast(first), groups).groupBy(*groups).agg(
         *[F.first(f"m_{t}").alias(f"m_{t}") for t in targets],

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import targets as Y
-from ..functions.features import Feature, check_finite, features_of, value_column
+from ..functions.features import Feature, features_of, finite_checks, judge_finite, value_column
 from ..functions.params import TreeParams, check_int
 from ..plans.routing import path_column, walk_column
 from ..runtime import ship
@@ -44,77 +44,74 @@ class Prepared:
 def prepare(df: DataFrame, feature_columns: list[str], target: str | list[str], params: TreeParams, classification: bool, weight: str | None, feature_dict, features: list[Feature] | None = None, classes: list[list] | None = None, check: bool = True, row_id: str | None = None, scaling: dict | None = None) -> Prepared:
     """Validate, encode targets and weights, and narrow features, in one projection.
 
-    ``check``: with False, the table is taken as valid and ``classes`` as given.
-    ``scaling``: that of fitted trees; each tree then has its own copy of the rows.
+    All checks, the targets' means and the features' numbers of values are one
+    job. ``check``: with False, the table is taken as valid and ``classes`` as
+    given. ``scaling``: that of fitted trees; each tree then has its own copy of
+    the rows.
     """
     targets = _as_list(target)
-    n = check_finite(df, feature_columns) if check else -1
     features = features or features_of(df, feature_columns, feature_dict)
+    values = [value_column(f) for f in features]
     w = Y.weight_column(weight)
-    fixed, scaling = scaling, None
     if classification:
         classes = classes or [Y.label_dictionary(df, t) for t in targets]
         w = Y.effective_weight(w, targets, Y.class_multipliers(params.class_weight, classes)).cast("float").cast("double")
-        ys = [Y.encode(t, c).cast("int").alias(f"y{o}") for o, (t, c) in enumerate(zip(targets, classes))]
-    else:
-        ys = [F.col(t).cast("double").alias(f"y{o}") for o, t in enumerate(targets)]
+    ys = {f"y{o}": Y.encode(t, classes[o]).cast("int") if classification else F.col(t).cast("double") for o, t in enumerate(targets)}
+    aggs: dict[str, Column] = finite_checks(df, feature_columns) | Y.weight_checks(w) | Y.target_checks(ys, classification) if check else {}
+    if not classification and scaling is None:
+        aggs |= Y.mean_aggs(ys, w)
+    aggs |= value_counts(features, values, ys, params)
+    row = df.agg(*[c.alias(name) for name, c in aggs.items()]).first() if aggs else None
+    n = -1
+    if check:
+        n = judge_finite(row, feature_columns)
+        Y.judge_weights(row)
+        Y.judge_targets(row, list(ys), classification)
+    many = [c[len("values ") :] for c in aggs if c.startswith("values ") and row[c] > 0.9 * params.max_distinct]
+    fixed, scaling = scaling, None
+    if fixed is None and not classification:
+        scaling = Y.scaling_about(df, ys, w, row)
+        ys = {name: ((y - F.lit(mean)) / F.lit(scale)).cast("float").cast("double") for (name, y), (mean, scale) in zip(ys.items(), scaling)}
     base = df.select(
-        F.lit(0).alias("tree"), F.lit(1).alias("mult"), w.alias("w"), *[value_column(f).alias(f"f{i}") for i, f in enumerate(features)], *ys,
+        F.lit(0).alias("tree"), F.lit(1).alias("mult"), w.alias("w"), *[v.alias(f"f{i}") for i, v in enumerate(values)], *[y.alias(name) for name, y in ys.items()],
         *([F.col(row_id).alias("row_id")] if row_id else []),
     )
-    names = [f"y{o}" for o in range(len(targets))]
-    if check:
-        Y.check_weights(base)
-        if classification:
-            Y.check_encoded(base, names)
-        else:
-            bad = base.agg(*[F.sum(F.when(F.col(y).isNull() | F.isnan(y) | (F.abs(F.col(y)) == float("inf")), 1).otherwise(0)).alias(y) for y in names]).first()
-            if any(bad[y] for y in names):
-                raise ValueError("regression targets must be finite")
     if fixed is not None:
-        each = base.drop("tree").withColumn("tree", F.explode(F.array(*[F.lit(t) for t in sorted(fixed)])))
-        for o, y in enumerate(names) if not classification else ():
+        base = base.drop("tree").withColumn("tree", F.explode(F.array(*[F.lit(t) for t in sorted(fixed)])))
+        for o, y in enumerate(ys) if not classification else ():
             scaled = None
             for t in sorted(fixed):
                 mean, scale = fixed[t][o]
                 own = (F.col(y) - F.lit(mean)) / F.lit(scale)
                 scaled = F.when(F.col("tree") == t, own) if scaled is None else scaled.when(F.col("tree") == t, own)
-            each = each.withColumn(y, scaled.cast("float").cast("double"))
-        _, wide = compress(base, features, replace(params, quantile_bins=None), len(targets))
-        return Prepared(Table(each, features, len(targets), [len(c) for c in classes] if classification else None, wide), classes if classification else None, None, n)
-    if not classification:
-        scaling = Y.standardisation(base, names, "w")
-        for y, (mean, scale) in zip(names, scaling):
-            base = base.withColumn(y, ((F.col(y) - F.lit(mean)) / F.lit(scale)).cast("float").cast("double"))
-    base, wide = compress(base, features, params, len(targets))
+            base = base.withColumn(y, scaled.cast("float").cast("double"))
+    elif many and params.quantile_bins is not None:
+        base, many = in_quantiles(base, many, params.quantile_bins), []
+    wide = frozenset(int(c[1:]) for c in many if c.startswith("f"))
     return Prepared(Table(base, features, len(targets), [len(c) for c in classes] if classification else None, wide), classes if classification else None, scaling, n)
 
 
-def compress(rows: DataFrame, features: list[Feature], params: TreeParams, outputs: int = 1) -> tuple[DataFrame, frozenset[int]]:
-    """The rows, and the numeric features that have more than ``max_distinct``
-    values. With ``quantile_bins`` such features are cut into quantiles, and under
-    the absolute error such targets too; then none is left.
-    """
-    columns = [f"f{i}" for i, f in enumerate(features) if f.numeric]
+def value_counts(features: list[Feature], values: list[Column], ys: dict[str, Column], params: TreeParams) -> dict[str, Column]:
+    """Aggregates: numbers of different values of numeric features and, where
+    they are cut into quantiles, of targets under the absolute error."""
     absolute = params.criterion == "absolute_error"
-    if absolute:
-        columns += [f"y{o}" for o in range(outputs)]
-    if not columns or (absolute and params.quantile_bins is None):
-        return rows, frozenset()
-    row = rows.agg(*[F.approx_count_distinct(c).alias(c) for c in columns]).first()
-    many = [c for c in columns if row[c] > 0.9 * params.max_distinct]
-    if not many or params.quantile_bins is None:
-        return rows, frozenset(int(c[1:]) for c in many)
-    bins = params.quantile_bins
+    if absolute and params.quantile_bins is None:
+        return {}
+    counted = {f"f{i}": v for i, (f, v) in enumerate(zip(features, values)) if f.numeric} | (ys if absolute else {})
+    return {f"values {c}": F.approx_count_distinct(v) for c, v in counted.items()}
+
+
+def in_quantiles(rows: DataFrame, columns: list[str], bins: int) -> DataFrame:
+    """Columns cut into quantiles, each named by its upper bound."""
     shares = [i / bins for i in range(1, bins)]
-    cuts = rows.agg(*[F.percentile_approx(c, shares, 100_000).alias(c) for c in many]).first()
-    for c in many:
+    cuts = rows.agg(*[F.percentile_approx(c, shares, 100_000).alias(c) for c in columns]).first()
+    for c in columns:
         edges = sorted(set(cuts[c]))
         at = F.size(F.filter(F.array(*[F.lit(float(e)) for e in edges]), lambda e: e < F.col(c)))
         above = edges[-1] + max(1.0, abs(edges[-1])) if c.startswith("f") else edges[-1]
         reps = F.array(*[F.lit(float(e)) for e in [*edges, above]])
         rows = rows.withColumn(c, F.when(F.col(c).isNotNull(), F.element_at(reps, at + 1)))
-    return rows, frozenset()
+    return rows
 
 
 @dataclass

@@ -4,10 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions import criteria as C
-from .prefix import range_bucket, running_totals
+from .prefix import in_pieces
 
 
 def impurity_column(kind: str, sums: list[Column], weight: Column) -> Column:
@@ -54,23 +53,14 @@ def best_cuts(cells: DataFrame, group: list[str], kind: str, outputs: list[list[
 
     ``outputs`` lists each output's sum columns. Equal losses go to the smallest
     value; they are compared relative to the group's loss, which no scale of the
-    target and no order of partial sums changes. ``pieces`` cuts a group's running sums into that many tasks. Groups
-    without a cut have no row. Columns: ``threshold, loss, n_left, n_right``;
-    ``loss`` is the children's impurity times weight, summed over outputs.
+    target and no order of partial sums changes. ``pieces`` cuts a group's running
+    sums into that many tasks. Groups without a cut have no row. Columns:
+    ``threshold, loss, n_left, n_right``; ``loss`` is the children's impurity
+    times weight, summed over outputs.
     """
     stats = [c for o in outputs for c in o]
     known = centred(cells.where(F.col("x").isNotNull()), group, kind, outputs)
-    totals = known.groupBy(*group).agg(F.sum("n").alias("t_n"), F.sum("w").alias("t_w"), *[F.sum(c).alias(f"t_{c}") for c in stats])
-    run = running_totals(range_bucket(known, group, "x", pieces), group, "bucket", [F.col("x")], {"n": "l_n", "w": "l_w"} | {c: f"l_{c}" for c in stats})
-    # the next value is in the same piece, or the least of the piece after
-    within = Window.partitionBy(*group, "bucket").orderBy("x")
-    if pieces > 1:
-        least = known_pieces(run, group)
-        run = run.join(F.broadcast(least), [*group, "bucket"], "left")
-        following = F.coalesce(F.lead("x").over(within), F.col("next_piece"))
-    else:
-        following = F.lead("x").over(within)
-    run = run.withColumn("nx", following).join(F.broadcast(totals), group)
+    run = in_pieces(known, group, "x", ["n", "w", *stats], pieces)
     right = {c: F.col(f"t_{c}") - F.col(f"l_{c}") for c in ["n", "w", *stats]}
     loss = None
     for o in outputs:
@@ -89,12 +79,6 @@ def best_cuts(cells: DataFrame, group: list[str], kind: str, outputs: list[list[
     return found.groupBy(*group).agg(pick.alias("b")).select(*group, "b.*")
 
 
-def known_pieces(run: DataFrame, group: list[str]) -> DataFrame:
-    """Per group and piece, the least value of the piece after it."""
-    least = run.groupBy(*group, "bucket").agg(F.min("x").alias("least"))
-    return least.select(*group, "bucket", F.lead("least").over(Window.partitionBy(*group).orderBy("bucket")).alias("next_piece"))
-
-
 def best_categories(cells: DataFrame, group: list[str], kind: str, outputs: list[list[str]], min_leaf: int = 1, missing_sides: bool = False) -> DataFrame:
     """Per group, the best category against the rest of ``cells (group.., x, n, w, sums..)``.
 
@@ -129,14 +113,7 @@ def best_stumps(cells: DataFrame, group: list[str], kind: str, outputs: list[lis
     names = ["n", "w", *stats]
     cells = centred(cells, group, kind, outputs)
     gone = cells.groupBy(*group).agg(*[F.coalesce(F.sum(F.when(F.col("x").isNull(), F.col(c))), F.lit(0)).alias(f"m_{c}") for c in names])
-    known = range_bucket(cells.where("x is not null"), group, "x", pieces)
-    run = running_totals(known, group, "bucket", [F.col("x")], {c: f"l_{c}" for c in names})
-    run = running_totals(run.withColumn("bucket", -F.col("bucket")), group, "bucket", [F.col("x").desc()], {c: f"r_{c}" for c in names}, before=True).withColumn("bucket", -F.col("bucket"))
-    within = Window.partitionBy(*group, "bucket").orderBy("x")
-    if pieces > 1:
-        run = run.join(F.broadcast(known_pieces(run, group)), [*group, "bucket"], "left").withColumn("nx", F.coalesce(F.lead("x").over(within), F.col("next_piece")))
-    else:
-        run = run.withColumn("nx", F.lead("x").over(within))
+    run = in_pieces(cells.where("x is not null"), group, "x", names, pieces, right=True)
     run = run.join(F.broadcast(gone), group).withColumn("missing_side", F.explode(F.array(F.lit(0), F.lit(1))))
     a = {c: F.col(f"l_{c}") + F.when(F.col("missing_side") == 0, F.col(f"m_{c}")).otherwise(F.lit(0)) for c in names}
     b = {c: F.col(f"r_{c}") + F.when(F.col("missing_side") == 1, F.col(f"m_{c}")).otherwise(F.lit(0)) for c in names}
@@ -160,10 +137,7 @@ def best_reward_cuts(cells: DataFrame, group: list[str], rewards: tuple[str, str
     reward, left_child``. Ties go to the smallest value, then to the first child."""
     known = cells.where("x is not null")
     names = ["n", *rewards]
-    totals = known.groupBy(*group).agg(*[F.sum(c).alias(f"t_{c}") for c in names])
-    run = running_totals(range_bucket(known, group, "x", pieces), group, "bucket", [F.col("x")], {c: f"l_{c}" for c in names})
-    within = Window.partitionBy(*group, "bucket").orderBy("x")
-    run = run.join(F.broadcast(known_pieces(run, group)), [*group, "bucket"], "left").withColumn("nx", F.coalesce(F.lead("x").over(within), F.col("next_piece"))).join(F.broadcast(totals), group)
+    run = in_pieces(known, group, "x", names, pieces)
     right = {c: F.col(f"t_{c}") - F.col(f"l_{c}") for c in names}
     a, b = rewards
     run = run.select(*group, "x", "nx", F.col("l_n").alias("ln"), right["n"].alias("rn"), (F.col(f"l_{a}") + right[b]).alias("straight"), (F.col(f"l_{b}") + right[a]).alias("crossed"))

@@ -24,6 +24,7 @@ from ..operators.inner import Loss
 from ..operators.sampling import bootstrap, tree_seeds
 from ..sources import datasets, snapshots
 from . import cuts, routing
+from .prefix import in_pieces
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -245,16 +246,9 @@ r AS (SELECT x, lead(x) OVER u AS nx, sum(g) OVER u AS lg, sum(h) OVER u AS lh,
 s AS (SELECT x, x / 2 + nx / 2 AS threshold, lg * lg / (lh + 1) + (tg - lg) * (tg - lg) / (th - lh + 1) - tg * tg / (th + 1) AS gain FROM r WHERE nx IS NOT NULL)
 SELECT threshold, round(gain / 1e6, 2) AS gain_m FROM s ORDER BY round(gain / 1e6, 2) DESC, x LIMIT 1""")
 def best_cut_gain_hessian(spark, sf_dir):
-    from .prefix import range_bucket, running_totals
-
     df = read(spark, sf_dir, "orders").select(narrow("o_custkey").alias("x"), (F.col("o_totalprice") - 150000).alias("g"))
     cells = df.groupBy("x").agg(F.sum("g").alias("g"), F.count(F.lit(1)).cast("double").alias("h")).withColumn("one", F.lit(1))
-    totals = cells.groupBy("one").agg(F.sum("g").alias("tg"), F.sum("h").alias("th"))  # one row
-    run = running_totals(range_bucket(cells, ["one"], "x", 8), ["one"], "bucket", [F.col("x")], {"g": "lg", "h": "lh"}).join(F.broadcast(totals), "one")
-    from pyspark.sql.window import Window
-
-    pieces = cuts.known_pieces(run, ["one"])
-    run = run.join(F.broadcast(pieces), ["one", "bucket"], "left").withColumn("nx", F.coalesce(F.lead("x").over(Window.partitionBy("one", "bucket").orderBy("x")), F.col("next_piece")))
+    run = in_pieces(cells, ["one"], "x", ["g", "h"], 8).withColumnsRenamed({"l_g": "lg", "l_h": "lh", "t_g": "tg", "t_h": "th"})
     l2 = F.lit(1.0)
     gain = C.gain_hessian_column(F.col("lg"), F.col("lh"), l2) + C.gain_hessian_column(F.col("tg") - F.col("lg"), F.col("th") - F.col("lh"), l2) - C.gain_hessian_column(F.col("tg"), F.col("th"), l2)
     scored = run.where("nx is not null").select("x", (F.col("x") / 2 + F.col("nx") / 2).alias("threshold"), F.round(gain / 1e6, 2).alias("gain_m"))
