@@ -28,9 +28,10 @@ LINK_PERCENT = 85
 #: Bands and minima per band: at a similarity of 0.85 a pair shares no bucket
 #: with probability (1 - 0.85**5)**25 < 5e-7.
 BANDS, ROWS = 25, 5
-#: Members of a bucket that one group compares with each other at once, and hubs
-#: of a bucket in the first and the second round.
-BLOCK = 256
+#: Members of a bucket that one group compares with each other at once by their
+#: sets, and how many times as many by their signatures; hubs of a bucket in the
+#: first and the second round.
+BLOCK, SIGNATURES = 256, 8
 HUBS = (2, 4)
 
 _RNG = np.random.default_rng(97531)
@@ -220,25 +221,35 @@ def _compare(table: pa.Table, percent: int, sets) -> tuple[list[int], list[tuple
     return sorted(likely), [(keys[a], keys[b]) for a, b in links]
 
 
+_MEMBER = "band bigint, pos int, i int, j int, mine int, node bigint, comp bigint, n bigint, bits binary, bands array<bigint>"
+
+
+def _in_blocks(members: DataFrame, classes: DataFrame, block: int) -> DataFrame:
+    """Members ``(band, pos, node, comp, size)`` in each pair of blocks (i, j) of
+    their bucket that they belong to; blocks have about ``block`` members."""
+    own = members.withColumn("blocks", F.ceil(F.col("size") / block).cast("int")).withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    own = own.join(classes.select("node", "n", "bits", "bands"), "node")
+    spread = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("i", F.least("mine", "other")).withColumn("j", F.greatest("mine", "other"))
+    return spread.select(*[c.split()[0] for c in _MEMBER.split(", ")])
+
+
 def _cross_links(mixed: DataFrame, classes: DataFrame, texts: DataFrame, percent: int, block: int) -> DataFrame:
     """Confirmed links between the components of a bucket, as a stage table.
 
-    A bucket is cut into blocks of about ``block`` members by the key's hash, and
-    every pair of blocks is a group. A first pass on the minima names the members
-    that have a likely partner; only their sets are made for the second.
+    A bucket is cut into blocks by a hash, and every pair of blocks is a group. A
+    first pass on the minima, which are small, takes large blocks and names the
+    members that have a likely partner; only their sets are made, and compared in
+    blocks of about ``block`` members.
     """
-    member = mixed.withColumn("blocks", F.ceil(F.col("size") / block).cast("int")).withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    own = member.select("band", "pos", "blocks", "mine", "node", "comp").join(classes.select("node", "n", "bits", "bands"), "node")
-    spread = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("i", F.least("mine", "other")).withColumn("j", F.greatest("mine", "other"))
-    schema = "band bigint, pos int, i int, j int, mine int, node bigint, comp bigint, n bigint, bits binary, bands array<bigint>"
-    names = [c.split()[0] for c in schema.split(", ")]
 
     def name(table: pa.Table) -> pa.Table:
         at, _ = _compare(table, percent, None)
-        return table.take(pa.array(at, pa.int64())).select(names)
+        return table.take(pa.array(at, pa.int64())).select(["band", "pos", "node", "comp"])
 
-    likely = stage(spread.select(*names).groupBy("band", "i", "j").applyInArrow(name, schema), "likely")
+    groups = _in_blocks(mixed, classes, SIGNATURES * block).groupBy("band", "i", "j")
+    likely = stage(groups.applyInArrow(name, "band bigint, pos int, node bigint, comp bigint").distinct(), "likely")
     sets = _sets_of(likely.select("node").distinct(), likely.count(), classes, texts)
+    sizes = likely.groupBy("band").agg(F.count(F.lit(1)).alias("size"))
 
     def link(table: pa.Table) -> pa.Table:
         column = table["set"].combine_chunks()
@@ -246,7 +257,8 @@ def _cross_links(mixed: DataFrame, classes: DataFrame, texts: DataFrame, percent
         _, links = _compare(table, percent, [values[a:b] for a, b in zip(off[:-1], off[1:])])
         return pa.table({"u": pa.array([a for a, _ in links], pa.int64()), "v": pa.array([b for _, b in links], pa.int64())})
 
-    out = stage(likely.join(sets, "node").groupBy("band", "i", "j").applyInArrow(link, "u bigint, v bigint").distinct(), "cross")
+    sized = spread_join(likely, sizes, "band", sizes.withColumnRenamed("size", "n"))
+    out = stage(_in_blocks(sized, classes, block).join(sets, "node").groupBy("band", "i", "j").applyInArrow(link, "u bigint, v bigint").distinct(), "cross")
     drop_stage(likely, sets)
     return out
 
