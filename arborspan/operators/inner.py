@@ -140,17 +140,11 @@ def growing(root, max_leaves: int | None, max_depth: int | None, min_gain: float
     if first is None or first[1] <= C.EPS:
         return [whole]
     leaves: list = []
-    waiting = [(first, 0)]
-    made, count = 1, 1
-
-    def rank(entry):
-        node, order = entry
-        return (-node[0], order) if max_leaves is not None else (-order,)
-
+    waiting, count = [first], 1
     while waiting:
-        entry = min(waiting, key=rank)
-        waiting.remove(entry)
-        gain, impurity, depth, payload = entry[0]
+        # with a cap (few are waiting then) the largest gain, of equal ones the first
+        at = -1 if max_leaves is None else max(range(len(waiting)), key=lambda i: (waiting[i][0], -i))
+        gain, impurity, depth, payload = waiting.pop(at)
         closed = impurity <= C.EPS or gain + C.EPS < min_gain
         if closed or (max_leaves is not None and count >= max_leaves) or (max_depth is not None and depth >= max_depth):
             leaves.append(payload)
@@ -160,8 +154,7 @@ def growing(root, max_leaves: int | None, max_depth: int | None, min_gain: float
             if child is None:
                 leaves.append(leaf)
             else:
-                waiting.append((child, made))
-                made += 1
+                waiting.append(child)
     return leaves
 
 

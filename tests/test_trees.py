@@ -1,12 +1,18 @@
 import math
+import re
+import sys
+from xml.etree import ElementTree
 
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from arborspan.operators import explain, wide
 from arborspan.operators.discretizer import ShapeDiscretizer
 from arborspan.operators.estimators import ShapeForestClassifier, ShapeForestRegressor, ShapeTreeClassifier, ShapeTreeRegressor
+from arborspan.operators.pairs import route_pair
 from arborspan.operators.refine import refine
 from arborspan.plans import cuts
 from arborspan.plans.routing import leaf_predicates
@@ -317,3 +323,66 @@ def test_features_of_a_node_may_be_picked_by_a_function(spark):
     model = ShapeTreeClassifier(max_depth=2, max_features=lambda n, rng: [1]).fit(df, ["x0", "x1"], "y")
     assert {f for n in model.trees[0].nodes for f in n["logical"]} == {1}
     assert snapshots.from_json(snapshots.to_json(model)).score(df) == model.score(df)
+
+
+def picture_models(spark, strict):
+    rows = [(float(a) if k % 9 else None, float(b), "uvw"[k % 3], int(a * b < 0), float(a * 3 + b)) for k, (a, b) in enumerate([(-1, -1)] * 40 + [(-1, 1)] * 30 + [(1, -1)] * 30 + [(1, 1)] * 28)]
+    df = spark.createDataFrame(rows, "x0 double, x1 double, c string, y int, v double").cache()
+    yield df, ShapeTreeClassifier(**strict | {"pairwise_candidates": 1, "max_depth": 2}).fit(df, ["x0", "x1"], "y")
+    yield df, ShapeTreeClassifier(**strict | {"max_depth": 2}).fit(df, ["c", "x1"], "y")
+    yield df, ShapeTreeRegressor(**strict | {"max_depth": 2, "num_partitions": 3}).fit(df, ["x0", "x1"], "v")
+
+
+def test_graphs_are_well_formed(spark, strict):
+    for df, model in picture_models(spark, strict):
+        plain, full = explain.export_graphviz(model), explain.export_graphviz(model, df=df, filled=True, feature_names=["a<b", "c&d"])
+        splits = [n for n in model.trees[0].nodes if not n["is_leaf"]]
+        for text in (plain, full):
+            labels = re.findall(r"label=<(.*)>\] ;", text)
+            assert len(labels) == len(splits) and text.count("->") == sum(len(n["children"]) for n in splits)
+            for label in labels:
+                ElementTree.fromstring(label)
+        assert full.count("fillcolor") == len(model.trees[0].nodes) - len(splits)
+        assert len(full) > len(plain)  # the bars
+        counts = explain.node_histograms(df, model, 0, explain.node_spans(df, model, 0))
+        reach = {r["node_id"]: r["n"] for r in model.reach_counts(df).collect()}
+        assert all(own.sum() == reach[k] for (k, _), own in counts.items())
+
+
+def test_drawings_use_what_matplotlib_offers(spark, strict, monkeypatch):
+    from unittest.mock import MagicMock
+
+    pyplot = MagicMock()
+    monkeypatch.setitem(sys.modules, "matplotlib", MagicMock(pyplot=pyplot))
+    monkeypatch.setitem(sys.modules, "matplotlib.pyplot", pyplot)
+    for df, model in picture_models(spark, strict):
+        ax = MagicMock()
+        assert explain.plot_tree(model, df=df, filled=True, ax=ax) is ax
+        splits = [n for n in model.trees[0].nodes if not n["is_leaf"]]
+        assert ax.inset_axes.call_count == len(splits)
+        arrows = [c for c in ax.annotate.call_args_list if "arrowprops" in c.kwargs]
+        assert len(arrows) == len(model.trees[0].nodes) - 1
+        assert explain.plot_tree(model, max_depth=0, ax=MagicMock()) is not None
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.tuples(st.floats(0, 200), st.text("0123456789.", min_size=1, max_size=8)), max_size=12))
+def test_packed_labels_do_not_overlap(labels):
+    placed = explain.pack_labels(labels, 200.0, 5.0)
+    assert [t for _, _, t in placed] == [t for _, t in labels]
+    for i, (row, start, text) in enumerate(placed):
+        assert 0 <= start and start + 5 * len(text) <= 200 + 1e-9
+        for other, begin, name in placed[:i]:
+            assert other != row or start >= begin + 5 * len(name) + 5 - 1e-9 or begin >= start + 5 * len(text) + 5 - 1e-9
+
+
+def test_boxes_of_a_pair_hold_just_the_rows_of_their_bin(spark, strict):
+    for df, model in picture_models(spark, strict):
+        for node in (n for n in model.trees[0].nodes if n["kind"] == "pair"):
+            boxes = explain.pair_boxes(node, model)
+            for a in (-1.5, -1.0, 0.0, 1.0, None):
+                for b in (-1.5, -1.0, 0.0, 1.0, None):
+                    x = {f: v for f, v in zip(node["logical"], (a, b))}
+                    fits = [k for k, box in boxes if all((x[c.feature] is None) if c.missing else x[c.feature] is not None and c.low < x[c.feature] <= c.high for c in box.conditions)]
+                    want = route_pair(node["pair_tree"], np.array([[np.nan if a is None else a, np.nan if b is None else b]]))[0]
+                    assert set(fits) == {want}
