@@ -280,7 +280,7 @@ def common_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sampled = stage(map_texts(rows, sample, f"id {kind}, version bigint, keys array<bigint>"), "samples")
     keys = sampled.select("id", "version", F.explode("keys").alias("key"))
     owned = stage(_owners(keys), "sample-owners")
-    shared = spread_join(keys, owned.select("key"), "key", owned).groupBy("id", "version").agg(F.collect_set("key").alias("shared"))
+    shared = spread_join(keys, owned.select("key"), "key", owned, hashed=True).groupBy("id", "version").agg(F.collect_set("key").alias("shared"))
     shared = stage(shared, "shared-samples")
     names = shared.select(F.col("id").alias("own_id"), F.col("version").alias("own"), "shared").hint("shuffle_hash")
     texts = rows.join(names, (F.col("id") == F.col("own_id")) & (F.col("version") == F.col("own"))).select("id", "version", "text", "shared")
@@ -292,7 +292,7 @@ def common_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     found = stage(map_texts(texts, around, f"id {kind}, version bigint, keys array<bigint>"), "passages")
     runs = found.select("id", "version", F.explode("keys").alias("key"))
     owners = stage(_owners(runs), "passage-owners")
-    late = spread_join(runs, owners.drop("n"), "key", owners).where("early < id")
+    late = spread_join(runs, owners.drop("n"), "key", owners, hashed=True).where("early < id")
     out = stage(late.groupBy("id", "version").agg(F.collect_set("key").alias("passages")), "passage-cuts")
     drop_stage(sampled, owned, shared, found, owners)
     return out
@@ -309,7 +309,7 @@ def overlapping_pairs(tables: DataFrame) -> DataFrame:
     """Distinct (early, late): each key's first document and each later one."""
     keys = tables.select("id", F.explode("keys").alias("key"))
     owners = stage(_owners(keys), "line-owners")
-    later = spread_join(keys, owners.drop("n"), "key", owners).where("early < id")
+    later = spread_join(keys, owners.drop("n"), "key", owners, hashed=True).where("early < id")
     out = stage(later.select("early", F.col("id").alias("late")).distinct(), "line-pairs")
     drop_stage(owners)
     return out

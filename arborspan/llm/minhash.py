@@ -109,8 +109,10 @@ def least_agreement(percent: int) -> int:
 
 def likely_pairs(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """The pairs (hub, node) of classes that may be similar by set sizes and signatures."""
-    own = classes.select("node", "n", "bits")
-    both = spread_join(pairs.join(own, "node"), own.select(F.col("node").alias("hub"), F.col("n").alias("hub_n"), F.col("bits").alias("hub_bits")), "hub")
+    own, rows = classes.select("node", "n", "bits"), pairs.count()
+    hubs = own.join(bounded(pairs.select(F.col("hub").alias("node")).distinct(), rows), "node", "left_semi")
+    hubs = hubs.select(F.col("node").alias("hub"), F.col("n").alias("hub_n"), F.col("bits").alias("hub_bits"))
+    both = spread_join(own.join(bounded(pairs, rows), "node"), hubs, "hub", pairs.groupBy("hub").agg(F.count(F.lit(1)).alias("n")))
     near = 100 * F.least("n", "hub_n") >= percent * F.greatest("n", "hub_n")
     least = least_agreement(percent)
 
@@ -163,7 +165,7 @@ def _drawn(members: DataFrame, hubs: int, salt: int, *more) -> DataFrame:
 
 def _with_hubs(members: DataFrame, drawn: DataFrame, name: str) -> DataFrame:
     drawn = stage(drawn.select("band", "size", "hubs"), "hubs")
-    out = stage(spread_join(members, drawn, "band", drawn.select("band", F.col("size").alias("n"))), name)
+    out = stage(spread_join(members, drawn, "band", drawn.select("band", F.col("size").alias("n")), hashed=True), name)
     drop_stage(drawn)
     return out
 

@@ -74,14 +74,15 @@ def bounded(df: DataFrame, rows: int) -> DataFrame:
 HOT_ROWS, HOT_SHARE = 2000, 1000
 
 
-def spread_join(many: DataFrame, one: DataFrame, key: str, counts: DataFrame | None = None) -> DataFrame:
+def spread_join(many: DataFrame, one: DataFrame, key: str, counts: DataFrame | None = None, hashed: bool = False) -> DataFrame:
     """``many`` with the columns of ``one``, which has one row for each ``key``;
     rows without a partner go.
 
     Hot keys of ``many`` are dealt over several tasks: a row goes to a block by
     its hash, and the key's row in ``one`` to each block. Fewer than ``HOT_SHARE``
     keys can be hot, so the list of them is safe to broadcast, at every size.
-    ``counts (key, n)``: rows by key, where they are known.
+    ``counts (key, n)``: rows by key, where they are known. ``hashed``: build a
+    hash table of ``one`` and sort nothing, for a long ``many`` of short rows.
     """
     counts = many.groupBy(key).agg(F.count(F.lit(1)).alias("n")) if counts is None else counts.select(key, "n")
     blocks = {
@@ -89,15 +90,16 @@ def spread_join(many: DataFrame, one: DataFrame, key: str, counts: DataFrame | N
         for r in counts.where(F.col("n") > HOT_ROWS).orderBy(F.desc("n")).limit(HOT_SHARE).collect()
         if r[key] is not None
     }
+    plain = lambda df: df.hint("shuffle_hash") if hashed else df
     if not blocks:
-        return many.join(one.hint("shuffle_hash"), key)
+        return many.join(plain(one), key)
     kind = many.schema[key].dataType.simpleString()
     hot = F.broadcast(many.sparkSession.createDataFrame(list(blocks.items()), f"`{key}` {kind}, __blocks int"))
     own = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in many.columns]), F.coalesce("__blocks", F.lit(1))).cast("int")
     dealt = many.join(hot, key, "left").withColumn("__block", own).drop("__blocks")
     copies = F.explode(F.sequence(F.lit(0), F.coalesce("__blocks", F.lit(1)) - 1))
     copied = one.join(hot, key, "left").withColumn("__block", copies).drop("__blocks")
-    return dealt.join(copied.hint("shuffle_hash"), [key, "__block"]).drop("__block")
+    return dealt.join(plain(copied), [key, "__block"]).drop("__block")
 
 
 # ------------------------------------------------------------- text as buffers
