@@ -315,13 +315,6 @@ def overlapping_pairs(tables: DataFrame) -> DataFrame:
     return out
 
 
-def _with_early(many: DataFrame, early: DataFrame, pairs: DataFrame) -> DataFrame:
-    """``many`` with the lines of each row of its early document; that of many partners is sent to several tasks."""
-    held = early.groupBy("early").agg(F.collect_list("early_lines").alias("held"))  # rows of one id
-    counts = pairs.groupBy("early").agg(F.count(F.lit(1)).alias("n"))
-    return spread_join(many, held, "early", counts).withColumn("early_lines", F.explode("held")).drop("held")
-
-
 def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """``(id, version, cut array<int>)``: indexes of the lines to delete, for documents that have some."""
     kind = docs.schema[id_col].dataType.simpleString()
@@ -330,7 +323,9 @@ def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     own = tables.select("id", "version", "lines", "words")
     early = own.select(F.col("id").alias("early"), F.col("lines").alias("early_lines"))
     late = own.select(F.col("id").alias("late"), "version", "lines", "words")
-    both = _with_early(pairs.join(late, "late"), early, pairs).select("late", "version", "early_lines", "lines", "words")
+    partners = pairs.groupBy("early").agg(F.count(F.lit(1)).alias("n"))
+    # an early document of many partners is sent to several tasks
+    both = spread_join(pairs.join(late, "late"), early, "early", partners).select("late", "version", "early_lines", "lines", "words")
 
     def run(batch):
         ids, cuts = [], []

@@ -75,11 +75,11 @@ HOT_ROWS, HOT_SHARE = 2000, 1000
 
 
 def spread_join(many: DataFrame, one: DataFrame, key: str, counts: DataFrame | None = None, hashed: bool = False) -> DataFrame:
-    """``many`` with the columns of ``one``, which has one row for each ``key``;
-    rows without a partner go.
+    """``many`` with the columns of ``one``, which has one row for each ``key`` or
+    a few; rows without a partner go.
 
     Hot keys of ``many`` are dealt over several tasks: a row goes to a block by
-    its hash, and the key's row in ``one`` to each block. Fewer than ``HOT_SHARE``
+    its hash, and the key's rows in ``one`` to each block. Fewer than ``HOT_SHARE``
     keys can be hot, so the list of them is safe to broadcast, at every size.
     ``counts (key, n)``: rows by key, where they are known. ``hashed``: build a
     hash table of ``one`` and sort nothing, for a long ``many`` of short rows.
