@@ -126,7 +126,7 @@ def fit_nnpu(words: np.ndarray, positive: list[np.ndarray], unlabelled: list[np.
         return ToxicityModel(np.zeros(0, np.uint64), np.zeros(0), start)
 
     def matrix(held):
-        m = np.zeros((len(held), len(words)), np.float32)
+        m = np.zeros((len(held), len(words)))  # in the precision of the weights, which then need no copies
         m[np.repeat(np.arange(len(held)), [len(h) for h in held]), np.concatenate(held)] = 1
         return m
 
