@@ -153,30 +153,38 @@ def absolute_error(y: np.ndarray, w: np.ndarray) -> float:
     return float(sum((w * np.abs(y[:, o] - median_of(y[:, o], w))).sum() for o in range(y.shape[1])) / mass)
 
 
-def running_absolute(y: np.ndarray, w: np.ndarray) -> np.ndarray:
-    """Sum of absolute deviations of each prefix from its weighted median, in
-    the given order, with a tree of cumulative weights over ranked values."""
+def running_absolute(y: np.ndarray, w: np.ndarray, ends: np.ndarray | None = None) -> np.ndarray:
+    """Sum of absolute deviations of each prefix from its weighted median, in the
+    given order; with ``ends``, only of the prefixes of these lengths.
+
+    All prefixes look for their medians at once, a bit of the values' ranks at a
+    time: rows are dealt by the bit, in order, so that a prefix stays a range of
+    rows on either side. Sums are extended, since a range's is a difference.
+    """
+    hi = np.arange(1, len(y) + 1) if ends is None else np.asarray(ends, np.int64)
+    if not len(y):
+        return np.zeros(len(hi))
     values, rank = np.unique(y, return_inverse=True)
-    n = len(values)
-    size = 1 << max(1, (n - 1).bit_length())
-    tw, ty = np.zeros(size + 1), np.zeros(size + 1)
-    out, all_w, all_y = np.zeros(len(y)), 0.0, 0.0
-    for i in range(len(y)):
-        k, wi, wy = int(rank[i]) + 1, float(w[i]), float(w[i] * y[i])
-        all_w, all_y = all_w + wi, all_y + wy
-        while k <= size:
-            tw[k] += wi
-            ty[k] += wy
-            k += k & -k
-        pos, step, low_w, low_y = 0, size, 0.0, 0.0
-        while step:
-            to = pos + step
-            if to <= size and low_w + tw[to] <= all_w / 2:
-                pos, low_w, low_y = to, low_w + tw[to], low_y + ty[to]
-            step >>= 1
-        m = values[min(pos, n - 1)]
-        out[i] = m * low_w - low_y + (all_y - low_y) - m * (all_w - low_w)
-    return np.maximum(out, 0)
+    v = w.astype(np.longdouble)
+    vy = v * y
+    lo, at = np.zeros_like(hi), np.zeros_like(hi)
+    all_w, all_y = np.append(0, np.cumsum(v))[hi], np.append(0, np.cumsum(vy))[hi]
+    low_w, low_y = np.zeros_like(all_w), np.zeros_like(all_y)
+    for bit in reversed(range((len(values) - 1).bit_length())):
+        lower = (rank >> bit) & 1 == 0
+        low = np.flatnonzero(lower)
+        before = np.append(0, np.cumsum(lower))
+        run_w, run_y = np.append(0, np.cumsum(v[low])), np.append(0, np.cumsum(vy[low]))
+        a, b = before[lo], before[hi]
+        more = run_w[b] - run_w[a]
+        above = low_w + more <= all_w / 2
+        low_w, low_y = low_w + np.where(above, more, 0), low_y + np.where(above, run_y[b] - run_y[a], 0)
+        lo, hi = np.where(above, len(low) + lo - a, a), np.where(above, len(low) + hi - b, b)
+        at |= above.astype(np.int64) << bit
+        dealt = np.concatenate([low, np.flatnonzero(~lower)])
+        rank, v, vy = rank[dealt], v[dealt], vy[dealt]
+    m = values[np.minimum(at, len(values) - 1)]
+    return np.maximum(m * low_w - low_y + (all_y - low_y) - m * (all_w - low_w), 0).astype(float)
 
 
 IMPURITY = {"gini": gini, "entropy": entropy, "squared_error": squared_error, "gain_hessian": gain_hessian}

@@ -103,6 +103,11 @@ def midpoint(a: float, b: float) -> float:
     return a if t == b or not np.isfinite(t) else t
 
 
+def running_absolute(y: np.ndarray, v: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Absolute deviations of the prefixes of these lengths, summed over outputs."""
+    return sum((C.running_absolute(y[:, o], v, ends) for o in range(y.shape[1])), np.zeros(len(ends)))
+
+
 def best_cut(x: np.ndarray, sums: Sums, loss: Loss, lo: int, hi: int, min_leaf: int) -> tuple[float, int] | None:
     """(children's impurity weighted by mass, first cell of the right side) of the
     best cut of cells ``lo..hi``; of equal cuts the one at the smallest value."""
@@ -117,9 +122,7 @@ def best_cut(x: np.ndarray, sums: Sums, loss: Loss, lo: int, hi: int, min_leaf:
     if loss.absolute:
         y, v = np.concatenate(sums.y[lo:hi]), np.concatenate(sums.v[lo:hi])
         ends = np.cumsum([len(a) for a in sums.y[lo:hi]])[:-1]
-        left = sum(C.running_absolute(y[:, o], v) for o in range(y.shape[1]))
-        right = sum(C.running_absolute(y[::-1, o], v[::-1]) for o in range(y.shape[1]))[::-1]
-        score = left[ends - 1] + right[ends]
+        score = running_absolute(y, v, ends) + running_absolute(y[::-1], v[::-1], len(v) - ends)
     else:
         w, s = np.cumsum(sums.w[lo:hi]), np.cumsum(sums.s[lo:hi], 0)
         left = Sums(n[:-1], w[:-1], s[:-1])
@@ -301,8 +304,6 @@ def _stump(x, sums, missing, cut) -> Bins:
 
 def fast_numeric_stump(x: np.ndarray, sums: Sums, missing: Sums, loss: Loss, min_leaf: int) -> Bins | None:
     """As :func:`numeric_stump`, with all cuts scored at once from running sums."""
-    if loss.absolute:
-        return numeric_stump(x, sums, missing, loss, min_leaf)
     m = len(x)
     if not m:
         return None
@@ -316,14 +317,24 @@ def fast_numeric_stump(x: np.ndarray, sums: Sums, missing: Sums, loss: Loss, min
         return left[bounds], right[bounds]
 
     (nl, nr), (wl, wr), (sl, sr) = run(sums.n.astype(float)), run(sums.w), run(sums.s)
+    if loss.absolute:
+        y, v = np.concatenate(sums.y), np.concatenate(sums.v)
+        ends = np.append(0, np.cumsum([len(c) for c in sums.y]))[bounds]
+
+        def deviations(side: int) -> np.ndarray:
+            """Of both sides of each cut, with the missing rows first on one of them."""
+            more = [len(missing.v[0]) if side == k else 0 for k in (0, 1)]
+            (yl, vl), (yr, vr) = [(np.concatenate([missing.y[0][:g], a]), np.concatenate([missing.v[0][:g], b])) for g, a, b in zip(more, (y, y[::-1]), (v, v[::-1]))]
+            return running_absolute(yl, vl, ends + more[0]) + running_absolute(yr, vr, len(v) - ends + more[1])
+
     best, cut = np.inf, 0
     scores = []
-    for side in (0, 1):
+    for side in (0, 1) if missing.n[0] else (0,):
         a = (nl + missing.n[0], wl + missing.w[0], sl + missing.s[0]) if side == 0 else (nl, wl, sl)
         b = (nr, wr, sr) if side == 0 else (nr + missing.n[0], wr + missing.w[0], sr + missing.s[0])
-        value = a[1] * loss.of(Sums(*a)) + b[1] * loss.of(Sums(*b))
+        value = deviations(side) if loss.absolute else a[1] * loss.of(Sums(*a)) + b[1] * loss.of(Sums(*b))
         scores.append(np.where((np.minimum(a[0], b[0]) >= max(min_leaf, 1)) & np.isfinite(value), value, np.inf))
-    both = np.minimum(*scores)
+    both = np.min(scores, axis=0)
     every = _append(sums, missing)
     k = C.first_least(both, float(every.w.sum()) * loss.whole(every))
     if np.isfinite(both[k]):

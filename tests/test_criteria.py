@@ -184,3 +184,45 @@ def test_equal_cuts_go_to_the_first_at_any_scale():
         y = values * scale
         own = inner.Sums(own.n, own.w, np.stack([y, y * y], 1)[:, None, :])
         assert inner.best_cut(keys, own, Loss("squared_error", 1), 0, 7, 1)[1] == 1
+
+
+def absolute_sums(x, y, w):
+    """Sums of rows ``y[row, output]`` by value of ``x``, and those of missing rows."""
+    def make(groups):
+        n = np.array([len(g) for g in groups])
+        return Sums(n, np.array([w[g].sum() for g in groups]), np.zeros((len(groups), y.shape[1], 2)), [y[g] for g in groups], [w[g] for g in groups])
+    keys = np.unique(x[~np.isnan(x)])
+    return keys, make([np.flatnonzero(x == k) for k in keys]), make([np.flatnonzero(np.isnan(x))])
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.tuples(st.one_of(st.integers(0, 6), st.none()), st.integers(-4, 4), st.integers(-4, 4), st.integers(0, 3)), min_size=2, max_size=25), st.integers(1, 3))
+def test_absolute_stump_equals_brute_force(rows, min_leaf):
+    x = np.array([np.nan if a is None else float(a) for a, *_ in rows])
+    y, w = np.array([[float(b), float(c)] for _, b, c, _ in rows]), np.array([float(d) for *_, d in rows])
+    if np.isnan(x).all():
+        return
+    keys, own, gone = absolute_sums(x, y, w)
+    loss = Loss("absolute_error", 2)
+    fast, slow = inner.fast_numeric_stump(keys, own, gone, loss, min_leaf), inner.numeric_stump(keys, own, gone, loss, min_leaf)
+    assert (fast.kind, fast.thresholds, fast.root) == (slow.kind, slow.thresholds, slow.root)
+    assert fast.sums.n.tolist() == slow.sums.n.tolist()
+
+
+def test_absolute_stump_of_many_values_is_scored_at_once(monkeypatch):
+    """Medians that are found anew for each cut take a time that grows with the square of the rows."""
+    n, asked = 3000, []
+    keys, own, gone = absolute_sums(np.append(np.arange(float(n)), np.nan), np.append(np.arange(n) % 100 + (np.arange(n) >= 2100) * 500.0, 7.0)[:, None], np.ones(n + 1))
+    plain = C.median_of
+    monkeypatch.setattr(C, "median_of", lambda y, w: asked.append(len(y)) or plain(y, w))
+    assert inner.fast_numeric_stump(keys, own, gone, Loss("absolute_error", 1), 1).thresholds == [2099.5]
+    assert len(asked) < 10
+
+
+def test_running_absolute_of_real_weights_and_chosen_ends():
+    rng = np.random.default_rng(2)
+    for n in (0, 1, 2, 9, 300):
+        y, w = rng.normal(size=n), rng.random(n) * 10.0 ** rng.integers(-3, 9, n)
+        direct = [C.absolute_error(y[:k, None], w[:k]) * w[:k].sum() for k in range(n + 1)]
+        assert C.running_absolute(y, w) == pytest.approx(direct[1:], rel=1e-12)
+        assert C.running_absolute(y, w, np.array([n, 0, n // 2])) == pytest.approx([direct[n], 0, direct[n // 2]], rel=1e-12)
