@@ -175,6 +175,13 @@ def _moment_cells(df: DataFrame, group: list[str], y: str) -> DataFrame:
     return df.groupBy(*group, "x").agg(F.count(F.lit(1)).alias("n"), F.count(F.lit(1)).cast("double").alias("w"), F.sum(y).alias("wy"), F.sum(F.col(y) * F.col(y)).alias("wyy"))
 
 
+def _about_mean(df: DataFrame, y: str) -> DataFrame:
+    """``df`` with ``y`` less its mean, which changes no squared error but leaves
+    the squares' sums of many rows their decimals."""
+    mean = df.agg(F.avg(y).alias("__mean"))  # one row
+    return df.crossJoin(F.broadcast(mean)).withColumn(y, F.col(y) - F.col("__mean")).drop("__mean")
+
+
 def _sql_long(columns: list[str], table: str, keep: str) -> str:
     return " UNION ALL ".join(f"SELECT '{c}' AS feature, {c}::FLOAT::DOUBLE AS x, {keep} FROM {table}" for c in columns)
 
@@ -226,7 +233,7 @@ def best_cut_minleaf(spark, sf_dir):
 
 @query(_sql_cut(_sql_long(["p_size", "p_partkey"], "part", "p_retailprice AS wy, p_retailprice * p_retailprice AS wyy"), ["wy", "wyy"], _MSE))
 def best_cut_mse(spark, sf_dir):
-    df = read(spark, sf_dir, "part").select("p_size", "p_partkey", "p_retailprice")
+    df = _about_mean(read(spark, sf_dir, "part").select("p_size", "p_partkey", "p_retailprice"), "p_retailprice")
     return _cut(_moment_cells(_long(df, ["p_size", "p_partkey"], ["p_retailprice"]), ["feature"], "p_retailprice"), "squared_error", [["wy", "wyy"]])
 
 
