@@ -32,13 +32,21 @@ def stage_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Stage files on a local disk are written by Hadoop's plain file system. Its default
+#: one adds a checksum file to each and starts a program once more for it; while an
+#: executor starts one, its memory can count twice. Damage still shows, by Parquet's
+#: checksums of pages. Other stores don't read the options of writing.
+PLAIN_FILES = {"fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true"}
+CHECKED_PAGES = {"parquet.page.verify-checksum.enabled": "true"}
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back, so that later
     plans start from files that survive the loss of any executor."""
     spark = df.sparkSession
     path = f"{stage_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
+    df.write.options(**PLAIN_FILES).parquet(path)
+    out = spark.read.options(**CHECKED_PAGES).schema(df.schema).parquet(path)
     out._stage_path = path
     # what a returned plan still reads goes when the application ends
     _path, system = _file_system(spark, path)

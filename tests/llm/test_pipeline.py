@@ -1,7 +1,10 @@
 """The pipeline's stages, each on its own input."""
 
+from pathlib import Path
+
 import duckdb
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline as P
@@ -55,6 +58,26 @@ def test_stages_take_effect(spark, tmp_path):
     assert whole == {k: r["taken"] for k, r in mixed.items()}
 
 
+def test_stage_files_are_written_without_checksum_files(spark):
+    """Hadoop starts one more program for a file that has a checksum file."""
+    table = stage(spark.range(0, 1000, 1, 5).withColumn("text", F.col("id").cast("string")), "plain")
+    files = {p.name for p in Path(table._stage_path.removeprefix("file:")).iterdir()}
+    assert "_SUCCESS" in files and sum(n.endswith(".parquet") for n in files) == 5
+    assert not {n for n in files if n.endswith(".crc")}
+    assert sorted(map(tuple, table.collect())) == [(k, str(k)) for k in range(1000)]
+    assert spark._jsc.hadoopConfiguration().get("fs.file.impl") is None  # the session's own writes stay as they are
+
+
+def test_damaged_stage_files_are_noticed(spark):
+    table = stage(spark.range(0, 20000, 1, 1).select(F.xxhash64("id").alias("h")), "damaged")
+    (file,) = Path(table._stage_path.removeprefix("file:")).glob("*.parquet")
+    raw = bytearray(file.read_bytes())
+    raw[len(raw) // 2] ^= 1
+    file.write_bytes(raw)
+    with pytest.raises(Exception, match="(?i)checksum|corrupt|crc|could not verify"):
+        table.collect()
+
+
 def test_line_dedup_cuts_passages_inside_lines(spark):
     shared, names = " ".join(f"p{k}" for k in range(60)), "doc_id long, text string, lang string, source string"
     docs = spark.createDataFrame([(1, f"one {shared} two.", "en", "src"), (2, f"three {shared} four.", "en", "src")], names)
